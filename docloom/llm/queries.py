@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import bpe, decontaminate, toxicity
+from docloom.llm import bpe, decontaminate, ngram_join, toxicity
 from docloom.llm.common import table
 
 
@@ -25,8 +25,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_decontaminate, op5_byte_bpe)}
+    return {f.__name__: f for f in (op2_toxicity, op4_decontaminate, op5_byte_bpe, op7_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
