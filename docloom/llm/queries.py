@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, html_text, ngram_join, pii, sharding, topk, toxicity
+from docloom.llm import bpe, chat, decontaminate, html_text, ngram_join, pii, sharding, topk, toxicity
 from docloom.llm.common import table
 
 
@@ -47,6 +47,12 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns and the assistant turns that answer them as calls and results, with any tool calls the texts hold."""
+    schemas = chat.schema_table(spark, {"reply": {"text": ("string", True), "turn": ("integer", True)}})
+    return chat.format_chats(table(spark, sf_dir, "conversations"), schemas)
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
@@ -61,9 +67,35 @@ FROM s QUALIFY rank <= 10
 """
 
 
+OP10_SQL = """
+WITH k AS (
+  SELECT conv_id, turn, role, text,
+    CASE WHEN role = 'user' THEN 'c' || conv_id || '-' || turn WHEN role = 'assistant' THEN 'c' || conv_id || '-' || (turn - 1) END AS call_id
+  FROM conversations
+), r AS (
+  SELECT *, EXISTS (SELECT 1 FROM k x WHERE x.role = 'assistant' AND k.role = 'user' AND x.call_id = k.call_id) AS answered,
+    EXISTS (SELECT 1 FROM k x WHERE x.role = 'user' AND k.role = 'assistant' AND x.call_id = k.call_id) AS asked,
+    row_number() OVER (PARTITION BY call_id, role ORDER BY turn, text) AS nth
+  FROM k
+), j AS (
+  SELECT conv_id, turn, call_id, false AS cyclic,
+    CASE WHEN role = 'user' AND text IS NULL THEN 'missing:text' ELSE '' END AS errors,
+    CASE role WHEN 'user' THEN CASE WHEN answered THEN 'call' ELSE 'open_call' END
+      WHEN 'assistant' THEN CASE WHEN NOT asked THEN 'orphan_result' WHEN nth = 1 THEN 'result' ELSE 'extra_result' END ELSE 'message' END AS record,
+    CASE role WHEN 'user' THEN '{"arguments":{"text":' || to_json(text) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply","type":"call"}'
+      WHEN 'assistant' THEN '{"call_id":"' || call_id || '","content":' || to_json(text) || ',"type":"result"}'
+      ELSE '{"content":' || to_json(text) || ',"role":"' || role || '","type":"message"}' END AS json,
+    CASE WHEN role IN ('user', 'assistant') THEN 0 ELSE -1 END AS seq
+  FROM r
+)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, seq, record, json) - 1 AS position, turn, record, call_id, cyclic, errors, json
+FROM j
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op4_decontaminate, op5_byte_bpe, op6_kd_shards, op7_ngram_join, op8_pii, op9_top_k)}
+    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op4_decontaminate, op5_byte_bpe, op6_kd_shards, op7_ngram_join, op8_pii, op9_top_k, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_top_k": OP9_SQL}
+    return {"op9_top_k": OP9_SQL, "op10_chat": OP10_SQL}
