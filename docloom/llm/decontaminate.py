@@ -172,5 +172,5 @@ def overlaps(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of `docs` that overlap no item, with their own columns."""
-    bad = overlaps(docs, items, id_col, text_col, **how).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = store(overlaps(docs, items, id_col, text_col, **how).select(F.col(id_col).alias("_bad")).distinct(), "overlapping").df
+    return docs.join(bad, docs[id_col] == bad["_bad"], "left_anti")  # broadcast where the table's size allows

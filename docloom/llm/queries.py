@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, decontaminate, html_text, ngram_join, pii, sharding, topk, toxicity
+from docloom.llm import bpe, chat, decontaminate, html_text, ngram_join, pii, secrets, sharding, topk, toxicity
 from docloom.llm.common import table
 
 
@@ -20,6 +20,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document, with the forest's score and whether it is kept as a secret."""
+    model = secrets.train(secrets.labelled_findings(spark))
+    return secrets.scan(table(spark, sf_dir, "documents"), model, path_col="source")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item that overlap; clean documents have none."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -94,7 +100,7 @@ FROM j
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op4_decontaminate, op5_byte_bpe, op6_kd_shards, op7_ngram_join, op8_pii, op9_top_k, op10_chat)}
+    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_secrets, op4_decontaminate, op5_byte_bpe, op6_kd_shards, op7_ngram_join, op8_pii, op9_top_k, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
