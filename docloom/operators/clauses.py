@@ -107,7 +107,7 @@ def locate_sections(texts: DataFrame, index: DataFrame) -> DataFrame:
     Candidates are found and scored relationally; only the choice, which depends on the ones before it, runs over each
     document's few candidates. Sections without a match have a null char_start, so gaps can be told from spans.
     """
-    candidates = heading_candidates(texts, index).select("doc_id", "section_no", "offset", "heading", "score")
+    candidates = heading_candidates(texts, index).select(F.col("doc_id").alias("doc_id"), "section_no", "offset", "heading", "score")
 
     def choose(found_rows: pd.DataFrame, sections: pd.DataFrame) -> pd.DataFrame:
         by_number = {n: g.sort_values("offset") for n, g in found_rows.groupby("section_no")}
@@ -129,7 +129,7 @@ def locate_sections(texts: DataFrame, index: DataFrame) -> DataFrame:
                 cursor = best.offset + 1
         return pd.DataFrame(out, columns=["doc_id", "part", "section_no", "title", "start_page", "char_start", "heading", "match_score"]).astype({"char_start": "Int64"})
 
-    body = index.where("block = 'body'").select("doc_id", "part", "section_no", "title", "start_page")
+    body = index.where("block = 'body'").select(*[F.col(c).alias(c) for c in ("doc_id", "part", "section_no", "title", "start_page")])
     schema = "doc_id string, part string, section_no int, title string, start_page int, char_start bigint, heading string, match_score double"
     chosen = body.groupBy("doc_id").cogroup(candidates.groupBy("doc_id")).applyInPandas(lambda b, c: choose(c, b), schema)
     lengths = texts.select("doc_id", F.length("text").cast("bigint").alias("_n"), annexure_start(F.col("text")).alias("_annexure"))

@@ -122,6 +122,7 @@ def merge_index(entries: DataFrame, recovered: DataFrame) -> DataFrame:
         return pd.DataFrame([{"doc_id": doc, **r} for r in rows], columns=["doc_id", "block", "part", "section_no", "title", "start_page", "recovered", "page_inferred"])
 
     schema = "doc_id string, block string, part string, section_no int, title string, start_page int, recovered boolean, page_inferred boolean"
+    recovered = recovered.withColumn("doc_id", F.col("doc_id"))  # of its own, should both come from one table
     return entries.groupBy("doc_id").cogroup(recovered.groupBy("doc_id")).applyInPandas(merge, schema)
 
 

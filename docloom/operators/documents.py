@@ -59,7 +59,7 @@ def parse_headers(front: DataFrame) -> DataFrame:
     label = F.rtrim(F.regexp_replace(F.trim(found(text, SUBJECT, 1)), r"\.+$", ""))
     issued = month_date(found(text, r"(?i)Issued\s+on\s*:\s*" + DATE, 1))
     updated = month_date(found(text, r"(?i)Last\s+updated\s+on\s*:\s*" + DATE, 1))
-    near = F.substring(text, (F.locate(number, text) + F.length(number)).cast("int"), F.lit(120))
+    near = F.substring(text, F.position(number, text) + F.length(number), F.lit(120))
     date = F.coalesce(updated, issued, month_date(found(near, r"\b" + DATE, 1)), month_date(found(text, r"\b" + DATE, 1)))
     earlier = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)Master\s+Circular\s+dated\s+" + DATE), 1), month_date)
     return front.select(

@@ -1,0 +1,27 @@
+"""Rules of interface audits that are structured enough for small tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from docloom.config import values_table
+
+# The checklist, the yellow patterns and the meaning of severities.
+BANNED = (
+    "Pre-ticked opt-in", "Bundled consent", "Conditioning loan on insurance", "Unequal choice prominence", "Confirm-shaming", "Hidden or absent opt-out", "Charges outside KFS", "Drip pricing",
+    "False urgency / scarcity", "Forced action for data", "Biased multi-lender display", "Interface interference on consent", "Missing mandatory risk disclosure",
+    "Assured-return or unsubstantiated performance claims", "No reachable grievance / SCORES / ODR route",
+)
+RISKY = (
+    "Default-selected \"Recommended\" tier", "Per-day price framing without total", "Trust claims without substantiation", "Skippable KFS", "Nudging language on neutral steps", "English-only journeys",
+)
+
+
+def banned_patterns(spark: SparkSession) -> DataFrame:
+    """position (1 to 15), name and fatal."""
+    return values_table(spark, [{"position": k, "name": n, "fatal": True} for k, n in enumerate(BANNED, 1)], "position:int,name:string,fatal:boolean")
+
+
+def risk_patterns(spark: SparkSession) -> DataFrame:
+    """position, name and fatal (false)."""
+    return values_table(spark, [{"position": k, "name": n, "fatal": False} for k, n in enumerate(RISKY, 1)], "position:int,name:string,fatal:boolean")

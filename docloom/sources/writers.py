@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _only(fields: list[str]):
+    return lambda row: F.struct(*[row[c].alias(c) for c in fields])
+
+
 def ground_truth(documents: DataFrame, index: DataFrame, changes: DataFrame, appendix: DataFrame) -> DataFrame:
     """One row for each document with three arrays; a block that a document lacks is an empty array, not a null."""
     out = documents.select("doc_id")
@@ -14,7 +18,7 @@ def ground_truth(documents: DataFrame, index: DataFrame, changes: DataFrame, app
         fields = [c for c in table.columns if c != "doc_id"]
         row = F.struct(*[F.col(c).alias(f"_{c}") for c in order if c in fields], *fields)
         listed = table.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias(name))
-        out = out.join(listed.select("doc_id", F.transform(name, lambda r, fields=fields: F.struct(*[r[c].alias(c) for c in fields])).alias(name)), "doc_id", "left")
+        out = out.join(listed.select("doc_id", F.transform(name, _only(fields)).alias(name)), "doc_id", "left")
         out = out.withColumn(name, F.coalesce(name, F.from_json(F.lit("[]"), out.schema[name].dataType.simpleString())))
     return out
 
