@@ -74,10 +74,10 @@ def kd_shards(
         splitting = {k: n for k, n in nodes.items() if n.shards > 1}
         _choose_dimensions(table.df, splitting, ranges)
         coordinates = _coordinates(table.df, splitting, len(dims))
-        for stage in range(5):
+        stage = 0
+        while any(n.open for n in splitting.values()):  # the fifth stage closes what is left
             _narrow(coordinates, splitting, stage, most, last=stage == 4)
-            if not any(n.open for n in splitting.values()):
-                break
+            stage += 1
         moved = coordinates.withColumn("node", _side(splitting)).select("id", "size", "text_crc32", "h", "node", *[f"d{k}" for k in range(len(dims))])
         after = store(moved, "metadata")
         table.drop()
@@ -97,7 +97,10 @@ def _by_node(nodes: dict[int, Node], value) -> Column:
 def _choose_dimensions(df: DataFrame, nodes: dict[int, Node], ranges: list[float]) -> None:
     n_dims = len(ranges)
     stats = df.where(F.col("node").isin(list(nodes))).groupBy("node").agg(F.sum("size").alias("size"), *[F.min(f"d{k}").alias(f"lo{k}") for k in range(n_dims)], *[F.max(f"d{k}").alias(f"hi{k}") for k in range(n_dims)])
-    for r in stats.collect():  # one row for each node
+    found = stats.collect()  # one row for each node that has rows
+    for k in set(nodes) - {r.node for r in found}:
+        nodes[k].open = False
+    for r in found:
         n = nodes[r.node]
         widths = [r[f"hi{k}"] - r[f"lo{k}"] for k in range(n_dims)]
         n.dim = max(range(n_dims), key=lambda k: widths[k] / ranges[k] if ranges[k] else 0.0)

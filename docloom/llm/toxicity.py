@@ -83,7 +83,7 @@ def train(
     if not len(labels) or labels.min() == labels.max():
         return Machine(-30.0, np.zeros(slots, np.float32), np.zeros((slots, factors), np.float32))
     seen = np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=slots)
-    use = (seen >= min_docs) & (seen <= 0.3 * len(rows))
+    use = (seen >= min_docs) & (seen <= 0.5 * len(rows))
     local = np.cumsum(use) - 1
     rows = [local[r[use[r]]] for r in rows]
     n = int(use.sum())
