@@ -132,14 +132,26 @@ def locate_sections(texts: DataFrame, index: DataFrame) -> DataFrame:
     body = index.where("block = 'body'").select(*[F.col(c).alias(c) for c in ("doc_id", "part", "section_no", "title", "start_page")])
     schema = "doc_id string, part string, section_no int, title string, start_page int, char_start bigint, heading string, match_score double"
     chosen = body.groupBy("doc_id").cogroup(candidates.groupBy("doc_id")).applyInPandas(lambda b, c: choose(c, b), schema)
-    lengths = texts.select("doc_id", F.length("text").cast("bigint").alias("_n"), annexure_start(F.col("text")).alias("_annexure"))
+    first = index.where("block = 'annexure'").groupBy("doc_id").agg(F.min_by("title", "section_no").alias("_title"))
+    last = chosen.groupBy("doc_id").agg(F.max("char_start").alias("_after"))
+    known = texts.select(F.col("doc_id").alias("doc_id"), "text").join(last, "doc_id").join(first, "doc_id", "left")
+    lengths = known.select("doc_id", F.length("text").cast("bigint").alias("_n"), annexure_start(F.col("text"), F.col("_title"), F.col("_after")).alias("_annexure"))
     return _section_ends(chosen.join(lengths, "doc_id")).drop("_n", "_annexure")
 
 
-def annexure_start(text: Column) -> Column:
-    """Offset of the first line that opens annexure 1, or null."""
-    at = F.regexp_instr(text, F.lit(r"(?im)^[ \t]*Annexure\s*[-\x{2013}\x{2014}]?\s*1\b"))
-    return F.when(at > 0, (at - 1).cast("bigint"))
+def annexure_start(text: Column, title: Column, after: Column) -> Column:
+    """Offset after `after` of the line that opens annexure 1: by the first annexure's own words, else by the word
+    Annexure; null without annexures or such a line."""
+    own = F.regexp_replace(F.trim(F.split_part(title, F.lit("-"), F.lit(1))), r"[0-9 \-]+$", "")
+    rest = F.substring(text, (after + 1).cast("int"), F.length(text))
+
+    def at(lead: Column) -> Column:
+        pattern = F.concat(F.lit(r"(?im)^[ \t]*\Q"), lead, F.lit("\\E\\s*[-\u2013\u2014]?\\s*1\\b"))
+        place = F.regexp_instr(rest, pattern)
+        return F.when(place > 0, place - 1 + after)
+
+    words = F.when(own == "", "Annexure").otherwise(own)
+    return F.when(title.isNotNull() & after.isNotNull(), F.coalesce(at(words), at(F.lit("Annexure")))).cast("bigint")
 
 
 def _section_ends(spans: DataFrame) -> DataFrame:

@@ -114,3 +114,13 @@ def test_length_bound_of_fuzzy_hits_loses_nothing(threshold):
 def test_modality_words(spark):
     got = column(spark, ["He SHALL go", "marshalls can", "nothing", None], gate.binding(F.col("x")))
     assert got == [True, False, False, None]
+
+
+def test_messages(spark):
+    from docloom.functions import prompts
+
+    row = spark.createDataFrame([("C/1", None, "III", 4, "III.4.a", 7, "The TM shall.", 2, 1)], "no string, title string, part string, section int, path string, page int, text string, images int, pdfs int")
+    message = prompts.clause_message(F.col("no"), F.lit("2024-05-22"), F.lit("stock_broker"), F.col("part"), F.col("section"), F.col("title"), F.col("path"), F.col("page"), F.col("text"))
+    got = row.select(message.alias("m"), prompts.attachments(F.col("images"), F.col("pdfs")).alias("a"), prompts.attachments(F.lit(0), F.lit(0)).alias("none")).first()
+    assert got.m.splitlines()[0] == "Circular: C/1 (2024-05-22)" and got.m.endswith('"""\nThe TM shall.\n"""') and "Section 4 — None" in got.m
+    assert got.a == "2 screenshots and 1 PDF" and got.none is None

@@ -60,7 +60,7 @@ def test_short_clauses_go_after_numbering(spark):
 def test_sections_are_located_in_order(spark):
     text = "intro\n2. Decoy about nothing\n1. Running account settlement\nbody\n2. Margin collection rules\nmore\n3. Not here at all zzz\nAnnexure-1\nrest"
     texts = spark.createDataFrame([("d", text, 0)], "doc_id string, text string, body_from bigint")
-    index = spark.createDataFrame([("d", "body", None, 1, "Running account settlement", 1), ("d", "body", None, 2, "Margin collection", 2), ("d", "body", None, 3, "Qqqq wwww", 3)], "doc_id string, block string, part string, section_no int, title string, start_page int")
+    index = spark.createDataFrame([("d", "body", None, 1, "Running account settlement", 1), ("d", "body", None, 2, "Margin collection", 2), ("d", "body", None, 3, "Qqqq wwww", 3), ("d", "annexure", None, 1, "Annexure-1 Form", 9)], "doc_id string, block string, part string, section_no int, title string, start_page int")
     rows = clauses.locate_sections(texts, index).orderBy("section_no").collect()
     assert [r.char_start for r in rows] == [text.index("1. Run"), text.index("2. Margin"), None]
     assert rows[0].char_end == rows[1].char_start and rows[1].char_end == text.index("Annexure-1")
