@@ -4,9 +4,9 @@ Vectors and queries are dealt into blocks of bounded size; every pair of a vecto
 group, so a task holds one block of either and nothing is broadcast. In a group each dimension is a list sorted by its
 component, made once. For a query the lists are read from their best end in steps. What has been read gives each
 vector a lower bound (unread lists count with their worst value) and an upper bound (unread lists count with the value
-at the reading position). Reading stops when no vector outside the k best lower bounds, seen or unseen, has an upper
-bound that can reach them; vectors that cannot are set aside on the way. The few left get their final scores, and each
-group's k best go to a second, combining aggregation.
+at the reading position). Vectors, seen or unseen, whose upper bound cannot reach the k-th best lower bound are set
+aside; reading stops when few are left or bounds stop helping, and those left get their final scores. Each group's k
+best are ranked together at the end.
 
 Components are turned into floor(scale * x), x as double, so scores are integers and ties are exact.
 
@@ -25,49 +25,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Part of each list that one step reads.
-STEPS = (0.02, 0.06, 0.12, 0.2, 0.3, 0.45, 0.65, 1.0)
+#: Parts of each list after which bounds are taken; what is left then is resolved.
+STEPS = (0.25, 0.75)
+#: Rows whose bounds are taken at once, so that they stay in a core's cache.
+CACHED = 1024
 
 
 class SortedLists:
-    """A block of vectors with one list for each dimension, sorted by component."""
+    """A block of vectors with one list for each dimension, sorted by component.
+
+    A list that was read down to a position has shown just the components on the good side of the value there, so the
+    bounds of all vectors come from comparisons with one value for each list.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.x = ids, vectors
-        self.order = np.argsort(vectors, axis=0, kind="stable")
-        self.least, self.most = vectors.min(0), vectors.max(0)
+        self.ids, self.rows = ids, vectors
+        self.exact = vectors.astype(np.float64)  # holds integers exactly up to 2^53
+        self.x = np.ascontiguousarray(vectors.T)
+        self.small = self.x.astype(np.int32) if np.abs(vectors).max(initial=0) < 2**15 else self.x
+        self.lists = np.sort(self.x, axis=1)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(identifiers, scores) of the k best rows but those with the query's own identifier."""
         m = len(self.ids)
-        others = self.ids != own
-        lists = np.flatnonzero(query)  # a list with weight 0 decides nothing
-        worst = np.where(query > 0, self.least * query, self.most * query)
-        best = np.where(query > 0, self.most * query, self.least * query)
-        low = np.full(m, worst.sum(), np.int64)  # all lists unread
-        gap_read = np.zeros((m, len(self.x[0])), bool)
-        alive = np.flatnonzero(others)
-        read, edge = 0, best.astype(np.int64)
+        alive = np.flatnonzero(self.ids != own)
+        up = query >= 0
+        worst = np.where(up, self.lists[:, 0], self.lists[:, -1]) * query
+        best = np.where(up, self.lists[:, -1], self.lists[:, 0]) * query
+        most = int(np.abs(worst).sum() + np.abs(best).sum())
+        kind = np.int32 if most < 2**31 and self.small.dtype == np.int32 and np.abs(query).max(initial=0) < 2**15 else np.int64  # all sums of bounds fit
+        x, weights = (self.small if kind == np.int32 else self.x), query.astype(kind)[:, None]
         for part in STEPS:
-            upto = min(m, max(read + 1, math.ceil(part * m)))
-            for d in lists:
-                column, w = self.order[:, d], query[d]
-                rows = column[m - upto : m - read] if w > 0 else column[read:upto]
-                low[rows] += self.x[rows, d] * w - worst[d]
-                gap_read[rows, d] = True
-                last = column[m - upto] if w > 0 else column[upto - 1]
-                edge[d] = self.x[last, d] * w
-            read = upto
-            if len(alive) <= k:
-                break
-            # Upper bound: the lower one, with unread lists at the reading position instead of at their worst.
-            spare = (edge - worst)[lists].astype(np.float64)
-            high = low[alive] + (~gap_read[np.ix_(alive, lists)]) @ spare
-            floor = np.partition(low[alive], len(alive) - k)[len(alive) - k]
-            alive = alive[high >= floor]
-            if len(alive) <= 4 * k or read == m:
+            if len(alive) <= 4 * k:
                 break
-        scores = self.x[alive] @ query
+            read = max(1, int(part * m))
+            edge = (np.where(up, self.lists[:, m - read], self.lists[:, read - 1]) * query).astype(kind)[:, None]
+            high = np.empty(len(alive), kind)
+            for a in range(0, len(alive), CACHED):
+                some = alive[a : a + CACHED]
+                terms = (x[:, some[0] : some[-1] + 1] if some[-1] - some[0] + 1 == len(some) else x[:, some]) * weights
+                # A component that a list has shown is at or over its edge; one it has not shown is under it.
+                high[a : a + CACHED] = np.maximum(terms, edge, out=terms).sum(0, dtype=kind)
+            # The k-th best lower bound, of those with the best upper ones.
+            likely = alive[np.argpartition(high, len(high) - 4 * k)[len(high) - 4 * k :]]
+            terms = x[:, likely] * weights
+            low = np.where(terms >= edge, terms, worst.astype(kind)[:, None]).sum(0, dtype=kind)
+            alive = alive[high >= np.partition(low, len(low) - k)[len(low) - k]]
+        if most < 2**53:
+            scores = (self.exact if len(alive) == m else self.exact[alive]) @ query.astype(np.float64)
+            scores = scores.astype(np.int64)
+        else:
+            scores = self.rows[alive] @ query
+        if len(alive) > 4 * k:  # rank only what can be among the k best, ties included
+            near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+            alive, scores = alive[near], scores[near]
         order = np.lexsort((self.ids[alive], -scores))[:k]
         return self.ids[alive][order], scores[order]
 
