@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,15 @@ def store(df: DataFrame, name: str) -> Stored:
     return Stored(df, name)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of tables that nothing refers to any more.
+
+    Spark does so when the driver's JVM collects its garbage, which a driver with little to do puts off.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession, rows: int = 500, mb: int = 16) -> None:
     """Keep Arrow batches small in rows and bytes, so that one batch of very long texts fits a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

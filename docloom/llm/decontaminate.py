@@ -24,18 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import bounded_batches, store
-from docloom.llm.words import WordHashes, windows
+from docloom.llm.words import Splitter, windows
 
 #: Masks of six kept positions; each pair of them ignores different neighbours.
 MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 6, 8, 9))
 SHORTEST = 1 + min(m[-1] for m in MASKS)
 BLOOM_BITS = 26
-SPACES = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
+split = Splitter(bytes(c for c in range(128) if not chr(c).isalnum()))
 AROUND = 64
 
 
-def split_words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8").translate(SPACES).split()
+def word_hashes(text: str | None) -> np.ndarray:
+    return split((text or "").lower().encode("utf-8"))
 
 
 def seeds(h: np.ndarray, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, int]]:
@@ -69,9 +69,8 @@ def overlaps(
     bounded_batches(spark)
 
     def read_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for b in batches:
-            words = [hashes(split_words(t.as_py())).view(np.int64) for t in b.column(1)]
+            words = [word_hashes(t.as_py()).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int64()))], ["item", "words"])
 
     source = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).cast("string").alias("text"))
@@ -106,7 +105,7 @@ def overlaps(
     packed = spark.sparkContext.broadcast(bloom)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = WordHashes(), packed.value
+        table = packed.value
 
         def known_seed(h: np.ndarray) -> np.ndarray:
             """Starts whose seed is in the filter."""
@@ -121,7 +120,7 @@ def overlaps(
         for b in batches:
             ids, starts, words, hit_seed, hit_at = [], [], [], [], []
             for i, text in zip(b.column(0), b.column(1), strict=True):
-                h = hashes(split_words(text.as_py()))
+                h = word_hashes(text.as_py())
                 at, seed, ends = [], [], []
                 for got, covered in seeds(h, lengths):
                     here = known_seed(got)
