@@ -9,11 +9,13 @@ Equal sets are one node from the start, so exact copies cost one prefix per task
 gathered by n-gram; an n-gram that the sketch knows to be frequent is dealt over several groups, so no group
 outgrows `group_rows` much. Then links are found in two steps:
 
-1. In each group the smallest set is the pivot; every node is verified against the pivot it shares most n-grams with.
-   The links give components.
+1. In each group the node that ranks the group's n-gram first is the pivot; every node is verified against the two
+   pivots it shares most n-grams with. The links give components. This is repeated with pivots from each n-gram's
+   largest component, for the nodes outside it, while a round finds much.
 2. Only pairs of nodes of different components are left to compare, since a link inside a component changes nothing.
-   Those of one group (and of the groups that one n-gram was dealt over) that pass the length and positional filters
-   are verified too, once each, with the suffix filter before the intersection.
+   Those of one n-gram that pass the length and positional filters, and whose signatures (parities of element counts,
+   a bound on the sets' difference as the suffix filter's) do not rule a link out, are verified once each, with the
+   suffix filter before the intersection.
 
 So a group of thousands of near copies costs thousands of comparisons, not their square, and no link between
 different texts is lost.
@@ -34,12 +36,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import bounded_batches, store
+from docloom.llm.common import bounded_batches, drop_shuffles, store
 from docloom.llm.components import connected_components
-from docloom.llm.words import WordHashes, mix, windows
-
-BUCKET_BITS = 22
-BLOCK_BITS = 12
+from docloom.llm.words import Splitter, mix, windows
+
+#: The sketch counts n-grams by the top bits of their hash: 26 at most, in blocks of 2^16 buckets.
+BUCKET_BITS = 26
+BLOCK_BITS = 16
+#: Least counts of the sixteen levels that a bucket's count is kept as, in four bits.
+LEVELS = np.array([1, 2, 4, 8, 16, 32, 64, 128, 256, 1 << 10, 1 << 12, 1 << 14, 1 << 18, 1 << 22, 1 << 26, 1 << 30], np.uint64)
+FLUSH = 2_000_000
+#: Prefix rows that a task holds at once: before it packs them, and of one range of groups.
+PLACE_ROWS = 300_000
 FILTER_BITS = 26
 
 
@@ -57,9 +65,13 @@ def set_key(s: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text: A-Z lower-cased, split at ASCII white space."""
-    return (text or "").encode("utf-8").lower().split()
+#: Words of a text: A-Z lower-cased, split at ASCII white space.
+split = Splitter(b"\x20\x09\x0a\x0b\x0c\x0d")
+
+
+def set_of(text: str | None, n: int) -> np.ndarray:
+    """Sorted distinct n-gram hashes of a text."""
+    return shingles(split((text or "").encode("utf-8")), n)
 
 
 def required(a: int, b: int, percent: int) -> int:
@@ -81,6 +93,16 @@ def suffix_may_link(x: np.ndarray, y: np.ndarray, need: int, depth: int = 2) ->
     return suffix_may_link(x[:i], y[:j], need - right, depth - 1) and suffix_may_link(x[i:], y[j:], need - left, depth - 1)
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """Parities of a set's counts by hash bucket, as four 64-bit integers.
+
+    Each element of the symmetric difference of two sets changes one parity, so two signatures differ in at most as
+    many bits as the sets differ in elements.
+    """
+    odd = np.bincount((s & np.uint64(255)).astype(np.intp), minlength=256).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     need = required(len(x), len(y), percent)
     if not suffix_may_link(x, y, need):
@@ -98,72 +120,203 @@ def measure(rows: DataFrame, n: int) -> DataFrame:
     """One pass over all texts: rows (kind 0) with id, set size and key; rows (kind 1) with blocks of n-gram counts."""
     names = ["kind", "id", "size", "key", "counts"]
 
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        """Blocks of (low bits, count) of the buckets held, packed."""
+        buckets, counts = np.unique(np.concatenate(held), return_counts=True)
+        blocks = buckets >> BLOCK_BITS
+        starts = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
+        low, counts = (buckets & (1 << BLOCK_BITS) - 1).astype(np.uint16), counts.astype(np.uint32)
+        packed = [zlib.compress(low[a:z].tobytes() + counts[a:z].tobytes(), 1) for a, z in zip(starts, [*starts[1:], len(blocks)], strict=True)]
+        m = len(packed)
+        return pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.array(blocks[starts].astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(packed, pa.binary())], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = WordHashes(), np.zeros(1 << BUCKET_BITS, np.uint32)
+        held: list[np.ndarray] = []
         for b in batches:
-            sets = [shingles(hashes(words_of(t.as_py())), n) for t in b.column(1)]
-            for s in sets:
-                counts[s >> np.uint64(64 - BUCKET_BITS)] += 1  # distinct within a set, but buckets may repeat
+            sets = [set_of(t.as_py(), n) for t in b.column(1)]
+            held += [(s >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32) for s in sets if len(s)]
             keys = [set_key(s) if len(s) else None for s in sets]
             k = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([None] * k, pa.binary())], names)
-        blocks = counts.reshape(-1, 1 << BLOCK_BITS)
-        for first in range(0, len(blocks), 128):
-            full = [k for k in range(first, first + 128) if blocks[k].any()]
-            m = len(full)
-            packed = [zlib.compress(blocks[k].tobytes(), 1) for k in full]
-            yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.array(full, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.nulls(k, pa.binary())], names)
+            if sum(map(len, held)) > FLUSH:
+                yield flush(held)
+                held = []
+        if held:
+            yield flush(held)
 
     return rows.mapInArrow(run, "kind int, id bigint, size bigint, key bigint, counts binary")
 
 
-def frequency_levels(measured: DataFrame) -> np.ndarray:
-    """8 log2 of the count of each bucket, as bytes: 2^BUCKET_BITS of them, whatever the input."""
+class Frequencies:
+    """Levels of bucket counts, two to a byte."""
+
+    def __init__(self, bits: int, packed: np.ndarray):
+        self.bits, self.packed = bits, packed
+
+    def level(self, s: np.ndarray) -> np.ndarray:
+        bucket = s >> np.uint64(64 - self.bits)
+        return self.packed[bucket >> np.uint64(1)] >> ((bucket & np.uint64(1)) << np.uint64(2)).astype(np.uint8) & 15
+
+
+def frequencies(measured: DataFrame, grams: int) -> Frequencies:
+    """The sketch: as many buckets as there are n-grams, but 2^BUCKET_BITS (32 MB of levels) at most."""
+    bits = min(BUCKET_BITS, max(BUCKET_BITS - BLOCK_BITS + 1, (max(1, grams) - 1).bit_length()))
+    fold = 1 << BUCKET_BITS - bits  # so many buckets count as one
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(packed), np.uint32)
-                sums[k] = sums[k] + part if k in sums else part.astype(np.uint64)
-        keys = list(sums)
-        levels = [np.minimum(255, np.floor(8 * np.log2(np.maximum(sums[k], 1)))).astype(np.uint8).tobytes() for k in keys]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(levels, pa.binary())], ["id", "levels"])
+                part = zlib.decompress(packed)
+                m = len(part) // 6
+                low, counts = np.frombuffer(part, np.uint16, m), np.frombuffer(part, np.uint32, m, 2 * m)
+                if k not in sums:
+                    sums[k] = np.zeros((1 << BLOCK_BITS) // fold, np.uint64)
+                np.add.at(sums[k], low // fold, counts.astype(np.uint64))
+        levels = [(np.searchsorted(LEVELS, np.maximum(x, 1), side="right") - 1).astype(np.uint8) for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([(x[0::2] | x[1::2] << 4).tobytes() for x in levels], pa.binary())], ["id", "levels"])
 
     blocks = measured.where("kind = 1").select("id", "counts")
     got = blocks.repartition("id").mapInArrow(total, "id bigint, levels binary").toArrow()
-    out = np.zeros((1 << BUCKET_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint8)
-    for k, levels in zip(got.column("id").to_pylist(), got.column("levels").to_pylist(), strict=True):
-        out[k] = np.frombuffer(levels, np.uint8)
-    return out.reshape(-1)
+    width = (1 << BLOCK_BITS) // fold // 2
+    out = np.zeros((1 << BUCKET_BITS - BLOCK_BITS, width), np.uint8)
+    for k, levels in zip(got.column("id"), got.column("levels"), strict=True):
+        out[k.as_py()] = np.frombuffer(levels.as_buffer(), np.uint8)
+    return Frequencies(bits, out.reshape(-1))
+
+
+#: A prefix row's part, size and position share one integer: 14, 26 and 24 bits.
+SIZE_BITS, POS_BITS = 26, 24
+#: Times a part, what turns a frequent n-gram into the group key of that part; parts stay far from overflow.
+PART_STEP = 0x2545F4914F6D
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """An array's bytes by significance, so that those that are all alike pack to nothing."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unplaned(data: bytes, at: int, m: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, m * width, at).reshape(width, m).T).view(kind).reshape(m)
+
 
+def pack_rows(group: np.ndarray, key: np.ndarray, packed: np.ndarray) -> bytes:
+    """Prefix rows in order of group, as differences of groups and places among the distinct keys."""
+    order = np.argsort(group)
+    keys, place = np.unique(key[order], return_inverse=True)
+    steps = np.diff(group[order], prepend=np.uint64(0))
+    parts = (_planes(steps), _planes(place.astype(np.uint32)), _planes(packed[order]), keys.tobytes())
+    return np.array([len(group)], np.uint32).tobytes() + zlib.compress(b"".join(parts), 1)
 
-def prefixes(rows: DataFrame, levels: np.ndarray, n: int, percent: int, group_rows: int) -> DataFrame:
-    """gram, part (0, or from 1 where a frequent n-gram is dealt out), key, size and position of each set's prefix."""
-    shared = rows.sparkSession.sparkContext.broadcast(levels)
+
+def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = int(np.frombuffer(blob, np.uint32, 1)[0])
+    data = zlib.decompress(blob[4:])
+    group = np.cumsum(_unplaned(data, 0, m, np.uint64), dtype=np.uint64)
+    place, packed = _unplaned(data, 8 * m, m, np.uint32), _unplaned(data, 12 * m, m, np.int64)
+    return group, np.frombuffer(data, np.int64, -1, 20 * m)[place], packed
+
+
+def prefixes(rows: DataFrame, known: Frequencies, grams: int, n: int, percent: int, group_rows: int) -> DataFrame:
+    """Prefix rows of all sets by range of group, many to a blob: there are a quarter as many as the corpus has n-grams.
+
+    A row has a group (the n-gram, or one of the parts that a frequent one is dealt over), a key, and part, size and
+    position in one integer.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(known)
+    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), grams * (100 - percent) // 100 // PLACE_ROWS)
+    shift = np.uint64(64 - max(1, (ranges - 1).bit_length()))
+
+    def flush(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
+        group, key, packed = (np.concatenate(x) for x in columns)
+        place = (group >> shift).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        edges = np.flatnonzero(np.diff(place[order], prepend=-1))
+        cuts = [order[a:z] for a, z in zip(edges, [*edges[1:], len(order)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(place[order[edges]]), pa.array([pack_rows(group[c], key[c], packed[c]) for c in cuts], pa.binary())], ["place", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, met, levels = WordHashes(), set(), shared.value
+        met, known = set(), shared.value
+        columns: list[list[np.ndarray]] = [[], [], []]
+        held = 0
         for b in batches:
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
             for t in b.column(1):
-                s = shingles(hashes(words_of(t.as_py())), n)
+                s = set_of(t.as_py(), n)
                 if not len(s) or (key := set_key(s)) in met:
                     continue
+                if len(s) >> SIZE_BITS:
+                    raise ValueError("a text has 2^26 or more distinct n-grams")
                 if len(met) > 1_000_000:
                     met.clear()
                 met.add(key)
                 length = len(s) - -(-percent * len(s) // 100) + 1
-                level = levels[s >> np.uint64(64 - BUCKET_BITS)]
+                level = known.level(s)
                 first = np.argsort(level, kind="stable")[:length]  # s is sorted, so ties go by hash
-                parts = np.maximum(1, np.exp2(level[first] / 8) / group_rows).astype(np.int64)
-                for column, x in zip(columns, (s[first].view(np.int64), np.where(parts > 1, 1 + (key & 0x7FFFFFFF) % parts, 0), np.full(length, key), np.full(length, len(s), np.int32), np.arange(length, dtype=np.int32)), strict=True):
-                    column.append(x)
-            if columns[0]:
-                arrays = [np.concatenate(x) for x in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(arrays[0]), pa.array(arrays[1].astype(np.int32)), *map(pa.array, arrays[2:])], ["gram", "part", "key", "size", "pos"])
+                parts = np.minimum((1 << 14) - 1, np.maximum(1, 4 * LEVELS[level[first]] // group_rows)).astype(np.int64)
+                part = np.where(parts > 1, 1 + (key & 0x7FFFFFFF) % parts, 0)
+                columns[0].append(s[first] ^ (part * PART_STEP).view(np.uint64))
+                columns[1].append(np.full(length, key))
+                columns[2].append(part << SIZE_BITS + POS_BITS | len(s) << POS_BITS | np.arange(length))
+                held += length
+                if held > PLACE_ROWS:
+                    yield flush(columns)
+                    columns, held = [[], [], []], 0
+        if held:
+            yield flush(columns)
+
+    return rows.mapInArrow(run, "place bigint, blob binary")
+
+
+def shared_rows(blobs: DataFrame, percent: int) -> DataFrame:
+    """Rows of groups that several sets share (gram, part, key, size, pos), with the group's pivot.
+
+    Blobs meet by range of group, and a task holds one range at a time: PLACE_ROWS rows or so, since n-grams are spread
+    by their hash and a frequent one is dealt over several groups. The pivot has the least of its n-grams ranked before this one. Two rows alone that no link can join are left out; rows
+    of an n-gram that is dealt out stay, since they may meet in another part.
+    """
+    size_mask, pos_mask = (1 << SIZE_BITS) - 1, (1 << POS_BITS) - 1
+
+    def shared(group: np.ndarray, key: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        sizes = np.diff(starts, append=len(group))
+        part, size, pos = packed >> SIZE_BITS + POS_BITS, packed >> POS_BITS & size_mask, packed & pos_mask
+        keep = np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)
+        two = starts[(sizes == 2) & keep & (part[starts] == 0)]
+        a, b = size[two], size[two + 1]
+        may = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * np.minimum(a - pos[two], b - pos[two + 1]) >= percent * (a + b))
+        keep[np.searchsorted(starts, two[~may])] = False
+        rows = np.flatnonzero(np.repeat(keep | (part[starts] > 0), sizes))
+        group, key, part, size, pos = (x[rows] for x in (group, key, part, size, pos))
+        order = np.lexsort((key, size, pos, group))
+        leads = np.flatnonzero(np.diff(group[order], prepend=~group[order[:1]]))
+        pivot = np.empty(len(group), np.int64)
+        pivot[order] = np.repeat(order[leads], np.diff(leads, append=len(group)))
+        arrays = [group ^ part * PART_STEP, part.astype(np.int32), key, size.astype(np.int32), pos.astype(np.int32), key[pivot], size[pivot].astype(np.int32), pos[pivot].astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["gram", "part", "key", "size", "pos", "p_key", "p_size", "p_pos"])
+
+    def of_place(blobs: list[bytes]) -> pa.RecordBatch:
+        group, key, packed = (np.concatenate(x) for x in zip(*map(unpack_rows, blobs), strict=True))
+        order = np.argsort(group)
+        return shared(group[order].view(np.int64), key[order], packed[order])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        last = None
+        for b in batches:
+            for place, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if place != last and held:
+                    yield of_place(held)
+                    held = []
+                last = place
+                held.append(blob.as_py())
+        if held:
+            yield of_place(held)
 
-    return rows.mapInArrow(run, "gram bigint, part int, key bigint, size int, pos int")
+    rows = blobs.repartition("place").sortWithinPartitions("place")
+    found = rows.mapInArrow(read, "gram bigint, part int, key bigint, size int, pos int, p_key bigint, p_size int, p_pos int")
+    return found.select("gram", "part", "key", "size", "pos", F.struct(F.col("p_key").alias("key"), F.col("p_size").alias("size"), F.col("p_pos").alias("pos")).alias("least"))
 
 
 def _may_link(percent: int, a: str, b: str) -> str:
@@ -174,17 +327,23 @@ def _may_link(percent: int, a: str, b: str) -> str:
     )
 
 
+def _signs_may_link(percent: int, a: str, b: str) -> str:
+    """SQL of a bound like the suffix filter's: signatures that differ in more bits than linked sets do in elements."""
+    bits = " + ".join(f"bit_count({a}.s{k} ^ {b}.s{k})" for k in range(4))
+    return f"{100 + percent} * ({bits}) <= {100 - percent} * ({a}.size + {b}.size)"
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link; `texts` holds key and the packed text once for each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, kept = WordHashes(), {}
+        kept: dict[int, np.ndarray] = {}
 
         def sets(key: int, packed: bytes) -> np.ndarray:
             if key not in kept:
-                if len(kept) > 2000:
+                if len(kept) > 2000 or sum(map(len, kept.values())) > 1_000_000:
                     kept.clear()
-                kept[key] = shingles(hashes(zlib.decompress(packed).lower().split()), n)
+                kept[key] = shingles(split(zlib.decompress(packed)), n)
             return kept[key]
 
         for b in batches:
@@ -197,8 +356,11 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb").mapInArrow(run, "a bigint, b bigint")
 
 
-def pack_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Key and packed text of the documents in `wanted` (id, key), found by a bit filter of fixed size and then by join."""
+def pack_texts(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Key, packed text and signature (s0 to s3) of the documents in `wanted` (id, key).
+
+    They are found by a bit filter of fixed size and then by join.
+    """
     slots = 1 << FILTER_BITS
     slot = F.xxhash64(F.col("id"), F.lit(FILTER_BITS)).bitwiseAND(slots - 1)
     bits = wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 5).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits")).toArrow()
@@ -211,11 +373,29 @@ def pack_texts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             s = b.column(2).to_numpy()
             some = b.filter(pa.array((table[s >> 5] >> (s & 31).astype(np.uint32)) & 1 > 0))
-            packed = [zlib.compress((t.as_py() or "").encode("utf-8"), 3) for t in some.column(1)]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
+            texts = [(t.as_py() or "").encode("utf-8") for t in some.column(1)]
+            packed = pa.array([zlib.compress(t, 3) for t in texts], pa.binary())
+            sets = [shingles(split(t), n) for t in texts]
+            keys = pa.array([set_key(x) if len(x) else None for x in sets], pa.int64())
+            signs = np.array([signature(x) for x in sets], np.int64).reshape(len(sets), 4)
+            yield pa.RecordBatch.from_arrays([some.column(0), keys, packed, *(pa.array(signs[:, k]) for k in range(4))], ["id", "key", "packed", "s0", "s1", "s2", "s3"])
 
-    found = rows.where("id is not null").select("id", "text", slot.alias("slot")).mapInArrow(run, "id bigint, packed binary")
-    return found.join(wanted, "id").select("key", "packed").dropDuplicates(["key"])
+    found = rows.where("id is not null").select("id", "text", slot.alias("slot")).mapInArrow(run, "id bigint, key bigint, packed binary, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    return found.join(wanted, ["id", "key"], "left_semi").drop("id").dropDuplicates(["key"])
+
+
+def _best_pivots(pairs: DataFrame, most: int = 2) -> DataFrame:
+    """For each node b, the pivots a that it shares most n-grams with."""
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("b").orderBy(F.desc("n"), "a")  # a node has at most one pivot for each n-gram of its own
+    return counted.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("a", "b")
+
+
+def _mixed(rows: DataFrame, roots: DataFrame, signs: DataFrame) -> DataFrame:
+    """The rows of n-grams that nodes of more than one component hold, with root and signature."""
+    marked = rows.select("gram", "key", "size", "pos").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = marked.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gram")
+    return marked.join(several, "gram", "left_semi").join(signs, "key")
 
 
 def ngram_components(
@@ -226,36 +406,50 @@ def ngram_components(
     rows = _read(docs, id_col, text_col)
     measured = store(measure(rows, n), "measured").df
     sizes = measured.where("kind = 0").select("id", "size", "key")
-    levels = frequency_levels(measured)
+    grams = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    known = frequencies(measured, grams)
     nodes = store(sizes.where("key is not null").groupBy("key").agg(F.min("id").alias("id")), "nodes").df
 
-    group = Window.partitionBy("gram", "part")
-    row = F.struct("size", "key", "pos")
-    gathered = prefixes(rows, levels, n, percent, group_rows)
-    met = gathered.withColumns({"least": F.min(row).over(group), "most": F.max("key").over(group), "other": F.min("key").over(group)})
-    # Those of an n-gram that is dealt out may still meet in another part.
-    shared = store(met.where("most != other or part > 0").drop("most", "other"), "shared").df
-
-    near = shared.alias("x").where(f"x.key != x.least.key and {_may_link(percent, 'x', 'x.least')}")
-    counted = near.groupBy(F.col("least.key").alias("a"), F.col("key").alias("b")).agg(F.count("*").alias("n"))
-    best = counted.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
-    stars = store(best, "stars").df
+    shared = store(shared_rows(prefixes(rows, known, grams, n, percent, group_rows), percent), "shared").df
+    drop_shuffles(docs.sparkSession)
 
     candidates = shared.select("key").distinct()
-    texts = store(pack_texts(rows, nodes.join(candidates, "key")), "texts").df
-    first = store(verified(stars, texts, n, percent), "first").df
-    roots = connected_components(first).df
-
-    # Pairs of different components: within a group, those outside its largest component against all others.
-    marked = store(shared.select("gram", "key", "size", "pos").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")), "marked").df
-    several = marked.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gram")
-    mixed = store(marked.join(several, "gram"), "mixed").df
-    largest = mixed.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    outside = mixed.join(largest, "gram").where("root != largest").drop("largest")
-    pairs = outside.alias("x").join(mixed.alias("y"), F.expr(f"x.gram = y.gram and x.root != y.root and {_may_link(percent, 'x', 'y')}"))
-    rest = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    texts = store(pack_texts(rows, nodes.join(candidates, "key"), n), "texts").df
+    signs = texts.select("key", "s0", "s1", "s2", "s3")
+
+    near = shared.alias("x").where(f"x.key != x.least.key and {_may_link(percent, 'x', 'x.least')}").select(F.col("least.key").alias("a"), F.col("key").alias("b"))
+    tried = store(_best_pivots(near), "tried").df
+    found = store(verified(tried, texts, n, percent), "found").df
+    rounds = shared
+    while True:
+        roots = connected_components(found).df
+        mixed = rounds = store(_mixed(rounds, roots, signs), "mixed").df  # components only merge, so what is left shrinks
+        drop_shuffles(docs.sparkSession)
+        largest = mixed.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+        sided = mixed.join(largest, "gram")
+        outside = sided.where("root != largest").drop("largest")
+        # Another pivot for each n-gram, from its largest component; rounds go on while they find much.
+        own = F.struct("key", "size", "pos", "root", "s0", "s1", "s2", "s3")
+        pivots = sided.where("root = largest").groupBy("gram").agg(F.min_by(own, F.struct("pos", "key")).alias("p"), F.min_by(own, F.xxhash64("key", "gram")).alias("q"))
+        asked = outside.alias("x").join(pivots.select("gram", F.explode(F.array("p", "q")).alias("p")), "gram").where(f"{_may_link(percent, 'x', 'p')} and {_signs_may_link(percent, 'x', 'p')}")
+        untried = asked.select(F.col("p.key").alias("a"), F.col("x.key").alias("b")).join(tried, ["a", "b"], "left_anti")
+        again = store(_best_pivots(untried), "tried").df
+        more = store(verified(again, texts, n, percent), "found").df
+        links_found, links_asked = more.count(), again.count()
+        tried, found = tried.union(again), found.union(more)
+        if links_found * 10 < links_asked or not links_asked:
+            break
+    if links_found:
+        roots = connected_components(found).df
+        mixed = store(_mixed(rounds, roots, signs), "mixed").df
+        largest = mixed.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+        outside = mixed.join(largest, "gram").where("root != largest").drop("largest")
+
+    # What is left: pairs of different components, those outside an n-gram's largest component against all others.
+    pairs = outside.alias("x").join(mixed.alias("y"), F.expr(f"x.gram = y.gram and x.root != y.root and {_may_link(percent, 'x', 'y')} and {_signs_may_link(percent, 'x', 'y')}"))
+    rest = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     second = verified(store(rest, "rest").df, texts, n, percent)
-    final = connected_components(first.union(second)).df
+    final = connected_components(found.union(second)).df
 
     rooted = nodes.join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -266,6 +460,10 @@ def ngram_components(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `docs` whose identifier is the least of its component, with their own columns."""
-    keep = ngram_components(docs, id_col, text_col, **how).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
+    """The rows of `docs` whose identifier is the least of its component, with their own columns.
+
+    Rows that share an identifier are one document: they stay or go together.
+    """
+    classes = ngram_components(docs, id_col, text_col, **how).groupBy(id_col).agg(F.min("component_id").alias("least"))
+    gone = store(classes.where(F.col(id_col) > F.col("least")).select(F.col(id_col).alias("_gone")), "gone").df
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")  # broadcast where the table's size allows
