@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import bounded_batches, drop_shuffles, store
+from docloom.llm.common import Stored, bounded_batches, drop_shuffles, store
 from docloom.llm.components import connected_components
 from docloom.llm.words import Splitter, mix, windows
 
@@ -338,12 +338,16 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
+        total = 0  # n-grams kept
 
         def sets(key: int, packed: bytes) -> np.ndarray:
+            nonlocal total
             if key not in kept:
-                if len(kept) > 2000 or sum(map(len, kept.values())) > 1_000_000:
+                if total > 1_000_000:
                     kept.clear()
+                    total = 0
                 kept[key] = shingles(split(zlib.decompress(packed)), n)
+                total += len(kept[key])
             return kept[key]
 
         for b in batches:
@@ -391,11 +395,16 @@ def _best_pivots(pairs: DataFrame, most: int = 2) -> DataFrame:
     return counted.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("a", "b")
 
 
-def _mixed(rows: DataFrame, roots: DataFrame, signs: DataFrame) -> DataFrame:
-    """The rows of n-grams that nodes of more than one component hold, with root and signature."""
+def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of n-grams that nodes of more than one component hold, with their root."""
     marked = rows.select("gram", "key", "size", "pos").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     several = marked.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gram")
-    return marked.join(several, "gram", "left_semi").join(signs, "key")
+    return marked.join(several, "gram", "left_semi")
+
+
+def _largest(rows: DataFrame) -> DataFrame:
+    """The component that holds most of each n-gram's rows."""
+    return rows.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
 
 
 def ngram_components(
@@ -404,51 +413,55 @@ def ngram_components(
     """id, n_shingles and component_id (the least id reachable by links) of every row of `docs`."""
     bounded_batches(docs.sparkSession)
     rows = _read(docs, id_col, text_col)
-    measured = store(measure(rows, n), "measured").df
-    sizes = measured.where("kind = 0").select("id", "size", "key")
-    grams = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    known = frequencies(measured, grams)
-    nodes = store(sizes.where("key is not null").groupBy("key").agg(F.min("id").alias("id")), "nodes").df
+    spark = docs.sparkSession
+
+    def keep(df: DataFrame, name: str) -> Stored:
+        """A table in the shared folder, after which the shuffles that made it can go."""
+        table = store(df, name)
+        drop_shuffles(spark)
+        return table
 
-    shared = store(shared_rows(prefixes(rows, known, grams, n, percent, group_rows), percent), "shared").df
-    drop_shuffles(docs.sparkSession)
+    measured = keep(measure(rows, n), "measured")
+    sizes = keep(measured.df.where("kind = 0").select("id", "size", "key"), "sizes").df
+    grams = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    known = frequencies(measured.df, grams)
+    measured.drop()
+    nodes = keep(sizes.where("key is not null").groupBy("key").agg(F.min("id").alias("id")), "nodes").df
+    shared = keep(shared_rows(prefixes(rows, known, grams, n, percent, group_rows), percent), "shared").df
 
     candidates = shared.select("key").distinct()
-    texts = store(pack_texts(rows, nodes.join(candidates, "key"), n), "texts").df
+    texts = keep(pack_texts(rows, nodes.join(candidates, "key"), n), "texts").df
     signs = texts.select("key", "s0", "s1", "s2", "s3")
 
     near = shared.alias("x").where(f"x.key != x.least.key and {_may_link(percent, 'x', 'x.least')}").select(F.col("least.key").alias("a"), F.col("key").alias("b"))
-    tried = store(_best_pivots(near), "tried").df
-    found = store(verified(tried, texts, n, percent), "found").df
+    tried = keep(_best_pivots(near), "tried").df
+    found = keep(verified(tried, texts, n, percent), "found").df
     rounds = shared
     while True:
         roots = connected_components(found).df
-        mixed = rounds = store(_mixed(rounds, roots, signs), "mixed").df  # components only merge, so what is left shrinks
-        drop_shuffles(docs.sparkSession)
-        largest = mixed.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-        sided = mixed.join(largest, "gram")
-        outside = sided.where("root != largest").drop("largest")
+        rounds = keep(_mixed(rounds, roots), "mixed").df  # components only merge, so what is left shrinks
+        sided = rounds.join(_largest(rounds), "gram")
         # Another pivot for each n-gram, from its largest component; rounds go on while they find much.
-        own = F.struct("key", "size", "pos", "root", "s0", "s1", "s2", "s3")
+        own = F.struct("key", "size", "pos")
         pivots = sided.where("root = largest").groupBy("gram").agg(F.min_by(own, F.struct("pos", "key")).alias("p"), F.min_by(own, F.xxhash64("key", "gram")).alias("q"))
-        asked = outside.alias("x").join(pivots.select("gram", F.explode(F.array("p", "q")).alias("p")), "gram").where(f"{_may_link(percent, 'x', 'p')} and {_signs_may_link(percent, 'x', 'p')}")
+        outside = sided.where("root != largest").drop("largest")
+        asked = outside.alias("x").join(pivots.select("gram", F.explode(F.array("p", "q")).alias("p")), "gram").where(_may_link(percent, "x", "p"))
         untried = asked.select(F.col("p.key").alias("a"), F.col("x.key").alias("b")).join(tried, ["a", "b"], "left_anti")
-        again = store(_best_pivots(untried), "tried").df
-        more = store(verified(again, texts, n, percent), "found").df
+        again = keep(_best_pivots(untried), "tried").df
+        more = keep(verified(again, texts, n, percent), "found").df
         links_found, links_asked = more.count(), again.count()
         tried, found = tried.union(again), found.union(more)
         if links_found * 10 < links_asked or not links_asked:
             break
     if links_found:
-        roots = connected_components(found).df
-        mixed = store(_mixed(rounds, roots, signs), "mixed").df
-        largest = mixed.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-        outside = mixed.join(largest, "gram").where("root != largest").drop("largest")
+        rounds = keep(_mixed(rounds, connected_components(found).df), "mixed").df
+    mixed = keep(rounds.join(signs, "key"), "signed").df
+    outside = mixed.join(_largest(rounds), "gram").where("root != largest").drop("largest")
 
     # What is left: pairs of different components, those outside an n-gram's largest component against all others.
     pairs = outside.alias("x").join(mixed.alias("y"), F.expr(f"x.gram = y.gram and x.root != y.root and {_may_link(percent, 'x', 'y')} and {_signs_may_link(percent, 'x', 'y')}"))
     rest = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    second = verified(store(rest, "rest").df, texts, n, percent)
+    second = verified(keep(rest, "rest").df, texts, n, percent)
     final = connected_components(found.union(second)).df
 
     rooted = nodes.join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
