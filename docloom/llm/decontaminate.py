@@ -9,14 +9,19 @@ Only windows that pass a Bloom filter of the items' seeds leave a task. The filt
 whatever the number of items; with more items than it separates well, more windows reach the join and the result is
 the same. Words are runs of characters without white space and ASCII punctuation, in lower case.
 
-An overlap counts when its stretch has at least min(`min_words`, words of the item) words, of which at least the share
-`identity` agree. Defined results: null and empty texts or items have no overlap; items of fewer words than the
-shortest mask are sought whole and exactly; repeated rows of an identifier count once; other columns are ignored.
+An overlap counts when some stretch of a diagonal has at least min(`min_words`, words of the item) words, of which at
+least the share `identity` agree. Of 13 words and 80 % the masks miss no placement of substitutions in items of ten or
+more words: each such stretch holds one of 13 to 25 words, and tests go through all of them. Items of fewer words get
+seeds of their own length, one for each choice of words that may be replaced. Defined results: null and empty texts or
+items have no overlap; items of fewer words than the shortest mask are sought whole and exactly; repeated rows of an
+identifier count once; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +32,9 @@ from docloom.llm.common import bounded_batches, store
 from docloom.llm.words import Splitter, windows
 
 #: Masks of six kept positions; each pair of them ignores different neighbours.
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 6, 8, 9))
+MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8), (0, 1, 4, 6, 8, 9), (0, 1, 2, 5, 6, 7), (0, 1, 3, 5, 7, 8))
 SHORTEST = 1 + min(m[-1] for m in MASKS)
+LONGEST = 1 + max(m[-1] for m in MASKS)
 BLOOM_BITS = 26
 split = Splitter(bytes(c for c in range(128) if not chr(c).isalnum()))
 AROUND = 64
@@ -38,12 +44,17 @@ def word_hashes(text: str | None) -> np.ndarray:
     return split((text or "").lower().encode("utf-8"))
 
 
-def seeds(h: np.ndarray, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, int]]:
-    """(hashes by start, words covered) for every mask, then for contiguous windows of the short items' lengths."""
+def own_masks(n: int, share: Fraction) -> tuple[tuple[int, ...], ...]:
+    """Masks for items of n words, fewer than LONGEST: all n, or from SHORTEST words on every choice of the share."""
+    return tuple(combinations(range(n), n if n < SHORTEST else max(1, -int(-share * n // 1))))
+
+
+def seeds(h: np.ndarray, own: tuple[tuple[int, ...], ...]) -> list[tuple[np.ndarray, int]]:
+    """(hashes by start, words covered) for every mask, then for the short items' own masks."""
     out = []
-    for k, offsets in enumerate([*MASKS, *(tuple(range(n)) for n in lengths)]):
+    for k, offsets in enumerate([*MASKS, *own]):
         got = windows(h, offsets)
-        out.append((got ^ np.uint64(0x5851F42D4C957F2D * (k + 1 if k < len(MASKS) else 100 + len(offsets)) % 2**64), offsets[-1] + 1))
+        out.append((got ^ np.uint64(0x5851F42D4C957F2D * (k + 1 if k < len(MASKS) else 100 + sum(1 << o for o in offsets)) % 2**64), offsets[-1] + 1))
     return out
 
 
@@ -60,6 +71,22 @@ def best_stretch(agree: np.ndarray) -> tuple[int, int]:
     return int(np.argmin(sums[: end + 1])), end
 
 
+def stretch(agree: np.ndarray, least: int, share: Fraction) -> tuple[int, int] | None:
+    """[from, to) of a stretch of at least `least` words with at least the share of words that agree, if there is one.
+
+    It is the best stretch where that one qualifies, else the one with the most agreeing words above the share.
+    """
+    sums = np.concatenate([[0], np.cumsum(np.where(agree, share.denominator - share.numerator, -share.numerator))])
+    x, y = best_stretch(agree)
+    if y - x >= least and sums[y] >= sums[x]:
+        return x, y
+    if len(agree) < least:
+        return None
+    above = sums[least:] - np.minimum.accumulate(sums[: len(sums) - least])
+    k = int(np.argmax(above))
+    return (int(np.argmin(sums[: k + 1])), k + least) if above[k] >= 0 else None
+
+
 def overlaps(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", min_words: int = 13, identity: float = 0.8, bloom_bits: int = BLOOM_BITS,
@@ -67,6 +94,8 @@ def overlaps(
     """One row for each text and item that overlap: identifiers, doc_start, item_start, n_words, n_same (word counts)."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    share = Fraction(str(identity))
+    around = max(AROUND, 2 * min_words)  # a stretch that qualifies holds one of fewer than twice the words
 
     def read_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -75,19 +104,18 @@ def overlaps(
 
     source = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(item_text_col).cast("string").alias("text"))
     known = store(source.where(F.col("item").isNotNull()).mapInArrow(read_items, "item bigint, words array<bigint>").where(F.size("words") > 0), "items")
-    short = known.df.where(F.size("words") < SHORTEST).select(F.size("words").alias("n")).distinct()
-    lengths = tuple(sorted(r.n for r in short.collect()))  # at most SHORTEST - 1 numbers
+    short = known.df.where(F.size("words") < LONGEST).select(F.size("words").alias("n")).distinct()
+    own = tuple(m for r in sorted(short.collect()) for m in own_masks(r.n, share))  # at most LONGEST - 1 lengths
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             item, seed, at = [], [], []
             for i, words in zip(b.column(0), b.column(1), strict=True):
                 h = words.values.to_numpy().view(np.uint64)
-                for got, covered in seeds(h, (len(h),) if len(h) < SHORTEST else ()):
-                    if covered == len(h) or len(h) >= SHORTEST:
-                        item.append(np.full(len(got), i.as_py(), np.int64))
-                        seed.append(got.view(np.int64))
-                        at.append(np.arange(len(got), dtype=np.int32))
+                for got, _ in seeds(h, own_masks(len(h), share) if len(h) < LONGEST else ()):
+                    item.append(np.full(len(got), i.as_py(), np.int64))
+                    seed.append(got.view(np.int64))
+                    at.append(np.arange(len(got), dtype=np.int32))
             if item:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (item, seed, at)], ["item", "seed", "at"])
 
@@ -122,7 +150,7 @@ def overlaps(
             for i, text in zip(b.column(0), b.column(1), strict=True):
                 h = word_hashes(text.as_py())
                 at, seed, ends = [], [], []
-                for got, covered in seeds(h, lengths):
+                for got, covered in seeds(h, own):
                     here = known_seed(got)
                     at.append(here)
                     seed.append(got[here])
@@ -133,12 +161,12 @@ def overlaps(
                 order = np.argsort(at, kind="stable")
                 at, seed, ends = at[order], seed[order], np.maximum.accumulate(ends[order])
                 # Hits whose surroundings touch share a segment of the text.
-                new = np.flatnonzero(np.concatenate([[True], at[1:] > ends[:-1] + 2 * AROUND]))
+                new = np.flatnonzero(np.concatenate([[True], at[1:] > ends[:-1] + 2 * around]))
                 for a, z in zip(new, [*new[1:], len(at)], strict=True):
-                    first = max(0, int(at[a]) - AROUND)
+                    first = max(0, int(at[a]) - around)
                     ids.append(i.as_py())
                     starts.append(first)
-                    words.append(h[first : int(ends[z - 1]) + AROUND].view(np.int64))
+                    words.append(h[first : int(ends[z - 1]) + around].view(np.int64))
                     hit_seed.append(seed[a:z].view(np.int64))
                     hit_at.append((at[a:z] - first).astype(np.int32))
             lists = [pa.array(words, pa.list_(pa.int64())), pa.array(hit_seed, pa.list_(pa.int64())), pa.array(hit_at, pa.list_(pa.int32()))]
@@ -157,10 +185,9 @@ def overlaps(
                 d, w, s = doc.values.to_numpy(), words.values.to_numpy(), shift.as_py()
                 a, z = max(0, -s), min(len(w), len(d) - s)
                 agree = w[a:z] == d[a + s : z + s]
-                x, y = best_stretch(agree)
-                same = int(agree[x:y].sum())
-                if y - x >= min(min_words, len(w)) and same >= identity * (y - x):
-                    out.append((i.as_py(), item_id.as_py(), start.as_py() + a + s + x, a + x, y - x, same))
+                if (found := stretch(agree, min(min_words, len(w)), share)) is not None:
+                    x, y = found
+                    out.append((i.as_py(), item_id.as_py(), start.as_py() + a + s + x, a + x, y - x, int(agree[x:y].sum())))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(6)], ["id", "item", "doc_start", "item_start", "n_words", "n_same"])
 
     fields = ("doc_start", "item_start", "n_words", "n_same")

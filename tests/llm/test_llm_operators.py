@@ -142,6 +142,42 @@ def test_overlaps_tolerate_substitutions(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(d, b).collect()} == {k for k in range(120)} - {k for k, _ in want}
 
 
+def qualifies(agree, least, share=0.8):
+    return any(sum(agree[x:y]) >= share * (y - x) - 1e-9 for x in range(len(agree)) for y in range(x + least, len(agree) + 1))
+
+
+def test_a_stretch_is_found_where_one_qualifies():
+    share = decontaminate.Fraction("0.8")
+    for n, least in ((8, 8), (13, 13), (15, 13), (18, 13)):
+        for replaced in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in range(5)):
+            agree = np.array([k not in replaced for k in range(n)])
+            got = decontaminate.stretch(agree, least, share)
+            assert (got is not None) == qualifies(agree.tolist(), least)
+            assert got is None or (got[1] - got[0] >= least and agree[got[0] : got[1]].mean() >= 0.8 - 1e-9)
+
+
+def test_masks_miss_no_placement():
+    for n in range(decontaminate.LONGEST, 26):  # a longer stretch that qualifies holds one of these
+        for replaced in itertools.combinations(range(n), n - (4 * n + 4) // 5):
+            assert any(not any(k + o in replaced for o in mask) for mask in decontaminate.MASKS for k in range(n - mask[-1])), (n, replaced)
+
+
+def test_overlaps_with_substitutions_at_every_position(spark):
+    rng = random.Random(9)
+    sizes = (6, 7, 8, 9, 10, 13, 15, 16)
+    items = [(n, [f"i{n}x{k}" for k in range(n)]) for n in sizes]
+    docs, want = [], set()
+    for n, part in items:
+        for replaced in itertools.chain.from_iterable(itertools.combinations(range(n), k) for k in (0, 1, 2, 3)):
+            text = ["changed" if k in replaced else w for k, w in enumerate(part)]
+            if qualifies([k not in replaced for k in range(n)], min(13, n)):
+                want.add((len(docs), n))
+            docs.append((len(docs), " ".join([*words(rng, 20), *text, *words(rng, 20)])))
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame([(n, " ".join(part)) for n, part in items], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(d, b).collect()} == want
+
+
 def test_overlap_edges(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one two three four five six seven"), (3, "one two three four five six seven"), (None, "word")], "item_id bigint, text string")
     got = decontaminate.overlaps(odd_documents(spark), items).collect()
