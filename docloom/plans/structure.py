@@ -318,7 +318,7 @@ def ground_truth(t: Tables) -> DataFrame:
 
 @query()
 def canonical_documents(t: Tables) -> DataFrame:
-    return writers.canonical_json(t.table("documents"), "text").select("doc_id", "canonical", "dom_hash")
+    return writers.canonical_json(t.table("documents")).select("doc_id", "canonical", "dom_hash")
 
 
 @query()

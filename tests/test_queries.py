@@ -1,5 +1,7 @@
 """Every query with SQL equals it on the smallest tables; entry() and the streams run."""
 
+import json
+
 import duckdb
 import pandas as pd
 import pytest
@@ -61,3 +63,13 @@ def test_budget_over_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "calls"))
     got = drain(guarded(stream, cap=35, max_calls=9), spark, "guarded_calls", "append").where("allowed").groupBy("run").count().collect()
     assert {r.run: r["count"] for r in got} == {1: 3, 2: 3}
+
+
+def test_canonical_documents_hold_whole_texts(spark, tmp_path):
+    rows = [(1, "one text \u00e9\n\"q\""), (2, "x" * 100_000), (3, None)]
+    found = []
+    for k, more in enumerate(("", "!")):
+        spark.createDataFrame([(i, t and t + more) for i, t in rows], "doc_id bigint, text string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        found.append({r.doc_id: r for r in catalog.QUERIES["canonical_documents"](catalog.Tables(spark, f"{tmp_path}/{k}")).collect()})
+    assert all(json.loads(found[0][i].canonical)["text"] == t for i, t in rows)
+    assert [found[0][i].dom_hash != found[1][i].dom_hash for i, _ in rows] == [True, True, False]
