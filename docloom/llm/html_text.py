@@ -2,11 +2,14 @@
 
 A page becomes a tree. Elements that are never article text (menus, page headers and footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments, hidden elements; told by tag, role, class or id) take no part.
+A class or id alone does not decide where an element holds an article, main or h1, or more than half of the page's text
+outside links (reader comments excepted, and any where an article or main with text lies outside).
 Every other node has a density: characters per tag, lowered as the share of link characters and link tags grows
 (composite text density, Sun, Song and Liao, SIGIR 2011). The sum of its children's densities ranks subtrees. The
 subtree of the largest sum under the body is the article's core and names a threshold: the least density on the path
 from the body to it. If an article or main element on that path holds the core, all of it is the article. Otherwise
-the article is the core with those subtrees beside the path, below the body, that are headings or reach the threshold.
+the article is the core with those subtrees beside the path, the body's own included, that are headings or reach the
+threshold.
 
 Tokens are cut by regular expressions that never look back, so a page takes time in proportion to its length.
 
@@ -54,25 +57,28 @@ NOISE_NAMES = frozenset(
     "notice notices cookie cookies consent gdpr popup modal overlay alert "
     "comment comments disqus replies respond share sharing social related recommended newsletter subscribe signup login search form widget pagination pager".split()
 )
+COMMENT_NAMES = frozenset("comment comments disqus replies respond".split())
 NEVER_NOISE = frozenset("html body article main".split())
 
 
-def is_noise(tag: str, attributes: str) -> bool:
+def noise_kind(tag: str, attributes: str) -> int:
+    """2: never article text; 1: named like it by class or id; 3: named as reader comments; 0: neither."""
     if tag in NOISE_TAGS:
-        return True
+        return 2
     if not attributes or tag in NEVER_NOISE:
-        return False
+        return 0
+    named = 0
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not NOISE_NAMES.isdisjoint(TOKEN.findall(value)):
-            return True
+        if name in ("class", "id") and not NOISE_NAMES.isdisjoint(tokens := TOKEN.findall(value)):
+            named = 1 if named != 3 and COMMENT_NAMES.isdisjoint(tokens) else 3
         if name == "role" and value.strip() in NOISE_ROLES:
-            return True
+            return 2
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return 2
         if name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return 2
+    return named
 
 
 class Page:
@@ -81,7 +87,11 @@ class Page:
     def __init__(self, html: str):
         self.parent, self.tag, self.chars, self.link_chars, self.tags, self.link_tags = [-1], ["#page"], [0], [0], [0], [0]
         self.blocks: list[tuple[int, str]] = []
+        self.named: dict[int, int] = {}  # nodes with a class or id of noise, and what kind
+        self.dead: set[int] = set()  # nodes within noise told by tag, role or hiding
         self._read(html)
+        if self.named:
+            self._judge()
         for k in range(len(self.tag) - 1, 0, -1):  # children come after their parents
             p = self.parent[k]
             self.chars[p] += self.chars[k]
@@ -89,6 +99,26 @@ class Page:
             self.tags[p] += self.tags[k] + 1
             self.link_tags[p] += self.link_tags[k] + (self.tag[k] == "a")
 
+    def _judge(self) -> None:
+        """Take out what is named as noise and neither holds an article, main or h1 nor most of the text."""
+        n = len(self.tag)
+        text = [c - lc for c, lc in zip(self.chars, self.link_chars, strict=True)]
+        marks = [int(t in ("article", "main", "h1") and k not in self.dead) for k, t in enumerate(self.tag)]
+        holds = [False] * n  # an article or main with text
+        for k in range(n - 1, 0, -1):
+            p = self.parent[k]
+            text[p] += text[k]
+            marks[p] += marks[k]
+            holds[k] = holds[k] or self.tag[k] in ("article", "main") and text[k] > 0
+            holds[p] = holds[p] or holds[k]
+        gone = [False] * n
+        for k in range(1, n):
+            noise = k in self.named and not marks[k] and not (self.named[k] == 1 and 2 * text[k] > text[0] and not holds[0])
+            gone[k] = gone[self.parent[k]] or noise
+            if gone[k]:
+                self.chars[k] = self.link_chars[k] = self.tags[k] = 0
+        self.blocks = [(node, t) for node, t in self.blocks if not gone[node]]
+
     def _read(self, html: str) -> None:
         lower = html.lower()
         stack, noise, links = [0], 0, 0  # open nodes; depth of the outermost noise element or 0; open links
@@ -106,10 +136,11 @@ class Page:
         def close(depth: int) -> None:
             nonlocal noise, links
             while len(stack) > depth:
-                t = self.tag[stack.pop()]
+                node = stack.pop()
+                t = self.tag[node]
                 open_tags[t] -= 1
                 links -= t == "a"
-                if t in BLOCK:
+                if t in BLOCK or node in self.named:
                     flush()
                     homes.pop()
             if noise >= depth:
@@ -185,11 +216,17 @@ class Page:
             stack.append(len(self.tag) - 1)
             open_tags[name] += 1
             links += name == "a"
-            if name in BLOCK:
-                homes.append(stack[-1])
-            if not noise and is_noise(name, attributes):
+            kind = 0 if noise else noise_kind(name, attributes)
+            if kind == 2:
                 flush()
                 noise = len(stack) - 1
+            elif kind:
+                flush()
+                self.named[stack[-1]] = kind
+            if noise:
+                self.dead.add(stack[-1])
+            if name in BLOCK or kind % 2:
+                homes.append(stack[-1])
         flush()
 
 
@@ -232,7 +269,9 @@ def main_text(html: str | None) -> str:
         path.append(page.parent[path[-1]])
     threshold = min(density[k] for k in path)
     whole = next((k for k in reversed(path) if page.tag[k] in ("article", "main")), top)
-    above = set(path[path.index(whole) + 1 : -1])
+    above = set(path[path.index(whole) + 1 :])
+    if page.tag[whole] in ("article", "main"):
+        above.discard(body)
     keep = [False] * n
     keep[whole] = True
     for k in range(1, n):

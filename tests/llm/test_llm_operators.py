@@ -54,6 +54,26 @@ def test_html_keeps_the_article_only():
     assert html_text.main_text(plain) == html_text.main_text(PAGE)
 
 
+def test_html_keeps_what_lies_beside_the_core_under_the_body():
+    five, four = ("".join(f"<p>{c} {k} is a whole sentence of the article that goes on for a while.</p>" for k in range(n)) for c, n in (("First", 5), ("Second", 4)))
+    got = html_text.main_text(f'<body><h1>T</h1><div>{five}</div><div>{four}</div><div class="menu"><a href="/">Menu</a></div></body>')
+    assert got.split("\n\n")[0] == "T" and got.count("First") == 5 and got.count("Second") == 4 and "Menu" not in got
+
+
+def test_html_names_alone_do_not_empty_a_page():
+    text = "".join(f"<p>Sentence {k} of the article, which is long enough to count.</p>" for k in range(4))
+    aside = '<div class="sidebar"><p>Side</p></div>'
+    for page in (
+        f'<body><div class="page has-sidebar"><h1>T</h1>{text}{aside}</div></body>', f'<body><h1>T</h1><div class="elementor-widget">{text}</div>{aside}</body>',
+        f'<body><div id="header-menu-page"><article><h1>T</h1>{text}</article>{aside}</div></body>', f'<body><h1>T</h1><span class="form">{text}</span>{aside}</body>',
+    ):
+        got = html_text.main_text(page)
+        assert got.startswith("T\n\nSentence 0") and got.count("Sentence") == 4 and "Side" not in got, page
+    many = "<p>Nice, I agree with all that was said here!</p>" * 30
+    assert "Nice" not in html_text.main_text(f'<body><div><h1>T</h1>{text}</div><div class="comments">{many}</div></body>')
+    assert "Nice" not in html_text.main_text(f'<body><article><h1>T</h1>{text}</article><div class="widget">{many}</div></body>')
+
+
 @given(st.text("<>/ab =\"'&;!-", max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_html_reads_any_markup(markup):
