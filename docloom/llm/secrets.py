@@ -1,8 +1,10 @@
 """Secret findings with a random forest against false positives.
 
-Candidates are runs of 16 or more key characters with a digit among them. Each text is cut at its candidates, so the
-pieces between them give every candidate's offset and its neighbouring words in one linear pass. Columns describe each
-candidate: length, character classes and transitions between them, spread of characters, coverage by dictionary words,
+Candidates are runs of 16 or more key characters with a digit among them; values of 8 or more characters without white
+space after a name such as password or token and = or :, in quotes or not; and passwords in URLs. A value that is just
+such a run is one candidate; a longer one that holds runs is a candidate besides them. Each text is cut at its
+candidates, of runs and of values by themselves, so the pieces between them give every candidate's offset and its
+neighbouring words in one linear pass for each of the two. Columns describe each candidate: length, character classes and transitions between them, spread of characters, coverage by dictionary words,
 path-like shape of the candidate and of the place it was found in, words and signs around it. A random forest of
 fixed size, trained from labelled findings, scores them; findings under the threshold are marked as removed.
 
@@ -26,6 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
+_RUN = r"(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}+"
+_NAME = r"(?i:secret|token|passw(?:or)?d|pass|passphrase|pwd|(?:api|access|private|secret|signing|encryption)[_\-. ]?key|credentials?|auth)(?:[_\-][A-Za-z0-9_\-]{0,16}|[0-9]{0,3})[\"']?\s{0,4}(?::=|=>|[=:])\s{0,4}"
+#: Ends of values without quotes: white space, quotes and brackets after closing signs, or a sign before the next name.
+_END = r"(?=[,;&|][A-Za-z_][\w.\-]{0,60}[\"']?[=:]|[,;.)}\]]{0,3}(?:[\s\"'`<>]|\z))"
+#: Lazy or possessive repeats of single characters only: they take linear time and no stack.
+VALUE = (
+    rf"(?<=[=:>]\s{{0,4}}[\"']?)(?![\s\"'=:>])(?!{_RUN}{_END})"
+    rf"(?:(?<={_NAME}\")[^\s\"]{{8,}}+(?=\")|(?<={_NAME}')[^\s']{{8,}}+(?=')|(?<={_NAME}[\"']?)[^\s\"'`]{{8,}}?{_END})"
+    rf"|(?<=:)(?!{_RUN}@)(?<=[A-Za-z]://[^\s/:@\"'<>]{{0,128}}:)[^\s/@\"'<>]{{3,}}+(?=@)"
+)
 MAX_TRAIN = 20_000
 FINDING = "array<struct<candidate:string,before:string,after:string,path:string,label:int>>"
 # Frequent English words and word parts that names and slugs are made of.
@@ -74,6 +86,12 @@ def features() -> dict[str, Column]:
         "names_secret": has(b, r"(secret|token|passw(or)?d|pwd|api.?key|access.?key|private.?key|credential|auth|bearer)[^a-z]{0,6}[\"']?\s*$"),
         "names_secret_near": has(b, r"secret|token|passw|api.?key|credential|bearer"),
         "names_hash": has(b, r"commit|sha-?[0-9]*|md5|checksum|digest|hash|etag|integrity|revision|uuid|guid|version|build"),
+        "marks": count(r"[^A-Za-z0-9+/_\-=]") / F.length(c),
+        "named": has(F.col("before"), _NAME + "[\"']?$"),
+        "url_password": has(b, r"[a-z]://[^\s/:@]*:$"),
+        "word": has(c, "^([A-Z]?[a-z]+|[A-Z]+)[?!.,;:]*$"),
+        "code": has(c, r"^[$%{<\[*(&@]|[(\[{<]|\w\.[A-Za-z_]\w*\.|^[a-z_]+\.[A-Za-z_]+$|://"),
+        "placeholder": has(F.lower(c), r"your|example|change_?me|placeholder|redacted|x{4}|\*{4}|null|none|undefined|required|optional"),
         "url_before": has(b, r"(https?://|www\.)\S*$"),
         "word_after": has(F.lower("after"), r"^[\"']?[,;.)\]]?\s*[a-z]{2,}"),
         "dot_after": has(F.col("after"), r"^\.[a-z]{2,4}\b"),
@@ -92,6 +110,11 @@ def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = 5) -> D
         return " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
 
     out = []
+
+    def add(candidate: str, before: str, quote: str, path: str, real: int, after: str = "") -> None:
+        after += rng.choice((quote, quote + " ", quote + ", ", quote + "### ")) + text(3)
+        out.append({"candidate": candidate, "before": before[-48:], "after": after[:24], "path": path, "label": real})
+
     for k in range(rows):
         real = k % 2
         quote = rng.choice(('"', "'", "", ""))
@@ -121,8 +144,41 @@ def labelled_findings(spark: SparkSession, rows: int = 3000, seed: int = 5) -> D
             ))()
             path = rng.choice(("", "", "package-lock.json", "tests/test_api.py", "docs/example.md", f"src{rng.randint(0, 20)}"))
         if len(candidate) >= 16 and any(ch in num for ch in candidate):
-            after = rng.choice((quote, quote + " ", quote + ", ", quote + "### ")) + text(3)
-            out.append({"candidate": candidate, "before": before[-48:], "after": after[:24], "path": path, "label": real})
+            add(candidate, before, quote, path, real)
+    symbols = low + up + num + "!.&$%*#-_?^~"
+    for k in range(rows):  # values after a name, and passwords in URLs
+        real = k % 2
+        quote = rng.choice(('"', "'", "", ""))
+        name = rng.choice("token secret password passwd pass pwd passphrase api_key access_key auth_token client_secret".split())
+        name = rng.choice((name, name.upper(), name.capitalize(), f"db_{name}", f"DB_{name.upper()}", f"{rng.choice(words)}_{name}"))
+        before = f"{text(4)} {name}{rng.choice((' = ', '=', ': ', ':', ' := '))}{quote}"
+        path = rng.choice(("", "", ".env", "config/settings.yml", "src/main.py", "tests/test_api.py", "docs/example.md", f"src{rng.randint(0, 20)}"))
+        if real:
+            mixed = lambda: pick(low + up, 3) + pick(num, 1) + pick(symbols, rng.randint(4, 16))
+            worded = lambda: "".join(rng.choice(words).replace("o", rng.choice("o0")) for _ in range(3))[: rng.randint(7, 14)].ljust(7, "k") + pick(num, rng.randint(1, 4)) + rng.choice(("", "", "!", "$"))
+            candidate = rng.choice((
+                mixed, mixed, worded, worded, lambda: pick(low + up, rng.randint(10, 32)), lambda: pick(low, rng.randint(12, 32)),
+                lambda: rng.choice("-_.").join(rng.choice(words) for _ in range(rng.randint(4, 6))).replace("ó", "o"), lambda: pick(low + num, rng.randint(8, 15)),
+                lambda: pick(low + up, rng.randint(2, 5)).capitalize() + pick(num, 1) + pick(low, 3) + pick(num, 1) + pick(low, 3) + rng.choice("&!$.") + pick(num, 1),
+            ))()
+            after = ""
+            if k % 8 == 1:
+                before, quote, after = f"{text(3)} {rng.choice(('postgres', 'mysql', 'https', 'redis', 'amqp'))}://{rng.choice(('user', 'admin', 'root', rng.choice(words)))}:", "", "@" + rng.choice(("host", "localhost", "db.internal")) + rng.choice((":5432/", "/", ""))
+            add(candidate, before, quote, path, 1, after)
+        else:
+            var = rng.choice(words).replace("ó", "o")
+            candidate = rng.choice((
+                lambda: f"${{{name.upper()}}}", lambda: f"os.environ[{name.upper()}]", lambda: f"process.env.{name.upper()}", lambda: f"get_{name}()", lambda: f"config.{var}_{name}", lambda: f"<your-{name}>",
+                lambda: "*" * rng.randint(8, 16), lambda: "x" * rng.randint(8, 16), lambda: f"{{{{ {var} }}}}".replace(" ", "") + "_here", lambda: f"self.{name}", lambda: f"your_{name}", lambda: "changeme_" + var,
+                lambda: rng.choice("required undefined disabled forgotten something everything different important password placeholder optional available customer management information together".split()),
+                lambda: rng.choice("Required Undefined Disabled Forgotten Something Everything Different Important Available Management Information Together".split()) + rng.choice(("", ".", "?", "!")),
+                lambda: f"https://example.com/{var}", lambda: f"request.{var}.{name}", lambda: f"String(required,{var})",
+            ))()
+            if k % 8 == 0:
+                candidate, before, quote = rng.choice(("password", "<password>", "${PASSWORD}", "$PASSWORD", "********", "{password}", "PASSWORD", "xxxxxxxx")), f"{text(3)} {rng.choice(('postgres', 'mysql', 'https', 'redis'))}://user:", ""
+                add(candidate, before, quote, path, 0, "@host")
+            elif len(candidate) >= 8:
+                add(candidate, before, quote, path, 0)
     return spark.sql(f"SELECT inline(from_json(:findings, '{FINDING}'))", args={"findings": json.dumps(out)})
 
 
@@ -145,8 +201,13 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None
     """id, start, end (code points, end exclusive), candidate, before, after and path of every candidate."""
     text = F.col(text_col).cast("string")
     path = F.col(path_col).cast("string") if path_col else F.lit("")
-    held = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), path.alias("path")).where(F.regexp_like("text", F.lit(CANDIDATE)))
-    cut = held.select("id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("found"), F.split("text", CANDIDATE, -1).alias("pieces"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"), path.alias("path"))
+    return _matches(rows, CANDIDATE).unionByName(_matches(rows, VALUE))
+
+
+def _matches(rows: DataFrame, pattern: str) -> DataFrame:
+    held = rows.where(F.regexp_like("text", F.lit(pattern)))
+    cut = held.select("id", "path", F.regexp_extract_all("text", F.lit(pattern), 0).alias("found"), F.split("text", pattern, -1).alias("pieces"))
     step = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     walked = F.aggregate(
         F.zip_with("found", F.slice("pieces", 1, F.size("found")), lambda f, p: F.struct(F.length(p).alias("gap"), F.length(f).alias("n"))),

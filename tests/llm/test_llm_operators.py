@@ -138,6 +138,22 @@ def test_secrets_kept_and_removed(spark):
     assert secrets.scan(odd_documents(spark), model).count() == 0 and secrets.scan(empty_documents(spark), model).count() == 0
 
 
+def test_secrets_in_values_and_urls(spark):
+    model = secrets.train(secrets.labelled_findings(spark))
+    rows = [
+        ('password = "Tr0ub4dor&3"', "Tr0ub4dor&3", True), ("export DB_PASS=hunter2secret9 now", "hunter2secret9", True), ("see postgres://user:pa55w0rd@host/db", "pa55w0rd", True),
+        ("token: qzKvWmXrTbLpNc", "qzKvWmXrTbLpNc", True), ("pwd='aB3!x.Y&z$9q'", "aB3!x.Y&z$9q", True), ("a?password=fooQ12x45&token=barZ98y76", "fooQ12x45 barZ98y76", True),
+        ("password: required", "required", False), ("token = ${API_TOKEN}", "${API_TOKEN", False), ("password = os.environ[PASSWORD]", "os.environ[PASSWORD", False),
+    ]
+    d = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(rows)], "doc_id bigint, text string")
+    got = secrets.scan(d, model).collect()
+    assert sorted((r.doc_id, r.candidate) for r in got) == sorted((k, c) for k, (_, found, _) in enumerate(rows) for c in found.split())
+    assert all(rows[r.doc_id][0][r.start : r.end] == r.candidate for r in got)
+    assert [(r.candidate, r.score) for r in got if r.kept != rows[r.doc_id][2]] == []
+    long = spark.createDataFrame([(1, "password=" + "aB!" * 200_000), (2, "token: " + "a1" * 200_000)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.end - r.start) for r in secrets.scan(long, model).collect()) == [(1, 600_000), (2, 400_000)]
+
+
 # ---------------------------------------------------------------------- 4
 
 
