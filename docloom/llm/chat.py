@@ -49,9 +49,12 @@ def embedded_calls(conversations: DataFrame) -> DataFrame:
 
 
 def embedded_results(conversations: DataFrame) -> DataFrame:
-    """Results: turns of the role tool whose text is {"tool_call_id", "content"}."""
+    """Results: turns of the role tool; their text is {"tool_call_id", "content"}, or else as a whole the content."""
     tool = conversations.where("role = 'tool'")
-    return tool.select("conv_id", "turn", F.get_json_object("text", "$.tool_call_id").alias("call_id"), F.get_json_object("text", "$.content").alias("content"))
+    keys = F.json_object_keys("text")
+    whole = F.coalesce(F.array_contains(keys, "tool_call_id") & F.array_contains(keys, "content"), F.lit(False))
+    content = F.when(whole, F.get_json_object("text", "$.content")).otherwise(F.col("text"))
+    return tool.select("conv_id", "turn", F.get_json_object("text", "$.tool_call_id").alias("call_id"), content.alias("content"))
 
 
 def reply_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -509,3 +509,11 @@ def test_queries_with_sql_equal_it(spark):
         want = c.execute(sql).df()
         got = queries.queries()[name](spark, SF).toPandas()[list(want.columns)]
         assert sorted(map(str, got.astype(str).to_numpy().tolist())) == sorted(map(str, want.astype(str).to_numpy().tolist()))
+
+
+def test_tool_turns_of_other_forms_keep_their_text(spark):
+    texts = ["plain output", '{"tool_call_id": "a", "content": "cut', '{"tool_call_id": "a", "output": "x"}', '{"content": "y"}', "[1]"]
+    rows = [(1, k, "tool", t) for k, t in enumerate([*texts, '{"tool_call_id": "a", "content": "z"}'])]
+    d = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    got = {r.turn: (r.call_id, r.content) for r in chat.embedded_results(d).collect()}
+    assert [got[k][1] for k in range(6)] == [*texts, "z"] and got[5][0] == "a"
