@@ -269,6 +269,12 @@ def prefixes(rows: DataFrame, known: Frequencies, grams: int, n: int, percent: i
     return rows.mapInArrow(run, "place bigint, blob binary")
 
 
+def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """part, size and pos of packed rows; the largest parts use the sign bit."""
+    rest = SIZE_BITS + POS_BITS
+    return packed >> rest & (1 << 64 - rest) - 1, packed >> POS_BITS & (1 << SIZE_BITS) - 1, packed & (1 << POS_BITS) - 1
+
+
 def shared_rows(blobs: DataFrame, percent: int) -> DataFrame:
     """Rows of groups that several sets share (gram, part, key, size, pos), with the group's pivot.
 
@@ -276,12 +282,10 @@ def shared_rows(blobs: DataFrame, percent: int) -> DataFrame:
     by their hash and a frequent one is dealt over several groups. The pivot has the least of its n-grams ranked before this one. Two rows alone that no link can join are left out; rows
     of an n-gram that is dealt out stay, since they may meet in another part.
     """
-    size_mask, pos_mask = (1 << SIZE_BITS) - 1, (1 << POS_BITS) - 1
-
     def shared(group: np.ndarray, key: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         sizes = np.diff(starts, append=len(group))
-        part, size, pos = packed >> SIZE_BITS + POS_BITS, packed >> POS_BITS & size_mask, packed & pos_mask
+        part, size, pos = unpack(packed)
         keep = np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)
         two = starts[(sizes == 2) & keep & (part[starts] == 0)]
         a, b = size[two], size[two + 1]

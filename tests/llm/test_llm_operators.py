@@ -517,3 +517,11 @@ def test_tool_turns_of_other_forms_keep_their_text(spark):
     d = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
     got = {r.turn: (r.call_id, r.content) for r in chat.embedded_results(d).collect()}
     assert [got[k][1] for k in range(6)] == [*texts, "z"] and got[5][0] == "a"
+
+
+def test_the_largest_parts_unpack():
+    part = np.array([0, 1, (1 << 13) - 1, 1 << 13, (1 << 14) - 1], np.int64)
+    size = (1 << ngram_join.SIZE_BITS) - 1
+    packed = part << ngram_join.SIZE_BITS + ngram_join.POS_BITS | size << ngram_join.POS_BITS | np.arange(5)
+    got = ngram_join.unpack(packed)
+    assert got[0].tolist() == part.tolist() and set(got[1].tolist()) == {size} and got[2].tolist() == [0, 1, 2, 3, 4]
