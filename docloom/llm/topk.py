@@ -1,18 +1,25 @@
 """Exact top-k by inner product with no-random-access aggregation (NRA).
 
-Vectors and queries are dealt into blocks of bounded size; every pair of a vector block and a query block is one
-group, so a task holds one block of either and nothing is broadcast. In a group each dimension is a list sorted by its
-component, made once. For a query the lists are read from their best end in steps. What has been read gives each
-vector a lower bound (unread lists count with their worst value) and an upper bound (unread lists count with the value
-at the reading position). Vectors, seen or unseen, whose upper bound cannot reach the k-th best lower bound are set
-aside; reading stops when few are left or bounds stop helping, and those left get their final scores. Each group's k
-best are ranked together at the end.
+Vectors are dealt into blocks of bounded size. In a block each dimension is a list sorted by its component, made once.
+For a query all lists are read in order, from the end that is best for it, some entries at a time. What has been read
+gives each vector a lower bound (unread lists count with their worst value) and an upper bound (unread lists count with
+the value at the reading position), and gives those not met yet one upper bound in common. A vector whose upper bound
+is under the k-th best lower bound, or under a score that k others are known to reach, cannot qualify and is set aside;
+reading stops when at most `resolve` are left, whose final scores are then resolved.
+
+Queries and blocks meet in two passes by shuffle, so a task holds one block and one part of the queries, and nothing is
+broadcast. The first pass takes each query to its own block, which gives it a floor: the score of its k-th best there.
+The second takes it to every other block that its floor does not rule out: the best values of a block's lists bound all
+scores in it. Blocks follow the dimension in which a vector is largest, so like vectors share one, and a heavy cell is
+split by hash. Each group's k best are ranked together at the end.
 
 Components are turned into floor(scale * x), x as double, so scores are integers and ties are exact.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, neither as query nor as
 candidate; vectors of another length than a query count as no candidate of it; a query with fewer than k candidates
-gets all; ties go to the smaller identifier; repeated identifiers are separate candidates, except for the query's own.
+gets all; ties go to the smaller identifier; repeated identifiers are separate candidates, except for the query's own;
+of queries that share an identifier the least vector is asked; components that floor(scale * x) takes beyond the doubles count as
+the greatest double; a score beyond 64 bits counts as the nearest 64-bit integer; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,102 +28,181 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Parts of each list after which bounds are taken; what is left then is resolved.
-STEPS = (0.25, 0.75)
-#: Rows whose bounds are taken at once, so that they stay in a core's cache.
-CACHED = 1024
+from docloom.llm.common import store
 
+#: Reading positions at which bounds are compared, to each list.
+READS = 16
+#: Blocks whose ends of lists a task compares with a part of the queries.
+GROUP = 4096
+LEAST, MOST = -(2**63), 2**63 - 1
 
-class SortedLists:
-    """A block of vectors with one list for each dimension, sorted by component.
-
-    A list that was read down to a position has shown just the components on the good side of the value there, so the
-    bounds of all vectors come from comparisons with one value for each list.
-    """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.rows = ids, vectors
-        self.exact = vectors.astype(np.float64)  # holds integers exactly up to 2^53
-        self.x = np.ascontiguousarray(vectors.T)
-        self.small = self.x.astype(np.int32) if np.abs(vectors).max(initial=0) < 2**15 else self.x
-        self.lists = np.sort(self.x, axis=1)
-
-    def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(identifiers, scores) of the k best rows but those with the query's own identifier."""
-        m = len(self.ids)
+class SortedLists:
+    """A block of vectors of whole numbers with one list for each dimension: identifiers' places sorted by component."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray):
+        self.ids = ids
+        self.rows = np.nan_to_num(rows.astype(np.float64))
+        places = np.argsort(self.rows, axis=0, kind="stable")
+        self.values = np.ascontiguousarray(np.take_along_axis(self.rows, places, 0).T)
+        self.places = np.ascontiguousarray(places.T)
+        self.cells = self.places * rows.shape[1] + np.arange(rows.shape[1])[:, None]  # of a table of rows by dimensions
+        self.read = 0  # entries of each list that the last query read
+
+    def _resolve(self, some: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
+        """Final scores; whole numbers that doubles may not hold are multiplied as such."""
+        if exact:
+            return (self.rows[some] @ query).astype(np.int64)
+        whole = [int(c) for c in query]
+        sums = (sum(int(x) * c for x, c in zip(row, whole, strict=True)) for row in self.rows[some].tolist())
+        return np.array([min(max(s, LEAST), MOST) for s in sums], np.int64)
+
+    def top(self, query: np.ndarray, own: int, k: int, floor: int = LEAST, resolve: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(identifiers, scores) of the k best rows but those with the query's own identifier.
+
+        Rows under `floor` are left out.
+        """
+        m, n = self.rows.shape
+        query = np.nan_to_num(np.asarray(query, np.float64))
         alive = np.flatnonzero(self.ids != own)
-        up = query >= 0
-        worst = np.where(up, self.lists[:, 0], self.lists[:, -1]) * query
-        best = np.where(up, self.lists[:, -1], self.lists[:, 0]) * query
-        most = int(np.abs(worst).sum() + np.abs(best).sum())
-        kind = np.int32 if most < 2**31 and self.small.dtype == np.int32 and np.abs(query).max(initial=0) < 2**15 else np.int64  # all sums of bounds fit
-        x, weights = (self.small if kind == np.int32 else self.x), query.astype(kind)[:, None]
-        for part in STEPS:
-            if len(alive) <= 4 * k:
-                break
-            read = max(1, int(part * m))
-            edge = (np.where(up, self.lists[:, m - read], self.lists[:, read - 1]) * query).astype(kind)[:, None]
-            high = np.empty(len(alive), kind)
-            for a in range(0, len(alive), CACHED):
-                some = alive[a : a + CACHED]
-                terms = (x[:, some[0] : some[-1] + 1] if some[-1] - some[0] + 1 == len(some) else x[:, some]) * weights
-                # A component that a list has shown is at or over its edge; one it has not shown is under it.
-                high[a : a + CACHED] = np.maximum(terms, edge, out=terms).sum(0, dtype=kind)
-            # The k-th best lower bound, of those with the best upper ones.
-            likely = alive[np.argpartition(high, len(high) - 4 * k)[len(high) - 4 * k :]]
-            terms = x[:, likely] * weights
-            low = np.where(terms >= edge, terms, worst.astype(kind)[:, None]).sum(0, dtype=kind)
-            alive = alive[high >= np.partition(low, len(low) - k)[len(low) - k]]
-        if most < 2**53:
-            scores = (self.exact if len(alive) == m else self.exact[alive]) @ query.astype(np.float64)
-            scores = scores.astype(np.int64)
-        else:
-            scores = self.rows[alive] @ query
+        with np.errstate(over="ignore"):
+            most = float(np.sum(np.abs(query) * np.maximum(np.abs(self.values[:, 0]), np.abs(self.values[:, -1]))))
+        self.read = 0
+        exact = most < 2**53
+        if exact:
+            alive = self._alive(query, alive, k, floor, max(k, resolve))
+        scores = self._resolve(alive, query, exact)
         if len(alive) > 4 * k:  # rank only what can be among the k best, ties included
             near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
             alive, scores = alive[near], scores[near]
+        reached = scores >= floor
+        alive, scores = alive[reached], scores[reached]
         order = np.lexsort((self.ids[alive], -scores))[:k]
         return self.ids[alive][order], scores[order]
 
-
-def usable(vector: str, scale: int) -> F.Column:
-    """floor(scale * x) of every component as bigint, or null for a vector that takes no part."""
+    def _alive(self, query: np.ndarray, alive: np.ndarray, k: int, floor: int, enough: int) -> np.ndarray:
+        """Places of rows that can still qualify when reading stops; all sums are whole and below 2^53."""
+        m, n = self.rows.shape
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        worst = np.zeros(n)
+        worst[up], worst[down] = self.values[up, 0] * query[up], self.values[down, -1] * query[down]
+        low = np.full(m, worst.sum())
+        unseen = np.zeros((m, n))
+        unseen[:, up] = unseen[:, down] = 1.0
+        step = max(1, math.ceil(m / READS))
+        edge = np.zeros(n)
+        while self.read < m and len(alive) > enough:
+            a, z = self.read, min(m, self.read + step)
+            for lists, part, last in ((up, slice(m - z, m - a), m - z), (down, slice(a, z), z - 1)):
+                cells = self.cells[lists, part]
+                gain = self.values[lists, part] * query[lists, None] - worst[lists, None]
+                low += np.bincount(self.places[lists, part].ravel(), gain.ravel(), m)
+                unseen.reshape(-1)[cells.ravel()] = 0.0
+                edge[lists] = self.values[lists, last] * query[lists]
+            self.read = z
+            mine = low[alive]
+            more = edge - worst
+            high = mine + ((unseen @ more)[alive] if 4 * len(alive) > m else unseen[alive] @ more)
+            bar = float(floor) if len(alive) < k else max(float(floor), np.partition(mine, len(mine) - k)[len(mine) - k])
+            alive = alive[high >= bar]
+        return alive
+
+
+def usable(vector: str, scale: int) -> Column:
+    """floor(scale * x) of every component as a double, or null for a vector that takes no part."""
     whole = F.transform(F.col(vector), lambda x: x.cast("double"))
     sound = F.forall(whole, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(sound & (F.size(vector) > 0), F.transform(whole, lambda x: F.floor(x * scale).cast("bigint")))
+    # Doubles of 2^53 and more are whole already; floor() gives 64-bit integers and would cut them.
+    floored = F.transform(whole, lambda x: F.when(F.abs(x * scale) < float(2**53), F.floor(x * scale).cast("double")).otherwise(x * scale))
+    return F.when(sound & (F.size(vector) > 0), floored)
+
+
+def _blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """`rows` with the block of each: by length, the dimension of the largest component and its sign, then hash.
+
+    There are at most twice as many cells as dimensions (for each length), whatever the number of rows.
+    """
+    biggest = F.array_max(F.transform("x", F.abs))
+    cell = F.struct(F.size("x").alias("n"), F.array_position(F.transform("x", F.abs), biggest).alias("d"), (F.element_at("x", F.array_position(F.transform("x", F.abs), biggest).cast("int")) < 0).alias("s"))
+    marked = rows.withColumn("cell", cell)
+    counts = marked.groupBy("cell").agg(F.count("*").alias("rows"))
+    start = F.coalesce(F.sum("rows").over(Window.partitionBy(F.col("cell.n")).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = marked.join(counts.withColumn("start", start), "cell")
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / (1 << 20)
+    block = F.floor((F.col("start") + share * F.col("rows")) / block_rows)
+    return placed.select("id", "x", "q", F.struct(F.col("cell.n").alias("n"), block.alias("b")).alias("block"))
+
+
+def _other_blocks(queries: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
+    """`queries` (id, x, home, floor) with every other block whose lists' best values reach the floor.
+
+    The ends of the lists stand for a block: blocks are dealt into groups of GROUP, and queries into `parts`.
+    """
+    ends = rows.select("block", F.posexplode("x").alias("d", "v")).groupBy("block", "d").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    lists = ends.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("d", "lo", "hi"))).alias("ends"))
+    blocks = lists.select(
+        F.struct(F.col("block.n").alias("n"), F.floor(F.col("block.b") / GROUP).alias("g")).alias("group"),
+        F.col("block.b").alias("b"), F.transform("ends", lambda e: e["lo"]).alias("lo"), F.transform("ends", lambda e: e["hi"]).alias("hi"),
+    )
+    groups = blocks.groupBy("group.n").agg(F.max("group.g").alias("last"))
+    asked = queries.withColumns({"n": F.size("x"), "part": F.pmod(F.xxhash64("id", F.lit(2)), F.lit(parts))}).join(F.broadcast(groups), "n")  # one row for each length of vectors
+    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("g"), "n", "part", "id", "x", "floor", F.col("home.b").alias("home")).withColumn("group", F.struct("n", "g"))
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def reach(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """The (query, block) pairs that may hold a score of the floor or more."""
+        out = [pd.DataFrame({"id": [], "n": [], "b": []}, dtype="int64")]
+        if len(found) and len(asked):
+            lo, hi, b = (np.stack(found[c].to_numpy()) for c in ("lo", "hi", "b"))
+            for own, x, floor, home in zip(asked["id"], asked["x"], asked["floor"], asked["home"], strict=True):
+                with np.errstate(over="ignore", invalid="ignore"):
+                    bound = np.maximum(lo * x, hi * x).sum(1)
+                # Sums of doubles beyond 2^53 are rounded, and beyond the range no number: those blocks stay.
+                near = b[~(bound * (1 + 1e-9) + 1 < floor) & (b != home) if np.abs(bound).max() < 2**53 else b != home]
+                out.append(pd.DataFrame({"id": own, "n": len(x), "b": near}))
+        return pd.concat(out)
+
+    pairs = blocks.groupBy("group", "part").cogroup(asked.groupBy("group", "part")).applyInPandas(reach, "id bigint, n int, b bigint")
+    return pairs.select("id", F.struct("n", "b").alias("block")).join(queries.drop("home"), "id")
+
+
+def _search(pairs: DataFrame, rows: DataFrame, k: int, query_rows: int, resolve: int) -> DataFrame:
+    """query_id, vec_id and score of the k best of each (query, block) of `pairs` (id, x, floor, block)."""
+    parts = pairs.groupBy("block").agg(F.ceil(F.count("*") / query_rows).alias("parts"))
+    asked = pairs.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), "parts"))
+    block = rows.join(parts, "block").select(F.col("block").alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("id").alias("vec_id"), F.col("x").alias("v"))
+
+    def best(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")]
+        if len(found) and len(asked):
+            lists = SortedLists(found["vec_id"].to_numpy(), np.stack(found["v"].to_numpy()))
+            for own, x, floor in zip(asked["id"], asked["x"], asked["floor"], strict=True):
+                ids, scores = lists.top(x, own, k, floor, resolve)
+                out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
+        return pd.concat(out)
+
+    asked = asked.select(*[F.col(c).alias(c) for c in ("block", "part", "id", "x", "floor")])
+    return block.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(best, "query_id bigint, vec_id bigint, score bigint")
 
 
 def exact_top_k(
-    vectors: DataFrame, is_query: F.Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024,
-    block_rows: int = 8192, query_rows: int = 1024,
+    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024,
+    block_rows: int = 8192, query_rows: int = 4096, resolve: int = 512,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best candidates of every query."""
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), usable(vector_col, scale).alias("x"), is_query.alias("q")).where("id is not null and x is not null")
-    total, asked = rows.agg(F.count("*"), F.count(F.when(F.col("q"), 1))).first()
-    blocks, query_blocks = max(1, math.ceil(total / block_rows)), max(1, math.ceil(asked / query_rows))
-    place = F.xxhash64("id")
-    every = F.sequence(F.lit(0), F.lit(query_blocks - 1))
-    candidates = rows.select(F.pmod(place, F.lit(blocks)).cast("int").alias("block"), F.explode(every).alias("part"), "id", "x")
-    queries = rows.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(place, F.lit(query_blocks)).cast("int").alias("part"), "id", "x")
-
-    def best(found: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        lengths = found["x"].map(len)
-        for n, same in found.groupby(lengths, sort=True):
-            lists = SortedLists(same["id"].to_numpy(), np.stack(same["x"].to_numpy()))
-            for own, q in zip(asked["id"], asked["x"], strict=True):
-                if len(q) == n:
-                    ids, scores = lists.top(np.asarray(q, np.int64), own, k)
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    near = candidates.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInPandas(best, "query_id bigint, vec_id bigint, score bigint")
-    # At most k rows of each block for a query; a first cut by groups of blocks keeps the last one small.
-    order = (F.col("score").desc(), F.col("vec_id"))
-    cut = F.row_number().over(Window.partitionBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks // 64)))).orderBy(*order))
-    near = near.withColumn("_n", cut).where(F.col("_n") <= k).drop("_n") if blocks > 64 else near
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    read = vectors.select(F.col(id_col).cast("bigint").alias("id"), usable(vector_col, scale).alias("x"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id is not null and x is not null")
+    rows = store(_blocks(read, block_rows), "vectors").df
+    queries = rows.where("q").groupBy("id").agg(F.min(F.struct("x", "block")).alias("least")).select("id", "least.x", F.col("least.block").alias("home"))
+    near = store(_search(queries.select("id", "x", F.lit(LEAST).alias("floor"), F.col("home").alias("block")), rows, k, query_rows, resolve), "near").df
+    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    floors = near.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    known = store(queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(LEAST))), "asked").df
+    parts = max(1, math.ceil(known.count() / query_rows))
+    far = _search(_other_blocks(known, rows, parts), rows, k, query_rows, resolve)
+    # A block gives at most k rows of a query, and far blocks only those that reach its floor.
+    best = near.union(far).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return best.select("query_id", "rank", "vec_id", "score")

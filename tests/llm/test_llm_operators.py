@@ -444,11 +444,42 @@ def test_top_k_equals_brute_force(spark, block_rows, query_rows):
 
 def test_reading_stops_before_the_lists_end():
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.integers(-50, 50, (4000, 8)), rng.integers(400, 500, (30, 8))]).astype(np.int64)
+    x = np.concatenate([rng.integers(-50, 50, (4000, 8)), rng.integers(400, 500, (30, 8))])
     lists = topk.SortedLists(np.arange(len(x)), x)
-    ids, scores = lists.top(np.ones(8, np.int64), -1, 10)
+    ids, scores = lists.top(np.ones(8), -1, 10)
     best = np.lexsort((np.arange(len(x)), -x.sum(1)))[:10]
     assert ids.tolist() == best.tolist() and scores.tolist() == x.sum(1)[best].tolist()
+    assert 30 <= lists.read <= 2 * len(x) // topk.READS  # the thirty lead every list
+    for floor in (None, int(np.sort(x.sum(1))[-60])):
+        for query in (rng.integers(-3, 4, 8), np.array([0, 0, 1, 0, 0, -1, 0, 0]), np.zeros(8, int)):
+            ids, scores = lists.top(query, 17, 10, topk.LEAST if floor is None else floor, 0)
+            whole = x @ query
+            want = [k for k in np.lexsort((np.arange(len(x)), -whole)) if k != 17 and (floor is None or whole[k] >= floor)][:10]
+            assert ids.tolist() == want and scores.tolist() == whole[want].tolist()
+
+
+def test_blocks_that_cannot_reach_are_not_read(spark):
+    rng = np.random.default_rng(4)
+    near = rng.integers(900, 1000, (50, 6)) * [1, 0, 0, 0, 0, 0] + rng.integers(0, 3, (50, 6))
+    far = rng.integers(900, 1000, (50, 6)) * [0, 1, 0, 0, 0, 0] + rng.integers(0, 3, (50, 6))
+    d = spark.createDataFrame([(k, v.tolist(), k % 100 == 0) for k, v in enumerate(np.concatenate([near, far]).astype(float))], "id bigint, x array<double>, q boolean")
+    rows = topk._blocks(d, 50).cache()
+    assert rows.select("block").distinct().count() == 2
+    asked = rows.where("q").select("id", "x", F.col("block").alias("home"), F.lit(100_000).cast("bigint").alias("floor"))
+    assert topk._other_blocks(asked, rows, 1).count() == 0
+    assert topk._other_blocks(asked.withColumn("floor", F.lit(1_000).cast("bigint")), rows, 1).count() == asked.count() == 1
+
+
+def test_top_k_of_huge_values_repeats_and_one_identifier(spark):
+    def top(rows):
+        d = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+        return [tuple(r) for r in topk.exact_top_k(d, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
+
+    huge = [(100, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [-1e12, 2.0]), (3, [0.0, 5.0]), (4, [1.7e308, 0.0])]
+    assert top(huge) == [(100, 1, 1, topk.MOST), (100, 2, 4, topk.MOST), (100, 3, 3, 5 * 1024 * 1024), (100, 4, 2, topk.LEAST)]
+    one = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (7, [3.0, 0.0]), (7, [2.0, 5.0]), (7, [3.0, 0.0])]
+    assert top(one) == [(100, 1, 7, 5 << 20), (100, 2, 7, 0), (100, 3, 7, 0)]  # the least vector asks, repeats count each
+    assert top([(0, [1.0])] * 3) == [] and top([(None, [1.0]), (0, [1.0])]) == []
 
 
 # --------------------------------------------------------------------- 10
