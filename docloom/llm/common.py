@@ -1,11 +1,13 @@
-"""Shared helpers: tables in the shared folder, bounded Arrow batches, row hashing."""
+"""Shared helpers: tables in the shared folder, small Arrow batches, row hashing."""
 
 from __future__ import annotations
 
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,14 @@ _fallback: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session in one process (as in tests) gets a folder of its own; a cluster is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         key = spark.sparkContext.applicationId
         root = _fallback.setdefault(key, tempfile.mkdtemp(prefix="docloom-"))
     return root.rstrip("/")
@@ -50,10 +57,14 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500, mb: int = 16) -> None:
-    """Keep Arrow batches small in rows and bytes, so that one batch of very long texts fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to few rows, so that what a task makes of one stays small.
+
+    Spark bounds the batches themselves by bytes (spark.sql.execution.arrow.maxBytesPerBatch).
+    """
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def crc32_text(col: Column) -> Column:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches, store
+from docloom.llm.common import sliced, store
 from docloom.llm.words import Splitter, windows
 
 #: Masks of six kept positions; each pair of them ignores different neighbours.
@@ -93,12 +93,11 @@ def overlaps(
 ) -> DataFrame:
     """One row for each text and item that overlap: identifiers, doc_start, item_start, n_words, n_same (word counts)."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     share = Fraction(str(identity))
     around = max(AROUND, 2 * min_words)  # a stretch that qualifies holds one of fewer than twice the words
 
     def read_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             words = [word_hashes(t.as_py()).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int64()))], ["item", "words"])
 
@@ -108,7 +107,7 @@ def overlaps(
     own = tuple(m for r in sorted(short.collect()) for m in own_masks(r.n, share))  # at most LONGEST - 1 lengths
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             item, seed, at = [], [], []
             for i, words in zip(b.column(0), b.column(1), strict=True):
                 h = words.values.to_numpy().view(np.uint64)
@@ -145,7 +144,7 @@ def overlaps(
                     break
             return alive
 
-        for b in batches:
+        for b in sliced(batches):
             ids, starts, words, hit_seed, hit_at = [], [], [], [], []
             for i, text in zip(b.column(0), b.column(1), strict=True):
                 h = word_hashes(text.as_py())
@@ -179,7 +178,7 @@ def overlaps(
     laid = diagonals.join(segments.select("segment", "id", "start", F.col("words").alias("doc_words")), "segment").join(known.df.withColumnRenamed("words", "item_words"), "item")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for i, start, shift, doc, item_id, words in zip(*(b.column(n) for n in ("id", "start", "shift", "doc_words", "item", "item_words")), strict=True):
                 d, w, s = doc.values.to_numpy(), words.values.to_numpy(), shift.as_py()

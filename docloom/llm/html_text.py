@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page becomes a tree. Elements that are never article text (menus, page headers and footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments, hidden elements; told by tag, role, class or id) take no part.
+adverts, forms, scripts, styles, reader comments, hidden elements; told by tag, role, class or id) take no part with
+their text; their tags count for the elements around them.
 A class or id alone does not decide where an element holds an article, main or h1, or more than half of the page's text
 outside links (reader comments excepted, and any where an article or main with text lies outside).
 Every other node has a density: characters per tag, lowered as the share of link characters and link tags grows
@@ -14,7 +15,8 @@ threshold.
 Tokens are cut by regular expressions that never look back, so a page takes time in proportion to its length.
 
 Defined results: null, empty and text-free pages give an empty string and 0; markup cut off anywhere is read as far as
-it goes; repeated rows give repeated rows; other columns are ignored.
+it goes; repeated rows give repeated rows; a null identifier or url stays null; a very long page is one row of one task;
+of equally large sums the outermost node is chosen; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_batches
+from docloom.llm.common import sliced
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -37,7 +39,8 @@ TOKEN = re.compile(r"[a-z]+")
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
+RAW_END = {name: re.compile(f"(?ai)</{name}") for name in RAW}
 BLOCK = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre "
     "figure figcaption address details summary fieldset center hgroup header footer nav aside form dialog menu head search".split()
@@ -49,7 +52,7 @@ SIBLINGS = {
     "option": ({"option"}, {"select"}),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-NOISE_TAGS = frozenset("head nav header footer aside form menu dialog button select search object canvas audio video".split())
+NOISE_TAGS = frozenset("head nav header footer aside form menu dialog button select search".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion promoted banner "
@@ -120,7 +123,6 @@ class Page:
         self.blocks = [(node, t) for node, t in self.blocks if not gone[node]]
 
     def _read(self, html: str) -> None:
-        lower = html.lower()
         stack, noise, links = [0], 0, 0  # open nodes; depth of the outermost noise element or 0; open links
         homes, parts = [0], []  # open blocks, and the text of the one being read
         open_tags: Counter[str] = Counter()
@@ -197,10 +199,10 @@ class Page:
                     if self.tag[stack[depth]] in within:
                         break
             if name in RAW:
-                found = lower.find("</" + name, at)
-                if found < 0 and name in ("svg", "math", "noscript"):
+                found = RAW_END[name].search(html, at)
+                if found is None and name == "noscript":
                     continue
-                at = end if found < 0 else found
+                at = end if found is None else found.start()
                 continue
             if name in VOID or attributes.endswith("/") and name not in BLOCK:
                 if not noise:
@@ -283,10 +285,9 @@ def main_text(html: str | None) -> str:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars of every page."""
-    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             texts = [main_text(h.as_py()) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])
 

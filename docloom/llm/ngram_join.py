@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import Stored, bounded_batches, drop_shuffles, store
+from docloom.llm.common import Stored, drop_shuffles, sliced, store
 from docloom.llm.components import connected_components
 from docloom.llm.words import Splitter, mix, windows
 
@@ -132,7 +132,7 @@ def measure(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        for b in batches:
+        for b in sliced(batches):
             sets = [set_of(t.as_py(), n) for t in b.column(1)]
             held += [(s >> np.uint64(64 - BUCKET_BITS)).astype(np.uint32) for s in sets if len(s)]
             keys = [set_key(s) if len(s) else None for s in sets]
@@ -241,7 +241,7 @@ def prefixes(rows: DataFrame, known: Frequencies, grams: int, n: int, percent: i
         met, known = set(), shared.value
         columns: list[list[np.ndarray]] = [[], [], []]
         held = 0
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column(1):
                 s = set_of(t.as_py(), n)
                 if not len(s) or (key := set_key(s)) in met:
@@ -354,7 +354,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                 total += len(kept[key])
             return kept[key]
 
-        for b in batches:
+        for b in sliced(batches):
             x, y = b.column(0).to_pylist(), b.column(1).to_pylist()
             ok = [links(sets(i, p), sets(j, q), percent) for i, j, p, q in zip(x, y, b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["a", "b"])
@@ -378,7 +378,7 @@ def pack_texts(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for b in batches:
+        for b in sliced(batches):
             s = b.column(2).to_numpy()
             some = b.filter(pa.array((table[s >> 5] >> (s & 31).astype(np.uint32)) & 1 > 0))
             texts = [(t.as_py() or "").encode("utf-8") for t in some.column(1)]
@@ -415,7 +415,6 @@ def ngram_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, group_rows: int = 20_000
 ) -> DataFrame:
     """id, n_shingles and component_id (the least id reachable by links) of every row of `docs`."""
-    bounded_batches(docs.sparkSession)
     rows = _read(docs, id_col, text_col)
     spark = docs.sparkSession
 

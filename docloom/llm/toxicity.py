@@ -6,11 +6,15 @@ language glues suffixes on), hashed into a fixed number of slots. The machine's
     b + sum_i w_i + sum_{i<j} <v_i, v_j>
 
 so a pair of terms, such as an insult and a group, can weigh more than its parts. It is trained by AdaGrad on a
-bounded sample of labelled rows (`max_train`, those with the least hash of the identifier), of which terms that fewer
-than `min_docs` sampled texts hold are left out; scoring covers every whole text and needs no shuffle.
+bounded sample of labelled rows: those with the least hash of the identifier, `max_train` at most and only as many as
+hold `max_slots` terms together. Terms that fewer than `min_docs` sampled texts hold are left out, frequent ones are not.
+Linear weights have an L1 penalty; the factors of a term without a linear weight have one on their length (a group
+lasso), so such a term takes part in pairs where these tell enough: it may be as frequent in clean texts as in toxic
+ones. Scoring covers every whole text and needs no shuffle.
 
 Defined results: null and empty texts have no terms and get the machine's bias; a row whose label is null is not
-trained on; repeated rows are scored each by itself; without a labelled row of either class every score is 0.
+trained on; of labels that contradict each other for one identifier the 1 counts; repeated rows are scored each by
+itself; without a labelled row of either class every score is 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from docloom.llm.common import bounded_batches
+from docloom.llm.common import sliced, store
 
 WORD = re.compile(r"[^\W_]+")
 SLOTS = 1 << 18
@@ -77,13 +82,13 @@ class Machine:
 
 def train(
     rows: list[np.ndarray], labels: np.ndarray, slots: int = SLOTS, factors: int = 4, epochs: int = 8, rate: float = 0.3,
-    l1: float = 6.0, l2: float = 1e-3, min_docs: int = 3, batch: int = 64, seed: int = 7,
+    l1: float = 6.0, l1_pairs: float = 6.0, min_docs: int = 3, batch: int = 64, seed: int = 7,
 ) -> Machine:
     """Fit the machine to rows of slots and 0/1 labels."""
     if not len(labels) or labels.min() == labels.max():
         return Machine(-30.0, np.zeros(slots, np.float32), np.zeros((slots, factors), np.float32))
     seen = np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=slots)
-    use = (seen >= min_docs) & (seen <= 0.5 * len(rows))
+    use = seen >= min_docs
     local = np.cumsum(use) - 1
     rows = [local[r[use[r]]] for r in rows]
     n = int(use.sum())
@@ -101,7 +106,7 @@ def train(
             sizes = np.array([len(rows[k]) for k in some])
             index = np.concatenate([rows[k] for k in some])
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            vi = v[index] * (w[index] != 0)[:, None]
+            vi = v[index]
             total = np.add.reduceat(vi, starts)
             z = bias + np.add.reduceat(w[index], starts) + 0.5 * (total**2 - np.add.reduceat(vi * vi, starts)).sum(1)
             slope = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[some]
@@ -115,10 +120,13 @@ def train(
             gw[here] = more
             w[here] = np.where(np.abs(zw[here]) <= l1, 0.0, -(zw[here] - np.sign(zw[here]) * l1) / ((1 + np.sqrt(more)) / rate))
             pull = each[:, None] * (np.repeat(total, sizes, 0) - vi)
-            dv = np.stack([np.bincount(inverse, pull[:, f], len(here)) for f in range(factors)], 1) + l2 * batch * v[here]
+            dv = np.stack([np.bincount(inverse, pull[:, f], len(here)) for f in range(factors)], 1)
             gv[here] += dv**2
-            v[here] -= 0.2 * rate * dv / np.sqrt(gv[here])
-    v[w == 0] = 0
+            step = 0.2 * rate / np.sqrt(gv[here])
+            moved = v[here] - step * dv
+            length = np.maximum(np.sqrt((moved**2).sum(1)), 1e-12)
+            less = np.where(w[here] != 0, 0.0, l1_pairs) * step.mean(1) / length
+            v[here] = moved * np.maximum(0.0, 1 - less)[:, None]
     full_w, full_v = np.zeros(slots, np.float32), np.zeros((slots, factors), np.float32)
     full_w[use], full_v[use] = w, v
     return Machine(bias, full_w, full_v)
@@ -129,23 +137,30 @@ def hold_out(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> Machine:
-    """Train on at most `max_train` labelled rows outside the held-out part; their slots, not texts, reach the driver."""
-    bounded_batches(docs.sparkSession)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int, max_slots: int = 1 << 25) -> Machine:
+    """Train on at most `max_train` labelled rows outside the held-out part; their slots, not texts, reach the driver.
+
+    `max_slots` bounds what reaches it (four bytes a slot), however long the texts are.
+    """
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(
         F.col("_y").isin(0, 1) & ~hold_out("_id")
     )
-    chosen = marked.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
+    chosen = marked.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = texts.join(F.broadcast(chosen), "_id").select("_y", "_text")  # max_train rows at most
+    found = texts.join(F.broadcast(chosen), "_id").select("_y", "_text", F.xxhash64("_id").alias("_h"))  # max_train rows at most
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
-        for b in batches:
+        for b in sliced(batches):
             slots = pa.array([np.sort(terms(t.as_py())).astype(np.int32) for t in b.column(1)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), slots], ["y", "slots"])
-
-    got = found.mapInArrow(hashed, "y int, slots array<int>").toArrow()
+            yield pa.RecordBatch.from_arrays([b.column(0), slots, b.column(2)], ["y", "slots", "h"])
+
+    terms = store(found.mapInArrow(hashed, "y int, slots array<int>, h bigint"), "terms")
+    so_far = F.sum(F.size("slots").cast("bigint") + 1).over(Window.orderBy("h", "y", "n", "d").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = terms.df.select("h", "y", F.size("slots").alias("n"), F.xxhash64("slots").alias("d"), "slots")
+    last = sizes.select("h", so_far.alias("held")).where(F.col("held") > max_slots).agg(F.min("h")).first()[0]  # max_train rows of numbers
+    got = (terms.df if last is None else terms.df.where(F.col("h") < last)).select("y", "slots").toArrow()
+    terms.drop()
     # Rows come in no fixed order: sort them, so that the same rows give the same machine.
     y = got.column("y").to_numpy()
     rows = [s.values.to_numpy().astype(np.int64) for s in got.column("slots")]
@@ -155,9 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 def with_score(docs: DataFrame, machine: Machine, text_col: str, out_col: str) -> DataFrame:
     """`docs` with the score of each whole text in `out_col`; all other columns stay."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    model = spark.sparkContext.broadcast(machine)
+    model = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

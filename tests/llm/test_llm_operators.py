@@ -1,7 +1,9 @@
 """Operators of the training-data pipeline against brute force, exact round trips and held-out accuracy."""
 
 import hashlib
+import html.parser
 import itertools
+import math
 import random
 import re
 from collections import defaultdict
@@ -74,6 +76,95 @@ def test_html_names_alone_do_not_empty_a_page():
     assert "Nice" not in html_text.main_text(f'<body><article><h1>T</h1>{text}</article><div class="widget">{many}</div></body>')
 
 
+def test_html_offsets_and_inline_words():
+    odd = "\u0130" * 40  # longer in lower case
+    assert html_text.main_text(f"<p>{odd}</p><SCRIPT>var x = '<p>1</p>'</Script ><p>hello world second paragraph stays.</p>") == f"{odd}\n\nhello world second paragraph stays."
+    got = html_text.main_text("<article><p>Let <math><mi>x</mi></math> be <svg><title>Icon</title><text>it</text></svg>. <object>Here</object> <button>Send</button></p></article>")
+    assert got == "Let x be it. Here"
+
+
+class Dom(html.parser.HTMLParser):
+    """A page as nested [tag, attributes, children], built by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.root = ["#page", {}, []]
+        self.open = [self.root]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "div", "article", "ul", "h1", "nav", "footer") and any(n[0] == "p" for n in self.open):
+            self.handle_endtag("p")
+        if tag == "li" and any(n[0] == "li" for n in self.open):
+            self.handle_endtag("li")
+        node = [tag, dict(attrs), []]
+        self.open[-1][2].append(node)
+        if tag not in ("br", "meta", "img"):
+            self.open.append(node)
+
+    def handle_endtag(self, tag):
+        if any(n[0] == tag for n in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        self.open[-1][2].append(data)
+
+
+def counts(node, dead=False, link=False):
+    """(characters, link characters, tags, link tags) below a node."""
+    total = [0, 0, 0, 0]
+    for child in node[2]:
+        if isinstance(child, str):
+            got = (len(re.sub(r"[ \n]", "", child)), 0, 0, 0) if not dead else (0, 0, 0, 0)
+            got = (got[0], got[0] if link else 0, 0, 0)
+        elif child[0] in ("script", "style", "title"):
+            continue
+        else:
+            noise = dead or child[0] in ("head", "nav", "footer") or child[1].get("class") == "ad"
+            if child[0] in ("br", "meta", "img"):
+                got = (0, 0, 0 if noise else 1, 0)
+            else:
+                c, lc, t, lt = counts(child, noise, link or child[0] == "a")
+                got = (c, lc, t + 1, lt + (child[0] == "a"))
+        total = [a + b for a, b in zip(total, got, strict=True)]
+    return total
+
+
+def every_node(node, dead=False, link=False):
+    yield node, dead, link
+    for child in node[2]:
+        if not isinstance(child, str) and child[0] not in ("script", "style", "title", "br", "meta", "img"):
+            yield from every_node(child, dead or child[0] in ("head", "nav", "footer") or child[1].get("class") == "ad", link or child[0] == "a")
+
+
+def test_densities_equal_the_formula_on_another_dom():
+    """Composite text density as published, node by node, on pages whose tree the standard library builds."""
+    import duckdb
+
+    pages = [r[0] for r in duckdb.sql(f"select html from '{SF}/pages.parquet' where html is not null").fetchall()]
+    for page in [*pages, PAGE.replace("<form>", "").replace("</form>", "").replace("<aside>Side</aside>", "").replace('<div class="comments"><p>Nice!</p></div>', "")]:
+        dom = Dom(page)
+        nodes = list(every_node(dom.root))
+        body = next(n for n in nodes if n[0][0] == "body") if any(n[0][0] == "body" for n in nodes) else nodes[0]
+        c_body, lc_body, _, _ = counts(*body)
+        want = []
+        for node in nodes:
+            c, lc, t, lt = counts(*node)
+            t, lt, plain = max(1, t), max(1, lt), max(1, c - lc)
+            base = math.log(c / plain * lc + lc_body / max(1, c_body) * c + math.e)
+            if c == 0:
+                want.append((node[0][0], 0.0))
+            elif base > 1 + 1e-9:
+                want.append((node[0][0], c / t * max(0.0, math.log(c / max(1, lc) * t / lt, base))))
+            else:
+                want.append((node[0][0], c / t * math.log(c / max(1, lc) * t / lt + math.e - 1)))
+        read = html_text.Page(page)
+        got = list(zip(read.tag, html_text.densities(read), strict=True))
+        assert [t for t, _ in got] == [t for t, _ in want] and np.allclose([d for _, d in got], [d for _, d in want])
+
+
 @given(st.text("<>/ab =\"'&;!-", max_size=60))
 @settings(max_examples=300, deadline=None)
 def test_html_reads_any_markup(markup):
@@ -109,6 +200,51 @@ def test_machine_learns_pairs_and_holds_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def machine_accuracy(texts, labels):
+    """Accuracy on the last fifth of a machine trained on the rest."""
+    terms, n = toxicity.Terms(), 4 * len(texts) // 5
+    rows, y = [terms(t) for t in texts], np.array(labels, float)
+    return ((toxicity.train(rows[:n], y[:n]).score(rows[n:]) >= 0.5) == y[n:]).mean()
+
+
+def test_machine_learns_pairs_of_frequent_and_of_neutral_terms():
+    rng = random.Random(11)
+    texts, labels = [], []
+    for _ in range(1500):  # each term is in 60 % of the texts
+        insult, group = rng.random() < 0.6, rng.random() < 0.6
+        texts.append(" ".join([*words(rng, 20), *["insult"] * insult, *["group"] * group]))
+        labels.append(insult and group)
+    assert machine_accuracy(texts, labels) > 0.97
+    texts, labels = [], []
+    for _ in range(1500):  # "insult" and "group" are as frequent in toxic texts as in clean ones
+        toxic = rng.random() < 0.5
+        texts.append(" ".join([*words(rng, 20), *rng.choice((["insult", "group"], ["slur"]) if toxic else (["insult"], ["group"]))]))
+        labels.append(toxic)
+    assert machine_accuracy(texts, labels) > 0.95
+
+
+def test_machine_scores_by_its_formula():
+    rng = np.random.default_rng(2)
+    machine = toxicity.Machine(0.3, rng.normal(0, 0.5, 50).astype(np.float32), rng.normal(0, 0.3, (50, 4)).astype(np.float32))
+    rows = [rng.choice(50, n, replace=False) for n in (0, 1, 2, 7, 20, 0)]
+    for row, got in zip(rows, machine.score(rows), strict=True):
+        z = machine.bias + sum(float(machine.w[i]) for i in row)
+        z += sum(float(machine.v[i].astype(float) @ machine.v[j].astype(float)) for i, j in itertools.combinations(row, 2))
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_contradicting_labels_and_the_bound_on_slots(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(k, " ".join([*words(rng, 15), *["bad"] * (k % 2)])) for k in range(400)], "doc_id bigint, text string")
+    sure = [(k, k % 2) for k in range(400)]
+
+    def scores(rows, **how):
+        machine = toxicity.fit(docs, spark.createDataFrame(rows, "doc_id bigint, toxic int"), "doc_id", "text", "toxic", 1000, **how)
+        return machine.score([toxicity.Terms()(t) for t in ("bad w1", "w1 w2")]).round(6).tolist()
+    assert scores(sure) == scores([(k, 0) for k in range(400)] + sure) == scores(sure[::-1] * 2)
+    assert scores(sure)[0] > 0.8 and scores(sure, max_slots=3000) != scores(sure) and scores(sure, max_slots=0)[0] < 1e-6
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, None), (2, 1), (3, 0)], "doc_id bigint, toxic int")
     d = odd_documents(spark)
