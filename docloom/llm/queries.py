@@ -53,10 +53,34 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def reply_traffic(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, results and messages out of turns that hold no tool calls themselves, by fixed rules.
+
+    Each user turn is a call and the assistant turn right after it its result; all other turns are messages. The length
+    n of a user turn's text decides what its call is like. It waits for the call two turns later where n is divisible
+    by 3 and for the one two turns before where it is by 4, so there are chains and cycles. Its tool is unknown where n
+    is divisible by 7; its arguments have a turn of a wrong type, an unknown field or no turn where n mod 5 is 1, 2, 3.
+    """
+    name = lambda turn: F.concat(F.lit("c"), F.when(F.col("no_conv"), "-").otherwise(F.col("conv_id").cast("string")), F.lit("-"), turn.cast("string"))
+    n, text, turn = F.length("text"), F.col("text"), F.col("turn")
+    arguments = (
+        F.when(n % 5 == 1, F.to_json(F.struct(text, turn.cast("string").alias("turn"))))
+        .when(n % 5 == 2, F.to_json(F.struct(F.lit("x").alias("hint"), text, turn)))
+        .when(n % 5 == 3, F.to_json(F.struct(text)))
+        .otherwise(F.to_json(F.struct(text, turn)))
+    )
+    calls = rows.where("role = 'user'").select(
+        *chat.CONV, "turn", F.lit(0).alias("seq"), name(turn).alias("call_id"), F.when(n % 7 == 0, "find").otherwise("reply").alias("name"), arguments.alias("arguments"),
+        F.array_compact(F.array(F.when(n % 3 == 0, name(turn + 2)), F.when(n % 4 == 0, name(turn - 2)))).alias("after"),
+    )
+    results = rows.where("role = 'assistant'").select(*chat.CONV, "turn", name(turn - 1).alias("call_id"), F.col("text").alias("content"))
+    return calls, results, rows.where("role is null or role not in ('user', 'assistant')")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns and the assistant turns that answer them as calls and results, with any tool calls the texts hold."""
+    """Records of all conversations, with calls and results that `reply_traffic` takes from their turns."""
     schemas = chat.schema_table(spark, {"reply": {"text": ("string", True), "turn": ("integer", True)}})
-    return chat.format_chats(table(spark, sf_dir, "conversations"), schemas)
+    return chat.format_records(*reply_traffic(chat.read_turns(table(spark, sf_dir, "conversations"))), schemas)
 
 
 OP9_SQL = """
@@ -74,27 +98,45 @@ FROM s QUALIFY rank <= 10
 
 
 OP10_SQL = """
-WITH k AS (
-  SELECT conv_id, turn, role, text,
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, role, text, length(text) AS n,
     CASE WHEN role = 'user' THEN 'c' || conv_id || '-' || turn WHEN role = 'assistant' THEN 'c' || conv_id || '-' || (turn - 1) END AS call_id
   FROM conversations
+), u AS (
+  SELECT DISTINCT conv_id, turn, call_id FROM k WHERE role = 'user'
+), e AS (
+  SELECT DISTINCT a.conv_id, a.call_id, b.call_id AS other, b.turn FROM k a JOIN u b ON a.role = 'user' AND b.conv_id = a.conv_id
+    AND (a.n % 3 = 0 AND b.turn = a.turn + 2 OR a.n % 4 = 0 AND b.turn = a.turn - 2)
+), nodes AS (
+  SELECT conv_id, count(*) AS most FROM u GROUP BY conv_id
+), p AS (
+  SELECT conv_id, call_id, other, turn, 1 AS steps FROM e
+  UNION
+  SELECT p.conv_id, p.call_id, e.other, e.turn, p.steps + 1 FROM p JOIN e ON e.conv_id = p.conv_id AND e.call_id = p.other JOIN nodes m ON m.conv_id = p.conv_id
+  WHERE p.steps <= m.most
+), w AS (
+  SELECT p.conv_id, p.call_id, max(p.steps) > max(m.most) AS cyclic, max(p.turn * 1000000 + p.steps) AS place FROM p JOIN nodes m USING (conv_id) GROUP BY p.conv_id, p.call_id
 ), r AS (
-  SELECT *, EXISTS (SELECT 1 FROM k x WHERE x.role = 'assistant' AND k.role = 'user' AND x.call_id = k.call_id) AS answered,
+  SELECT k.*, coalesce(w.cyclic, false) AS cyclic, CASE WHEN role = 'user' AND NOT w.cyclic THEN greatest(w.place, k.turn * 1000000) ELSE k.turn * 1000000 END AS place,
+    EXISTS (SELECT 1 FROM k x WHERE x.role = 'assistant' AND k.role = 'user' AND x.call_id = k.call_id) AS answered,
     EXISTS (SELECT 1 FROM k x WHERE x.role = 'user' AND k.role = 'assistant' AND x.call_id = k.call_id) AS asked,
-    row_number() OVER (PARTITION BY call_id, role ORDER BY turn, text) AS nth
-  FROM k
+    row_number() OVER (PARTITION BY k.call_id, k.role ORDER BY k.turn, k.text) AS nth
+  FROM k LEFT JOIN w ON k.role = 'user' AND w.conv_id = k.conv_id AND w.call_id = k.call_id
 ), j AS (
-  SELECT conv_id, turn, call_id, false AS cyclic,
-    CASE WHEN role = 'user' AND text IS NULL THEN 'missing:text' ELSE '' END AS errors,
+  SELECT conv_id, turn, call_id, cyclic, place,
+    CASE WHEN role <> 'user' THEN '' WHEN n % 7 = 0 THEN 'tool' WHEN text IS NULL THEN 'missing:text'
+      WHEN n % 5 = 1 THEN 'type:turn' WHEN n % 5 = 2 THEN 'unknown:hint' WHEN n % 5 = 3 THEN 'missing:turn' ELSE '' END AS errors,
     CASE role WHEN 'user' THEN CASE WHEN answered THEN 'call' ELSE 'open_call' END
       WHEN 'assistant' THEN CASE WHEN NOT asked THEN 'orphan_result' WHEN nth = 1 THEN 'result' ELSE 'extra_result' END ELSE 'message' END AS record,
-    CASE role WHEN 'user' THEN '{"arguments":{"text":' || to_json(text) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply","type":"call"}'
-      WHEN 'assistant' THEN '{"call_id":"' || call_id || '","content":' || to_json(text) || ',"type":"result"}'
-      ELSE '{"content":' || to_json(text) || ',"role":"' || role || '","type":"message"}' END AS json,
-    CASE WHEN role IN ('user', 'assistant') THEN 0 ELSE -1 END AS seq
+    CASE role WHEN 'user' THEN '{"arguments":{' || CASE WHEN n % 5 = 2 THEN '"hint":"x",' ELSE '' END || CASE WHEN text IS NULL THEN '' ELSE '"text":' || to_json(text) END
+        || CASE WHEN n % 5 = 3 THEN '' WHEN text IS NULL THEN '"turn":' || turn WHEN n % 5 = 1 THEN ',"turn":"' || turn || '"' ELSE ',"turn":' || turn END
+        || '},"id":"' || call_id || '","name":"' || CASE WHEN n % 7 = 0 THEN 'find' ELSE 'reply' END || '","type":"call"}'
+      WHEN 'assistant' THEN '{"call_id":"' || call_id || '","content":' || coalesce(to_json(text), 'null') || ',"type":"result"}'
+      ELSE '{"content":' || coalesce(to_json(text), 'null') || ',"role":"' || role || '","type":"message"}' END AS json,
+    CASE WHEN role IN ('user', 'assistant') THEN 0 ELSE -1 END AS seq, CASE WHEN role IN ('user', 'assistant') THEN call_id END AS id
   FROM r
 )
-SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, seq, record, json) - 1 AS position, turn, record, call_id, cyclic, errors, json
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place, turn, seq, record, json) - 1 AS position, turn, record, id AS call_id, cyclic, errors, json
 FROM j
 """
 

@@ -3,6 +3,7 @@
 import hashlib
 import html.parser
 import itertools
+import json
 import math
 import random
 import re
@@ -17,6 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, chat, decontaminate, html_text, ngram_join, pii, secrets, sharding, topk, toxicity
+from docloom.llm.common import store
 from docloom.llm.components import connected_components
 from docloom.llm.words import PIECE, Splitter
 
@@ -646,6 +648,70 @@ def test_calls_are_linked_checked_and_ordered(spark):
     assert chat.format_chats(d.where("false"), schemas).count() == 0
 
 
+def places_by_hand(turns, waits):
+    """(turn, steps) and whether on or behind a cycle, for each call, by going through all paths."""
+    n = len(turns)
+    out = {}
+    for c in turns:
+        layer, best, steps = {c}, (turns[c], 0), 0
+        while layer and steps <= n:
+            steps += 1
+            layer = {u for x in layer for u in waits.get(x, ()) if u in turns}
+            best = max([best, *((turns[u], steps) for u in layer)])
+        out[c] = ((turns[c], 0), True) if layer else (best, False)
+    return out
+
+
+def test_places_equal_all_paths(spark):
+    rng = random.Random(21)
+    rows, want = [], {}
+    for conv in range(40):
+        n = rng.choice((1, 3, 8, 20))
+        turns = {f"k{k}": rng.randrange(30) for k in range(n)}
+        kind = conv % 4
+        if kind == 0:  # a chain in which each waits for the next
+            waits = {f"k{k}": [f"k{k + 1}"] for k in range(n)}
+        elif kind == 1:  # one ring, and calls behind it
+            waits = {f"k{k}": [f"k{(k + 1) % max(1, n // 2)}"] for k in range(n)}
+        elif kind == 2:  # several waits forwards, no cycle
+            waits = {f"k{k}": [f"k{rng.randrange(k + 1, n + 1)}" for _ in range(3)] for k in range(n)}
+        else:
+            waits = {f"k{k}": [f"k{rng.randrange(n)}" for _ in range(rng.choice((0, 0, 1, 2)))] for k in range(n)}
+        want |= {(conv, c): v for c, v in places_by_hand(turns, waits).items()}
+        rows += [(None if conv == 3 else conv, turns[c], f"<tool_call>{json.dumps({'id': c, 'name': 'x', 'arguments': {}, 'after': waits[c]})}</tool_call>") for c in turns]
+    d = spark.createDataFrame([(c, t, "assistant", text) for c, t, text in rows], "conv_id bigint, turn bigint, role string, text string")
+    placed = chat._places(chat.embedded_calls(chat.read_turns(d))).collect()
+    assert {(3 if r.no_conv else r.conv_id, r.call_id): (tuple(r.place), r.cyclic) for r in placed} == want
+
+
+def test_rounds_grow_with_the_logarithm_of_a_chain(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(chat, "store", lambda df, name: made.append(name) or store(df, name))
+    calls = [(1, k, "assistant", f'<tool_call>{{"id":"k{k}","name":"x","arguments":{{}},"after":["k{k + 1 if k < 299 else 299}"]}}</tool_call>') for k in range(300)]
+    for rows, cyclic in ((calls[:299], 0), (calls, 300)):
+        made.clear()
+        d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+        got = chat._places(chat.embedded_calls(chat.read_turns(d))).collect()
+        assert sum(r.cyclic for r in got) == cyclic and made.count("seen") <= 11
+        assert cyclic or {(r.turn, tuple(r.place)) for r in got} == {(k, (298, 298 - k)) for k in range(299)}
+
+
+def test_chat_edges(spark):
+    def turn(conv, turn, role, text):
+        return (conv, turn, role, text, "clash", 1)
+
+    ask = '<tool_call>{"id":"a","name":"find","arguments":{"q":"x"}}</tool_call>'
+    long = json.dumps({"tool_call_id": "a", "content": "y" * 3_000_000})
+    rows = [turn(c, t, r, x) for c in (None, 5) for t, r, x in ((1, "assistant", ask), (1, "assistant", ask), (2, "tool", long), (2, "tool", long), (None, "user", "no turn"), (3, None, None))]
+    d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, position string, no_conv int")
+    schemas = chat.schema_table(spark, {"find": {"q": ("string", True)}})
+    got = chat.format_chats(d, schemas).collect()
+    for conv in (None, 5):
+        mine = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)
+        assert [r.record for r in mine] == ["message", "message", "message", "call", "call", *sorted(["extra_result", "result"]), "message"]
+        assert [r.position for r in mine] == list(range(8)) and mine[0].turn is None and max(len(r.json) for r in mine) > 3_000_000
+
+
 # --------------------------------------------------------------- pipeline
 
 
@@ -682,7 +748,7 @@ def test_tool_turns_of_other_forms_keep_their_text(spark):
     texts = ["plain output", '{"tool_call_id": "a", "content": "cut', '{"tool_call_id": "a", "output": "x"}', '{"content": "y"}', "[1]"]
     rows = [(1, k, "tool", t) for k, t in enumerate([*texts, '{"tool_call_id": "a", "content": "z"}'])]
     d = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
-    got = {r.turn: (r.call_id, r.content) for r in chat.embedded_results(d).collect()}
+    got = {r.turn: (r.call_id, r.content) for r in chat.embedded_results(chat.read_turns(d)).collect()}
     assert [got[k][1] for k in range(6)] == [*texts, "z"] and got[5][0] == "a"
 
 
