@@ -27,6 +27,7 @@ Node keys are 64-bit digests of sets: two different sets share one with odds of
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -185,9 +186,9 @@ def frequencies(measured: DataFrame, grams: int) -> Frequencies:
     return Frequencies(bits, out.reshape(-1))
 
 
-#: A prefix row's part, size and position share one integer: 14, 26 and 24 bits.
-SIZE_BITS, POS_BITS = 26, 24
-#: Times a part, what turns a frequent n-gram into the group key of that part; parts stay far from overflow.
+#: A prefix row's size and position share one integer; no text that Spark holds has 2^31 n-grams.
+POS_BITS = 32
+#: Times a part, what turns a frequent n-gram into the group key of that part.
 PART_STEP = 0x2545F4914F6D
 
 
@@ -201,28 +202,29 @@ def _unplaned(data: bytes, at: int, m: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, m * width, at).reshape(width, m).T).view(kind).reshape(m)
 
 
-def pack_rows(group: np.ndarray, key: np.ndarray, packed: np.ndarray) -> bytes:
+def pack_rows(group: np.ndarray, key: np.ndarray, part: np.ndarray, where: np.ndarray) -> bytes:
     """Prefix rows in order of group, as differences of groups and places among the distinct keys."""
     order = np.argsort(group)
     keys, place = np.unique(key[order], return_inverse=True)
     steps = np.diff(group[order], prepend=np.uint64(0))
-    parts = (_planes(steps), _planes(place.astype(np.uint32)), _planes(packed[order]), keys.tobytes())
-    return np.array([len(group)], np.uint32).tobytes() + zlib.compress(b"".join(parts), 1)
+    columns = (_planes(steps), _planes(place.astype(np.uint32)), _planes(where[order]), _planes(part[order].astype(np.uint32)), keys.tobytes())
+    return np.array([len(group)], np.uint32).tobytes() + zlib.compress(b"".join(columns), 1)
 
 
-def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack_rows(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """group, key, part, and size and position of the rows."""
     m = int(np.frombuffer(blob, np.uint32, 1)[0])
     data = zlib.decompress(blob[4:])
     group = np.cumsum(_unplaned(data, 0, m, np.uint64), dtype=np.uint64)
-    place, packed = _unplaned(data, 8 * m, m, np.uint32), _unplaned(data, 12 * m, m, np.int64)
-    return group, np.frombuffer(data, np.int64, -1, 20 * m)[place], packed
+    place, where, part = _unplaned(data, 8 * m, m, np.uint32), _unplaned(data, 12 * m, m, np.int64), _unplaned(data, 20 * m, m, np.uint32)
+    return group, np.frombuffer(data, np.int64, -1, 24 * m)[place], part.astype(np.int64), where
 
 
 def prefixes(rows: DataFrame, known: Frequencies, grams: int, n: int, percent: int, group_rows: int) -> DataFrame:
     """Prefix rows of all sets by range of group, many to a blob: there are a quarter as many as the corpus has n-grams.
 
-    A row has a group (the n-gram, or one of the parts that a frequent one is dealt over), a key, and part, size and
-    position in one integer.
+    A row has a group (the n-gram, or one of the parts that a frequent one is dealt over), a key, a part, and size and
+    position.
     """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(known)
@@ -230,62 +232,57 @@ def prefixes(rows: DataFrame, known: Frequencies, grams: int, n: int, percent: i
     shift = np.uint64(64 - max(1, (ranges - 1).bit_length()))
 
     def flush(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
-        group, key, packed = (np.concatenate(x) for x in columns)
+        group, key, part, where = (np.concatenate(x) for x in columns)
         place = (group >> shift).astype(np.int64)
         order = np.argsort(place, kind="stable")
         edges = np.flatnonzero(np.diff(place[order], prepend=-1))
         cuts = [order[a:z] for a, z in zip(edges, [*edges[1:], len(order)], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(place[order[edges]]), pa.array([pack_rows(group[c], key[c], packed[c]) for c in cuts], pa.binary())], ["place", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(place[order[edges]]), pa.array([pack_rows(group[c], key[c], part[c], where[c]) for c in cuts], pa.binary())], ["place", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met, known = set(), shared.value
-        columns: list[list[np.ndarray]] = [[], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], []]
         held = 0
         for b in sliced(batches):
             for t in b.column(1):
                 s = set_of(t.as_py(), n)
                 if not len(s) or (key := set_key(s)) in met:
                     continue
-                if len(s) >> SIZE_BITS:
-                    raise ValueError("a text has 2^26 or more distinct n-grams")
                 if len(met) > 1_000_000:
                     met.clear()
                 met.add(key)
                 length = len(s) - -(-percent * len(s) // 100) + 1
                 level = known.level(s)
                 first = np.argsort(level, kind="stable")[:length]  # s is sorted, so ties go by hash
-                parts = np.minimum((1 << 14) - 1, np.maximum(1, 4 * LEVELS[level[first]] // group_rows)).astype(np.int64)
+                parts = np.maximum(1, 4 * LEVELS[level[first]] // np.uint64(group_rows)).astype(np.int64)
                 part = np.where(parts > 1, 1 + (key & 0x7FFFFFFF) % parts, 0)
                 columns[0].append(s[first] ^ (part * PART_STEP).view(np.uint64))
                 columns[1].append(np.full(length, key))
-                columns[2].append(part << SIZE_BITS + POS_BITS | len(s) << POS_BITS | np.arange(length))
+                columns[2].append(part)
+                columns[3].append(len(s) << POS_BITS | np.arange(length))
                 held += length
                 if held > PLACE_ROWS:
                     yield flush(columns)
-                    columns, held = [[], [], []], 0
+                    columns, held = [[], [], [], []], 0
         if held:
             yield flush(columns)
 
     return rows.mapInArrow(run, "place bigint, blob binary")
 
 
-def unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """part, size and pos of packed rows; the largest parts use the sign bit."""
-    rest = SIZE_BITS + POS_BITS
-    return packed >> rest & (1 << 64 - rest) - 1, packed >> POS_BITS & (1 << SIZE_BITS) - 1, packed & (1 << POS_BITS) - 1
-
-
 def shared_rows(blobs: DataFrame, percent: int) -> DataFrame:
     """Rows of groups that several sets share (gram, part, key, size, pos), with the group's pivot.
 
     Blobs meet by range of group, and a task holds one range at a time: PLACE_ROWS rows or so, since n-grams are spread
-    by their hash and a frequent one is dealt over several groups. The pivot has the least of its n-grams ranked before this one. Two rows alone that no link can join are left out; rows
-    of an n-gram that is dealt out stay, since they may meet in another part.
+    by their hash and a frequent one is dealt over several groups. The pivot has the least of its n-grams ranked before
+    this one. Two rows alone that no link can join are left out; rows of an n-gram that is dealt out stay, since they may
+    meet in another part.
     """
-    def shared(group: np.ndarray, key: np.ndarray, packed: np.ndarray) -> pa.RecordBatch:
+
+    def shared(group: np.ndarray, key: np.ndarray, part: np.ndarray, where: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         sizes = np.diff(starts, append=len(group))
-        part, size, pos = unpack(packed)
+        size, pos = where >> POS_BITS, where & (1 << POS_BITS) - 1
         keep = np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)
         two = starts[(sizes == 2) & keep & (part[starts] == 0)]
         a, b = size[two], size[two + 1]
@@ -301,9 +298,9 @@ def shared_rows(blobs: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["gram", "part", "key", "size", "pos", "p_key", "p_size", "p_pos"])
 
     def of_place(blobs: list[bytes]) -> pa.RecordBatch:
-        group, key, packed = (np.concatenate(x) for x in zip(*map(unpack_rows, blobs), strict=True))
+        group, key, part, where = (np.concatenate(x) for x in zip(*map(unpack_rows, blobs), strict=True))
         order = np.argsort(group)
-        return shared(group[order].view(np.int64), key[order], packed[order])
+        return shared(group[order].view(np.int64), key[order], part[order], where[order])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -399,80 +396,115 @@ def _best_pivots(pairs: DataFrame, most: int = 2) -> DataFrame:
     return counted.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("a", "b")
 
 
-def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of n-grams that nodes of more than one component hold, with their root."""
-    marked = rows.select("gram", "key", "size", "pos").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    several = marked.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("gram")
-    return marked.join(several, "gram", "left_semi")
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """The (a, b) of `pairs` that `tried` holds in neither order."""
+    known = tried.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    return pairs.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(known, ["lo", "hi"], "left_anti").select("a", "b")
 
 
-def _largest(rows: DataFrame) -> DataFrame:
-    """The component that holds most of each n-gram's rows."""
-    return rows.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+def _sided(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of n-grams that nodes of more than one component hold, with their root and, of their n-gram, the
+    component that holds most of its rows, two pivots of that, and the last of the parts it is dealt over.
+
+    What is known of an n-gram meets its rows part by part, so no task holds all rows of a frequent one.
+    """
+    marked = rows.select("gram", "part", "key", "size", "pos").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    own = F.struct("key", "size", "pos")
+    by_root = marked.groupBy("gram", "root").agg(F.count("*").alias("n"), F.max("part").alias("last"), F.min_by(own, F.struct("pos", "key")).alias("p"), F.min_by(own, F.xxhash64("key", "gram")).alias("q"))
+    of_gram = by_root.groupBy("gram").agg(F.count("*").alias("roots"), F.max("last").alias("last"), F.max_by(F.struct(F.col("root").alias("largest"), "p", "q"), F.struct("n", "root")).alias("top")).where("roots > 1")
+    dealt = of_gram.select("gram", F.explode(F.sequence(F.when(F.col("last") > 0, 1).otherwise(0), "last")).alias("part"), "last", "top.largest", "top.p", "top.q")
+    return marked.join(dealt, ["gram", "part"])
+
+
+def _rest(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share an n-gram and may link: rows outside its largest one against all.
+
+    Rows of either side go to every part of their n-gram, so a block of pairs has two parts and no task holds all rows
+    of an n-gram. Sizes that differ by a step of more than one in a
+    scale of 100 / percent never meet.
+    """
+    step = F.floor(F.log(F.col("size").cast("double")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("size").cast("int")
+    fields = F.struct("key", "size", "pos", "root", "s0", "s1", "s2", "s3")
+    every = F.explode(F.sequence(F.when(F.col("last") > 0, 1).otherwise(0), "last"))
+    x = rows.where("root != largest").select("gram", F.col("part").alias("px"), every.alias("py"), F.array(step - 1, step, step + 1).alias("steps"), fields.alias("x")).withColumn("step", F.explode("steps")).drop("steps")
+    y = rows.select("gram", every.alias("px"), F.col("part").alias("py"), step.alias("step"), fields.alias("y"))
+    met = x.join(y, ["gram", "px", "py", "step"]).where(f"x.root != y.root and {_may_link(percent, 'x', 'y')} and {_signs_may_link(percent, 'x', 'y')}")
+    return met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
 def ngram_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, group_rows: int = 20_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75, group_rows: int = 2_000
 ) -> DataFrame:
     """id, n_shingles and component_id (the least id reachable by links) of every row of `docs`."""
     rows = _read(docs, id_col, text_col)
     spark = docs.sparkSession
 
-    def keep(df: DataFrame, name: str) -> Stored:
+    kept: list[Stored] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
         """A table in the shared folder, after which the shuffles that made it can go."""
-        table = store(df, name)
+        kept.append(store(df, name))
         drop_shuffles(spark)
-        return table
+        return kept[-1].df
+
+    def forget(*tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more."""
+        for table in [t for t in kept if any(t.df is x for x in tables)]:
+            table.drop()
+            kept.remove(table)
+
+    def merged(known: Stored, more: DataFrame) -> Stored:
+        """Components of the links that gave the known ones, and more: a node's link with its root stands for the former."""
+        after = connected_components(known.df.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+        known.drop()
+        return after
 
     measured = keep(measure(rows, n), "measured")
-    sizes = keep(measured.df.where("kind = 0").select("id", "size", "key"), "sizes").df
+    sizes = keep(measured.where("kind = 0").select("id", "size", "key"), "sizes")
     grams = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    known = frequencies(measured.df, grams)
-    measured.drop()
-    nodes = keep(sizes.where("key is not null").groupBy("key").agg(F.min("id").alias("id")), "nodes").df
-    shared = keep(shared_rows(prefixes(rows, known, grams, n, percent, group_rows), percent), "shared").df
-
-    candidates = shared.select("key").distinct()
-    texts = keep(pack_texts(rows, nodes.join(candidates, "key"), n), "texts").df
-    signs = texts.select("key", "s0", "s1", "s2", "s3")
+    known = frequencies(measured, grams)
+    forget(measured)
+    nodes = keep(sizes.where("key is not null").groupBy("key").agg(F.min("id").alias("id")), "nodes")
+    shared = keep(shared_rows(prefixes(rows, known, grams, n, percent, group_rows), percent), "shared")
+    texts = keep(pack_texts(rows, nodes.join(shared.select("key").distinct(), "key"), n), "texts")
 
     near = shared.alias("x").where(f"x.key != x.least.key and {_may_link(percent, 'x', 'x.least')}").select(F.col("least.key").alias("a"), F.col("key").alias("b"))
-    tried = keep(_best_pivots(near), "tried").df
-    found = keep(verified(tried, texts, n, percent), "found").df
-    rounds = shared
+    tried = keep(_best_pivots(near), "tried")
+    found = keep(verified(tried, texts, n, percent), "found")
+    rounds, joined = shared, connected_components(found)
     while True:
-        roots = connected_components(found).df
-        rounds = keep(_mixed(rounds, roots), "mixed").df  # components only merge, so what is left shrinks
-        sided = rounds.join(_largest(rounds), "gram")
+        sided = keep(_sided(rounds, joined.df), "sided")  # components only merge, so what is left shrinks
+        forget(rounds)
+        rounds = sided
         # Another pivot for each n-gram, from its largest component; rounds go on while they find much.
-        own = F.struct("key", "size", "pos")
-        pivots = sided.where("root = largest").groupBy("gram").agg(F.min_by(own, F.struct("pos", "key")).alias("p"), F.min_by(own, F.xxhash64("key", "gram")).alias("q"))
-        outside = sided.where("root != largest").drop("largest")
-        asked = outside.alias("x").join(pivots.select("gram", F.explode(F.array("p", "q")).alias("p")), "gram").where(_may_link(percent, "x", "p"))
-        untried = asked.select(F.col("p.key").alias("a"), F.col("x.key").alias("b")).join(tried, ["a", "b"], "left_anti")
-        again = keep(_best_pivots(untried), "tried").df
-        more = keep(verified(again, texts, n, percent), "found").df
+        asked = rounds.where("root != largest").withColumn("pivot", F.explode(F.array("p", "q"))).alias("x").where(_may_link(percent, "x", "x.pivot"))
+        again = keep(_best_pivots(_untried(asked.select(F.col("pivot.key").alias("a"), F.col("key").alias("b")), tried)), "tried")
+        more = keep(verified(again, texts, n, percent), "found")
         links_found, links_asked = more.count(), again.count()
-        tried, found = tried.union(again), found.union(more)
+        tried = tried.union(again)
+        joined = merged(joined, more)
         if links_found * 10 < links_asked or not links_asked:
             break
     if links_found:
-        rounds = keep(_mixed(rounds, connected_components(found).df), "mixed").df
-    mixed = keep(rounds.join(signs, "key"), "signed").df
-    outside = mixed.join(_largest(rounds), "gram").where("root != largest").drop("largest")
+        sided = keep(_sided(rounds, joined.df), "sided")
+        forget(rounds)
+        rounds = sided
 
     # What is left: pairs of different components, those outside an n-gram's largest component against all others.
-    pairs = outside.alias("x").join(mixed.alias("y"), F.expr(f"x.gram = y.gram and x.root != y.root and {_may_link(percent, 'x', 'y')} and {_signs_may_link(percent, 'x', 'y')}"))
-    rest = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct().join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    second = verified(keep(rest, "rest").df, texts, n, percent)
-    final = connected_components(found.union(second)).df
+    signed = rounds.drop("p", "q").join(texts.select("key", "s0", "s1", "s2", "s3"), "key")
+    rest = keep(_untried(_rest(keep(signed, "signed"), percent), tried), "rest")
+    final = merged(joined, verified(rest, texts, n, percent))
 
-    rooted = nodes.join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
+    rooted = nodes.join(final.df.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     named = rooted.join(least, "root").select("key", "component_id")
     linked = sizes.where("key is not null").join(named, "key").select("id", "size", "component_id")
     alone = sizes.where("key is null").select("id", "size", F.col("id").alias("component_id"))
-    return linked.union(alone).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
+    result = store(linked.union(alone), "components").df
+    final.drop()
+    forget(*[t.df for t in kept])
+    drop_shuffles(spark)
+    return result.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

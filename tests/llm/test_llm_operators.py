@@ -752,9 +752,26 @@ def test_tool_turns_of_other_forms_keep_their_text(spark):
     assert [got[k][1] for k in range(6)] == [*texts, "z"] and got[5][0] == "a"
 
 
-def test_the_largest_parts_unpack():
-    part = np.array([0, 1, (1 << 13) - 1, 1 << 13, (1 << 14) - 1], np.int64)
-    size = (1 << ngram_join.SIZE_BITS) - 1
-    packed = part << ngram_join.SIZE_BITS + ngram_join.POS_BITS | size << ngram_join.POS_BITS | np.arange(5)
-    got = ngram_join.unpack(packed)
-    assert got[0].tolist() == part.tolist() and set(got[1].tolist()) == {size} and got[2].tolist() == [0, 1, 2, 3, 4]
+def test_prefix_rows_unpack_as_they_were():
+    rng = np.random.default_rng(3)
+    group, key = rng.integers(0, 1 << 63, 50, dtype=np.uint64) * np.uint64(2), rng.integers(-(1 << 63), 1 << 63 - 1, 50)
+    part, size, pos = rng.integers(0, 1 << 22, 50), rng.integers(1, 1 << 31, 50), rng.integers(0, 1 << 31, 50)
+    got = ngram_join.unpack_rows(ngram_join.pack_rows(group, key, part, size << ngram_join.POS_BITS | pos))
+    order = np.argsort(group)
+    assert [x.tolist() for x in got[:3]] == [x[order].tolist() for x in (group, key, part)]
+    assert (got[3] >> 32).tolist() == size[order].tolist() and (got[3] & (1 << 32) - 1).tolist() == pos[order].tolist()
+
+
+def test_the_rest_meets_in_blocks(spark):
+    """Pairs of different components of one n-gram that many rows share, whichever parts they are dealt to."""
+    rng = random.Random(12)
+    rows = [(1, rng.randrange(1, 5), k, rng.randrange(20, 60), rng.randrange(0, 4), k % 9, 0, 0, 0, 0, 3, 5) for k in range(80)]
+    d = spark.createDataFrame(rows, "gram bigint, part int, key bigint, size int, pos int, root bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, largest bigint, last int")
+    for percent in (75, 60, 100):
+        want = set()
+        for x, y in itertools.product(rows, rows):
+            alike = 100 * min(x[3], y[3]) >= percent * max(x[3], y[3]) and (100 + percent) * min(x[3] - x[4], y[3] - y[4]) >= percent * (x[3] + y[3])
+            if x[5] != 3 and x[5] != y[5] and alike:
+                want.add((min(x[2], y[2]), max(x[2], y[2])))
+        got = ngram_join._rest(d, percent).collect()
+        assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
