@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,24 +24,28 @@ def common_subsequence(a: str, b: str) -> int:
     return len(a) - state.bit_count()
 
 
+@lru_cache(1 << 16)
 def indel_ratio(a: str, b: str) -> float:
     """200 * LCS / (m + n); two empty strings are alike."""
     return 100.0 if not a and not b else 200.0 * common_subsequence(a, b) / (len(a) + len(b))
 
 
+@lru_cache(1 << 14)
 def best_window_ratio(a: str, b: str) -> float:
     """Best indel ratio of the shorter string against windows of the longer one, shorter ones at its ends included."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     n = len(short)
     if not n:
         return 100.0 if not long else 0.0
+    if short in long:
+        return 100.0
     used = set(short)
     best = 0.0
     for end in range(1, len(long) + n):
         window = long[max(0, end - n) : end]
         # Only windows that end, or at the tail begin, with a character of the shorter string can be best.
         if (window[-1] if end <= len(long) else window[0]) in used:
-            best = max(best, indel_ratio(short, window))
+            best = max(best, 200.0 * common_subsequence(short, window) / (n + len(window)))
             if best == 100.0:
                 break
     return best

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,7 +99,14 @@ def heading_candidates(texts: DataFrame, index: DataFrame) -> DataFrame:
     placed = lines.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("bigint"))
     opened = placed.where(F.regexp_like("line", F.lit(HEADING)) & (F.col("offset") >= F.col("body_from"))).select("doc_id", "offset", F.regexp_extract("line", HEADING, 1).alias("number"), F.regexp_extract("line", HEADING, 2).alias("heading"))
     titles = index.where("block = 'body'").select("doc_id", F.col("section_no").cast("string").alias("number"), "section_no", "title")
-    return opened.join(titles, ["doc_id", "number"]).withColumn("score", partial_ratio(normalise_exact(F.col("heading")), normalise_exact(F.col("title"))))
+    met = opened.join(titles, ["doc_id", "number"])
+    # Each distinct pair is scored once, and in Python only where neither title holds the other.
+    pairs = met.select("heading", "title").distinct().withColumns({"h": normalise_exact(F.col("heading")), "t": normalise_exact(F.col("title"))})
+    holds = (F.col("h") != "") & (F.col("t") != "") & (F.col("h").contains(F.col("t")) | F.col("t").contains(F.col("h")))
+    sure = F.when(F.coalesce(holds, F.lit(False)), 100.0)
+    scored = pairs.withColumns({"h": F.when(sure.isNull(), F.col("h")), "t": F.when(sure.isNull(), F.col("t")), "sure": sure})
+    scored = scored.select("heading", "title", F.coalesce("sure", partial_ratio(F.col("h"), F.col("t"))).alias("score"))
+    return met.join(scored, ["heading", "title"])
 
 
 def locate_sections(texts: DataFrame, index: DataFrame) -> DataFrame:
@@ -107,31 +115,10 @@ def locate_sections(texts: DataFrame, index: DataFrame) -> DataFrame:
     Candidates are found and scored relationally; only the choice, which depends on the ones before it, runs over each
     document's few candidates. Sections without a match have a null char_start, so gaps can be told from spans.
     """
-    candidates = heading_candidates(texts, index).select(F.col("doc_id").alias("doc_id"), "section_no", "offset", "heading", "score")
-
-    def choose(found_rows: pd.DataFrame, sections: pd.DataFrame) -> pd.DataFrame:
-        by_number = {n: g.sort_values("offset") for n, g in found_rows.groupby("section_no")}
-        out, cursor = [], -1
-        for s in sections.sort_values("section_no").itertuples():
-            best = None
-            for c in by_number[s.section_no].itertuples() if s.section_no in by_number else ():
-                if c.offset < cursor:
-                    continue
-                if best is None or c.score > best.score:
-                    best = c
-                if c.score >= STRONG_TITLE_MATCH:
-                    break
-            row = [s.doc_id, s.part, s.section_no, s.title, s.start_page]
-            if best is None or best.score < TITLE_MATCH:
-                out.append([*row, None, None, None if best is None else best.score])
-            else:
-                out.append([*row, best.offset, best.heading.strip(), best.score])
-                cursor = best.offset + 1
-        return pd.DataFrame(out, columns=["doc_id", "part", "section_no", "title", "start_page", "char_start", "heading", "match_score"]).astype({"char_start": "Int64"})
-
+    tried = heading_candidates(texts, index).groupBy("doc_id", "section_no").agg(F.array_sort(F.collect_list(F.struct("offset", "score", "heading"))).alias("lines"))
     body = index.where("block = 'body'").select(*[F.col(c).alias(c) for c in ("doc_id", "part", "section_no", "title", "start_page")])
     schema = "doc_id string, part string, section_no int, title string, start_page int, char_start bigint, heading string, match_score double"
-    chosen = body.groupBy("doc_id").cogroup(candidates.groupBy("doc_id")).applyInPandas(lambda b, c: choose(c, b), schema)
+    chosen = body.join(tried, ["doc_id", "section_no"], "left").groupBy("doc_id").applyInPandas(_choose_lines, schema)
     first = index.where("block = 'annexure'").groupBy("doc_id").agg(F.min_by("title", "section_no").alias("_title"))
     last = chosen.groupBy("doc_id").agg(F.max("char_start").alias("_after"))
     known = texts.select(F.col("doc_id").alias("doc_id"), "text").join(last, "doc_id").join(first, "doc_id", "left")
@@ -139,6 +126,25 @@ def locate_sections(texts: DataFrame, index: DataFrame) -> DataFrame:
     return _section_ends(chosen.join(lengths, "doc_id")).drop("_n", "_annexure")
 
 
+def _choose_lines(sections: pd.DataFrame) -> pd.DataFrame:
+    """One document's sections with the line that opens each: the best match behind the section before, or the first
+    strong one if that comes earlier."""
+    sections = sections.sort_values("section_no", kind="stable")
+    places, headings, scores, behind = [], [], [], 0
+    for lines in sections["lines"]:
+        ahead = [] if lines is None else [x for x in lines if x["offset"] >= behind]
+        match = np.array([x["score"] for x in ahead])
+        strong = np.flatnonzero(match >= STRONG_TITLE_MATCH)
+        best = int(np.argmax(match[: strong[0] + 1] if len(strong) else match)) if ahead else -1
+        good = best >= 0 and match[best] >= TITLE_MATCH
+        places.append(ahead[best]["offset"] if good else None)
+        headings.append(ahead[best]["heading"].strip() if good else None)
+        scores.append(match[best] if best >= 0 else None)
+        behind = ahead[best]["offset"] + 1 if good else behind
+    told = sections.assign(char_start=pd.array(places, "Int64"), heading=headings, match_score=scores)
+    return told[["doc_id", "part", "section_no", "title", "start_page", "char_start", "heading", "match_score"]]
+
+
 def annexure_start(text: Column, title: Column, after: Column) -> Column:
     """Offset after `after` of the line that opens annexure 1: by the first annexure's own words, else by the word
     Annexure; null without annexures or such a line."""

@@ -99,31 +99,43 @@ def recover_rows(pages: DataFrame) -> DataFrame:
 
 
 def merge_index(entries: DataFrame, recovered: DataFrame) -> DataFrame:
-    """The section index with recovered rows that it lacks.
+    """The section index with the recovered rows that it lacks.
 
-    A row's block, page hint and part depend on those merged before it, so this runs over each document's rows, which
-    are few, in order of page, pass and line.
+    A recovered row belongs to the annexures from the page on where these start. One without a page stands at the
+    furthest page of the index so far, which rows merged before it can move; only this is told in sequence, in one pass
+    over a document's few recovered rows. What the index has comes from a join, and parts from the as-of part of the
+    nearest lower section: a merged row has the part of the entry below it, so either one gives the same.
     """
-
-    def merge(own: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
-        rows = [dict(block=e.block, part=e.part, section_no=e.section_no, title=e.title, start_page=e.start_page, recovered=False, page_inferred=False) for e in own.sort_values("row_no").itertuples()]
-        doc = (own if len(own) else more)["doc_id"].iloc[0]
-        known = {(r["block"], r["section_no"]) for r in rows}
-        edge = min((r["start_page"] for r in rows if r["block"] == "annexure"), default=None)
-        for m in more.sort_values(["page_no", "pass", "source_line"]).itertuples():
-            hint = m.page or max((r["start_page"] for r in rows), default=0)
-            block = "annexure" if edge is not None and hint >= edge else "body"
-            if (block, m.section_no) in known:
-                continue
-            prior = [r for r in rows if r["block"] == block and r["section_no"] < m.section_no]
-            part = max(prior, key=lambda r: r["section_no"])["part"] if prior else None
-            rows.append(dict(block=block, part=part, section_no=m.section_no, title=m.title, start_page=m.page or hint, recovered=True, page_inferred=not m.page))
-            known.add((block, m.section_no))
-        return pd.DataFrame([{"doc_id": doc, **r} for r in rows], columns=["doc_id", "block", "part", "section_no", "title", "start_page", "recovered", "page_inferred"])
-
-    schema = "doc_id string, block string, part string, section_no int, title string, start_page int, recovered boolean, page_inferred boolean"
-    recovered = recovered.withColumn("doc_id", F.col("doc_id"))  # of its own, should both come from one table
-    return entries.groupBy("doc_id").cogroup(recovered.groupBy("doc_id")).applyInPandas(merge, schema)
+    annexed = F.min(F.when(F.col("block") == "annexure", F.col("start_page")))
+    facts = entries.groupBy("doc_id").agg(F.max("start_page").alias("reach"), annexed.alias("annexed_from"), F.collect_set(F.struct("block", "section_no")).alias("has"))
+    rows = recovered.select("doc_id", "page_no", "pass", "source_line", "section_no", "title", "page").join(facts, "doc_id", "left")
+    schema = "doc_id string, block string, section_no int, title string, start_page int, page_inferred boolean"
+    merged = rows.groupBy("doc_id").applyInPandas(_place_rows, schema)
+    first = entries.groupBy("doc_id", "block", "section_no").agg(F.min_by(F.struct("part"), "row_no").alias("_first"))
+    parts = inherit_part(merged, first.select("doc_id", "block", "section_no", F.col("_first.part").alias("part")))
+    own = entries.select("doc_id", "block", "part", "section_no", "title", "start_page", F.lit(False).alias("recovered"), F.lit(False).alias("page_inferred"))
+    return own.unionByName(parts.withColumn("recovered", F.lit(True)).select(own.columns))
+
+
+def _place_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    """Block and page of one document's recovered rows that are merged, in order of page, pass and line."""
+    rows = rows.sort_values(["page_no", "pass", "source_line"])
+    reach = 0 if rows["reach"].isna().all() else int(rows["reach"].iloc[0])
+    start = float("inf") if rows["annexed_from"].isna().all() else int(rows["annexed_from"].iloc[0])
+    has = rows["has"].iloc[0]
+    taken = {(x["block"], x["section_no"]) for x in has} if has is not None else set()
+    blocks, pages = [], []
+    for number, page in zip(rows["section_no"], rows["page"], strict=True):
+        at = page or reach
+        key = ("annexure" if at >= start else "body", number)
+        new = key not in taken
+        blocks.append(key[0] if new else None)
+        pages.append(at)
+        if new:
+            taken.add(key)
+            reach = max(reach, at)
+    placed = rows.assign(block=blocks, start_page=pages, page_inferred=rows["page"] == 0)
+    return placed.loc[placed["block"].notna(), ["doc_id", "block", "section_no", "title", "start_page", "page_inferred"]]
 
 
 def absent_rows(entries: DataFrame, recovered: DataFrame) -> DataFrame:

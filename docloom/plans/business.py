@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom import config
-from docloom.operators import ledger, models, scorecards
+from docloom.operators import ledger, models, obligations, scorecards
 from docloom.plans.registry import Tables, query
+from docloom.sources import readers, rules
 from docloom.sources.synthetic import FINDINGS, MODELS, USAGE
 from docloom.streaming import usage as streams
 
@@ -198,8 +199,73 @@ def upload_problems(t: Tables) -> DataFrame:
     return models.upload_problems(t.sql(UPLOADS), 4)
 
 
-@query("SELECT position, name, fatal FROM (VALUES (1, 'Pre-ticked opt-in', true), (15, 'No reachable grievance / SCORES / ODR route', true)) v(position, name, fatal)")
+# Names of the checklist and of the yellow patterns.
+@query("""SELECT position, name, true AS fatal FROM (VALUES (1, 'Pre-ticked opt-in'), (2, 'Bundled consent'), (3, 'Conditioning loan on insurance'), (4, 'Unequal choice prominence'), (5, 'Confirm-shaming'), (6, 'Hidden or absent opt-out'),
+  (7, 'Charges outside KFS'), (8, 'Drip pricing'), (9, 'False urgency / scarcity'), (10, 'Forced action for data'), (11, 'Biased multi-lender display'), (12, 'Interface interference on consent'), (13, 'Missing mandatory risk disclosure'),
+  (14, 'Assured-return or unsubstantiated performance claims'), (15, 'No reachable grievance / SCORES / ODR route')) v(position, name)""")
 def banned_pattern_table(t: Tables) -> DataFrame:
-    from docloom.sources.rules import banned_patterns
+    return rules.banned_patterns(t.spark)
 
-    return banned_patterns(t.spark).where("position in (1, 15)")
+
+@query("""SELECT position, name, false AS fatal FROM (VALUES (1, 'Default-selected "Recommended" tier'), (2, 'Per-day price framing without total'), (3, 'Trust claims without substantiation'), (4, 'Skippable KFS'), (5, 'Nudging language on neutral steps'), (6, 'English-only journeys')) v(position, name)""")
+def risk_pattern_table(t: Tables) -> DataFrame:
+    return rules.risk_patterns(t.spark)
+
+
+@query("""SELECT p.position, p.name, count(o.o_orderkey) AS findings, count(CASE WHEN o.o_custkey % 3 = 0 THEN 1 END) AS red FROM (SELECT unnest(range(1, 16)) AS position, unnest(['Pre-ticked opt-in', 'Bundled consent', 'Conditioning loan on insurance', 'Unequal choice prominence', 'Confirm-shaming',
+  'Hidden or absent opt-out', 'Charges outside KFS', 'Drip pricing', 'False urgency / scarcity', 'Forced action for data', 'Biased multi-lender display', 'Interface interference on consent', 'Missing mandatory risk disclosure', 'Assured-return or unsubstantiated performance claims',
+  'No reachable grievance / SCORES / ODR route']) AS name) p LEFT JOIN {orders} o ON o.o_orderkey % 17 = p.position GROUP BY ALL""")
+def findings_by_pattern(t: Tables) -> DataFrame:
+    """How often each pattern of the checklist is found; those never found count 0."""
+    found = t.table("orders").groupBy((F.col("o_orderkey") % 17).cast("int").alias("position")).agg(F.count("*").alias("findings"), F.count(F.when(F.col("o_custkey") % 3 == 0, 1)).alias("red"))
+    return rules.banned_patterns(t.spark).join(found, "position", "left").select("position", "name", F.coalesce("findings", F.lit(0)).alias("findings"), F.coalesce("red", F.lit(0)).alias("red"))
+
+
+DOCUMENT_NAMES = "SELECT CASE c_nationkey % 4 WHEN 0 THEN 'brokers_2024' WHEN 1 THEN 'bankers_2025' ELSE 'c' || CAST(c_custkey AS STRING) END AS doc_id, CAST(c_custkey AS BIGINT) AS k FROM {customer}"
+
+
+@query(f"SELECT k, doc_id, CASE doc_id WHEN 'brokers_2024' THEN 'stock_brokers' WHEN 'bankers_2025' THEN 'merchant_bankers' ELSE doc_id END AS slug FROM ({DOCUMENT_NAMES})")
+def document_slugs(t: Tables) -> DataFrame:
+    return readers.friendly_names(t.sql(DOCUMENT_NAMES), {"brokers_2024": "stock_brokers", "bankers_2025": "merchant_bankers"}).select("k", "doc_id", "slug")
+
+
+PARSED = "SELECT CAST(c_custkey AS BIGINT) AS doc_id, CASE WHEN c_custkey % 9 = 0 THEN 'no pages' WHEN c_acctbal < 0 THEN 'no number' END AS error FROM {customer}"
+
+
+@query(f"SELECT CASE WHEN error IS NULL THEN 'parsed' ELSE 'failed' END AS state, coalesce(error, '') AS error, count(*) AS documents FROM ({PARSED}) GROUP BY ALL")
+def failed_documents(t: Tables) -> DataFrame:
+    good, bad = readers.isolate_failures(t.sql(PARSED))
+    both = good.withColumn("state", F.lit("parsed")).unionByName(bad.withColumn("state", F.lit("failed")))
+    return both.groupBy("state", F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("documents"))
+
+
+#: Raw answers of a model for clauses that the orders stand for, with gaps where defaults come in.
+ANSWERS = """SELECT CAST(o_orderkey AS BIGINT) AS clause_id, CASE o_custkey % 6 WHEN 0 THEN '  ' WHEN 1 THEN 'settle the running account' WHEN 2 THEN 'report the breach' ELSE 'keep records of ' || o_orderpriority END AS action_required,
+  'conduct' AS obligation_type, CASE o_custkey % 4 WHEN 0 THEN 'settled' ELSE 'not in the clause' END AS source_sentence, CASE WHEN o_custkey % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(o_custkey % 10 AS DOUBLE) / 10 END AS confidence,
+  CASE o_custkey % 3 WHEN 0 THEN 'within 7 days' WHEN 1 THEN '' END AS deadline_phrase, CAST(o_custkey % 2 AS INT) AS named FROM {orders}"""
+CLAUSE_TEXTS = "SELECT CAST(o_orderkey AS BIGINT) AS clause_id, CASE WHEN o_custkey % 7 = 0 THEN 'merchant_banker' ELSE 'stock_broker' END AS intermediary, 'The account is settled within 30 days of ' || o_orderstatus AS clause_text FROM {orders}"
+KEPT = f"SELECT * FROM ({ANSWERS}) JOIN ({CLAUSE_TEXTS}) USING (clause_id) WHERE trim(action_required) <> ''"
+
+
+def _prepared(t: Tables) -> DataFrame:
+    raw = t.sql(ANSWERS).withColumn("applies_to", F.when(F.col("named") == 1, F.array(F.lit("all"), F.lit("stock_broker"))))
+    return obligations.prepare(raw, t.sql(CLAUSE_TEXTS))
+
+
+@query(f"SELECT clause_id, CASE WHEN named = 1 THEN 'all,stock_broker' ELSE intermediary END AS applies_to, coalesce(confidence, 0.0) AS confidence, CASE WHEN deadline_phrase = 'within 7 days' THEN 7 END AS days FROM ({KEPT})")
+def prepared_answers(t: Tables) -> DataFrame:
+    return _prepared(t).select("clause_id", F.array_join("applies_to", ",").alias("applies_to"), "confidence", F.col("deadline.offset").cast("int").alias("days"))
+
+
+@query(f"SELECT clause_id, source_sentence FROM ({KEPT}) WHERE NOT contains(clause_text, source_sentence)")
+def unsourced_answers(t: Tables) -> DataFrame:
+    return obligations.unsourced(_prepared(t)).select("clause_id", "source_sentence")
+
+
+@query(f"SELECT clause_id, CASE clause_id % 4 WHEN 0 THEN 'entailed' WHEN 1 THEN 'contradicted' ELSE 'neutral' END AS entailment FROM ({KEPT})")
+def judged_answers(t: Tables) -> DataFrame:
+    """Verdicts where there are some; the missing and the null ones are neutral."""
+    kept = _prepared(t).withColumn("obligation_id", F.concat_ws("/", "obligation_id", F.col("clause_id").cast("string")))
+    verdict = F.when(F.col("clause_id") % 4 == 0, "entailed").when(F.col("clause_id") % 4 == 1, "contradicted")
+    verdicts = kept.where("clause_id % 4 < 3").select("obligation_id", verdict.alias("entailment"))
+    return obligations.judge(kept, verdicts).select("clause_id", "entailment")

@@ -63,7 +63,9 @@ def clause_paths(t: Tables) -> DataFrame:
     return clauses.split_clauses(_sections(t)).groupBy(shape.alias("shape")).agg(F.count("*").alias("n"), F.count_distinct(F.concat_ws("/", "doc_id", F.col("section_no").cast("string"))).alias("sections"))
 
 
-@query(f"SELECT count(*) AS clauses, count(*) AS resolved, CAST(0 AS BIGINT) AS duplicate_paths FROM ({CLAUSES}) WHERE length(text) >= 3")
+@query(f"""WITH w AS (SELECT doc_id, section_no, string_agg(line, chr(10) ORDER BY rn) AS whole FROM ({CLAUSE_LINES}) GROUP BY ALL), c AS (SELECT * FROM ({CLAUSES}) JOIN w USING (doc_id, section_no) WHERE length(text) >= 3)
+SELECT count(*) AS clauses, count(CASE WHEN regexp_replace(whole[char_start + 1 : char_end], '^\\s+|\\s+$', '', 'g') = regexp_replace(text, '^\\s+|\\s+$', '', 'g') THEN 1 END) AS resolved,
+  count(*) - count(DISTINCT doc_id || '/' || section_no || '/' || path || '#' || k) AS duplicate_paths FROM c""")
 def anchor_resolves(t: Tables) -> DataFrame:
     found = clauses.split_clauses(_sections(t))
     cut = F.regexp_replace(F.substring(F.col("whole"), F.col("char_start").cast("int") + 1, (F.col("char_end") - F.col("char_start")).cast("int")), r"^\s+|\s+$", "")
@@ -178,7 +180,7 @@ def toc_recover_wrapped(t: Tables) -> DataFrame:
 
 
 BODY = f"SELECT * FROM ({INDEX}) WHERE block = 'body'"
-FOUND = "SELECT 'd' || CAST(CAST(floor(o_orderkey / 40.0) AS BIGINT) AS STRING) AS doc_id, 'body' AS block, CAST(o_orderkey % 40 AS INT) AS section_no, o_orderpriority AS title, CAST(o_custkey % 3 AS INT) AS page_no, CAST(1 AS INT) AS pass, CAST(o_orderkey AS BIGINT) AS source_line FROM {orders} WHERE o_custkey % 4 = 0"
+FOUND = "SELECT 'd' || CAST(CAST(floor(o_orderkey / 40.0) AS BIGINT) AS STRING) AS doc_id, 'body' AS block, CAST(o_orderkey % 40 AS INT) AS section_no, o_orderpriority AS title, CAST(o_custkey % 3 AS INT) AS page_no, CAST(1 AS INT) AS pass, CAST(o_orderkey AS BIGINT) AS source_line FROM {orders}"
 
 
 @query(f"""SELECT doc_id, block, section_no, title, source_line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, block, section_no ORDER BY page_no, pass, source_line) AS k FROM ({FOUND}) r
@@ -328,11 +330,18 @@ def coverage_report(t: Tables) -> DataFrame:
 
 @query()
 def section_locate(t: Tables) -> DataFrame:
-    sections = _sections(t).withColumn("heading", F.concat(F.col("section_no").cast("string"), F.lit(". Running account of part "), "part", F.lit(" number "), F.col("section_no").cast("string"), F.lit("\n")))
+    """Sections under headings like their titles, some titles worded otherwise or cut, some numbers opened by other lines before."""
+    number = F.col("section_no").cast("string")
+    decoy = F.when(F.col("section_no") % 4 == 0, F.concat(number, F.lit(". Charges that the client owes\n"))).otherwise("")
+    sections = _sections(t).withColumn("heading", F.concat(decoy, number, F.lit(". Running account of part "), "part", F.lit(" number "), number, F.lit("\n")))
     held = F.array_sort(F.collect_list(F.struct("section_no", "heading", "text")))
     texts = sections.groupBy("doc_id").agg(F.array_join(F.transform(held, lambda s: F.concat(s["heading"], s["text"])), "\n").alias("text")).withColumn("body_from", F.lit(0).cast("bigint"))
-    index = sections.select("doc_id", F.lit("body").alias("block"), "part", "section_no", F.concat(F.lit("Running account of part "), "part", F.lit(" number "), F.col("section_no").cast("string")).alias("title"), F.lit(1).alias("start_page"))
-    return clauses.locate_sections(texts, index)
+    texts = texts.withColumn("text", F.concat("text", F.lit("\nForms\n Annexure – 1\nForm of the client\n")))
+    word = F.when(F.col("section_no") % 3 == 0, " numbered ").otherwise(" number ")
+    title = F.concat(F.lit("Running account of part "), "part", word, F.col("section_no").cast("string"))
+    index = sections.select("doc_id", F.lit("body").alias("block"), "part", "section_no", F.when(F.col("section_no") % 5 == 0, F.substring(title, 1, 22)).otherwise(title).alias("title"), F.lit(1).alias("start_page"))
+    annexes = sections.select("doc_id", F.lit("annexure").alias("block"), F.lit(None).cast("string").alias("part"), F.lit(1).alias("section_no"), F.lit("Annexure - 1").alias("title"), F.lit(90).alias("start_page")).distinct()
+    return clauses.locate_sections(texts, index.unionByName(annexes))
 
 
 @query("""WITH o AS (SELECT c_custkey AS id, c_custkey % 7 AS terms FROM {customer} WHERE c_custkey % 5 > 0), n AS (SELECT c_custkey AS id, c_custkey % 7 + CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS terms FROM {customer} WHERE c_custkey % 6 > 0)
@@ -349,9 +358,12 @@ def change_counts(t: Tables) -> DataFrame:
     return change_ledger(t).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@query("SELECT title, change FROM ((SELECT lower(p_name) AS title, 'removed' AS change FROM {part} WHERE p_partkey % 3 > 0 EXCEPT SELECT lower(p_name), 'removed' FROM {part} WHERE p_partkey % 4 > 0) UNION ALL (SELECT lower(p_name), 'added' FROM {part} WHERE p_partkey % 4 > 0 EXCEPT SELECT lower(p_name), 'added' FROM {part} WHERE p_partkey % 3 > 0))")
+NAMED = "lower(p_name || ' ' || p_partkey)"
+
+
+@query(f"SELECT title, change FROM ((SELECT {NAMED} AS title, 'removed' AS change FROM {{part}} WHERE p_partkey % 3 > 0 EXCEPT SELECT {NAMED}, 'removed' FROM {{part}} WHERE p_partkey % 4 > 0) UNION ALL (SELECT {NAMED}, 'added' FROM {{part}} WHERE p_partkey % 4 > 0 EXCEPT SELECT {NAMED}, 'added' FROM {{part}} WHERE p_partkey % 3 > 0))")
 def title_changes(t: Tables) -> DataFrame:
-    p = t.table("part").select("p_partkey", F.col("p_name").alias("title"))
+    p = t.table("part").select("p_partkey", F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("title"))
     return changes.title_changes(p.where("p_partkey % 3 > 0"), p.where("p_partkey % 4 > 0"))
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docloom import config
@@ -90,6 +91,57 @@ def test_merge_keeps_what_is_known(spark):
     assert got == [("body", "II", 1, "One", 5, False), ("body", "II", 2, "Two", 7, True), ("body", "II", 3, "Three", 9, False), ("annexure", None, 1, "Form", 90, False), ("annexure", None, 2, "Form two", 95, True), ("annexure", None, 4, "No page", 95, True)]
 
 
+def merged_by_definition(entries, rows):
+    """The merged rows as sets grow: each row is looked at with all that the rows before it left."""
+    kept = {}
+    annexed_from = min((e[4] for e in entries if e[0] == "annexure"), default=10**9)
+    for *_, number, title, page in sorted(rows):
+        reach = max([e[4] for e in entries] + [k[1] for k in kept.values()], default=0)
+        block = "annexure" if (page or reach) >= annexed_from else "body"
+        if not any((e[0], e[2]) == (block, number) for e in entries):
+            kept.setdefault((block, number), (title, page or reach, not page))
+    below = lambda block, number: max((e for e in entries if e[0] == block and e[2] < number), key=lambda e: (e[2], -entries.index(e)), default=(0, None))[1]
+    return {(b, below(b, n), n, *v) for (b, n), v in kept.items()}
+
+
+def test_merge_equals_its_definition(spark):
+    rng = random.Random(3)
+    own, more, want = [], [], set()
+    for d in range(60):
+        body = [("body", rng.choice(["I", "II", None]), n, f"t{n}", rng.choice((0, n, 2 * n))) for n in rng.sample(range(1, 15), rng.randrange(0, 8))]
+        forms = [("annexure", None, n, f"f{n}", rng.randrange(15, 40)) for n in rng.sample(range(1, 6), rng.choice((0, 0, 2)))]
+        rows = [(rng.randrange(3), rng.randrange(1, 4), k, rng.randrange(1, 15), f"r{k}", rng.choice((0, 0, rng.randrange(1, 45)))) for k in range(rng.randrange(0, 14))]
+        own += [(f"d{d}", k, *e) for k, e in enumerate(body + forms)]
+        more += [(f"d{d}", *r) for r in rows]
+        want |= {(f"d{d}", *r) for r in merged_by_definition(body + forms, rows)} if rows else set()
+    entries = spark.createDataFrame(own, "doc_id string, row_no int, block string, part string, section_no int, title string, start_page int")
+    recovered = spark.createDataFrame(more, "doc_id string, page_no int, pass int, source_line int, section_no int, title string, page int")
+    got = contents.merge_index(entries, recovered).collect()
+    assert {(r.doc_id, r.block, r.part, r.section_no, r.title, r.start_page, r.page_inferred) for r in got if r.recovered} == want
+    assert sum(not r.recovered for r in got) == len(own)
+
+
+def test_section_choice_equals_its_definition():
+    rng = random.Random(8)
+
+    def follow(sections, behind):
+        """Lines chosen for the sections, one after the other."""
+        if not sections:
+            return []
+        ahead = [x for x in sections[0] if x["offset"] >= behind]
+        strong = [x for x in ahead if x["score"] >= 95][:1]
+        upto = [x for x in ahead if not strong or x["offset"] <= strong[0]["offset"]]
+        best = min(upto, key=lambda x: (-x["score"], x["offset"]), default=None)
+        good = best is not None and best["score"] >= 72
+        return [best["offset"] if good else None, *follow(sections[1:], best["offset"] + 1 if good else behind)]
+
+    for _ in range(200):
+        sections = [sorted(({"offset": o, "score": float(rng.choice((40, 71, 72, 80, 95, 100))), "heading": "h"} for o in rng.sample(range(60), rng.randrange(0, 6))), key=lambda x: x["offset"]) for _ in range(8)]
+        table = pd.DataFrame({"doc_id": "d", "part": None, "section_no": range(8), "title": "t", "start_page": 1, "lines": [s or None for s in sections]})
+        got = clauses._choose_lines(table.sample(frac=1, random_state=1))
+        assert [None if pd.isna(x) else x for x in got["char_start"]] == follow(sections, 0)
+
+
 def test_part_is_inherited_even_when_null(spark):
     entries = spark.createDataFrame([("d", "body", 1, "I"), ("d", "body", 5, None)], "doc_id string, block string, section_no int, part string")
     rows = spark.createDataFrame([("d", "body", 3), ("d", "body", 7), ("d", "body", 1)], "doc_id string, block string, section_no int")
