@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import sliced
+from docloom.llm.common import bounded_batches, sliced
 
 MEMO_PIECES = 400_000
 NO_PAIR = 1 << 62
@@ -129,6 +129,7 @@ def encode_decode(
     `vocab_path` is read once by the driver and the table (fixed by the vocabulary, not by the data) is broadcast.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     ranks = spark.sparkContext.broadcast(load_ranks(vocab_path))
     schema = "id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 

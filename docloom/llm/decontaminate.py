@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import sliced, store
+from docloom.llm.common import bounded_batches, sliced, store
 from docloom.llm.words import Splitter, windows
 
 #: Masks of six kept positions; each pair of them ignores different neighbours.
@@ -93,6 +93,7 @@ def overlaps(
 ) -> DataFrame:
     """One row for each text and item that overlap: identifiers, doc_start, item_start, n_words, n_same (word counts)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     share = Fraction(str(identity))
     around = max(AROUND, 2 * min_words)  # a stretch that qualifies holds one of fewer than twice the words
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import Stored, drop_shuffles, sliced, store
+from docloom.llm.common import Stored, bounded_batches, drop_shuffles, sliced, store
 from docloom.llm.components import connected_components
 from docloom.llm.words import Splitter, mix, windows
 
@@ -438,6 +438,7 @@ def ngram_components(
     """id, n_shingles and component_id (the least id reachable by links) of every row of `docs`."""
     rows = _read(docs, id_col, text_col)
     spark = docs.sparkSession
+    bounded_batches(spark)
 
     kept: list[Stored] = []
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import sliced
+from docloom.llm.common import bounded_batches, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -327,6 +327,7 @@ def joined(spans: list[Span]) -> str:
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: SemiMarkov | None = None) -> DataFrame:
     """id, base counts n_<kind>, base_sha256 and spans of every row."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model or train())
     names = ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
@@ -345,6 +346,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 def mask(docs: DataFrame, text_col: str = "text", model: SemiMarkov | None = None) -> DataFrame:
     """`docs` with every span of its text replaced by its kind in angle brackets; all other columns stay."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model or train())
 
     def cover(text: str | None) -> str | None:

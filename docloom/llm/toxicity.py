@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import sliced, store
+from docloom.llm.common import bounded_batches, sliced, store
 
 WORD = re.compile(r"[^\W_]+")
 SLOTS = 1 << 18
@@ -87,9 +87,11 @@ def train(
     """Fit the machine to rows of slots and 0/1 labels."""
     if not len(labels) or labels.min() == labels.max():
         return Machine(-30.0, np.zeros(slots, np.float32), np.zeros((slots, factors), np.float32))
-    seen = np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]), minlength=slots)
+    seen = np.zeros(slots, np.int64)
+    for r in rows:
+        seen[r] += 1  # a row's slots are distinct
     use = seen >= min_docs
-    local = np.cumsum(use) - 1
+    local = (np.cumsum(use) - 1).astype(np.int32)
     rows = [local[r[use[r]]] for r in rows]
     n = int(use.sum())
     rng = np.random.default_rng(seed)
@@ -142,6 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     `max_slots` bounds what reaches it (four bytes a slot), however long the texts are.
     """
+    bounded_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(
         F.col("_y").isin(0, 1) & ~hold_out("_id")
     )
@@ -163,13 +166,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     terms.drop()
     # Rows come in no fixed order: sort them, so that the same rows give the same machine.
     y = got.column("y").to_numpy()
-    rows = [s.values.to_numpy().astype(np.int64) for s in got.column("slots")]
-    order = sorted(range(len(rows)), key=lambda k: (len(rows[k]), int(rows[k].sum()), int(y[k])))
-    return train([rows[k] for k in order], y[order].astype(float))
+    rows = [s.values.to_numpy() for s in got.column("slots")]  # views of the table
+    order = sorted(range(len(rows)), key=lambda k: (len(rows[k]), int(rows[k].sum(dtype=np.int64)), int(y[k])))
+    machine = train([rows[k] for k in order], y[order].astype(float))
+    del rows, got
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def with_score(docs: DataFrame, machine: Machine, text_col: str, out_col: str) -> DataFrame:
     """`docs` with the score of each whole text in `out_col`; all other columns stay."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.pandas_udf("double")
