@@ -46,9 +46,11 @@ class Node:
 
 
 def text_dimensions(text: Column) -> list[Column]:
-    """Metadata that equal texts share: size, bytes per character, checksum."""
-    size = F.octet_length(text)
-    return [F.log2(size + 1), size / F.greatest(F.length(text), F.lit(1)), crc32_text(text)]
+    """Metadata that equal texts share: logarithm of the size, bytes per character, characters per space, logarithm of
+    the lines."""
+    size, n = F.octet_length(text), F.length(text)
+    spaces, lines = (n - F.length(F.replace(text, F.lit(c))) + 1 for c in (" ", "\n"))
+    return [F.log2(size + 1), size / F.greatest(n, F.lit(1)), F.log2(n / spaces + 1), F.log2(lines)]
 
 
 def kd_shards(

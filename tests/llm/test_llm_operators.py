@@ -404,6 +404,44 @@ def test_shards_are_even_gapless_and_keep_copies(spark):
     assert len(uneven) == 5
 
 
+def one_process_tree(rows, shards):
+    """The same tree over (size, dimensions) rows held in memory: the share of bytes of each leaf, and its dimensions' ranges."""
+    whole = [max(r[1][k] for r in rows) - min(r[1][k] for r in rows) or 1.0 for k in range(len(rows[0][1]))]
+
+    def split(part, s):
+        if s == 1:
+            return [part]
+        widths = [(max(r[1][k] for r in part) - min(r[1][k] for r in part)) / whole[k] for k in range(len(whole))]
+        k = widths.index(max(widths))
+        part = sorted(part, key=lambda r: r[1][k])
+        share, upto, cut = sum(r[0] for r in part) * (s // 2) / s, 0, 0
+        while cut < len(part) and upto + part[cut][0] / 2 <= share:
+            upto, cut = upto + part[cut][0], cut + 1
+        return split(part[:cut], s // 2) + split(part[cut:], s - s // 2)
+
+    return split(rows, shards)
+
+
+@pytest.mark.parametrize("shards", [5, 16])
+def test_shards_equal_a_tree_in_one_process(spark, shards):
+    rng = random.Random(shards)
+    rows = [(k, "x" * rng.randint(0, 40), rng.random() ** 2, rng.random() * 7) for k in range(1500)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, p double, q double")
+    got = {r.doc_id: r.shard for r in sharding.kd_shards(d, shards=shards, dimensions=[F.col("p"), F.col("q")], tolerance=1e-9).collect()}
+    want = one_process_tree([(len(t) + 1, (p, q), k) for k, t, p, q in rows], shards)
+    place = {r[2]: n for n, part in enumerate(want) for r in part}
+    # A cell of the distributed median is 1/65,535 of a node's range: rows in the cell of a cut are told apart by hash.
+    assert sum(got[k] != place[k] for k in place) <= 0.01 * len(place)
+
+
+def test_default_dimensions_are_shared_by_copies(spark):
+    texts = [None, "", "a b\nc", "\u00e9\u00e9", " " * 9]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = d.select(*sharding.text_dimensions(F.col("text"))).collect()
+    assert list(got[0]) == [None] * 4 and list(got[1]) == [0.0, 0.0, 0.0, 0.0]
+    assert [round(v, 6) for v in got[2]] == [round(math.log2(6), 6), 1.0, round(math.log2(5 / 2 + 1), 6), 1.0] and got[3][1] == 2.0
+
+
 def test_shard_edges(spark):
     d = odd_documents(spark)
     got = sharding.kd_shards(d)
