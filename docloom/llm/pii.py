@@ -43,7 +43,19 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@]|(?i:\bat\b\W{0,2}\s*\w+\s*\W{0,2}\bdot\b)")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[^\W\d_]+")
+FORM = re.compile(r"w+(?:[._%+-]w+)*@w+(?:[.-]w+)*\.w+")
+
+# Endings of host names, function words that are no part of an address, and words that announce a kind.
+ENDINGS = frozenset("com org net edu gov info io de fr es it nl uk eu ch".split())
+FUNCTION_WORDS = frozenset("a an the in on of to by is are was be it my your this that met look noon".split())
+CUES = {
+    "phone": frozenset("call phone tel telephone mobile cell fax ring dial whatsapp reach telefon handy mobil anruf portable llame appelez telefono".split()),
+    "email": frozenset("mail email write contact address correo adresse".split()),
+    "card": frozenset("card visa mastercard paid credit karte carte tarjeta".split()),
+    "ip": frozenset("ip host server address node".split()),
+    "other": frozenset("order version no total token isbn account invoice build population line serial".split()),
+}
 
 Span = tuple[int, int, str]
 
@@ -89,9 +101,32 @@ class Window:
         self.tokens = [text[a:z] for a, z in self.spans]
         self.digits = [0]
         self.signs = [0]
+        #: What a token can be in an address: "@", ".", "w" for letters or digits, nothing for a bracket, else itself.
+        self.roles = []
         for t in self.tokens:
+            low = t.lower()
+            self.roles.append("@" if low in ("@", "at") else "." if low in (".", "dot") else "" if t in "()[]{}<>" else "w" if t.isalnum() else t)
             self.digits.append(self.digits[-1] + (len(t) if t[0] in "0123456789" else 0))
-            self.signs.append(self.signs[-1] + (t == "@" or t.lower() == "at"))
+            self.signs.append(self.signs[-1] + (self.roles[-1] == "@"))
+
+    def form(self, i: int, j: int) -> str:
+        """Roles of the tokens [i, j), with a space where white space parts two words."""
+        out = []
+        for k in range(i, j):
+            if k > i and self.roles[k] == "w" and self.roles[k - 1] == "w" and self.spans[k][0] > self.spans[k - 1][1]:
+                out.append(" ")
+            out.append(self.roles[k])
+        return "".join(out)
+
+    def goes_on(self, k: int, way: int) -> bool:
+        """Whether the address would go on over token k: a sign or written-out dot with a word close behind."""
+        if not (0 <= k < len(self.tokens) and 0 <= k + way < len(self.tokens)) or self.roles[k] not in ("@", ".", "-", "_", "+"):
+            return False
+        a, b = sorted((k, k + way))
+        return self.roles[k + way] == "w" and (self.tokens[k].isalpha() or self.spans[b][0] == self.spans[a][1])
+
+    def quad(self, i: int, j: int) -> bool:
+        return j - i == 7 and all((self.roles[k] == ".") if (k - i) % 2 else self.tokens[k][0] in "0123456789" for k in range(i, j))
 
     def candidates(self) -> Iterator[tuple[int, int]]:
         """Segments [i, j) that could be personal data: digits enough, or an at sign inside, and a fit start and end."""
@@ -103,7 +138,7 @@ class Window:
             for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
                 if j - i > 1 and self.spans[j - 1][0] - self.spans[j - 2][1] > 1 or "\n" in self.text[self.spans[i][0] : self.spans[j - 1][1]]:
                     break
-                if self.tokens[j - 1][0].isalnum() and (self.digits[j] - self.digits[i] >= 7 or self.signs[j] - self.signs[i] == 1 and j - i >= 5):
+                if self.tokens[j - 1][0].isalnum() and (self.digits[j] - self.digits[i] >= 7 or self.signs[j] - self.signs[i] == 1 and j - i >= 5 or self.quad(i, j)):
                     yield i, j
 
     def features(self, i: int, j: int) -> tuple[str, ...]:
@@ -127,11 +162,19 @@ class Window:
         if len(groups) == 4 and not letters:
             out.append(f"ip{all(len(t) <= 3 and int(t) <= 255 for t in tokens if t[0] in '0123456789') and tokens.count('.') == 3}")
         if letters:
-            out.append(f"at{'@' in tokens or 'at' in letters}dot{'.' in tokens or 'dot' in letters}end{tokens[-1].isalpha() and 2 <= len(tokens[-1]) <= 6}")
+            bare = any(t.lower() == "at" and not (k and tokens[k - 1] in "([{<") for k, t in enumerate(tokens))
+            form = bool(FORM.fullmatch(self.form(i, j)))
+            out.append(f"form{form}bare{bare}end{letters[-1] in ENDINGS}")
+            out.append(f"form{form}function{not FUNCTION_WORDS.isdisjoint(letters)}")
+            out.append(f"form{form}on{self.goes_on(i - 1, -1)}{self.goes_on(j, 1)}")
+        else:
+            out.append(f"zero{s[0] == '0'}{n}")
+            out.append(f"least{min(groups)}most{max(groups)}")
         before, after = self.text[a - 1 : a] if a else "", self.text[z : z + 1]
         out.append(f"glued{before.isalnum() or before in tuple('@_-.=+/')}{after.isalnum() or after in tuple('@_-=/')}")
-        near = WORD.findall(self.text[max(0, a - 24) : a].lower())[-3:]
-        out += [f"w{w}" for w in near]
+        near = WORD.findall(self.text[max(0, a - 32) : a].lower())[-4:]
+        cue = next((kind for w in reversed(near) for kind, words in CUES.items() if w in words), "none")
+        out += [f"cue{cue}", f"cue{cue}l{bool(letters)}z{s[0] == '0'}s{seps}"]
         return tuple(out)
 
 
@@ -227,31 +270,47 @@ def labelled_line(rng: random.Random) -> tuple[str, list[Span]]:
         return "".join(rng.choice("0123456789") for _ in range(n))
 
     def word() -> str:
-        return "".join(rng.choice(("an", "er", "the", "on", "re", "st", "in", "ou", "ti", "le", "de")) for _ in range(rng.randint(1, 4)))
+        return "".join(rng.choice(("an", "er", "the", "on", "re", "st", "in", "ou", "ti", "le", "de")) for _ in range(rng.randint(2, 4)))
+
+    def part() -> str:
+        return rng.choice((word(), word(), word() + digits(2)))
+
+    def cue_of(*kinds: str) -> str:
+        kind = rng.choice(kinds)
+        return rng.choice(sorted(CUES[kind])) + rng.choice(("", "", " me on", " us at", " number is", " him under", " is")) if kind else ""
 
-    area, middle, last = digits(3), digits(3), digits(4)
-    shape = rng.randrange(16)
-    cue = rng.choice(("", "", "", "call", "phone", "tel", "mobile"))
+    area, middle, last, kind = digits(3), digits(3), digits(4), None
+    ending = rng.choice(sorted(ENDINGS))
+    shape = rng.randrange(20)
     if shape < 4:
         body = rng.choice((f"({area}) {middle}-{last}", f"{area}-{middle}-{last}", f"{area}.{middle}.{last}", f"1-{area}-{middle}-{last}", f"({area}) {middle} {last}", f"{area} {middle} {last}"))
+        cue = cue_of("", "phone")
         kind = "phone" if cue or not re.fullmatch(r"[0-9 ]+", body) else None
-    elif shape < 6:
-        at, dot = rng.choice(((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "."), (" AT ", " DOT "), (" (at) ", " (dot) "), ("@", " . "), (" @ ", ".")))
-        body, kind = f"{word()}{at}{word()}{dot}{rng.choice(('com', 'org', 'net', 'de', 'fr', 'es', 'io'))}", "email"
-        cue = rng.choice(("", "mail", "email", "write", "contact"))
-    elif shape == 6:
-        body, kind, cue = f"{rng.randint(1, 255)} . {rng.randint(0, 255)} . {rng.randint(0, 255)} . {rng.randint(1, 255)}", "ip", rng.choice(("ip", "host", "address"))
-    elif shape == 7:
+    elif shape < 7:
+        body = rng.choice((
+            f"0{digits(4)} {digits(6)}", f"0{digits(2)} {digits(4)} {digits(4)}", f"0{digits(2)} {digits(7)}", f"0{digits(3)}/{digits(7)}", f"0{digits(3)}-{digits(6)}", f"0{digits(1)} {digits(2)} {digits(2)} {digits(2)} {digits(2)}",
+            f"{digits(2)} {digits(3)} {digits(2)} {digits(2)}", f"{digits(3)} {digits(2)} {digits(2)} {digits(2)}", f"0{digits(9)}",
+        ))
+        cue = cue_of("phone", "phone", "phone", "", "other")
+        kind = "phone" if any(w in CUES["phone"] for w in cue.split()) else None
+    elif shape < 10:
+        at, dot = rng.choice(((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "."), (" AT ", " DOT "), (" (at) ", " (dot) "), ("@", " . "), (" @ ", "."), (" {at} ", " {dot} "), ("(at)", "(dot)")))
+        body, kind = f"{part()}{rng.choice(('', '', dot + part(), '_' + part(), '-' + part()))}{at}{word()}{rng.choice(('', '', dot + word()))}{dot}{ending}", "email"
+        cue = cue_of("", "email")
+    elif shape == 10:
+        body, kind, cue = " . ".join(str(rng.randint(0, rng.choice((9, 99, 255)))) for _ in range(4)), "ip", cue_of("ip")
+    elif shape == 11:
         stem = digits(15)
         whole = next(stem + d for d in "0123456789" if luhn(stem + d))
-        body, kind, cue = ".".join(whole[k : k + 4] for k in range(0, 16, 4)), "card", rng.choice(("", "card", "visa"))
+        body, kind, cue = ".".join(whole[k : k + 4] for k in range(0, 16, 4)), "card", cue_of("", "card")
     else:
-        kind, cue = None, rng.choice(("", "order", "version", "no", "total", "on", "token"))
+        cue = cue_of("", "other")
         body = rng.choice((
             digits(rng.randint(7, 20)), f"{digits(4)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/{digits(4)}", f"{digits(1)}.{digits(2)}.{digits(5)}", f"{digits(5)}.{digits(4)}",
             "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(12, 40))), f"{digits(4)}-{digits(4)}", f"{digits(3)},{digits(3)},{digits(3)}", f"look at {word()} {word()}", f"{word()} at the {word()}. {word().title()}",
             f"{digits(2)}:{digits(2)}:{digits(2)}.{digits(3)}", f"{digits(8)}-{digits(4)}-{digits(4)}", f"@{word()}", f"{digits(3)} {digits(3)} {digits(3)} {digits(3)} {digits(3)} {digits(3)}", f"{digits(1)}.{digits(1)}.{digits(1)}-{digits(6)}", f"{digits(2)} {digits(3)} {digits(4)} {digits(2)}",
-            ".".join(digits(4) for _ in range(4)),
+            ".".join(digits(4) for _ in range(4)), f"978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"00{digits(8)}", f"{digits(1)} {digits(3)} {digits(3)}", f"{digits(4)} {digits(6)}", f"{digits(2)} {digits(3)} 000",
+            f"{word()} at the dot {ending} {word()}", f"{word()} at {word()} dot by {word()}", f"{word()} {digits(2)} at {digits(1)} dot {digits(2)} in the {word()}", f"{word()} at {word()} dot {word()} {word()}", " . ".join(digits(3) for _ in range(3)),
         ))
     head = " ".join(word() for _ in range(rng.randint(0, 4))) + (f" {cue}" if cue else "") + rng.choice((" ", ": ", " = ", " "))
     tail = rng.choice((" ", ". ", ", ", " ### ")) + " ".join(word() for _ in range(rng.randint(0, 3)))
@@ -259,7 +318,7 @@ def labelled_line(rng: random.Random) -> tuple[str, list[Span]]:
 
 
 @cache
-def train(lines: int = 1500, epochs: int = 4, seed: int = 11) -> SemiMarkov:
+def train(lines: int = 2400, epochs: int = 4, seed: int = 11) -> SemiMarkov:
     """Fit the weights to generated lines; the same arguments give the same weights."""
     rng, model, examples = random.Random(seed), SemiMarkov(), []
     for _ in range(lines):
