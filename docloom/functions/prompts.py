@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,3 +29,27 @@ def attachments(images: Column, documents: Column) -> Column:
     """"2 screenshots and 1 PDF", or null without either."""
     both = F.concat_ws(" and ", counted(images, "screenshot"), counted(documents, "PDF"))
     return F.when(both != "", both)
+
+
+def rulebook_block(rulebooks: Column) -> Column:
+    """Rulebooks (array of structs position, name, content) in order, each whole inside its tag."""
+    one = lambda r: F.concat(F.lit("<rulebook file=\"references/"), r["name"], F.lit("\">\n"), r["content"], F.lit("\n</rulebook>"))
+    return F.array_join(F.transform(F.array_sort(rulebooks), one), "\n\n")
+
+
+def audit_message(images: Column, documents: Column, journey: Column, description: Column) -> Column:
+    """What goes with an audit request: attachments, journey (null or "auto": to be found), description, and whether there
+    is nothing to look at; paragraphs by an empty line, absent ones left out."""
+    held, told = attachments(images, documents), F.trim(F.coalesce(description, F.lit("")))
+    named = F.coalesce(journey, F.lit("")).isin("", "auto")
+    return F.concat_ws(
+        "\n\n", F.concat(F.lit("Attached: "), held, F.lit(". Look at every screen.")),
+        F.when(named, "Find the journey from the artifacts and load its rulebooks.").otherwise(F.concat(F.lit("Journey: **"), journey, F.lit("**. Load its rulebook and any other that the screens touch; the checklist always runs."))),
+        F.when(told != "", F.concat(F.lit("Description:\n\"\"\"\n"), told, F.lit("\n\"\"\""))),
+        F.when(held.isNull(), "No images are attached: say what the description confirms and what cannot be seen."), F.lit("Submit the whole scorecard once."),
+    )
+
+
+def fill_vocabularies(template: str, vocabularies: dict[str, tuple[str, ...]]) -> str:
+    """A template with each `{{ name | join(', ') }}` replaced by the vocabulary of that name; an unknown name is an error."""
+    return re.sub(r"\{\{\s*(\w+)\s*\|\s*join\(', '\)\s*\}\}", lambda m: ", ".join(vocabularies[m[1]]), template)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom import config
+from docloom.functions import prompts
 from docloom.operators import ledger, models, obligations, scorecards
 from docloom.plans.registry import Tables, query
 from docloom.sources import readers, rules
@@ -269,3 +270,57 @@ def judged_answers(t: Tables) -> DataFrame:
     verdict = F.when(F.col("clause_id") % 4 == 0, "entailed").when(F.col("clause_id") % 4 == 1, "contradicted")
     verdicts = kept.where("clause_id % 4 < 3").select("obligation_id", verdict.alias("entailment"))
     return obligations.judge(kept, verdicts).select("clause_id", "entailment")
+
+
+AUDITS = """SELECT CAST(o_orderkey AS BIGINT) AS audit_id, CASE o_custkey % 5 WHEN 0 THEN 'Securities / broker & adviser app' WHEN 1 THEN 'Embedded insurance attach' WHEN 2 THEN 'auto' WHEN 3 THEN 'Data consent / permissions / privacy' ELSE 'Complaint / grievance / support' END AS one,
+  CASE o_custkey % 3 WHEN 0 THEN 'Loan onboarding / offer / sanction / disbursal' WHEN 1 THEN 'Embedded insurance attach' END AS two FROM {orders}"""
+
+
+@query(f"""WITH j(journey, rulebook) AS (VALUES ('Securities / broker & adviser app', 'securities-journey.md'), ('Loan onboarding / offer / sanction / disbursal', 'loan-journey.md'), ('Embedded insurance attach', 'insurance-journey.md'), ('Data consent / permissions / privacy', 'consent-dpdp.md'), ('Complaint / grievance / support', 'grievance-journey.md'))
+SELECT audit_id, rulebook FROM ({AUDITS}) a JOIN j ON j.journey = a.one OR j.journey = a.two GROUP BY ALL UNION ALL SELECT audit_id, 'dark-patterns.md' FROM ({AUDITS})""")
+def audit_rulebooks(t: Tables) -> DataFrame:
+    """The rulebooks that each audit loads."""
+    return rules.rulebooks_of(t.sql(AUDITS).select("audit_id", F.array("one", "two").alias("journeys")), rules.journeys(t.spark))
+
+
+@query(f"SELECT audit_id, position, CASE severity WHEN 'red' THEN 'Violation' ELSE 'Risk' END AS title, array_to_string(list_filter([CASE WHEN rule = '' THEN 'rule' END, CASE WHEN fix IS NULL THEN 'fix' END], lambda x: x IS NOT NULL), ',') AS lacks FROM ({FINDINGS}) WHERE severity IN ('red', 'yellow') AND (rule = '' OR fix IS NULL)")
+def incomplete_findings(t: Tables) -> DataFrame:
+    return rules.incomplete_findings(t.sql(FINDINGS), rules.severity_meanings(t.spark))
+
+
+@query(f"SELECT level, count(*) AS findings, CASE level WHEN 'Flow' THEN 'sequencing and structure' WHEN 'Screen' THEN 'each screen' ELSE 'each button, checkbox, field and link' END AS meaning FROM ({FINDINGS}) GROUP BY level")
+def findings_by_level(t: Tables) -> DataFrame:
+    return t.sql(FINDINGS).groupBy("level").agg(F.count("*").alias("findings")).join(rules.level_meanings(t.spark).select("level", "meaning"), "level")
+
+
+SHOWN = """SELECT CAST(o_orderkey AS BIGINT) AS audit_id, CASE o_custkey % 4 WHEN 0 THEN 'Plan chooser' WHEN 1 THEN 'Consent' WHEN 2 THEN 'Payment/confirm' ELSE 'Other' END AS screen,
+  CASE o_custkey % 3 WHEN 0 THEN 'no pre-selection' WHEN 1 THEN 'optionality line' ELSE 'net disbursal shown' END AS item FROM {orders}"""
+
+
+@query(f"""WITH d(screen, missing) AS (VALUES ('Plan chooser', '₹0 option equal-styled'), ('Plan chooser', 'no pre-selection'), ('Plan chooser', 'per-tier pricing'), ('Consent', 'Individual per product'), ('Consent', 'affirmative action'), ('Consent', 'optionality line'), ('Payment/confirm', 'Premium matches KFS'), ('Payment/confirm', 'net disbursal shown'))
+SELECT audit_id, screen, missing FROM ({SHOWN}) JOIN d USING (screen) WHERE item <> missing""")
+def screen_gaps(t: Tables) -> DataFrame:
+    """What insurance screens lack of what they must have."""
+    return rules.screen_gaps(t.sql(SHOWN).withColumn("present", F.array("item")), rules.insurance_screens(t.spark))
+
+
+@query("""SELECT position, standard, ui_test FROM (VALUES (1, 'Free', 'Declining doesn''t punish the user beyond losing the specific feature'), (2, 'Specific', 'One consent per purpose, purpose named in the consent line'), (3, 'Informed', 'Notice before/with the ask: what data, why, who it''s shared with, rights, how to complain'),
+  (4, 'Unconditional', 'Loan/service not conditioned on consent for unrelated processing (marketing, cross-sell)'), (5, 'Unambiguous + affirmative', 'Untouched checkbox / explicit tap; silence ≠ consent')) v(position, standard, ui_test)""")
+def consent_standard_table(t: Tables) -> DataFrame:
+    return rules.consent_standard(t.spark)
+
+
+@query("""SELECT mime, models FROM (VALUES ('image/png', 4), ('image/jpeg', 4), ('image/webp', 4), ('image/gif', 4), ('application/pdf', 2)) v(mime, models)""")
+def public_models_accepting(t: Tables) -> DataFrame:
+    """Of the seven listed models, how many that are available accept each type."""
+    return models.models_accepting(rules.public_models(t.spark)).select("mime", F.size(F.split("models", ",")).alias("models"))
+
+
+REQUESTED = "SELECT CAST(o_orderkey AS BIGINT) AS request, CAST(o_custkey % 3 AS INT) AS images, CAST(o_custkey % 2 AS INT) AS documents, CASE o_custkey % 5 WHEN 0 THEN 'auto' WHEN 1 THEN 'Loan' END AS journey, CASE o_custkey % 4 WHEN 0 THEN '  ' WHEN 1 THEN ' the flow ' END AS description FROM {orders}"
+
+
+@query(f"""SELECT request, concat_ws(chr(10) || chr(10), 'Attached: ' || nullif(concat_ws(' and ', CASE images WHEN 1 THEN '1 screenshot' WHEN 2 THEN '2 screenshots' END, CASE documents WHEN 1 THEN '1 PDF' END), '') || '. Look at every screen.',
+  CASE WHEN journey = 'Loan' THEN 'Journey: **Loan**. Load its rulebook and any other that the screens touch; the checklist always runs.' ELSE 'Find the journey from the artifacts and load its rulebooks.' END, CASE WHEN description = ' the flow ' THEN 'Description:' || chr(10) || '\"\"\"' || chr(10) || 'the flow' || chr(10) || '\"\"\"' END,
+  CASE WHEN images + documents = 0 THEN 'No images are attached: say what the description confirms and what cannot be seen.' END, 'Submit the whole scorecard once.') AS message FROM ({REQUESTED})""")
+def audit_messages(t: Tables) -> DataFrame:
+    return t.sql(REQUESTED).select("request", prompts.audit_message(*[F.col(c) for c in ("images", "documents", "journey", "description")]).alias("message"))

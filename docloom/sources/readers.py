@@ -20,7 +20,7 @@ def read_pages(spark: SparkSession, path: str, kind: str = "parquet") -> DataFra
 
 def read_text_documents(spark: SparkSession, path: str, pattern: str = "*.txt", recursive: bool = True) -> DataFrame:
     """Pages of whole text files, cut at form feeds; the document's name is the file's stem."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
     stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
     pages = files.select(stem.alias("doc_id"), F.posexplode(F.split("value", FORM_FEED, -1)).alias("k", "text"))
     return pages.select("doc_id", (F.col("k") + 1).cast("int").alias("page_no"), "text", F.lit(None).cast("array<array<array<string>>>").alias("tables"))
@@ -46,7 +46,7 @@ def isolate_failures(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_rulebooks(spark: SparkSession, folder: str, order: list[str]) -> DataFrame:
     """position, name and content of rule texts, in the order given; a file that is not there is an error."""
-    files = spark.read.option("wholetext", "true").text([f"{folder}/{name}" for name in order])
+    files = spark.read.text([f"{folder}/{name}" for name in order], wholetext=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     places = F.array_position(F.array(*[F.lit(n.split("/")[-1]) for n in order]), name)
     return files.select(places.cast("int").alias("position"), name.alias("name"), F.col("value").alias("content")).orderBy("position")

@@ -1,11 +1,14 @@
 """Documents, clauses, contents, registers, budgets and scorecards on small tables."""
 
+import hashlib
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from docloom import config
+from docloom import config, schemas
+from docloom.functions import prompts
 from docloom.operators import clauses, contents, coverage, documents, ledger, models, registers, scorecards
 from docloom.sources import readers, writers
 
@@ -203,3 +206,28 @@ def test_coverage_of_nothing_is_zero(spark):
     gaps = spark.createDataFrame([("d", 3), ("d", 3), ("d", 1)], "doc_id string, page int")
     r = coverage.manifest(pages, index, spans, gaps).first()
     assert (r.pages_parsed, r.section_recall, r.gap_pages) == (0, 0.0, "1,3")
+
+
+def test_readers_of_files(spark, tmp_path):
+    for name, content in (("b.md", "second"), ("a.md", "first\nline")):
+        (tmp_path / name).write_text(content)
+    books = readers.read_rulebooks(spark, str(tmp_path), ["b.md", "a.md"])
+    assert [tuple(r) for r in books.collect()] == [(1, "b.md", "second"), (2, "a.md", "first\nline")]
+    block = books.groupBy().agg(prompts.rulebook_block(F.collect_list(F.struct("position", "name", "content"))).alias("x")).first().x
+    assert block == '<rulebook file="references/b.md">\nsecond\n</rulebook>\n\n<rulebook file="references/a.md">\nfirst\nline\n</rulebook>'
+    with pytest.raises(Exception, match="c.md"):
+        readers.read_rulebooks(spark, str(tmp_path), ["c.md"]).collect()
+    files = [(r.path.rsplit("/", 1)[-1], r.size, r.sha256) for r in readers.list_documents(spark, str(tmp_path), "*.md").collect()]
+    assert files == [(n, len(c), hashlib.sha256(c).hexdigest()) for n, c in (("a.md", b"first\nline"), ("b.md", b"second"))]
+    with pytest.raises(FileNotFoundError):
+        readers.require_documents(spark.createDataFrame([], "path string"))
+    (tmp_path / "models.json").write_text('{"models": [\n{"id": "x", "available": true},\n{"id": "y"}]}')
+    assert [(r.position, r.id) for r in readers.read_models(spark, str(tmp_path / "models.json")).collect()] == [(0, "x"), (1, "y")]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "doc.one.txt").write_text("line\nnext\fpage two")
+    assert sorted(tuple(r)[:3] for r in readers.read_text_documents(spark, str(tmp_path)).collect()) == [("doc.one", 1, "line\nnext"), ("doc.one", 2, "page two")]
+    (tmp_path / "c.yaml").write_text("budget: {per_run: 5}\n")
+    assert config.load_config(tmp_path / "c.yaml") == {"budget": {"per_run": 5}}
+    assert prompts.fill_vocabularies("one of: {{ criticality | join(', ') }}.", {"criticality": schemas.CRITICALITY}) == "one of: binding, advisory."
+    with pytest.raises(KeyError):
+        prompts.fill_vocabularies("{{ other | join(', ') }}", {})
