@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, decontaminate, html_text, ngram_join, pii, secrets, sharding, topk, toxicity
+from docloom.llm import bpe, chat, decontaminate, delta_lloyd, html_text, ngram_join, pii, secrets, sharding, topk, toxicity
 from docloom.llm.common import table
 
 
@@ -83,6 +83,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_records(*reply_traffic(chat.read_turns(table(spark, sf_dir, "conversations"))), schemas)
 
 
+def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delta_lloyd.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
@@ -141,9 +145,45 @@ FROM j
 """
 
 
+def _rounds(rounds: int) -> str:
+    """Lloyd's rounds one after the other: `a` has each vector's least distance * 8 + centroid, `c` the centroids."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT v.vec_id, min(CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) * 8 + c.k) AS best
+  FROM v CROSS JOIN c{k} c GROUP BY v.vec_id
+)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (
+  SELECT k, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY pos) AS x FROM (
+    SELECT a.best % 8 AS k, u.pos, sum(u.value) AS s, count(*) AS n FROM a{k} a JOIN u USING (vec_id) GROUP BY ALL
+  ) GROUP BY k
+), c{k + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (k)
+)""")
+    return ", ".join(steps)
+
+
+OP13_SQL = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), u AS MATERIALIZED (
+  SELECT vec_id, unnest(x) AS value, unnest(range(64)) AS pos FROM v
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS k, x FROM v ORDER BY k LIMIT 8
+), {_rounds(10)}, d AS (
+  SELECT vec_id, best % 8 AS k, best // 8 AS distance FROM a10
+)
+SELECT vec_id, CAST(d.k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY d.k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM d JOIN c10 c ON c.k = d.k
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_secrets, op4_decontaminate, op5_byte_bpe, op6_kd_shards, op7_ngram_join, op8_pii, op9_top_k, op10_chat)}
+    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_secrets, op4_decontaminate, op5_byte_bpe, op6_kd_shards, op7_ngram_join, op8_pii, op9_top_k, op10_chat, op13_delta_lloyd)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_top_k": OP9_SQL, "op10_chat": OP10_SQL}
+    return {"op9_top_k": OP9_SQL, "op10_chat": OP10_SQL, "op13_delta_lloyd": OP13_SQL}
