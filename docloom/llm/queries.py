@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, decontaminate, delta_lloyd, html_text, ngram_join, periodic_runs, pii, secrets, sharding, topk, toxicity
+from docloom.llm import bpe, chat, decontaminate, delta_lloyd, html_text, language_id, ngram_join, periodic_runs, pii, secrets, sharding, topk, toxicity
 from docloom.llm.common import table
 
 
@@ -87,6 +87,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delta_lloyd.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -186,7 +190,7 @@ FROM d JOIN c10 c ON c.k = d.k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_secrets, op4_decontaminate, op5_byte_bpe, op6_kd_shards, op7_ngram_join, op8_pii, op9_top_k, op10_chat, op11_periodic_runs, op13_delta_lloyd)}
+    return {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_secrets, op4_decontaminate, op5_byte_bpe, op6_kd_shards, op7_ngram_join, op8_pii, op9_top_k, op10_chat, op11_periodic_runs, op12_language_id, op13_delta_lloyd)}
 
 
 def oracle_sql() -> dict[str, str]:
