@@ -5,7 +5,9 @@ For a query all lists are read in order, from the end that is best for it, some
 gives each vector a lower bound (unread lists count with their worst value) and an upper bound (unread lists count with
 the value at the reading position), and gives those not met yet one upper bound in common. A vector whose upper bound
 is under the k-th best lower bound, or under a score that k others are known to reach, cannot qualify and is set aside;
-reading stops when at most `resolve` are left, whose final scores are then resolved.
+reading stops when no outsider can qualify, that is when k are left, or at the lists' ends; then final scores are
+resolved. Blocks of every size and values of every size are read so. Bounds are doubles; where sums reach 2^53 they get
+a margin for rounding, and final scores are whole numbers of any size.
 
 Queries and blocks meet in two passes by shuffle, so a task holds one block and one part of the queries, and nothing is
 broadcast. The first pass takes each query to its own block, which gives it a floor: the score of its k-th best there.
@@ -61,7 +63,7 @@ class SortedLists:
         sums = (sum(int(x) * c for x, c in zip(row, whole, strict=True)) for row in self.rows[some].tolist())
         return np.array([min(max(s, LEAST), MOST) for s in sums], np.int64)
 
-    def top(self, query: np.ndarray, own: int, k: int, floor: int = LEAST, resolve: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def top(self, query: np.ndarray, own: int, k: int, floor: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
         """(identifiers, scores) of the k best rows but those with the query's own identifier.
 
         Rows under `floor` are left out.
@@ -73,8 +75,7 @@ class SortedLists:
             most = float(np.sum(np.abs(query) * np.maximum(np.abs(self.values[:, 0]), np.abs(self.values[:, -1]))))
         self.read = 0
         exact = most < 2**53
-        if exact:
-            alive = self._alive(query, alive, k, floor, max(k, resolve))
+        alive = self._alive(query, alive, k, floor, 0.0 if exact else most * 2.0**-40)
         scores = self._resolve(alive, query, exact)
         if len(alive) > 4 * k:  # rank only what can be among the k best, ties included
             near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
@@ -84,8 +85,8 @@ class SortedLists:
         order = np.lexsort((self.ids[alive], -scores))[:k]
         return self.ids[alive][order], scores[order]
 
-    def _alive(self, query: np.ndarray, alive: np.ndarray, k: int, floor: int, enough: int) -> np.ndarray:
-        """Places of rows that can still qualify when reading stops; all sums are whole and below 2^53."""
+    def _alive(self, query: np.ndarray, alive: np.ndarray, k: int, floor: int, margin: float) -> np.ndarray:
+        """Places of rows that can still qualify when reading stops; bounds may be off by `margin` (0: exact)."""
         m, n = self.rows.shape
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
         worst = np.zeros(n)
@@ -95,7 +96,7 @@ class SortedLists:
         unseen[:, up] = unseen[:, down] = 1.0
         step = max(1, math.ceil(m / READS))
         edge = np.zeros(n)
-        while self.read < m and len(alive) > enough:
+        while self.read < m and len(alive) > k:
             a, z = self.read, min(m, self.read + step)
             for lists, part, last in ((up, slice(m - z, m - a), m - z), (down, slice(a, z), z - 1)):
                 cells = self.cells[lists, part]
@@ -108,7 +109,7 @@ class SortedLists:
             more = edge - worst
             high = mine + ((unseen @ more)[alive] if 4 * len(alive) > m else unseen[alive] @ more)
             bar = float(floor) if len(alive) < k else max(float(floor), np.partition(mine, len(mine) - k)[len(mine) - k])
-            alive = alive[high >= bar]
+            alive = alive[~(high < bar - margin)]  # what is no number stays
         return alive
 
 
@@ -170,7 +171,7 @@ def _other_blocks(queries: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
     return pairs.select("id", F.struct("n", "b").alias("block")).join(queries.drop("home"), "id")
 
 
-def _search(pairs: DataFrame, rows: DataFrame, k: int, query_rows: int, resolve: int) -> DataFrame:
+def _search(pairs: DataFrame, rows: DataFrame, k: int, query_rows: int) -> DataFrame:
     """query_id, vec_id and score of the k best of each (query, block) of `pairs` (id, x, floor, block)."""
     parts = pairs.groupBy("block").agg(F.ceil(F.count("*") / query_rows).alias("parts"))
     asked = pairs.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), "parts"))
@@ -181,7 +182,7 @@ def _search(pairs: DataFrame, rows: DataFrame, k: int, query_rows: int, resolve:
         if len(found) and len(asked):
             lists = SortedLists(found["vec_id"].to_numpy(), np.stack(found["v"].to_numpy()))
             for own, x, floor in zip(asked["id"], asked["x"], asked["floor"], strict=True):
-                ids, scores = lists.top(x, own, k, floor, resolve)
+                ids, scores = lists.top(x, own, k, floor)
                 out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
         return pd.concat(out)
 
@@ -191,18 +192,18 @@ def _search(pairs: DataFrame, rows: DataFrame, k: int, query_rows: int, resolve:
 
 def exact_top_k(
     vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = 1024,
-    block_rows: int = 8192, query_rows: int = 4096, resolve: int = 512,
+    block_rows: int = 8192, query_rows: int = 4096,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best candidates of every query."""
     read = vectors.select(F.col(id_col).cast("bigint").alias("id"), usable(vector_col, scale).alias("x"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id is not null and x is not null")
     rows = store(_blocks(read, block_rows), "vectors").df
     queries = rows.where("q").groupBy("id").agg(F.min(F.struct("x", "block")).alias("least")).select("id", "least.x", F.col("least.block").alias("home"))
-    near = store(_search(queries.select("id", "x", F.lit(LEAST).alias("floor"), F.col("home").alias("block")), rows, k, query_rows, resolve), "near").df
+    near = store(_search(queries.select("id", "x", F.lit(LEAST).alias("floor"), F.col("home").alias("block")), rows, k, query_rows), "near").df
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     floors = near.withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
     known = store(queries.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(LEAST))), "asked").df
     parts = max(1, math.ceil(known.count() / query_rows))
-    far = _search(_other_blocks(known, rows, parts), rows, k, query_rows, resolve)
+    far = _search(_other_blocks(known, rows, parts), rows, k, query_rows)
     # A block gives at most k rows of a query, and far blocks only those that reach its floor.
     best = near.union(far).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")

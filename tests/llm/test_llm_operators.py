@@ -670,12 +670,37 @@ def test_reading_stops_before_the_lists_end():
     assert 30 <= lists.read <= 2 * len(x) // topk.READS  # the thirty lead every list
     for floor in (None, int(np.sort(x.sum(1))[-60])):
         for query in (rng.integers(-3, 4, 8), np.array([0, 0, 1, 0, 0, -1, 0, 0]), np.zeros(8, int)):
-            ids, scores = lists.top(query, 17, 10, topk.LEAST if floor is None else floor, 0)
+            ids, scores = lists.top(query, 17, 10, topk.LEAST if floor is None else floor)
             whole = x @ query
             want = [k for k in np.lexsort((np.arange(len(x)), -whole)) if k != 17 and (floor is None or whole[k] >= floor)][:10]
             assert ids.tolist() == want and scores.tolist() == whole[want].tolist()
 
 
+def test_lists_of_every_block_are_read():
+    """Blocks of any size over k, values beyond doubles, and all vectors of the smallest folders."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(3)
+    for m, span in ((12, 100), (500, 100), (500, 1 << 30), (2000, 1 << 30), (700, 1 << 52)):
+        x = rng.integers(-span, span, (m, 8)).astype(np.float64)
+        lists = topk.SortedLists(np.arange(m), x)
+        for _ in range(5):
+            query = rng.integers(-span, span, 8)
+            ids, scores = lists.top(query, 3, 10)
+            whole = [sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in x]
+            want = sorted((k for k in range(m) if k != 3), key=lambda k: (-min(max(whole[k], topk.LEAST), topk.MOST), k))[:10]
+            assert ids.tolist() == want and scores.tolist() == [min(max(whole[k], topk.LEAST), topk.MOST) for k in want]
+            assert lists.read > 0
+    rows = pq.read_table("/root/testdata/sf0.01/embeddings.parquet").sort_by("vec_id")
+    x = np.floor(1024 * np.stack(rows["embedding"].to_numpy()).astype(np.float64))
+    ids = rows["vec_id"].to_numpy()
+    lists = topk.SortedLists(ids, x)
+    for k in np.flatnonzero(ids % 100 == 0):
+        got, _ = lists.top(x[k], ids[k], 10)
+        order = np.lexsort((ids, -(x @ x[k])))
+        assert got.tolist() == [int(i) for i in ids[order] if i != ids[k]][:10] and lists.read > 0
+
+
 def test_blocks_that_cannot_reach_are_not_read(spark):
     rng = np.random.default_rng(4)
     near = rng.integers(900, 1000, (50, 6)) * [1, 0, 0, 0, 0, 0] + rng.integers(0, 3, (50, 6))
