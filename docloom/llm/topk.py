@@ -109,7 +109,8 @@ class SortedLists:
             more = edge - worst
             high = mine + ((unseen @ more)[alive] if 4 * len(alive) > m else unseen[alive] @ more)
             bar = float(floor) if len(alive) < k else max(float(floor), np.partition(mine, len(mine) - k)[len(mine) - k])
-            alive = alive[~(high < bar - margin)]  # what is no number stays
+            bar = min(bar, float(MOST)) - margin if bar > LEAST + margin else -np.inf  # scores beyond 64 bits count as equal
+            alive = alive[~(high < bar)]  # what is no number stays
         return alive
 
 
