@@ -36,8 +36,9 @@ from pyspark.sql.window import Window
 
 from docloom.llm.common import store
 
-#: Reading positions at which bounds are compared, to each list.
+#: Shares (of sixteenths) of each list that are read when bounds are compared.
 READS = 16
+STOPS = (1, 2, 4, 8, 10, 12, 14, 16)
 #: Blocks whose ends of lists a task compares with a part of the queries.
 GROUP = 4096
 LEAST, MOST = -(2**63), 2**63 - 1
@@ -54,6 +55,7 @@ class SortedLists:
         self.places = np.ascontiguousarray(places.T)
         self.cells = self.places * rows.shape[1] + np.arange(rows.shape[1])[:, None]  # of a table of rows by dimensions
         self.read = 0  # entries of each list that the last query read
+        self.unseen = np.empty(rows.shape)  # 1 where a row's entry in a list is not read yet; made anew for each query
 
     def _resolve(self, some: np.ndarray, query: np.ndarray, exact: bool) -> np.ndarray:
         """Final scores; whole numbers that doubles may not hold are multiplied as such."""
@@ -92,12 +94,13 @@ class SortedLists:
         worst = np.zeros(n)
         worst[up], worst[down] = self.values[up, 0] * query[up], self.values[down, -1] * query[down]
         low = np.full(m, worst.sum())
-        unseen = np.zeros((m, n))
-        unseen[:, up] = unseen[:, down] = 1.0
-        step = max(1, math.ceil(m / READS))
+        unseen = self.unseen
+        unseen.fill(1.0)  # lists of a zero weight are never read, but add nothing
         edge = np.zeros(n)
-        while self.read < m and len(alive) > k:
-            a, z = self.read, min(m, self.read + step)
+        for stop in STOPS:
+            a, z = self.read, max(1, math.ceil(m * stop / READS))
+            if len(alive) <= k or z == a:
+                continue
             for lists, part, last in ((up, slice(m - z, m - a), m - z), (down, slice(a, z), z - 1)):
                 cells = self.cells[lists, part]
                 gain = self.values[lists, part] * query[lists, None] - worst[lists, None]
