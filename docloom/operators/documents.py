@@ -38,6 +38,19 @@ def full_text(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text"))
 
 
+def slices(pages: DataFrame) -> DataFrame:
+    """`pages` with their document's full text in `whole` and what their offsets cut out of it in `slice`.
+
+    One aggregate puts a document's text together in page order and keeps its pages beside it, so the text is not joined
+    to each page; a document is one group, a corpus never is. A null text is an empty page. Pages have doc_id, page_no,
+    text and char_start; other columns are left out.
+    """
+    page = F.struct("page_no", "char_start", "text")
+    whole = F.expr("listagg(coalesce(text, ''), '') within group (order by page_no)")
+    cut = F.transform("_pages", lambda p: p.withField("slice", F.substring("whole", (p["char_start"] + 1).cast("int"), F.coalesce(F.length(p["text"]), F.lit(0)))))
+    return pages.groupBy("doc_id").agg(whole.alias("whole"), F.collect_list(page).alias("_pages")).withColumn("_page", F.explode(cut)).select("doc_id", "_page.*", "whole")
+
+
 def page_of(offsets: DataFrame, pages: DataFrame) -> DataFrame:
     """`offsets` (doc_id, offset) with page_no: the page that holds it, else the document's last page.
 

@@ -10,6 +10,21 @@ def _only(fields: list[str]):
     return lambda row: F.struct(*[row[c].alias(c) for c in fields])
 
 
+def blocks(documents: DataFrame, tables: dict[str, tuple[DataFrame, tuple[str, ...], str]]) -> DataFrame:
+    """One row for each document with an array of each table's rows: name -> (table, order, row type as DDL).
+
+    A block that a document lacks is an empty array, not a null.
+    """
+    out = documents.select("doc_id")
+    for name, (table, order, ddl) in tables.items():
+        empty = F.from_json(F.lit("[]"), f"array<struct<{ddl}>>")
+        fields = table.sparkSession.createDataFrame([], ddl).columns
+        row = F.struct(*[F.col(c).alias(f"_{c}") for c in order], *fields)
+        listed = table.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias(name))
+        out = out.join(listed.select("doc_id", F.transform(name, _only(fields)).alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, empty))
+    return out
+
+
 def ground_truth(documents: DataFrame, index: DataFrame, changes: DataFrame, appendix: DataFrame) -> DataFrame:
     """One row for each document with three arrays; a block that a document lacks is an empty array, not a null."""
     out = documents.select("doc_id")
