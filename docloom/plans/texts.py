@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.config import KEYTERM_FUZZ
 from docloom.functions import deadlines as D
 from docloom.functions import gate as G
 from docloom.functions import text as X
 from docloom.functions.fuzzy import partial_ratio, ratio
 from docloom.operators import documents as docs
+from docloom.operators import fuzzy_join
 from docloom.operators import obligations as ob
 from docloom.plans.registry import Tables, query
 from docloom.sources.synthetic import CLAUSE_LINES, OBLIGATIONS, PAGES, SENTENCES
@@ -225,11 +227,54 @@ def keyterm_exact(t: Tables) -> DataFrame:
     return told.select("doc_id", "section_no", "rn", "l_partkey", F.size("a").cast("bigint").alias("needles"), "hits", G.keyterm_ok(F.col("a"), F.col("b"), F.col("hits")).alias("keyterm_ok"))
 
 
-@query()
+def _subsequences(pairs: str) -> str:
+    """CTEs that end in lcs(a, b, n): longest common subsequences of the distinct (a, b) of `pairs`, b read one character a step.
+
+    Bits of a machine word stand for the characters of a (62 at most); a table holds where each character stands in a.
+    """
+    return f"""p AS MATERIALIZED (SELECT DISTINCT a, b FROM ({pairs})), q AS MATERIALIZED (SELECT a, ch, CAST(sum(CAST(1 AS BIGINT) << CAST(i AS INTEGER)) AS BIGINT) AS mask FROM (SELECT a, unnest(range(0, CAST(length(a) AS BIGINT))) AS i, unnest(string_split(a, '')) AS ch FROM (SELECT DISTINCT a FROM p)) GROUP BY a, ch),
+r AS (SELECT a, b, CAST(1 AS BIGINT) AS k, (CAST(1 AS BIGINT) << CAST(length(a) AS INTEGER)) - 1 AS state, CAST(length(b) AS BIGINT) AS n FROM p UNION ALL
+  SELECT a, b, k + 1, ((state + hit) | (state - hit)) & ((CAST(1 AS BIGINT) << CAST(length(a) AS INTEGER)) - 1), n FROM (SELECT r.a, r.b, r.k, r.state, r.n, r.state & coalesce(q.mask, 0) AS hit FROM r LEFT JOIN q ON q.a = r.a AND q.ch = substr(r.b, r.k, 1) WHERE r.k <= r.n)),
+lcs AS MATERIALIZED (SELECT a, b, length(a) - bit_count(state) AS n FROM r WHERE k = n + 1)"""
+
+
+FUZZY = f"""g AS MATERIALIZED (SELECT *, row_number() OVER () AS id FROM ({GATED})), {_subsequences("SELECT a, b FROM (SELECT DISTINCT unnest(needles) AS a FROM g) CROSS JOIN (SELECT DISTINCT unnest(hay) AS b FROM g)")},
+m AS MATERIALIZED (SELECT a, list(b) AS near FROM lcs WHERE 200.0 * n / (length(a) + length(b)) >= 82 GROUP BY a), h AS (SELECT id, count(*) AS found FROM (SELECT id, hay, unnest(needles) AS a FROM g) JOIN m USING (a) WHERE list_has_any(hay, near) GROUP BY id),
+f AS (SELECT g.*, coalesce(found, 0) AS near FROM g LEFT JOIN h USING (id))"""
+
+
+@query(f"""WITH RECURSIVE {FUZZY}, s AS (SELECT *, {KEYTERM.replace("hits", "near")} AS keyterm_ok, {MODAL} AS modal FROM f)
+SELECT keyterm_ok, CASE WHEN entailment = 'contradicted' OR NOT span_ok THEN 'rejected' WHEN keyterm_ok AND modal AND entailment = 'entailed' AND confidence >= 0.8 THEN 'auto_accepted' ELSE 'needs_review' END AS review_status, count(*) AS n FROM s GROUP BY 1, 2""")
 def keyterm_fuzzy(t: Tables) -> DataFrame:
     return ob.evaluate(_judged(t), fuzzy=True).groupBy("keyterm_ok", "review_status").agg(F.count("*").alias("n"))
 
 
+def _keyed_words(t: Tables) -> DataFrame:
+    """Obligations by a key, with their salient words and those of the cited text."""
+    span = G.span_ok(F.col("char_start"), F.col("char_end"), F.col("document"))
+    cited = F.when(span, F.substring(F.col("document"), F.col("char_start").cast("int") + 1, (F.col("char_end") - F.col("char_start")).cast("int"))).otherwise("")
+    words = _judged(t).withColumns({"key": F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("rn").cast("string")), "cited": cited})
+    return words.select("key", X.salient(X.normalise_native(F.col("action_required"))).alias("needles"), F.array_distinct(X.salient(X.normalise_native(F.col("cited")))).alias("words"))
+
+
+@query(f"WITH RECURSIVE {FUZZY} SELECT l_orderkey || '/' || rn AS key, CAST(len(needles) AS BIGINT) AS needles, CAST(near AS BIGINT) AS hits FROM f")
+def keyterm_fuzzy_join(t: Tables) -> DataFrame:
+    """Needles of every obligation that are similar to a word of its cited text, by a join of words."""
+    return fuzzy_join.fuzzy_hits(_keyed_words(t), "key", "needles", "words", KEYTERM_FUZZ).select("key", F.size("needles").cast("bigint").alias("needles"), "hits")
+
+
+@query(f"""WITH RECURSIVE w AS MATERIALIZED (SELECT DISTINCT lower(c.word) AS a FROM (SELECT unnest(regexp_extract_all(c_mktsegment || ' ' || c_name, '[A-Za-z]+')) AS word FROM {{customer}}) c UNION SELECT DISTINCT unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+')) FROM {{part}}),
+v AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z]+')) AS b FROM {{part}} UNION SELECT DISTINCT unnest(regexp_extract_all(lower(sentence), '[a-z]+')) FROM ({SENTENCES})), {_subsequences("SELECT a, b FROM w JOIN v ON 200.0 * least(length(a), length(b)) >= 60 * (length(a) + length(b))")}
+SELECT a, b, round(200.0 * n / (length(a) + length(b)), 6) AS ratio FROM lcs WHERE 200.0 * n / (length(a) + length(b)) >= 60""")
+def similar_words(t: Tables) -> DataFrame:
+    """Words of two vocabularies whose indel ratio is 60 or more."""
+    words = lambda df, column: df.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit("[a-z]+"), 0)).alias("w"))
+    part, customer = t.table("part"), t.table("customer")
+    a = words(customer, F.concat_ws(" ", "c_mktsegment", "c_name")).union(words(part, F.concat_ws(" ", "p_name", "p_type")))
+    b = words(part, F.concat_ws(" ", "p_name", "p_brand")).union(words(_sentences(t), F.col("sentence")))
+    return fuzzy_join.similar_words(a.select(F.col("w").alias("a")), b.select(F.col("w").alias("b")), 60.0).withColumn("ratio", F.round("ratio", 6))
+
+
 SCORE = f"round(0.20 * CAST(span_ok AS INT) + 0.20 * CAST({KEYTERM} AS INT) + 0.15 * CAST({MODAL} AS INT) + 0.45 * CASE entailment WHEN 'entailed' THEN 1.0 WHEN 'neutral' THEN 0.35 ELSE 0.0 END, 4)"
 
 
@@ -254,10 +299,18 @@ def citations(t: Tables) -> DataFrame:
     )
 
 
-@query()
+TOLD = "the member shall report"
+WINDOW = "running account"
+# Windows of the longer text are as long as the shorter one, and shorter at both ends.
+WINDOWS = f"SELECT s, substr(s, greatest(e - {len(WINDOW)}, 0) + 1, least(e, length(s)) - greatest(e - {len(WINDOW)}, 0)) AS b FROM (SELECT s, unnest(range(1, CAST(length(s) + {len(WINDOW)} AS BIGINT))) AS e FROM (SELECT DISTINCT lower(sentence) AS s FROM d))"
+
+
+@query(f"""WITH RECURSIVE d AS MATERIALIZED ({SENTENCES}), w AS MATERIALIZED ({WINDOWS}), {_subsequences(f"SELECT '{TOLD}' AS a, s AS b FROM w UNION SELECT '{WINDOW}', b FROM w")},
+f AS (SELECT s, max(200.0 * n / ({len(WINDOW)} + length(b))) AS partial FROM w JOIN lcs USING (b) WHERE a = '{WINDOW}' GROUP BY s), g AS (SELECT b AS s, 200.0 * n / ({len(TOLD)} + length(b)) AS ratio FROM lcs WHERE a = '{TOLD}')
+SELECT doc_id, section_no, rn, l_partkey, round(ratio, 4) AS ratio, round(partial, 4) AS partial FROM d JOIN f ON f.s = lower(sentence) JOIN g ON g.s = lower(sentence)""")
 def title_similarity(t: Tables) -> DataFrame:
     s = _sentences(t)
-    return s.select("doc_id", "section_no", "rn", "l_partkey", F.round(ratio(F.lower("sentence"), F.lit("the member shall report")), 4).alias("ratio"), F.round(partial_ratio(F.lower("sentence"), F.lit("running account")), 4).alias("partial"))
+    return s.select("doc_id", "section_no", "rn", "l_partkey", F.round(ratio(F.lower("sentence"), F.lit(TOLD)), 4).alias("ratio"), F.round(partial_ratio(F.lower("sentence"), F.lit(WINDOW)), 4).alias("partial"))
 
 
 @query(f"""SELECT doc_id, section_no, rn, l_partkey, v.field, v.value FROM (SELECT *, unnest([{{'field': 'obligation_type', 'value': CASE WHEN obligation_type NOT IN ('registration','conduct','disclosure','reporting','risk_management','investor_protection','grievance','technology','audit','governance') THEN obligation_type END}},
