@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,44 +97,51 @@ def recover_rows(pages: DataFrame) -> DataFrame:
     return wrapped.unionByName(complete.where(proper)).unionByName(bare.where(proper))
 
 
+PLACED = "array<struct<block:string,section_no:int,title:string,start_page:int,page_inferred:boolean>>"
+
+
 def merge_index(entries: DataFrame, recovered: DataFrame) -> DataFrame:
     """The section index with the recovered rows that it lacks.
 
     A recovered row belongs to the annexures from the page on where these start. One without a page stands at the
-    furthest page of the index so far, which rows merged before it can move; only this is told in sequence, in one pass
-    over a document's few recovered rows. What the index has comes from a join, and parts from the as-of part of the
-    nearest lower section: a merged row has the part of the entry below it, so either one gives the same.
+    furthest page of the index so far, which rows merged before it can move; only this is told in sequence, by a fold
+    over a document's few recovered rows. Section numbers have three digits at most, so what a fold holds is bounded
+    whatever the document. Parts come from the as-of part of the nearest lower section: a merged row has the part of the
+    entry below it, so either one gives the same.
     """
     annexed = F.min(F.when(F.col("block") == "annexure", F.col("start_page")))
-    facts = entries.groupBy("doc_id").agg(F.max("start_page").alias("reach"), annexed.alias("annexed_from"), F.collect_set(F.struct("block", "section_no")).alias("has"))
-    rows = recovered.select("doc_id", "page_no", "pass", "source_line", "section_no", "title", "page").join(facts, "doc_id", "left")
-    schema = "doc_id string, block string, section_no int, title string, start_page int, page_inferred boolean"
-    merged = rows.groupBy("doc_id").applyInPandas(_place_rows, schema)
+    key = F.col("section_no") * 2 + (F.col("block") == "annexure").cast("int")
+    facts = entries.groupBy("doc_id").agg(F.max("start_page").alias("reach"), annexed.alias("annexed_from"), F.collect_set(key).alias("has"))
+    row = F.struct("page_no", "pass", "source_line", "section_no", "title", "page")
+    rows = recovered.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).join(facts, "doc_id", "left")
+    # The outer form: the inner one would have the fold evaluated again, as a filter for arrays that aren't empty.
+    placed = _place_rows(F.col("rows"), F.col("reach"), F.col("annexed_from"), F.coalesce("has", F.array().cast("array<int>")))
+    merged = rows.select("doc_id", F.inline_outer(placed)).where("block is not null")
     first = entries.groupBy("doc_id", "block", "section_no").agg(F.min_by(F.struct("part"), "row_no").alias("_first"))
     parts = inherit_part(merged, first.select("doc_id", "block", "section_no", F.col("_first.part").alias("part")))
     own = entries.select("doc_id", "block", "part", "section_no", "title", "start_page", F.lit(False).alias("recovered"), F.lit(False).alias("page_inferred"))
     return own.unionByName(parts.withColumn("recovered", F.lit(True)).select(own.columns))
 
 
-def _place_rows(rows: pd.DataFrame) -> pd.DataFrame:
-    """Block and page of one document's recovered rows that are merged, in order of page, pass and line."""
-    rows = rows.sort_values(["page_no", "pass", "source_line"])
-    reach = 0 if rows["reach"].isna().all() else int(rows["reach"].iloc[0])
-    start = float("inf") if rows["annexed_from"].isna().all() else int(rows["annexed_from"].iloc[0])
-    has = rows["has"].iloc[0]
-    taken = {(x["block"], x["section_no"]) for x in has} if has is not None else set()
-    blocks, pages = [], []
-    for number, page in zip(rows["section_no"], rows["page"], strict=True):
-        at = page or reach
-        key = ("annexure" if at >= start else "body", number)
-        new = key not in taken
-        blocks.append(key[0] if new else None)
-        pages.append(at)
-        if new:
-            taken.add(key)
-            reach = max(reach, at)
-    placed = rows.assign(block=blocks, start_page=pages, page_inferred=rows["page"] == 0)
-    return placed.loc[placed["block"].notna(), ["doc_id", "block", "section_no", "title", "start_page", "page_inferred"]]
+def _place_rows(rows: Column, reach: Column, annexed_from: Column, has: Column) -> Column:
+    """Those of one document's recovered rows, in order of page, pass and line, that are merged, with block and page."""
+    start = F.struct(F.coalesce(reach, F.lit(0)).cast("int").alias("reach"), F.array().cast("array<int>").alias("taken"), F.array().cast(PLACED).alias("out"))
+
+    def step(state: Column, r: Column) -> Column:
+        at = F.when(r["page"] != 0, r["page"]).otherwise(state["reach"])
+        annexed = F.coalesce(at >= annexed_from, F.lit(False))
+        placed = F.struct(at.alias("at"), annexed.alias("annexed"), (r["section_no"] * 2 + annexed.cast("int")).alias("key"))
+
+        def taken_or_merged(x: Column) -> Column:
+            out = F.struct(F.when(x["annexed"], "annexure").otherwise("body").alias("block"), r["section_no"].alias("section_no"), r["title"].alias("title"), x["at"].alias("start_page"), (r["page"] == 0).alias("page_inferred"))
+            merged = F.struct(
+                F.greatest(state["reach"], x["at"]).alias("reach"), F.concat(state["taken"], F.array(x["key"])).alias("taken"), F.concat(state["out"], F.array(out)).cast(PLACED).alias("out")
+            )
+            return F.when(F.array_contains(has, x["key"]) | F.array_contains(state["taken"], x["key"]), state).otherwise(merged)
+
+        return F.get(F.transform(F.array(placed), taken_or_merged), F.lit(0))
+
+    return F.aggregate(rows, start, step, lambda state: state["out"])
 
 
 def absent_rows(entries: DataFrame, recovered: DataFrame) -> DataFrame:

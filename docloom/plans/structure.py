@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 from docloom.operators import changes, clauses, contents, coverage, registers
 from docloom.operators import documents as docs
-from docloom.plans.registry import Tables, query
+from docloom.plans.registry import ORACLES, Tables, query
 from docloom.sources import writers
 from docloom.sources.synthetic import CLAUSE_LINES, CONTENTS_LINES, CONTENTS_ROWS
 
@@ -194,7 +194,19 @@ def toc_part_asof(t: Tables) -> DataFrame:
     return contents.inherit_part(t.sql(FOUND), _index(t)).select("doc_id", "source_line", "section_no", "part")
 
 
-@query()
+# Recovered rows in order, a state for each: furthest page, keys taken, and where the row went if it was merged.
+MERGED = f"""i AS MATERIALIZED ({INDEX}), r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pass, source_line) AS n FROM (
+  SELECT *, 1 AS pass FROM ({ORACLES['toc_recover_wrapped']}) UNION ALL BY NAME SELECT *, 2 AS pass FROM ({ORACLES['toc_recover_full']}) UNION ALL BY NAME SELECT *, 3 AS pass FROM ({ORACLES['toc_recover_pageless']}))),
+b AS MATERIALIZED (SELECT d.doc_id, coalesce(max(start_page), 0) AS reach, min(CASE WHEN block = 'annexure' THEN start_page END) AS annexed_from, coalesce(list(DISTINCT block || '/' || section_no) FILTER (WHERE section_no IS NOT NULL), []) AS has FROM (SELECT DISTINCT doc_id FROM r) d LEFT JOIN i USING (doc_id) GROUP BY d.doc_id),
+w AS (SELECT doc_id, CAST(0 AS BIGINT) AS n, reach, has AS taken, CAST(NULL AS INTEGER) AS section_no, CAST(NULL AS VARCHAR) AS block, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS INTEGER) AS start_page, false AS merged, false AS page_inferred FROM b
+  UNION ALL SELECT doc_id, n, CASE WHEN list_contains(taken, key) THEN reach ELSE greatest(reach, at_page) END, CASE WHEN list_contains(taken, key) THEN taken ELSE list_append(taken, key) END, section_no, block, title, at_page, NOT list_contains(taken, key), page_inferred FROM (
+    SELECT *, block || '/' || section_no AS key FROM (SELECT w.doc_id, r.n, w.reach, w.taken, r.section_no, r.title, CASE WHEN r.page <> 0 THEN r.page ELSE w.reach END AS at_page, CASE WHEN CASE WHEN r.page <> 0 THEN r.page ELSE w.reach END >= b.annexed_from THEN 'annexure' ELSE 'body' END AS block, r.page = 0 AS page_inferred
+      FROM w JOIN r ON r.doc_id = w.doc_id AND r.n = w.n + 1 JOIN b ON b.doc_id = w.doc_id))),
+f AS MATERIALIZED (SELECT doc_id, block, section_no, arg_min(struct_pack(p := part), row_no).p AS part FROM i GROUP BY ALL)"""
+
+
+@query(f"""WITH RECURSIVE {MERGED} SELECT doc_id, block, part, section_no, title, start_page, false AS recovered, false AS page_inferred FROM i
+UNION ALL SELECT doc_id, block, (SELECT arg_max(struct_pack(p := f.part), f.section_no).p FROM f WHERE f.doc_id = w.doc_id AND f.block = w.block AND f.section_no < w.section_no), section_no, title, start_page, true, page_inferred FROM w WHERE merged""")
 def toc_merge(t: Tables) -> DataFrame:
     return contents.merge_index(_index(t), contents.recover_rows(_text_pages(t)))
 
