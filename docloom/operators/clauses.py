@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.config import STRONG_TITLE_MATCH, TITLE_MATCH
 from docloom.functions.fuzzy import partial_ratio
-from docloom.functions.text import found, normalise_exact
+from docloom.functions.text import WS, found, normalise_exact
 
 # Marker shapes, and words that follow a number which is cited, not opened.
 DOTTED = r"^[ \t]*(\d{1,3}(?:\.\d{1,3})+)\.?[ \t]+"
@@ -18,6 +16,7 @@ ROMAN = r"^[ \t]*\(((?i)[ivxlcd]+)\)[ \t]+"
 ALPHA = r"^[ \t]*\(([a-z])\)[ \t]+"
 ALPHA_PAREN = r"^[ \t]*([a-z])\)[ \t]+"
 CITING_WORDS = ("above", "below", "to", "and", "or", "thereof", "herein", "hereof", "read")
+EDGES = f"^{WS}+|{WS}+$"
 HEADING = r"^[ \t]*(\d+)\.[ \t]+(\S[^\n]*)"
 MIN_CLAUSE = 3
 
@@ -117,8 +116,10 @@ def locate_sections(texts: DataFrame, index: DataFrame) -> DataFrame:
     """
     tried = heading_candidates(texts, index).groupBy("doc_id", "section_no").agg(F.array_sort(F.collect_list(F.struct("offset", "score", "heading"))).alias("lines"))
     body = index.where("block = 'body'").select(*[F.col(c).alias(c) for c in ("doc_id", "part", "section_no", "title", "start_page")])
-    schema = "doc_id string, part string, section_no int, title string, start_page int, char_start bigint, heading string, match_score double"
-    chosen = body.join(tried, ["doc_id", "section_no"], "left").groupBy("doc_id").applyInPandas(_choose_lines, schema)
+    section = F.struct("section_no", "part", "title", "start_page", "lines")
+    listed = body.join(tried, ["doc_id", "section_no"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(section)).alias("sections"))
+    # The outer form: the inner one would have the fold evaluated again, as a filter for arrays that aren't empty.
+    chosen = listed.select("doc_id", F.inline_outer(_choose_lines(F.col("sections"))))
     first = index.where("block = 'annexure'").groupBy("doc_id").agg(F.min_by("title", "section_no").alias("_title"))
     last = chosen.groupBy("doc_id").agg(F.max("char_start").alias("_after"))
     known = texts.select(F.col("doc_id").alias("doc_id"), "text").join(last, "doc_id").join(first, "doc_id", "left")
@@ -126,23 +127,34 @@ def locate_sections(texts: DataFrame, index: DataFrame) -> DataFrame:
     return _section_ends(chosen.join(lengths, "doc_id")).drop("_n", "_annexure")
 
 
-def _choose_lines(sections: pd.DataFrame) -> pd.DataFrame:
-    """One document's sections with the line that opens each: the best match behind the section before, or the first
-    strong one if that comes earlier."""
-    sections = sections.sort_values("section_no", kind="stable")
-    places, headings, scores, behind = [], [], [], 0
-    for lines in sections["lines"]:
-        ahead = [] if lines is None else [x for x in lines if x["offset"] >= behind]
-        match = np.array([x["score"] for x in ahead])
-        strong = np.flatnonzero(match >= STRONG_TITLE_MATCH)
-        best = int(np.argmax(match[: strong[0] + 1] if len(strong) else match)) if ahead else -1
-        good = best >= 0 and match[best] >= TITLE_MATCH
-        places.append(ahead[best]["offset"] if good else None)
-        headings.append(ahead[best]["heading"].strip() if good else None)
-        scores.append(match[best] if best >= 0 else None)
-        behind = ahead[best]["offset"] + 1 if good else behind
-    told = sections.assign(char_start=pd.array(places, "Int64"), heading=headings, match_score=scores)
-    return told[["doc_id", "part", "section_no", "title", "start_page", "char_start", "heading", "match_score"]]
+CHOSEN = "array<struct<part:string,section_no:int,title:string,start_page:int,char_start:bigint,heading:string,match_score:double>>"
+
+
+def _choose_lines(sections: Column) -> Column:
+    """One document's sections, in order, with the line that opens each: the best match behind the section before, or the
+    first strong one if that comes earlier. A fold over the sections, whose state is where the last one was found."""
+    start = F.struct(F.lit(0).cast("bigint").alias("behind"), F.array().cast(CHOSEN).alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        ahead = F.filter(F.coalesce(s["lines"], F.array()), lambda x: x["offset"] >= state["behind"])
+        strong = F.array_position(F.transform(ahead, lambda x: x["score"] >= STRONG_TITLE_MATCH), True)
+        tried = F.when(strong > 0, F.slice(ahead, 1, F.greatest(strong, F.lit(1)).cast("int"))).otherwise(ahead)
+
+        def of(upto: Column) -> Column:
+            top = F.array_max(F.transform(upto, lambda x: x["score"]))
+            return F.transform(F.array(F.get(F.filter(upto, lambda x: x["score"] == top), F.lit(0))), opened)
+
+        def opened(best: Column) -> Column:
+            good = F.coalesce(best["score"] >= TITLE_MATCH, F.lit(False))
+            told = F.struct(
+                s["part"].alias("part"), s["section_no"].alias("section_no"), s["title"].alias("title"), s["start_page"].alias("start_page"), F.when(good, best["offset"]).alias("char_start"),
+                F.when(good, F.regexp_replace(best["heading"], EDGES, "")).alias("heading"), best["score"].alias("match_score"),
+            )
+            return F.struct(F.when(good, best["offset"] + 1).otherwise(state["behind"]).alias("behind"), F.concat(state["out"], F.array(told)).cast(CHOSEN).alias("out"))
+
+        return F.get(F.flatten(F.transform(F.array(tried), of)), F.lit(0))
+
+    return F.aggregate(sections, start, step, lambda state: state["out"])
 
 
 def annexure_start(text: Column, title: Column, after: Column) -> Column:

@@ -9,6 +9,7 @@ from docloom.functions import text as X
 from docloom.operators import changes, clauses, contents, coverage, registers
 from docloom.operators import documents as docs
 from docloom.plans.registry import ORACLES, Tables, query
+from docloom.plans.texts import _subsequences
 from docloom.sources import writers
 from docloom.sources.synthetic import CLAUSE_LINES, CONTENTS_LINES, CONTENTS_ROWS
 
@@ -340,7 +341,26 @@ def coverage_report(t: Tables) -> DataFrame:
     return writers.report_lines(_manifest(t), coverage.report_gaps(t.sql(GAPS)))
 
 
-@query()
+BODIES = f"SELECT doc_id, section_no, any_value(part) AS part, string_agg(line, chr(10) ORDER BY rn) AS text FROM ({CLAUSE_LINES}) GROUP BY ALL"
+TITLED = f"""SELECT doc_id, section_no, part, text, CASE WHEN section_no % 4 = 0 THEN section_no || '. Charges that the client owes' || chr(10) ELSE '' END || section_no || '. Running account of part ' || part || ' number ' || section_no || chr(10) AS heading,
+  'Running account of part ' || part || CASE WHEN section_no % 3 = 0 THEN ' numbered ' ELSE ' number ' END || section_no AS full_title FROM ({BODIES})"""
+LOCATED = f"""s AS MATERIALIZED (SELECT *, CASE WHEN section_no % 5 = 0 THEN substr(full_title, 1, 22) ELSE full_title END AS title FROM ({TITLED})), w AS MATERIALIZED (SELECT doc_id, string_agg(heading || text, chr(10) ORDER BY section_no) || chr(10) || 'Forms' || chr(10) || ' Annexure – 1' || chr(10) || 'Form of the client' || chr(10) AS text FROM s GROUP BY doc_id),
+y AS MATERIALIZED (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY at_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_char FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, CAST(len(string_split(text, chr(10))) AS BIGINT))) AS at_line FROM w)),
+o AS MATERIALIZED (SELECT y.doc_id, s.section_no, at_char, regexp_extract(line, '^[ \\t]*(\\d+)\\.[ \\t]+(\\S[^\\n]*)', 2) AS heading, s.title, lower(trim(regexp_replace(regexp_extract(line, '^[ \\t]*(\\d+)\\.[ \\t]+(\\S[^\\n]*)', 2), '\\s+', ' ', 'g'))) AS h, lower(trim(regexp_replace(s.title, '\\s+', ' ', 'g'))) AS t
+  FROM y JOIN s ON s.doc_id = y.doc_id AND CAST(s.section_no AS VARCHAR) = regexp_extract(line, '^[ \\t]*(\\d+)\\.[ \\t]+(\\S[^\\n]*)', 1)),
+z AS MATERIALIZED (SELECT h, t, CASE WHEN length(h) <= length(t) THEN h ELSE t END AS a, CASE WHEN length(h) <= length(t) THEN t ELSE h END AS long FROM (SELECT DISTINCT h, t FROM o WHERE NOT (contains(h, t) OR contains(t, h)))),
+x AS MATERIALIZED (SELECT h, t, a, substr(long, greatest(e - length(a), 0) + 1, least(e, length(long)) - greatest(e - length(a), 0)) AS b FROM (SELECT *, unnest(range(1, CAST(length(long) + length(a) AS BIGINT))) AS e FROM z)), {_subsequences("SELECT a, b FROM x")},
+k AS MATERIALIZED (SELECT h, t, max(200.0 * n / (length(a) + length(b))) AS score FROM x JOIN lcs USING (a, b) GROUP BY h, t), v AS MATERIALIZED (SELECT doc_id, section_no, list(struct_pack(o := at_char, s := score, h := heading) ORDER BY at_char, score, heading) AS lines FROM (SELECT o.*, coalesce(k.score, 100.0) AS score FROM o LEFT JOIN k USING (h, t)) GROUP BY ALL),
+u AS MATERIALIZED (SELECT s.doc_id, s.section_no, s.part, s.title, coalesce(v.lines, []) AS lines, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.section_no) AS nth FROM s LEFT JOIN v USING (doc_id, section_no)),
+g AS (SELECT doc_id, CAST(0 AS BIGINT) AS nth, CAST(0 AS BIGINT) AS behind, CAST(NULL AS VARCHAR) AS part, CAST(NULL AS INTEGER) AS section_no, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS BIGINT) AS char_start, CAST(NULL AS VARCHAR) AS heading, CAST(NULL AS DOUBLE) AS match_score FROM (SELECT DISTINCT doc_id FROM u)
+  UNION ALL SELECT doc_id, nth, CASE WHEN best.s >= 72 THEN best.o + 1 ELSE behind END, part, section_no, title, CASE WHEN best.s >= 72 THEN best.o END, CASE WHEN best.s >= 72 THEN trim(best.h) END, best.s FROM (
+    SELECT *, list_filter(upto, lambda q: q.s = list_max(list_transform(upto, lambda p: p.s)))[1] AS best FROM (SELECT *, CASE WHEN strong > 0 THEN ahead[1:strong] ELSE ahead END AS upto FROM (SELECT *, coalesce(list_position(list_transform(ahead, lambda q: q.s >= 95), true), 0) AS strong FROM (
+      SELECT g.doc_id, u.nth, g.behind, u.part, u.section_no, u.title, list_filter(u.lines, lambda q: q.o >= g.behind) AS ahead FROM g JOIN u ON u.doc_id = g.doc_id AND u.nth = g.nth + 1))))),
+c AS MATERIALIZED (SELECT * FROM g WHERE nth > 0), e AS (SELECT c.doc_id, max(length(w.text)) AS whole, (SELECT min(at_char) FROM y WHERE y.doc_id = c.doc_id AND at_char >= max(c.char_start) AND regexp_matches(line, '(?i)^[ \\t]*Annexure\\s*[-–—]?\\s*1\\b')) AS annexed FROM c JOIN w ON w.doc_id = c.doc_id GROUP BY c.doc_id)"""
+
+
+@query(f"""WITH RECURSIVE {LOCATED} SELECT doc_id, part, section_no, title, CAST(1 AS INTEGER) AS start_page, char_start, heading, match_score,
+  CASE WHEN char_start IS NOT NULL THEN CAST(coalesce(lead(char_start) OVER (PARTITION BY doc_id ORDER BY char_start NULLS LAST), CASE WHEN annexed > char_start THEN annexed ELSE whole END) AS BIGINT) END AS char_end FROM c JOIN e USING (doc_id)""")
 def section_locate(t: Tables) -> DataFrame:
     """Sections under headings like their titles, some titles worded otherwise or cut, some numbers opened by other lines before."""
     number = F.col("section_no").cast("string")

@@ -3,7 +3,6 @@
 import hashlib
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,7 +123,7 @@ def test_merge_equals_its_definition(spark):
     assert sum(not r.recovered for r in got) == len(own)
 
 
-def test_section_choice_equals_its_definition():
+def test_section_choice_equals_its_definition(spark):
     rng = random.Random(8)
 
     def follow(sections, behind):
@@ -138,11 +137,15 @@ def test_section_choice_equals_its_definition():
         good = best is not None and best["score"] >= 72
         return [best["offset"] if good else None, *follow(sections[1:], best["offset"] + 1 if good else behind)]
 
-    for _ in range(200):
-        sections = [sorted(({"offset": o, "score": float(rng.choice((40, 71, 72, 80, 95, 100))), "heading": "h"} for o in rng.sample(range(60), rng.randrange(0, 6))), key=lambda x: x["offset"]) for _ in range(8)]
-        table = pd.DataFrame({"doc_id": "d", "part": None, "section_no": range(8), "title": "t", "start_page": 1, "lines": [s or None for s in sections]})
-        got = clauses._choose_lines(table.sample(frac=1, random_state=1))
-        assert [None if pd.isna(x) else x for x in got["char_start"]] == follow(sections, 0)
+    tables = {}
+    for d in range(200):
+        tables[d] = [sorted(({"offset": o, "score": float(rng.choice((40, 71, 72, 80, 95, 100))), "heading": " h\t"} for o in rng.sample(range(60), rng.randrange(0, 6))), key=lambda x: x["offset"]) for _ in range(8)]
+    rows = [(d, [(k, None, "t", 1, lines or None) for k, lines in enumerate(table)]) for d, table in tables.items()]
+    schema = "doc_id int, sections array<struct<section_no:int,part:string,title:string,start_page:int,lines:array<struct<offset:bigint,score:double,heading:string>>>>"
+    got = spark.createDataFrame(rows, schema).select("doc_id", clauses._choose_lines(F.col("sections")).alias("x")).collect()
+    for r in got:
+        assert [x["char_start"] for x in r["x"]] == follow(tables[r["doc_id"]], 0)
+        assert all((x["heading"] == "h") == (x["char_start"] is not None) for x in r["x"])
 
 
 def test_part_is_inherited_even_when_null(spark):
