@@ -7,8 +7,11 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom import schemas
+from docloom.functions import templates
 from docloom.operators import validation
 from docloom.plans.registry import Tables, query
+from docloom.sources.synthetic import RANKED
 
 
 def _item(j: int) -> str:
@@ -34,7 +37,7 @@ def _values(at: str) -> str:
 
 
 KIND = "CASE json_type({x}) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'DOUBLE' THEN 'number' ELSE 'integer' END"
-ALLOWED = f"'[{', '.join(json.dumps(x) for x in validation.schemas.APPLIES_TO)}]'"
+ALLOWED = f"'[{', '.join(json.dumps(x) for x in schemas.APPLIES_TO)}]'"
 CHECKED = f"""WITH a AS MATERIALIZED ({ANSWERS}), g AS MATERIALIZED (SELECT o_orderkey, CAST(answer AS JSON) AS v FROM a WHERE answer IS NOT NULL AND json_valid(answer)), f(n, name, types, required, enum) AS (VALUES {_values("$.obligations[*]")}),
 l AS MATERIALIZED (SELECT o_orderkey, json_extract(v, '$.obligations') AS w FROM g WHERE json_type(v) = 'OBJECT'), i AS MATERIALIZED (SELECT o_orderkey, unnest(range(0, CAST(json_array_length(w) AS BIGINT))) AS k, w FROM l WHERE json_type(w) = 'ARRAY'),
 x AS MATERIALIZED (SELECT o_orderkey, k, '$.obligations[' || k || ']' AS place, json_extract(w, '$[' || k || ']') AS x FROM i),
@@ -76,3 +79,49 @@ def accepted_obligations(t: Tables) -> DataFrame:
     """Obligations of the answers without a fault."""
     fields = {"action_required": "string", "criticality": "string", "evidence_class": "string", "applies_to": "array<string>", "source_sentence": "string", "confidence": "double"}
     return validation.accepted(_checked(t), "obligations", fields, "o_orderkey").withColumn("applies_to", F.array_join("applies_to", "|"))
+
+
+SYSTEM = """You audit the {{ journey | lower }} journey{# of one customer #}.
+
+{% for r in rulebooks %}<rulebook file="references/{{ r.name }}">
+{{ r.content }}
+</rulebook>
+
+{% endfor %}Rulebooks: {{ rulebooks | length }}. Submit the whole result once."""
+#: Rulebooks are nations, in an order that is no order of their names or keys.
+RULE_ORDER = [7, 3, 24, 0, 12, 21, 18, 1, 9, 15]
+BOOKS = "SELECT n_nationkey, n_regionkey, 'rules-' || lower(replace(n_name, ' ', '-')) || '.md' AS name, '# ' || n_name || chr(10) || 'Region ' || n_regionkey AS content FROM {nation}"
+_PLACES = " ".join(f"WHEN {key} THEN {at}" for at, key in enumerate(RULE_ORDER))
+
+
+@query(f"""WITH b AS (SELECT *, CASE n_nationkey {_PLACES} END AS place FROM ({BOOKS})), s AS (SELECT n_regionkey, string_agg('<rulebook file="references/' || name || '">' || chr(10) || content || chr(10) || '</rulebook>' || chr(10) || chr(10), '' ORDER BY place) AS blocks, count(*) AS n FROM b WHERE place IS NOT NULL GROUP BY 1)
+SELECT o_orderkey, 'You audit the ' || lower(o_orderpriority) || ' journey.' || chr(10) || chr(10) || coalesce(blocks, '') || 'Rulebooks: ' || coalesce(n, 0) || '. Submit the whole result once.' AS message FROM {{orders}} LEFT JOIN s ON n_regionkey = o_custkey % 6""")
+def system_messages(t: Tables) -> DataFrame:
+    """The system message of every order's audit: the template with the rulebooks of a region in their fixed order."""
+    books = t.sql(BOOKS)
+    names = {r["n_nationkey"]: r["name"] for r in books.where(F.col("n_nationkey").isin(RULE_ORDER)).collect()}  # one row a rulebook
+    by_region = books.groupBy("n_regionkey").agg(F.collect_list(F.struct("name", "content")).alias("books"))
+    rows = t.table("orders").withColumn("n_regionkey", (F.col("o_custkey") % 6).cast("int")).join(by_region, "n_regionkey", "left")
+    rows = rows.withColumn("rulebooks", templates.in_order(F.coalesce("books", F.array()), [names[k] for k in RULE_ORDER]))
+    return rows.select("o_orderkey", templates.render(SYSTEM, journey=F.col("o_orderpriority"), rulebooks=F.col("rulebooks")).alias("message"))
+
+
+EXTRACTION = """Types: {{ types | join(', ') }}
+Circular {{ circular }}{% for s in sections %}
+Section {{ s.flag | default('none') }}:{% for c in s.clauses %}
+  {{ loop.index }}. {{ c.action | upper }} for {{ c.who }}{% endfor %}{% endfor %}
+Bound: {{ applies | join(' or ') }}"""
+
+
+@query(f"""WITH l AS ({RANKED}), c AS (SELECT l_orderkey, l_returnflag, string_agg(chr(10) || '  ' || nth || '. ' || 'ITEM ' || l_partkey || ' for ' || l_suppkey, '' ORDER BY nth) AS clauses FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY rn) AS nth FROM l) GROUP BY ALL),
+s AS (SELECT l_orderkey, string_agg(chr(10) || 'Section ' || CASE l_returnflag WHEN 'N' THEN 'none' ELSE l_returnflag END || ':' || clauses, '' ORDER BY l_returnflag) AS sections FROM c GROUP BY 1)
+SELECT o_orderkey, 'Types: {", ".join(schemas.OBLIGATION_TYPES)}' || chr(10) || 'Circular ' || o_custkey || coalesce(sections, '') || chr(10) || 'Bound: {" or ".join(schemas.APPLIES_TO)}' AS message FROM {{orders}} LEFT JOIN s ON l_orderkey = o_orderkey""")
+def extraction_messages(t: Tables) -> DataFrame:
+    """The extraction message of every order: clauses of its sections, by loops in loops."""
+    clause = F.struct("rn", F.concat(F.lit("item "), F.col("l_partkey").cast("string")).alias("action"), F.col("l_suppkey").alias("who"))
+    flags = t.sql(RANKED).groupBy("l_orderkey", "l_returnflag").agg(F.array_sort(F.collect_list(clause)).alias("clauses"))
+    section = F.struct(F.col("l_returnflag").alias("key"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"), "clauses")
+    sections = flags.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(section)).alias("sections"))
+    words = lambda xs: F.array(*[F.lit(x) for x in xs])
+    message = templates.render(EXTRACTION, types=words(schemas.OBLIGATION_TYPES), applies=words(schemas.APPLIES_TO), circular=F.col("o_custkey"), sections=F.col("sections"))
+    return t.table("orders").join(sections, "o_orderkey", "left").select("o_orderkey", message.alias("message"))
