@@ -3,8 +3,11 @@
 A page becomes a tree. Elements that are never article text (menus, page headers and footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments, hidden elements; told by tag, role, class or id) take no part with
 their text; their tags count for the elements around them.
-A class or id alone does not decide where an element holds an article, main or h1, or more than half of the page's text
-outside links (reader comments excepted, and any where an article or main with text lies outside).
+None of these signs but hiding decides alone. An element with a tag or role of noise stays where it holds an article,
+main or h1 (a header needs an article or main, or must itself stand in one), or four fifths of the page's text outside
+links; one with such a class or id where it holds an article, main or h1 or more than half of that text (reader comments
+excepted). Text shares count only where no article or main with text lies outside. In a form that stays, controls and
+labels go.
 Every other node has a density: characters per tag, lowered as the share of link characters and link tags grows
 (composite text density, Sun, Song and Liao, SIGIR 2011). The sum of its children's densities ranks subtrees. The
 subtree of the largest sum under the body is the article's core and names a threshold: the least density on the path
@@ -12,7 +15,7 @@ from the body to it. If an article or main element on that path holds the core,
 the article is the core with those subtrees beside the path, the body's own included, that are headings or reach the
 threshold.
 
-Tokens are cut by regular expressions that never look back, so a page takes time in proportion to its length.
+Tags are cut by a regular expression that never looks back, so a page takes time in proportion to its length.
 
 Defined results: null, empty and text-free pages give an empty string and 0; markup cut off anywhere is read as far as
 it goes; repeated rows give repeated rows; a null identifier or url stays null; a very long page is one row of one task;
@@ -33,14 +36,16 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import bounded_batches, sliced
 
-TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
+# A quote opens a value only behind "=". Repeats never give back what they took, and a quote that is never closed is one
+# that no later tag can hold either, so reading all tags takes time in proportion to the page.
+TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+)(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 TOKEN = re.compile(r"[a-z]+")
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
-RAW_END = {name: re.compile(f"(?ai)</{name}") for name in RAW}
+RAW = frozenset("script style title textarea noscript template iframe noembed noframes".split())
+RAW_END = {name: re.compile(f"(?ai)</{name}") for name in RAW | {"xmp"}}
 BLOCK = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre "
     "figure figcaption address details summary fieldset center hgroup header footer nav aside form dialog menu head search".split()
@@ -52,7 +57,8 @@ SIBLINGS = {
     "option": ({"option"}, {"select"}),
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
-NOISE_TAGS = frozenset("head nav header footer aside form menu dialog button select search".split())
+NOISE_TAGS = frozenset("nav header footer aside form menu dialog search".split())
+NEVER_TEXT = frozenset("head button select datalist".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NOISE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion promoted banner "
@@ -65,23 +71,23 @@ NEVER_NOISE = frozenset("html body article main".split())
 
 
 def noise_kind(tag: str, attributes: str) -> int:
-    """2: never article text; 1: named like it by class or id; 3: named as reader comments; 0: neither."""
-    if tag in NOISE_TAGS:
-        return 2
-    if not attributes or tag in NEVER_NOISE:
-        return 0
-    named = 0
+    """4: never text; 2: noise by tag or role; 1: named like it by class or id; 3: named as reader comments; 0: neither."""
+    if tag in NEVER_TEXT:
+        return 4
+    kind = 2 if tag in NOISE_TAGS else 0
+    if not attributes:
+        return kind
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not NOISE_NAMES.isdisjoint(tokens := TOKEN.findall(value)):
-            named = 1 if named != 3 and COMMENT_NAMES.isdisjoint(tokens) else 3
-        if name == "role" and value.strip() in NOISE_ROLES:
-            return 2
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return 2
-        if name == "style" and "display:none" in value.replace(" ", ""):
-            return 2
-    return named
+        if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
+            return 4
+        if tag in NEVER_NOISE:
+            continue
+        if name == "role" and value.strip() in NOISE_ROLES or name == "aria-hidden" and value == "true":
+            kind = 2
+        if name in ("class", "id") and kind != 2 and not NOISE_NAMES.isdisjoint(tokens := TOKEN.findall(value)):
+            kind = 1 if kind != 3 and COMMENT_NAMES.isdisjoint(tokens) else 3
+    return kind
 
 
 class Page:
@@ -91,7 +97,7 @@ class Page:
         self.parent, self.tag, self.chars, self.link_chars, self.tags, self.link_tags = [-1], ["#page"], [0], [0], [0], [0]
         self.blocks: list[tuple[int, str]] = []
         self.named: dict[int, int] = {}  # nodes with a class or id of noise, and what kind
-        self.dead: set[int] = set()  # nodes within noise told by tag, role or hiding
+        self.dead: set[int] = set()  # nodes within what is hidden or never text
         self._read(html)
         if self.named:
             self._judge()
@@ -103,21 +109,36 @@ class Page:
             self.link_tags[p] += self.link_tags[k] + (self.tag[k] == "a")
 
     def _judge(self) -> None:
-        """Take out what is named as noise and neither holds an article, main or h1 nor most of the text."""
+        """Take out noise: first what tag or role tells, then what is only named like it and what is left of the text."""
+        self._drop({k for k, kind in self.named.items() if kind == 2}, 5, 4)
+        self._drop({k for k, kind in self.named.items() if kind in (1, 3)}, 2, 1)
+
+    def _drop(self, noise: set[int], whole: int, share: int) -> None:
+        """Take out those nodes that hold no article, main or h1 and no more than `share` of `whole` parts of the text."""
         n = len(self.tag)
         text = [c - lc for c, lc in zip(self.chars, self.link_chars, strict=True)]
-        marks = [int(t in ("article", "main", "h1") and k not in self.dead) for k, t in enumerate(self.tag)]
+        marks, tops = [0] * n, [0] * n
         holds = [False] * n  # an article or main with text
         for k in range(n - 1, 0, -1):
-            p = self.parent[k]
+            p, t = self.parent[k], self.tag[k]
+            if k not in self.dead:
+                tops[k] += t in ("article", "main")
+                marks[k] += t in ("article", "main", "h1")
             text[p] += text[k]
             marks[p] += marks[k]
-            holds[k] = holds[k] or self.tag[k] in ("article", "main") and text[k] > 0
+            tops[p] += tops[k]
+            holds[k] = holds[k] or t in ("article", "main") and text[k] > 0
             holds[p] = holds[p] or holds[k]
-        gone = [False] * n
+        gone, within = [False] * n, [False] * n
         for k in range(1, n):
-            noise = k in self.named and not marks[k] and not (self.named[k] == 1 and 2 * text[k] > text[0] and not holds[0])
-            gone[k] = gone[self.parent[k]] or noise
+            p, t = self.parent[k], self.tag[k]
+            within[k] = within[p] or t in ("article", "main")
+            if k in noise:
+                kept = tops[k] or within[k] and marks[k] if t == "header" and self.named[k] == 2 else marks[k]
+                kept = kept or self.named[k] != 3 and whole * text[k] > share * text[0] and not holds[0]
+            else:
+                kept = self.named.get(k) != 5
+            gone[k] = gone[p] or not kept
             if gone[k]:
                 self.chars[k] = self.link_chars[k] = self.tags[k] = 0
         self.blocks = [(node, t) for node, t in self.blocks if not gone[node]]
@@ -126,6 +147,7 @@ class Page:
         stack, noise, links = [0], 0, 0  # open nodes; depth of the outermost noise element or 0; open links
         homes, parts = [0], []  # open blocks, and the text of the one being read
         open_tags: Counter[str] = Counter()
+        endless: set[str] = set()  # raw elements that nothing ends from here on
 
         def flush() -> None:
             nonlocal parts
@@ -148,10 +170,10 @@ class Page:
             if noise >= depth:
                 noise = 0
 
-        def text(raw: str) -> None:
+        def text(raw: str, plain: bool = False) -> None:
             if noise or not raw:
                 return
-            got = unescape(raw) if "&" in raw else raw
+            got = unescape(raw) if "&" in raw and not plain else raw
             n = len(got) - got.count(" ") - got.count("\n")
             if n:
                 self.chars[stack[-1]] += n
@@ -167,7 +189,7 @@ class Page:
                 break
             text(html[at : m.start()])
             at = m.end()
-            slash, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+            slash, name, attributes = m[1], m[2], m[3]
             if not name:
                 continue
             name = name.lower()
@@ -198,11 +220,17 @@ class Page:
                         break
                     if self.tag[stack[depth]] in within:
                         break
-            if name in RAW:
-                found = RAW_END[name].search(html, at)
-                if found is None and name == "noscript":
-                    continue
-                at = end if found is None else found.start()
+            if name in RAW_END:
+                found = None if name in endless else RAW_END[name].search(html, at)
+                if found is None:
+                    endless.add(name)
+                    if name == "noscript":
+                        continue
+                begin, at = at, end if found is None else found.start()
+                if name == "xmp":
+                    flush()
+                    text(html[begin:at], plain=True)
+                    flush()
                 continue
             if name in VOID or attributes.endswith("/") and name not in BLOCK:
                 if not noise:
@@ -219,15 +247,16 @@ class Page:
             open_tags[name] += 1
             links += name == "a"
             kind = 0 if noise else noise_kind(name, attributes)
-            if kind == 2:
-                flush()
+            if name in ("label", "legend") and not kind and open_tags["form"]:
+                kind = 5  # goes with the controls of its form, if the form itself stays
+            if kind == 4:
                 noise = len(stack) - 1
             elif kind:
                 flush()
                 self.named[stack[-1]] = kind
             if noise:
                 self.dead.add(stack[-1])
-            if name in BLOCK or kind % 2:
+            if name in BLOCK or kind in (1, 2, 3, 5):
                 homes.append(stack[-1])
         flush()
 
@@ -273,7 +302,7 @@ def main_text(html: str | None) -> str:
     whole = next((k for k in reversed(path) if page.tag[k] in ("article", "main")), top)
     above = set(path[path.index(whole) + 1 :])
     if page.tag[whole] in ("article", "main"):
-        above.discard(body)
+        above -= {body, *page.named}  # what stands there by itself is no part of the article
     keep = [False] * n
     keep[whole] = True
     for k in range(1, n):

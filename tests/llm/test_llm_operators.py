@@ -64,6 +64,43 @@ def test_html_keeps_what_lies_beside_the_core_under_the_body():
     assert got.split("\n\n")[0] == "T" and got.count("First") == 5 and got.count("Second") == 4 and "Menu" not in got
 
 
+def test_html_tags_and_roles_alone_do_not_empty_a_page():
+    text = "".join(f"<p>Sentence {k} of the article, which is long enough to count.</p>" for k in range(4))
+    controls = '<label>Name</label><input name="q"><select><option>One</option></select><button>Send</button><textarea>typed</textarea>'
+    menu, foot = '<nav><a href="/">Menu</a></nav>', "<footer><p>All rights reserved, 2024.</p></footer>"
+    for page in (
+        f'<body><form id="aspnetForm"><main><h1>T</h1>{text}</main>{controls}</form>{foot}</body>', f'<body><form id="aspnetForm">{menu}<h1>T</h1>{text}{controls}</form>{foot}</body>',
+        f'<body><form><div><div>{menu}<h1>T</h1>{text}</div></div>{controls}</form></body>', f'<body><nav><a href="/">Menu</a><article><h1>T</h1>{text}</article></body>',
+        f'<body><div role="dialog"><article><h1>T</h1>{text}</article></div>{foot}</body>', f'<body><div aria-hidden="true"><h1>T</h1>{text}</div>{foot}</body>',
+        f'<body><article><header><h1>T</h1></header>{text}<footer>Filed under news</footer></article></body>', f'<body><header>{menu}<main><h1>T</h1>{text}</main></header></body>',
+    ):
+        got = html_text.main_text(page)
+        assert got.startswith("T\n\nSentence 0") and got.count("Sentence") == 4, (page, got)
+        assert not any(x in got for x in ("Menu", "Name", "One", "Send", "typed", "rights", "Filed")), (page, got)
+    assert "Site" not in html_text.main_text(f"<body><header><h1>Site</h1>{menu}</header><div><h1>T</h1>{text}</div></body>")
+    assert html_text.main_text(f"<body><div hidden><main><h1>T</h1>{text}</main></div><p>Seen.</p></body>") == "Seen."
+    assert html_text.main_text("<body><article><p>One <button>Copy</button>sentence only.</p><xmp><b>&amp;</b></xmp></article></body>") == "One sentence only.\n\n<b>&amp;</b>"
+
+
+def test_html_is_read_in_time_proportional_to_its_length():
+    import time
+
+    for page in ("<p" * 200_000, "<" + "x" * 400_000, '<a ">' * 100_000, "<a b='>" * 100_000, "<noscript>" * 50_000, '<a b="' * 100_000, "<!--" * 100_000, "<li><b>" * 30_000, "<xmp>" * 50_000):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 10, page[:20]
+
+
+def test_html_no_page_of_a_folder_is_emptied():
+    import pyarrow.parquet as pq
+
+    for html in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        page = html_text.Page(html)
+        text = html_text.main_text(html)
+        assert bool(text) == bool(page.blocks)
+        assert all(block in [t for _, t in page.blocks] for block in text.split("\n\n"))
+
+
 def test_html_names_alone_do_not_empty_a_page():
     text = "".join(f"<p>Sentence {k} of the article, which is long enough to count.</p>" for k in range(4))
     aside = '<div class="sidebar"><p>Side</p></div>'
