@@ -8,7 +8,8 @@ bounded segments chooses boundaries and kinds jointly. The weights maximise the
 lines (`train`), found by the segment-level forward and backward sums; they are fitted by the driver from a fixed seed.
 A decoded segment that touches a base span is not added: base spans stay as they are.
 
-Windows grow and end with the text's own digits and signs; whole texts are read, and nothing is shuffled.
+Windows grow and end with the text's own digits and signs; whole texts are read, and nothing is shuffled. A window of
+any length is decoded piece by piece: of the path only what can still change is held, so memory doesn't grow with it.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated rows; other columns are ignored.
 """
@@ -16,9 +17,11 @@ Defined results: null and empty texts have no spans; repeated rows give repeated
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
@@ -34,6 +37,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 MAX_TOKENS = 14
 AROUND = 48
+#: Tokens of a stretch that are scored together, and how many tokens around a segment its features look at.
+PIECE_TOKENS = 1024
+NEIGHBOURS = 2
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -128,10 +134,11 @@ class Window:
     def quad(self, i: int, j: int) -> bool:
         return j - i == 7 and all((self.roles[k] == ".") if (k - i) % 2 else self.tokens[k][0] in "0123456789" for k in range(i, j))
 
-    def candidates(self) -> Iterator[tuple[int, int]]:
-        """Segments [i, j) that could be personal data: digits enough, or an at sign inside, and a fit start and end."""
+    def candidates(self, first: int = 0, last: int | None = None) -> Iterator[tuple[int, int]]:
+        """Segments [i, j) that could be personal data: digits enough, or an at sign inside, and a fit start and end; those
+        that start at the tokens from `first` up to `last`."""
         n = len(self.tokens)
-        for i in range(n):
+        for i in range(first, n if last is None else last):
             t = self.tokens[i]
             if not (t[0].isascii() and t[0].isalnum() or t in "+("):
                 continue
@@ -178,6 +185,61 @@ class Window:
         return tuple(out)
 
 
+class Path:
+    """The best labelled segmentations of the tokens read so far, one for each kind that the last segment can have.
+
+    What all of them share is settled and given away, so a path holds no more than what is still open.
+    """
+
+    def __init__(self, model: SemiMarkov):
+        self.steps = {(p, k): model.weights.get((p, f">{k}"), 0.0) for p in LABELS for k in LABELS}
+        self.root = 0
+        self.best: dict[int, dict[str, tuple[float, int, str]]] = {0: {"O": (0.0, -1, "")}}
+
+    def step(self, j: int, segments: list[tuple[int, str, float]]) -> None:
+        """Go on to token j by the segments (start, kind, score) that end there."""
+        here: dict[str, tuple[float, int, str]] = {}
+        for i, kind, score in segments:
+            for prior, (total, _, _) in self.best[i].items():
+                value = total + score + self.steps[prior, kind]
+                if kind not in here or value > here[kind][0]:
+                    here[kind] = (value, i, prior)
+        self.best[j] = here
+
+    def _back(self, at: int, kind: str) -> list[tuple[int, int, str]]:
+        """Spans between the root and token `at`, in order."""
+        out = []
+        while at > self.root:
+            _, i, prior = self.best[at][kind]
+            if kind != "O":
+                out.append((i, at, kind))
+            at, kind = i, prior
+        return out[::-1]
+
+    def settle(self, last: int, open_from: int) -> list[tuple[int, int, str]]:
+        """Spans that all segmentations share which can still go on, from any token of open_from..last."""
+        heads = {(j, kind) for j in range(max(self.root, open_from), last + 1) for kind in self.best[j]}
+        while len(heads) > 1:
+            head = max(heads)
+            if head[0] <= self.root:
+                return []
+            heads.remove(head)
+            _, i, prior = self.best[head[0]][head[1]]
+            heads.add((i, prior))
+        (at, kind), = heads
+        out = self._back(at, kind)
+        self.best[at] = {kind: self.best[at][kind]}
+        for j in range(self.root, at):
+            del self.best[j]
+        self.root = at
+        return out
+
+    def finish(self) -> list[tuple[int, int, str]]:
+        """Spans of the best segmentation of all that was read."""
+        last = max(self.best)
+        return self._back(last, max(self.best[last], key=lambda k: self.best[last][k][0]))
+
+
 class SemiMarkov:
     """Weights of whole-span features by kind, and of neighbouring kinds."""
 
@@ -189,32 +251,56 @@ class SemiMarkov:
         ends: list[list[tuple[int, str, float]]] = [[] for _ in range(len(w.tokens) + 1)]
         for j in range(1, len(w.tokens) + 1):
             ends[j].append((j - 1, "O", 0.0))
-        get = self.weights.get
         for i, j in w.candidates():
             features = w.features(i, j)
             for kind in KINDS:
-                ends[j].append((i, kind, get((kind, ""), 0.0) + sum(get((kind, f), 0.0) for f in features)))
+                ends[j].append((i, kind, self.score(kind, features)))
         return ends
 
+    def score(self, kind: str, features: tuple[str, ...]) -> float:
+        get = self.weights.get
+        return get((kind, ""), 0.0) + sum(get((kind, f), 0.0) for f in features)
+
     def decode(self, w: Window) -> list[tuple[int, int, str]]:
         """The best segmentation's spans (token offsets)."""
-        n, ends = len(w.tokens), self.segments(w)
-        best: list[dict[str, tuple[float, int, str]]] = [{"O": (0.0, -1, "")}] + [{} for _ in range(n)]
-        step = {(p, k): self.weights.get((p, f">{k}"), 0.0) for p in LABELS for k in LABELS}
-        for j in range(1, n + 1):
-            for i, kind, score in ends[j]:
-                for prior, (total, _, _) in best[i].items():
-                    value = total + score + step[prior, kind]
-                    if kind not in best[j] or value > best[j][kind][0]:
-                        best[j][kind] = (value, i, prior)
-        out, j = [], n
-        kind = max(best[n], key=lambda k: best[n][k][0])
-        while j > 0:
-            _, i, prior = best[j][kind]
-            if kind != "O":
-                out.append((i, j, kind))
-            j, kind = i, prior
-        return out[::-1]
+        path = Path(self)
+        ends = self.segments(w)
+        for j in range(1, len(w.tokens) + 1):
+            path.step(j, ends[j])
+        return path.finish()
+
+    def decode_text(self, text: str, first: int, last: int) -> Iterator[Span]:
+        """Spans (text offsets) of the best segmentation of a stretch of any length, piece by piece.
+
+        A piece's segments are scored on its tokens with enough of those before and behind; only the path goes on to the
+        next piece, and of it only what is still open.
+        """
+        path, tokens, base = Path(self), [], 0  # places of the tokens from number `base` on
+        found = (m.span() for m in TOKEN.finditer(text, first, last))
+        places: dict[int, tuple[int, int]] = {}  # of tokens that spans still to come may begin or end with
+        ends: dict[int, list[tuple[int, str, float]]] = {}
+        at = 0
+        while True:
+            tokens += itertools.islice(found, max(0, at + PIECE_TOKENS + MAX_TOKENS + NEIGHBOURS - base - len(tokens)))
+            upto = min(at + PIECE_TOKENS, base + len(tokens))
+            if upto == at:
+                break
+            w = Window(text, tokens[0][0], tokens[-1][1])
+            for i, j in w.candidates(at - base, upto - base):
+                places[base + i], places[base + j - 1] = tokens[i], tokens[j - 1]
+                features = w.features(i, j)
+                ends.setdefault(base + j, []).extend((base + i, kind, self.score(kind, features)) for kind in KINDS)
+            for j in range(at + 1, upto + 1):
+                path.step(j, [(j - 1, "O", 0.0), *ends.pop(j, ())])
+            for i, j, kind in path.settle(upto, upto + 1 - MAX_TOKENS):
+                yield places[i][0], places[j - 1][1], kind
+            places = {k: v for k, v in places.items() if k >= path.root}
+            at = upto
+            drop = max(0, at - NEIGHBOURS - base)
+            del tokens[:drop]
+            base += drop
+        for i, j, kind in path.finish():
+            yield places[i][0], places[j - 1][1], kind
 
     def learn(self, w: Window, gold: list[tuple[int, int, str]], rate: float) -> None:
         """One step up the log-likelihood of `gold`: its counts less the expected counts over all segmentations."""
@@ -354,6 +440,8 @@ def added_spans(text: str, base: list[Span], model: SemiMarkov) -> list[Span]:
             regions[-1][1] = max(regions[-1][1], z)
         else:
             regions.append([a, z])
+    starts = [p for p, _ in taken]
+    ends = list(itertools.accumulate((q for _, q in taken), max))
     out = []
     for a, z in regions:
         # Begin and end at white space, so that no token is cut.
@@ -361,12 +449,9 @@ def added_spans(text: str, base: list[Span], model: SemiMarkov) -> list[Span]:
             a -= 1
         while z < len(text) and not text[z].isspace():
             z += 1
-        w = Window(text, a, z)
-        if next(w.candidates(), None) is None:
-            continue
-        for i, j, kind in model.decode(w):
-            x, y = w.spans[i][0], w.spans[j - 1][1]
-            if not any(p < y and x < q for p, q in taken) and (not out or x >= out[-1][1]):
+        for x, y, kind in model.decode_text(text, a, z):
+            before = bisect_left(starts, y)  # base spans that begin before the end of this one
+            if not (before and ends[before - 1] > x) and (not out or x >= out[-1][1]):
                 out.append((x, y, kind))
     return out
 

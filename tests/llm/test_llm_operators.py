@@ -677,6 +677,44 @@ def test_pii_rows(spark):
     assert pii.detect(empty_documents(spark)).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 3, 50, 1024])
+def test_pieces_of_a_window_are_decoded_like_the_whole(monkeypatch, piece):
+    monkeypatch.setattr(pii, "PIECE_TOKENS", piece)
+    rng, model = random.Random(piece), pii.train()
+    for n in (0, 1, 2, 30):
+        for _ in range(4):
+            text = rng.choice([" ", "  ", "\n"]).join(pii.labelled_line(rng)[0] for _ in range(n))
+            w = pii.Window(text, 0, len(text))
+            whole = [(w.spans[i][0], w.spans[j - 1][1], kind) for i, j, kind in model.decode(w)]
+            assert list(model.decode_text(text, 0, len(text))) == whole
+    # A segmentation that the last token alone decides stays open to the end.
+    for text in ("5550100 " * 300, "0 1 2 3 4 5 6 7 8 9 " * 200, "a at b dot com " * 200):
+        w = pii.Window(text, 0, len(text))
+        assert list(model.decode_text(text, 0, len(text))) == [(w.spans[i][0], w.spans[j - 1][1], kind) for i, j, kind in model.decode(w)]
+
+
+def test_a_long_text_of_numbers_takes_bounded_memory():
+    import tracemalloc
+
+    model, peaks = pii.train(), []
+    for n in (1500, 6000):
+        text = " ".join(f"555 {k:07d}" for k in range(n))
+        tracemalloc.start()
+        pii.find_spans(text, model)
+        peaks.append(tracemalloc.get_traced_memory()[1] - len(text) * 4)
+        tracemalloc.stop()
+    assert peaks[1] < 1.6 * peaks[0] and peaks[1] < 60e6
+
+
+def test_base_and_added_spans_never_touch():
+    rng, model = random.Random(12), pii.train()
+    for _ in range(30):
+        text = " ".join(rng.choice([pii.labelled_line(rng)[0], "+1 (743) 555-3824", "a@b.co", "1.2.3.4", "4111 1111 1111 1111", "x 12 y"]) for _ in range(25))
+        base, every = pii.find_spans(text, model)
+        added = [s for s in every if s not in base]
+        assert not any(p < y and x < q for x, y, _ in added for p, q, _ in base)
+
+
 # ---------------------------------------------------------------------- 9
 
 
