@@ -10,7 +10,9 @@ from docloom.functions import prompts
 from docloom.operators import ledger, models, obligations, scorecards
 from docloom.plans.registry import Tables, query
 from docloom.sources import readers, rules
+from docloom.sources.scratch import Scratch
 from docloom.sources.synthetic import FINDINGS, MODELS, USAGE
+from docloom.streaming import budget
 from docloom.streaming import usage as streams
 
 # -------------------------------------------------------------------- usage
@@ -75,6 +77,25 @@ def usage_stream(t: Tables) -> DataFrame:
     return done.groupBy("event_type").agg(F.sum("calls").alias("calls"), F.sum("cents").alias("cents"))
 
 
+# Calls come in four files; a call may be in the file after its own, up to 400 seconds late by its time.
+CALLS = f"SELECT run, seq, timestamp_seconds(1700000000 + seq) AS ts, CAST(floor(input_tokens / 100) + floor(output_tokens / 10) AS DOUBLE) AS cost_inr FROM ({USAGE})"
+
+
+@query(f"SELECT run, seq, allowed FROM ({GUARD})")
+def budget_stream(t: Tables) -> DataFrame:
+    """The budget's stop over a stream of late and unordered calls; equal to `budget_prefix`, which sorts them all."""
+    calls = t.sql(CALLS).withColumn("projected_inr", F.col("cost_inr")).select("ts", "run", "seq", "projected_inr", "cost_inr")
+    last = calls.agg(F.max("seq")).first()[0] or 0
+    scratch = Scratch(t.spark, "calls")
+    folder = scratch.path("incoming")
+    part = F.floor((F.col("seq") + F.col("seq") * 7919 % 400) * 4 / (last + 401))
+    end = t.spark.range(1).select(F.timestamp_seconds(F.lit(1_700_000_000 + last + 100_000)).alias("ts"), F.lit(-1).cast("bigint").alias("run"), F.col("id").alias("seq"), F.lit(0.0).alias("projected_inr"), F.lit(0.0).alias("cost_inr"))
+    for k in range(5):  # the last moves the watermark past all calls
+        (calls.where(part == k) if k < 4 else end).coalesce(1).write.mode("append").parquet(folder)
+    stream = t.spark.readStream.schema(calls.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return budget.decide(budget.guarded_in_order(stream, "10 minutes", cap=12000, max_calls=150), "guard")
+
+
 # --------------------------------------------------------------- scorecards
 
 

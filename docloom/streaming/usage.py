@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.config import BUDGET
+from docloom.sources.scratch import Scratch
 
 
 def windowed_usage(calls: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -40,7 +41,18 @@ def guarded(calls: DataFrame, cap: float = BUDGET["per_run_inr"], max_calls: int
 
 
 def drain(stream: DataFrame, spark: SparkSession, name: str, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its result table (for results of bounded size)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there and read its result from files: the last table in complete mode, else all parts.
+
+    Each micro-batch writes a folder of its own, so one that runs again replaces what it had written.
+    """
+    scratch = Scratch(spark, name)
+    out, done = scratch.path("result"), []
+
+    def keep(part: DataFrame, k: int) -> None:
+        part.write.mode("overwrite").parquet(f"{out}/batch={k}")
+        done.append(f"{out}/batch={k}")
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", scratch.path("progress")).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    kept = list(dict.fromkeys(done))
+    return spark.read.schema(stream.schema).parquet(*(kept[-1:] if mode == "complete" else kept)) if kept else spark.createDataFrame([], stream.schema)
