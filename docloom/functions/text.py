@@ -25,8 +25,8 @@ PAGE_REF = r"(?i)page\s*no\.?\s*(\d{1,4})"
 
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:
-    """A group of the first match, or null without a match."""
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
+    """A group of the first match, or null without a match or where the group is empty; the text is searched once."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def collapse(text: Column) -> Column:

@@ -57,9 +57,10 @@ def salient_tokens(t: Tables) -> DataFrame:
 
 @query(f"SELECT word, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({SALIENT.format(x=NORMAL)}) AS word FROM {{documents}}) GROUP BY word")
 def token_vocab(t: Tables) -> DataFrame:
-    words = t.table("documents").select("doc_id", F.explode(X.salient(X.normalise_native(F.col("text")))).alias("word"))
-    by_doc = words.groupBy("word", "doc_id").agg(F.count("*").alias("k"))
-    return by_doc.groupBy("word").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))
+    """Sorted within its document, a word's first place there counts the document, so one aggregation serves both counts."""
+    words = t.table("documents").select(F.sort_array(X.salient(X.normalise_native(F.col("text")))).alias("words"))
+    marked = words.select(F.explode_outer(F.transform("words", lambda w, k: F.struct(w.alias("word"), (F.coalesce(F.get("words", k - 1) != w, F.lit(True))).cast("int").alias("first")))).alias("x"))
+    return marked.select("x.*").where("word is not null").groupBy("word").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
 
 
 @query(rf"""

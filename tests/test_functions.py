@@ -124,3 +124,15 @@ def test_messages(spark):
     got = row.select(message.alias("m"), prompts.attachments(F.col("images"), F.col("pdfs")).alias("a"), prompts.attachments(F.lit(0), F.lit(0)).alias("none")).first()
     assert got.m.splitlines()[0] == "Circular: C/1 (2024-05-22)" and got.m.endswith('"""\nThe TM shall.\n"""') and "Section 4 — None" in got.m
     assert got.a == "2 screenshots and 1 PDF" and got.none is None
+
+
+def test_exact_normalisation_equals_unicode_data_for_all_code_points(spark):
+    import sys
+    import unicodedata
+
+    points = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    rows = ["a" + "b".join(points[k : k + 997]) + "c" for k in range(0, len(points), 997)]
+    got = {r["k"]: r["x"] for r in spark.createDataFrame(list(enumerate(rows)), "k int, t string").select("k", text.normalise_exact(F.col("t")).alias("x")).collect()}
+    fold = str.maketrans(dict(zip(text.FOLD_FROM, text.FOLD_TO, strict=True)) | {text.ZERO_WIDTH: None})
+    for k, t in enumerate(rows):
+        assert got[k] == " ".join(unicodedata.normalize("NFKC", t).translate(fold).split()).casefold()
