@@ -292,6 +292,10 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(empty_documents(spark), labels).count() == 0
     machine = toxicity.fit(d, labels, "doc_id", "text", "toxic", 100)
     assert toxicity.drop_toxic(d, machine).columns == d.columns
+    named = d.withColumn("_toxic_score", F.lit("own")).withColumn("doc_id", F.when(F.col("doc_id") != 4, F.col("doc_id")))
+    kept = toxicity.drop_toxic(named, machine)
+    assert kept.columns == named.columns and {r["_toxic_score"] for r in kept.collect()} <= {"own"}
+    assert {r["held_out"] for r in toxicity.score_toxicity(named, labels).where("doc_id is null").collect()} == {False}
 
 
 # ---------------------------------------------------------------------- 3
