@@ -215,3 +215,21 @@ def test_scratch_tables_are_read_again_and_removed(spark):
     with pytest.raises(PySparkException):
         spark.read.schema("id bigint").parquet(first.inputFiles()[0]).count()
     scratch.drop()
+
+
+def test_rulebooks_are_files_or_folders_that_hold_one(spark, tmp_path):
+    from docloom.sources import readers
+
+    (tmp_path / "a.md").write_text("first")
+    (tmp_path / "name=b.md").mkdir()
+    (tmp_path / "name=b.md" / "part-0.txt").write_text("second\n")
+    (tmp_path / "a.md2").write_text("other")
+    got = [tuple(r) for r in readers.read_rulebooks(spark, str(tmp_path), ["name=b.md", "a.md"]).collect()]
+    assert got == [(1, "name=b.md", "second\n"), (2, "a.md", "first")]
+
+
+def test_covered_change_lists(spark):
+    from docloom.operators import changes
+
+    listed = spark.createDataFrame([("d", "41.9", 1), ("d", "50", 0), ("e", "7", 2)], "doc_id string, para string, n bigint")
+    assert sorted(tuple(r) for r in changes.is_covered(listed).collect()) == [("d", 2, 1, False), ("e", 1, 0, True)]
