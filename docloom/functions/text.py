@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,14 +24,27 @@ PARA_REF = r"(?i)Para\s+(\d+(?:\.\d+)*)"
 PAGE_REF = r"(?i)page\s*no\.?\s*(\d{1,4})"
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of a value that is computed once for each row, however often `f` uses it and in whatever branch.
+
+    Columns are expressions: one that is used in several branches of a conditional is computed in each of them.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def found(text: Column, pattern: str, group: int = 0) -> Column:
     """A group of the first match, or null without a match or where the group is empty; the text is searched once."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return F.get(F.filter(F.array(F.regexp_extract(text, pattern, group)), lambda x: x != ""), F.lit(0))
+
+
+def tidy(text: Column) -> Column:
+    """Whether a text is of one line of printable ASCII with single spaces: what most short texts are, told by one search."""
+    return ~F.regexp_like(text, F.lit(r"[^\x20-\x7e]|\x20\x20"))
 
 
 def collapse(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, f"{WS}+", " "))
+    return bound(text, lambda t: F.trim(F.when(tidy(t), t).otherwise(F.regexp_replace(t, f"{WS}+", " "))))
 
 
 def dehyphenate(text: Column) -> Column:
@@ -44,8 +57,15 @@ def normalise_native(text: Column) -> Column:
 
     Differs from `normalise_exact` only where compatibility forms (NFKC) or full case folding change a character.
     """
-    folded = F.replace(F.translate(dehyphenate(text), FOLD_FROM, FOLD_TO), F.lit(ZERO_WIDTH), F.lit(""))
-    return F.lower(collapse(folded))
+
+    def fold(t: Column) -> Column:
+        joined = dehyphenate(t)
+        # All that is folded lies outside ASCII, and to look up every character costs more than all else here.
+        folded = F.replace(F.translate(joined, FOLD_FROM, FOLD_TO), F.lit(ZERO_WIDTH), F.lit(""))
+        full = collapse(F.when(F.octet_length(t) == F.length(t), joined).otherwise(folded))
+        return F.lower(F.when(tidy(t), F.trim(t)).otherwise(full))
+
+    return bound(text, fold)
 
 
 def normalise_exact(text: Column) -> Column:
@@ -102,7 +122,10 @@ def clean_title(raw: Column) -> Column:
 
 
 def slug_intermediary(label: Column) -> Column:
-    low = F.lower(label)
+    return bound(F.lower(label), _slug)
+
+
+def _slug(low: Column) -> Column:
     other = F.left(F.btrim(F.regexp_replace(low, "[^a-z0-9]+", "_"), F.lit("_")), F.lit(40))
     known = None
     for key, slug in SLUGS.items():
