@@ -25,7 +25,7 @@ def advisory(text: Column) -> Column:
 def span_ok(start: Column, end: Column, document: Column) -> Column:
     """0 <= start < end <= length, and the slice is not blank."""
     cut = F.substring(document, start.cast("int") + 1, (end - start).cast("int"))
-    return F.coalesce((start >= 0) & (start < end) & (end <= F.length(document)) & (F.regexp_replace(cut, f"{WS}+", "") != ""), F.lit(False))
+    return F.coalesce((start >= 0) & (start < end) & (end <= F.length(document)) & F.regexp_like(cut, F.lit("[^" + WS[1:])), F.lit(False))
 
 
 def modality_ok(criticality: Column, text: Column) -> Column:

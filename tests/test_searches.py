@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from docloom.functions import deadlines, text
+from docloom.functions import deadlines, gate, text
 
 
 def plan(df) -> str:
@@ -28,6 +28,13 @@ def test_number_words_are_no_casts_that_fail(spark):
     assert re.search(r"coalesce\(map|coalesce\(element_at|coalesce\(keys", plan(texts(spark).select(deadlines.number(F.col("x")).alias("y"))))
 
 
+def test_a_span_is_tested_for_blanks_without_rewriting_it(spark):
+    rows = spark.createDataFrame([("ab  \u00a0\u2003 c", 2, 6), ("ab  \u00a0 c", 2, 8), ("a\u200b", 1, 2), (None, 0, 1)], "d string, a bigint, b bigint")
+    told = rows.select(gate.span_ok(F.col("a"), F.col("b"), F.col("d")).alias("y"))
+    assert [r.y for r in told.collect()] == [False, False, True, False]
+    assert "regexp_replace" not in plan(told)
+
+
 def test_tidy_texts_need_no_folding(spark):
     rows = spark.createDataFrame([("One two",), (" One ",), ("a  b",), ("a\tb",), ("a\u2019s",), ("a-\nb",), ("",), (None,)], "x string")
     assert [r.y for r in rows.select(text.tidy(F.col("x")).alias("y")).collect()] == [True, True, False, False, False, False, True, None]
