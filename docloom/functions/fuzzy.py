@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import pandas as pd
@@ -67,21 +68,27 @@ def partial_ratio(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def _hits(needles: str | None, words: str | None, threshold: float) -> int:
+    held = set(json.loads(words)) - {None} if words is not None else set()
+    some = json.loads(needles) if needles is not None else ()
+    return sum(t in held or any(200.0 * min(len(t), len(w)) >= threshold * (len(t) + len(w)) and indel_ratio(t, w) >= threshold for w in held) for t in some if t is not None)
+
+
+@lru_cache(1 << 15)
+def _hits_of_short(needles: str | None, words: str | None, threshold: float) -> int:
+    return _hits(needles, words, threshold)
+
+
 def fuzzy_hits(needles: Column, haystack: Column, threshold: float) -> Column:
     """How many needles are in the haystack or at least `threshold` alike to one of its words.
 
-    Lengths bound the ratio from above by 200 * min / (m + n), so most words are never compared.
+    Lengths bound the ratio from above by 200 * min / (m + n), so most words are never compared. Lists go to Python as
+    texts, and what short ones gave is kept there (at most 1,000 characters each of 2^15 pairs).
     """
 
     @F.pandas_udf("int")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for some, words in zip(x, y, strict=True):
-            words = set(words) if words is not None else set()
-            hits = 0
-            for t in some if some is not None else ():
-                hits += t in words or any(200.0 * min(len(t), len(w)) >= threshold * (len(t) + len(w)) and indel_ratio(t, w) >= threshold for w in words)
-            out.append(hits)
+        out = [(_hits_of_short if len(p or "") + len(q or "") <= 1000 else _hits)(p, q, threshold) for p, q in zip(x, y, strict=True)]
         return pd.Series(out, dtype="int32")
 
-    return run(needles, haystack)
+    return run(F.to_json(needles), F.to_json(haystack))

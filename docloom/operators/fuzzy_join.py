@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.fuzzy import ratio
+from docloom.sources.scratch import Scratch
 
 
 def edits(m: Column, n: Column, threshold: float) -> Column:
@@ -79,10 +80,19 @@ def fuzzy_hits(rows: DataFrame, key: str, needles: str, words: str, threshold: f
     """`rows` with hits: how many of the needles are similar to one of the row's own words.
 
     `key` names rows uniquely; `needles` and `words` are arrays of words. A needle counts as often as it stands there.
+
+    Hits depend on the two lists only. Words are joined once for each distinct pair of lists, under a number that a table
+    keeps, and rows meet the hits of their lists in one join; only lists that differ take part in the joins by word.
     """
-    asked = rows.select(key, F.explode(needles).alias("a")).groupBy(key, "a").agg(F.count("*").alias("_n"))
-    held = rows.select(key, F.explode(F.array_distinct(words)).alias("b"))
+    empty = F.array().cast("array<string>")
+    own = {"_needles": F.coalesce(needles, empty), "_words": F.array_sort(F.array_distinct(F.coalesce(words, empty)))}
+    scratch = Scratch(rows.sparkSession, "lists")
+    lists = scratch.save(rows.select(*[v.alias(k) for k, v in own.items()]).distinct().withColumn("_pair", F.monotonically_increasing_id()), "lists")
+    asked = lists.select("_pair", F.explode("_needles").alias("a")).groupBy("_pair", "a").agg(F.count("*").alias("_n"))
+    held = lists.select("_pair", F.explode("_words").alias("b"))
     pairs = similar_words(asked, held, threshold)
-    found = asked.join(pairs.select("a", "b"), "a").join(held, [key, "b"], "left_semi").select(key, "a", "_n").distinct()
-    hits = found.groupBy(key).agg(F.sum("_n").alias("hits"))
-    return rows.join(hits, key, "left").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("bigint"))
+    found = asked.join(pairs.select("a", "b"), "a").join(held, ["_pair", "b"], "left_semi").select("_pair", "a", "_n").distinct()
+    counted = found.groupBy("_pair").agg(F.sum("_n").alias("hits"))
+    hits = scratch.save(lists.join(counted, "_pair").select("_needles", "_words", "hits"), "hits")
+    scratch.drop(keep=1)
+    return rows.withColumns(own).join(hits, ["_needles", "_words"], "left").drop("_needles", "_words").withColumn("hits", F.coalesce("hits", F.lit(0)).cast("bigint"))

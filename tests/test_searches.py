@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from docloom.functions import deadlines, gate, text
+from docloom.operators import fuzzy_join
 
 
 def plan(df) -> str:
@@ -39,3 +40,11 @@ def test_tidy_texts_need_no_folding(spark):
     rows = spark.createDataFrame([("One two",), (" One ",), ("a  b",), ("a\tb",), ("a\u2019s",), ("a-\nb",), ("",), (None,)], "x string")
     assert [r.y for r in rows.select(text.tidy(F.col("x")).alias("y")).collect()] == [True, True, False, False, False, False, True, None]
     assert [r.y for r in rows.select(text.normalise_native(F.col("x")).alias("y")).collect()] == ["one two", "one", "a b", "a b", "a's", "ab", "", None]
+
+
+def test_rows_with_equal_lists_share_their_hits(spark):
+    """Rows take part in one join, that with the hits of their lists."""
+    rows = spark.range(200).select(F.col("id").alias("key"), F.array(F.lit("settles"), F.lit("fees")).alias("needles"), F.array(F.lit("settle"), F.lit("x")).alias("words"))
+    got = fuzzy_join.fuzzy_hits(rows, "key", "needles", "words", 82.0)
+    assert plan(got).count("Join") == 1
+    assert {r.hits for r in got.collect()} == {1}
