@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.functions.deadlines import month_date
-from docloom.functions.text import circular_number, collapse, dehyphenate, found, slug_intermediary
+from docloom.functions.text import bound, circular_number, collapse, dehyphenate, found, slug_intermediary
 
 RUNNING_LINE = r"^\s*(?:Page\s+\d+\s+of\s+\d+|\d{1,4})\s*$"
 SUBJECT = r"(?i)Subject\s*:\s*Master\s+Circular\s+for\s+([^\n]+)"
@@ -68,18 +68,27 @@ def page_of(offsets: DataFrame, pages: DataFrame) -> DataFrame:
 def parse_headers(front: DataFrame) -> DataFrame:
     """Header fields of front matter (doc_id, text), with `error` where a document is none of the known families."""
     text = F.col("text")
-    number = circular_number(text)
-    label = F.rtrim(F.regexp_replace(F.trim(found(text, SUBJECT, 1)), r"\.+$", ""))
-    issued = month_date(found(text, r"(?i)Issued\s+on\s*:\s*" + DATE, 1))
-    updated = month_date(found(text, r"(?i)Last\s+updated\s+on\s*:\s*" + DATE, 1))
-    near = F.substring(text, F.position(number, text) + F.length(number), F.lit(120))
-    date = F.coalesce(updated, issued, month_date(found(near, r"\b" + DATE, 1)), month_date(found(text, r"\b" + DATE, 1)))
-    earlier = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)Master\s+Circular\s+dated\s+" + DATE), 1), month_date)
-    return front.select(
-        "doc_id", number.alias("circular_no"), date.alias("circular_date"), slug_intermediary(label).alias("intermediary"), label.alias("intermediary_label"),
-        F.array_max(F.filter(earlier, lambda d: d < date)).alias("supersedes_date"), issued.alias("issued_on"),
-        F.when(number.isNull(), "circular_no").when(label.isNull(), "subject").when(date.isNull(), "circular_date").alias("error"),
+    dated = lambda lead, where=text: month_date(found(where, lead + DATE, 1))
+    told = F.struct(
+        circular_number(text).alias("number"), bound(found(text, SUBJECT, 1), lambda x: F.rtrim(F.regexp_replace(F.trim(x), r"\.+$", ""))).alias("label"),
+        dated(r"(?i)Issued\s+on\s*:\s*").alias("issued"), dated(r"(?i)Last\s+updated\s+on\s*:\s*").alias("updated"),
     )
+    earlier = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)Master\s+Circular\s+dated\s+" + DATE), 1), month_date)
+
+    def fields(x: Column) -> Column:
+        number, label = x["number"], x["label"]
+        near = F.substring(text, F.position(number, text) + F.length(number), F.lit(120))
+
+        def with_date(date: Column) -> Column:
+            return F.struct(
+                number.alias("circular_no"), date.alias("circular_date"), slug_intermediary(label).alias("intermediary"), label.alias("intermediary_label"),
+                F.array_max(F.filter(earlier, lambda d: d < date)).alias("supersedes_date"), x["issued"].alias("issued_on"),
+                F.when(number.isNull(), "circular_no").when(label.isNull(), "subject").when(date.isNull(), "circular_date").alias("error"),
+            )
+
+        return bound(F.coalesce(x["updated"], x["issued"], dated(r"\b", near), dated(r"\b")), with_date)
+
+    return front.select("doc_id", bound(told, fields).alias("_x")).select("doc_id", "_x.*")
 
 
 def version_chain(headers: DataFrame) -> DataFrame:

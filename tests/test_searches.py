@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from docloom.functions import deadlines, gate, text
-from docloom.operators import fuzzy_join
+from docloom.operators import documents, fuzzy_join
 
 
 def plan(df) -> str:
@@ -42,6 +42,10 @@ def test_tidy_texts_need_no_folding(spark):
     assert [r.y for r in rows.select(text.normalise_native(F.col("x")).alias("y")).collect()] == ["one two", "one", "a b", "a b", "a's", "ab", "", None]
 
 
+def test_header_fields_search_the_text_once_each(spark):
+    assert plan(documents.parse_headers(spark.createDataFrame([("d", "t")], "doc_id string, text string"))).count("Subject") == 1
+
+
 def test_rows_with_equal_lists_share_their_hits(spark):
     """Rows take part in one join, that with the hits of their lists."""
     rows = spark.range(200).select(F.col("id").alias("key"), F.array(F.lit("settles"), F.lit("fees")).alias("needles"), F.array(F.lit("settle"), F.lit("x")).alias("words"))
