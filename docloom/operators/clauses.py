@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from docloom.config import STRONG_TITLE_MATCH, TITLE_MATCH
 from docloom.functions.fuzzy import partial_ratio
-from docloom.functions.text import WS, found, normalise_exact
+from docloom.functions.text import WS, bound, found, normalise_exact
 
 # Marker shapes, and words that follow a number which is cited, not opened.
 DOTTED = r"^[ \t]*(\d{1,3}(?:\.\d{1,3})+)\.?[ \t]+"
@@ -37,9 +37,13 @@ def mark_lines(sections: DataFrame, roman_context: bool = False) -> DataFrame:
     opening = F.regexp_extract(line, DOTTED, 0)
     following = F.array_join(F.slice("_lines", F.col("line_no") + 1, F.lit(26)), "\n")
     cited = first_word(F.substring(following, F.length(opening) + 1, F.lit(24))).isin(*CITING_WORDS)
-    dotted, roman, alpha, paren = (found(line, p, 1) for p in (DOTTED, ROMAN, ALPHA, ALPHA_PAREN))
-    kind = F.when(dotted.isNotNull(), F.when(~cited, "dotted")).when(roman.isNotNull(), "roman").when(alpha.isNotNull(), "alpha").when(paren.isNotNull(), "alpha_paren")
-    marked = each.withColumns({"kind": kind, "marker": F.when(kind.isNotNull(), F.lower(F.coalesce(dotted, roman, alpha, paren)))}).drop("_lines")
+
+    def read(m: Column) -> Column:
+        kind = F.when(m["dotted"].isNotNull(), F.when(~cited, "dotted")).when(m["roman"].isNotNull(), "roman").when(m["alpha"].isNotNull(), "alpha").when(m["paren"].isNotNull(), "alpha_paren")
+        return bound(kind, lambda k: F.struct(k.alias("kind"), F.when(k.isNotNull(), F.lower(F.coalesce(m["dotted"], m["roman"], m["alpha"], m["paren"]))).alias("marker")))
+
+    shapes = F.struct(*[found(line, p, 1).alias(name) for name, p in (("dotted", DOTTED), ("roman", ROMAN), ("alpha", ALPHA), ("paren", ALPHA_PAREN))])
+    marked = each.withColumn("_mark", bound(shapes, read)).select(*[c for c in each.columns if c != "_lines"], F.col("_mark")["kind"].alias("kind"), F.col("_mark")["marker"].alias("marker"))
     section = Window.partitionBy("doc_id", "section_no").orderBy("line_no")
     offset = F.coalesce(F.sum(F.length("line") + 1).over(section.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     marked = marked.withColumn("offset", offset.cast("bigint"))
@@ -54,32 +58,33 @@ def mark_lines(sections: DataFrame, roman_context: bool = False) -> DataFrame:
 def split_clauses(sections: DataFrame, roman_context: bool = False) -> DataFrame:
     """doc_id, section_no, part, clause_path, char_start, char_end and text of every clause.
 
-    One shuffle by section serves all windows; a repeated path gets a #n suffix, counted before short clauses go.
+    One shuffle by section serves all windows, and one sort by line all those over lines; a repeated path gets a #n
+    suffix, counted before short clauses go.
     """
     lines = mark_lines(sections, roman_context)
     order = Window.partitionBy("doc_id", "section_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     base = F.when(F.col("part") != "", F.concat_ws(".", "part", F.col("section_no").cast("string"))).otherwise(F.col("section_no").cast("string"))
     own = F.split_part("marker", F.lit("."), F.lit(1)) == F.col("section_no").cast("string")
     full = F.when(own, F.when(F.col("part") != "", F.concat_ws(".", "part", "marker")).otherwise(F.col("marker"))).otherwise(F.concat_ws(".", base, "marker"))
-    lines = lines.withColumns({"nth": F.count("kind").over(order), "dotted_path": F.when(F.col("kind") == "dotted", full), "open": F.count(F.when(F.col("kind") == "dotted", 1)).over(order)})
-    inside = Window.partitionBy("doc_id", "section_no", "open").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    letter = F.last(F.when(F.col("kind").isin("alpha", "alpha_paren"), F.col("marker")), ignorenulls=True).over(inside)
-    stem = F.coalesce(F.last("dotted_path", ignorenulls=True).over(inside), base)
+    dotted, lettered = F.col("kind") == "dotted", F.col("kind").isin("alpha", "alpha_paren")
+    # The letter that is open: a dotted marker closes it, so what stands last is a letter or none.
+    opens = F.when(dotted, F.struct(F.lit(None).cast("string").alias("x"))).when(lettered, F.struct(F.col("marker").alias("x")))
+    lines = lines.withColumns({"nth": F.count("kind").over(order), "stem": F.coalesce(F.last(F.when(dotted, full), ignorenulls=True).over(order), base), "letter": F.last(opens, ignorenulls=True).over(order)["x"]})
+    stem, letter = F.col("stem"), F.col("letter")
     path = (
-        F.when(F.col("kind") == "dotted", F.col("dotted_path"))
+        F.when(dotted, stem)
         .when(F.col("kind") == "roman", F.concat_ws(".", stem, F.coalesce(letter, F.lit("_")), "marker"))
         .when(F.col("kind").isNotNull(), F.concat_ws(".", stem, "marker"))
     )
     lines = lines.withColumns({"path": path, "base": base})
-    held = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    held = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    # A clause ends behind its last line's end, where the next one starts; behind the section's last line there is none.
     clauses = lines.groupBy("doc_id", "section_no", "nth").agg(
-        F.first("part").alias("part"), F.first("body_start").alias("body_start"), F.first("section_length").alias("section_length"), F.min("offset").alias("start"),
+        F.first("part").alias("part"), F.first("body_start").alias("body_start"), F.min("offset").alias("start"), F.least(F.max(F.col("offset") + F.length("line") + 1), F.first("section_length").cast("bigint")).alias("end"),
         F.coalesce(F.max("path"), F.first("base")).alias("path"), F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("raw"),
     )
-    section = Window.partitionBy("doc_id", "section_no").orderBy("nth")
     repeat = F.row_number().over(Window.partitionBy("doc_id", "section_no", "path").orderBy("nth"))
-    text = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    found_clauses = clauses.withColumns({"end": F.coalesce(F.lead("start").over(section), F.col("section_length").cast("bigint")), "repeat": repeat, "text": text})
+    found_clauses = clauses.withColumns({"repeat": repeat, "text": F.regexp_replace("raw", r"^\s+|\s+$", "")})
     return found_clauses.where(F.length("text") >= MIN_CLAUSE).select(
         "doc_id", "section_no", "part", F.when(F.col("repeat") == 1, F.col("path")).otherwise(F.concat_ws("#", "path", F.col("repeat").cast("string"))).alias("clause_path"),
         (F.col("body_start") + F.col("start")).alias("char_start"), (F.col("body_start") + F.col("end")).alias("char_end"), "text",

@@ -29,7 +29,7 @@ SELECT *, CASE kind WHEN 'dotted' THEN dotted WHEN 'roman' THEN lower(roman) WHE
 def _sections(t: Tables) -> DataFrame:
     """Section texts from lines; sections are of bounded length."""
     lines = t.sql(CLAUSE_LINES)
-    held = F.array_sort(F.collect_list(F.struct("rn", "line")))
+    held = F.sort_array(F.collect_list(F.struct("rn", "line")))
     return lines.groupBy("doc_id", "section_no").agg(F.first("part").alias("part"), F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("text")).withColumn("body_start", F.lit(0).cast("bigint"))
 
 
@@ -71,8 +71,10 @@ def anchor_resolves(t: Tables) -> DataFrame:
     found = clauses.split_clauses(_sections(t))
     cut = F.regexp_replace(F.substring(F.col("whole"), F.col("char_start").cast("int") + 1, (F.col("char_end") - F.col("char_start")).cast("int")), r"^\s+|\s+$", "")
     joined = found.join(_sections(t).select("doc_id", "section_no", F.col("text").alias("whole")), ["doc_id", "section_no"])
-    twice = clauses.duplicates(found, "doc_id", "section_no", "clause_path").agg(F.count("*").alias("duplicate_paths"))
-    return joined.agg(F.count("*").alias("clauses"), F.count(F.when(cut == F.col("text"), 1)).alias("resolved")).crossJoin(twice)
+    # Clauses are counted by path first, which needs no other shuffle and no second split.
+    by_path = joined.groupBy("doc_id", "section_no", "clause_path").agg(F.count("*").alias("n"), F.count(F.when(cut == F.col("text"), 1)).alias("k"))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0).cast("bigint"))
+    return by_path.agg(total("n").alias("clauses"), total("k").alias("resolved"), F.count(F.when(F.col("n") > 1, 1)).alias("duplicate_paths"))
 
 
 @query(f"SELECT doc_id, section_no, path, count(*) AS n FROM ({CLAUSES}) GROUP BY ALL HAVING count(*) > 1")

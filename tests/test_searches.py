@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from docloom.functions import deadlines, gate, text
-from docloom.operators import documents, fuzzy_join
+from docloom.operators import clauses, documents, fuzzy_join
 
 
 def plan(df) -> str:
@@ -42,6 +42,12 @@ def test_tidy_texts_need_no_folding(spark):
     assert [r.y for r in rows.select(text.normalise_native(F.col("x")).alias("y")).collect()] == ["one two", "one", "a b", "a b", "a's", "ab", "", None]
 
 
+def test_lines_of_sections_are_sorted_once(spark):
+    """Windows over lines share one sort; only the repeats of a path need another."""
+    sections = spark.createDataFrame([("d", 1, "", 0, "1.1 one\n(a) two")], "doc_id string, section_no int, part string, body_start bigint, text string")
+    assert clauses.split_clauses(sections)._jdf.queryExecution().executedPlan().toString().count("Sort [") <= 2
+
+
 def test_header_fields_search_the_text_once_each(spark):
     assert plan(documents.parse_headers(spark.createDataFrame([("d", "t")], "doc_id string, text string"))).count("Subject") == 1
 
