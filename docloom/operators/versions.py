@@ -51,24 +51,25 @@ def supersession_chains(links: DataFrame) -> DataFrame:
     the ancestor, so chains halve, and after as many rounds as the binary logarithm of the number of versions only
     cycles have a pointer left. Each round is one join on the pointer, of the unfinished rows only, and a written table;
     where many versions point at one, the join is skewed on the side that Spark splits, as names are unique on the other.
+    Joins are by sort and merge: a broadcast in each round would bring a share of the table to the driver again and again.
     Rows with a null name take no part; of rows that share a name the least counts.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "chains")
     named = links.where("version is not null").groupBy("version").agg(F.min(F.struct(F.col("supersedes").isNull(), "supersedes", "issued")).alias("_x")).select("version", "_x.supersedes", "_x.issued")
     known = named.select(F.col("version").alias("supersedes"), F.lit(True).alias("_known"))
-    start = named.join(known, "supersedes", "left").select("version", F.when(F.col("_known"), F.col("supersedes")).alias("at"), F.when(F.col("_known"), 1).otherwise(0).cast("bigint").alias("depth"), "issued")
+    start = named.join(known.hint("merge"), "supersedes", "left").select("version", F.when(F.col("_known"), F.col("supersedes")).alias("at"), F.when(F.col("_known"), 1).otherwise(0).cast("bigint").alias("depth"), "issued")
     state = scratch.save(start.withColumn("root", F.when(F.col("at").isNull(), F.col("version")).otherwise(F.col("at"))), "start")
     rounds = max(1, state.count()).bit_length()
     for _ in range(rounds):
         if state.where("at is not null").isEmpty():
             break
         there = state.select(F.col("version").alias("at"), F.col("at").alias("_at"), F.col("root").alias("_root"), F.col("depth").alias("_depth"))
-        on = state.where("at is not null").join(there, "at").select("version", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"), "issued", F.col("_root").alias("root"))
+        on = state.where("at is not null").join(there.hint("merge"), "at").select("version", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth"), "issued", F.col("_root").alias("root"))
         state = scratch.save(on.unionByName(state.where("at is null")), "round")
         scratch.drop(keep=1)
     cyclic = F.col("at").isNotNull()
     latest = state.where(~cyclic).groupBy("root").agg(F.max(F.struct("issued", "version")).alias("_latest"))
-    return state.withColumn("root", F.when(~cyclic, F.col("root"))).join(latest, "root", "left").select(
+    return state.withColumn("root", F.when(~cyclic, F.col("root"))).join(latest.hint("merge"), "root", "left").select(
         "version", "root", F.when(~cyclic, F.col("depth")).alias("depth"), cyclic.alias("cyclic"), F.col("_latest.version").alias("latest")
     )

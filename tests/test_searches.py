@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from docloom.functions import deadlines, gate, text
-from docloom.operators import clauses, documents, fuzzy_join
+from docloom.operators import clauses, documents, fuzzy_join, versions
 
 
 def plan(df) -> str:
@@ -58,3 +58,10 @@ def test_rows_with_equal_lists_share_their_hits(spark):
     got = fuzzy_join.fuzzy_hits(rows, "key", "needles", "words", 82.0)
     assert plan(got).count("Join") == 1
     assert {r.hits for r in got.collect()} == {1}
+
+
+def test_chains_send_no_tables_to_the_driver(spark):
+    links = spark.createDataFrame([("a", None, 1), ("b", "a", 2), ("c", "b", 3)], "version string, supersedes string, issued int")
+    got = versions.supersession_chains(links)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.version, r.root, r.depth, r.latest) for r in got.collect()} == {("a", "a", 0, "c"), ("b", "a", 1, "c"), ("c", "a", 2, "c")}
