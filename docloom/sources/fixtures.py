@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 STAGING = "_staging"
+ROWS = 500
 
 
 @dataclass
@@ -59,39 +60,52 @@ class FixtureWriter(DataSourceArrowWriter):
         folder = f"{root}/{self.staging}/{uuid.uuid4().hex}"
         files = 0
         for batch in iterator:
-            for row in batch.to_pylist():
-                slug = row[self.names[0]]
+            for at in range(0, batch.num_rows, ROWS):
+                # A part holds the files of few rows: neither rows nor listings of parts grow with the task.
+                part = f"{folder}/{uuid.uuid4().hex}"
                 for block in self.names[1:]:
-                    system.create_dir(f"{folder}/{block}", recursive=True)
-                    with system.open_output_stream(f"{folder}/{block}/{file_name(slug)}") as out:
-                        out.write((json.dumps(row[block] or [], indent=2, ensure_ascii=False, default=str) + "\n").encode())
-                    files += 1
+                    system.create_dir(f"{part}/{block}", recursive=True)
+                for row in batch.slice(at, ROWS).to_pylist():
+                    name = file_name(row[self.names[0]])
+                    for block in self.names[1:]:
+                        with system.open_output_stream(f"{part}/{block}/{name}") as out:
+                            out.write((json.dumps(row[block] or [], indent=2, ensure_ascii=False, default=str) + "\n").encode())
+                        files += 1
         return Written(folder, files)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """Files of all attempts are brought together in a staging folder first, part by part; names that meet there fail
+        the job before anything of old is touched. No list of all files is held."""
         from pyarrow import fs
 
         system, root = self._system()
+        whole = f"{root}/{self.staging}/whole"
         try:
-            found = {}
+            for block in self.names[1:]:
+                system.create_dir(f"{whole}/{block}", recursive=True)
+                system.create_dir(f"{root}/{block}", recursive=True)
             for message in messages:
                 if message is None or not message.files:
                     continue
-                held = [f.path for f in system.get_file_info(fs.FileSelector(message.folder, recursive=True)) if f.is_file]
-                if len(held) != message.files:
-                    raise RuntimeError(f"{message.folder} holds {len(held)} files of {message.files}: two documents share a name")
-                for path in held:
-                    if found.setdefault(path.removeprefix(message.folder), path) != path:
-                        raise RuntimeError(f"{path.removeprefix(message.folder)} was written twice: two documents share a name")
-            old = []
+                held = 0
+                for part in system.get_file_info(fs.FileSelector(message.folder)):
+                    for file in system.get_file_info(fs.FileSelector(part.path, recursive=True)):
+                        if not file.is_file:
+                            continue
+                        place = file.path.removeprefix(part.path)
+                        if system.get_file_info(whole + place).type != fs.FileType.NotFound:
+                            raise RuntimeError(f"{place} was written twice: two documents share a name")
+                        system.move(file.path, whole + place)
+                        held += 1
+                if held != message.files:
+                    raise RuntimeError(f"{message.folder} holds {held} files of {message.files}: two documents share a name")
             for block in self.names[1:]:
-                system.create_dir(f"{root}/{block}", recursive=True)
-                old += [f.path for f in system.get_file_info(fs.FileSelector(f"{root}/{block}")) if f.is_file]
-            for place, path in found.items():
-                system.move(path, root + place)
-            for path in old:
-                if self.overwrite and path.removeprefix(root) not in found:
-                    system.delete_file(path)
+                if self.overwrite:
+                    system.move(f"{root}/{block}", f"{root}/{self.staging}/old-{block}")
+                    system.move(f"{whole}/{block}", f"{root}/{block}")
+                else:
+                    for file in system.get_file_info(fs.FileSelector(f"{whole}/{block}")):
+                        system.move(file.path, f"{root}/{block}/{file.base_name}")
         finally:
             self._clear(system, root)
 

@@ -2,10 +2,12 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom.functions import deadlines, gate, text
 from docloom.operators import clauses, documents, fuzzy_join, versions
+from docloom.sources import fixtures
 
 
 def plan(df) -> str:
@@ -65,3 +67,16 @@ def test_chains_send_no_tables_to_the_driver(spark):
     got = versions.supersession_chains(links)
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert {(r.version, r.root, r.depth, r.latest) for r in got.collect()} == {("a", "a", 0, "c"), ("b", "a", 1, "c"), ("c", "a", 2, "c")}
+
+
+def test_golden_files_are_written_and_moved_by_parts(tmp_path):
+    """No part of a task's files is larger than the rows that are in memory at once."""
+    n = 2 * fixtures.ROWS + 7
+    batch = pa.RecordBatch.from_pydict({"doc_id": [f"d{k}" for k in range(n)], "toc": [[{"x": k}] for k in range(n)]})
+    writer = fixtures.FixtureWriter(str(tmp_path), ["doc_id", "toc"], True)
+    written = writer.write(iter([batch]))
+    parts = [len(list(p.glob("toc/*.json"))) for p in (tmp_path / writer.staging).glob("*/*")]
+    assert sorted(parts) == [7, fixtures.ROWS, fixtures.ROWS]
+    writer.commit([written])
+    assert len(list((tmp_path / "toc").glob("*.json"))) == n
+    assert [p.name for p in tmp_path.iterdir()] == ["toc"]
