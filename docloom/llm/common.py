@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import BATCH, bounded_batches  # noqa: F401  (operators over texts take them from here)
+
 _fallback: dict[str, str] = {}
 
 
@@ -57,20 +59,6 @@ def drop_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-#: Rows and bytes of an Arrow batch as Spark sets them, and as texts need them: a batch is held several times over.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(16 << 20))}
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small where the session leaves them at Spark's defaults; settings of its own stay.
-
-    A plan reads them when it runs, after the operator has returned it, so they can't be put back here.
-    """
-    for key, (default, small) in BATCH.items():
-        if spark.conf.get(key) == default:
-            spark.conf.set(key, small)
-
-
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut to few rows, so that what a task makes of one stays small."""
     for b in batches:

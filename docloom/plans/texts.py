@@ -14,6 +14,7 @@ from docloom.operators import documents as docs
 from docloom.operators import fuzzy_join
 from docloom.operators import obligations as ob
 from docloom.plans.registry import Tables, query
+from docloom.session import bounded_batches
 from docloom.sources.synthetic import CLAUSE_LINES, OBLIGATIONS, PAGES, SENTENCES
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -42,6 +43,7 @@ EXACT = f"replace(lower(trim(regexp_replace({FOLDED.format(x=f'nfc_normalize({DE
 
 @query(f"SELECT doc_id, sha256({EXACT}) AS digest FROM {{documents}}")
 def normalise_text_exact(t: Tables) -> DataFrame:
+    bounded_batches(t.spark)
     return t.table("documents").select("doc_id", F.sha2(X.normalise_exact(F.col("text")), 256).alias("digest"))
 
 

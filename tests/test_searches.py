@@ -80,3 +80,17 @@ def test_golden_files_are_written_and_moved_by_parts(tmp_path):
     writer.commit([written])
     assert len(list((tmp_path / "toc").glob("*.json"))) == n
     assert [p.name for p in tmp_path.iterdir()] == ["toc"]
+
+
+def test_exact_forms_are_made_in_small_batches(spark, tmp_path):
+    """Whole texts go to Python 500 at a time where the session leaves that open."""
+    from docloom.plans import catalog
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        catalog.QUERIES["normalise_text_exact"](catalog.Tables(spark, "/root/testdata/sf0.001"))
+        assert spark.conf.get(key) == "500"
+    finally:
+        spark.conf.set(key, before)
