@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.text import exact_form
+
 
 def common_subsequence(a: str, b: str) -> int:
     """Length of the longest common subsequence, with one machine word for each row of the table (Hyyroe's bits)."""
@@ -68,6 +70,30 @@ def partial_ratio(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def _title_score(heading: str, title: str) -> float:
+    h, t = exact_form(heading), exact_form(title)
+    return 100.0 if h and t and (h in t or t in h) else best_window_ratio(h, t)
+
+
+@lru_cache(1 << 15)
+def _title_score_of_short(heading: str, title: str) -> float:
+    return _title_score(heading, title)
+
+
+def title_score(heading: Column, title: Column) -> Column:
+    """Partial ratio of two titles' normal forms, 100 where one holds the other.
+
+    Pairs repeat from document to document; scores of short ones are kept (at most 1,000 characters each of 2^15 pairs).
+    """
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = [None if p is None or q is None else (_title_score_of_short if len(p) + len(q) <= 1000 else _title_score)(p, q) for p, q in zip(x, y, strict=True)]
+        return pd.Series(out, dtype="float64")
+
+    return run(heading, title)
+
+
 def _hits(needles: str | None, words: str | None, threshold: float) -> int:
     held = set(json.loads(words)) - {None} if words is not None else set()
     some = json.loads(needles) if needles is not None else ()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -68,22 +70,22 @@ def normalise_native(text: Column) -> Column:
     return bound(text, fold)
 
 
+FOLDED = str.maketrans(dict(zip(FOLD_FROM, FOLD_TO, strict=True)) | {ZERO_WIDTH: None})
+BROKEN = re.compile(r"(\w)-\s*\n\s*(\w)")
+
+
+def exact_form(t: str | None) -> str | None:
+    """The normal form of one text with NFKC and full case folding."""
+    return None if t is None else " ".join(unicodedata.normalize("NFKC", BROKEN.sub(r"\1\2", t)).translate(FOLDED).split()).casefold()
+
+
 def normalise_exact(text: Column) -> Column:
     """The normal form with NFKC and full case folding, in Arrow batches: no built-in does these."""
 
     @F.pandas_udf("string")
     def fold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import re
-        import unicodedata
-
-        table = str.maketrans(dict(zip(FOLD_FROM, FOLD_TO, strict=True)) | {ZERO_WIDTH: None})
-        broken = re.compile(r"(\w)-\s*\n\s*(\w)")
-
-        def one(t: str | None) -> str | None:
-            return None if t is None else " ".join(unicodedata.normalize("NFKC", broken.sub(r"\1\2", t)).translate(table).split()).casefold()
-
         for texts in parts:
-            yield texts.map(one).astype(object)
+            yield texts.map(exact_form).astype(object)
 
     return fold(text)
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docloom.config import STRONG_TITLE_MATCH, TITLE_MATCH
-from docloom.functions.fuzzy import partial_ratio
-from docloom.functions.text import WS, bound, found, normalise_exact
+from docloom.functions.fuzzy import title_score
+from docloom.functions.text import WS, bound, found
 
 # Marker shapes, and words that follow a number which is cited, not opened.
 DOTTED = r"^[ \t]*(\d{1,3}(?:\.\d{1,3})+)\.?[ \t]+"
@@ -97,69 +97,72 @@ def duplicates(clauses: DataFrame, *key: str) -> DataFrame:
 
 
 def heading_candidates(texts: DataFrame, index: DataFrame) -> DataFrame:
-    """Lines of each document that open with the number of one of its body sections, and how well the titles match."""
-    lines = texts.select("doc_id", "body_from", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = lines.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("bigint"))
-    opened = placed.where(F.regexp_like("line", F.lit(HEADING)) & (F.col("offset") >= F.col("body_from"))).select("doc_id", "offset", F.regexp_extract("line", HEADING, 1).alias("number"), F.regexp_extract("line", HEADING, 2).alias("heading"))
+    """Lines of each document that open with the number of one of its body sections, and how well the titles match.
+
+    A text is cut before its heading lines by one search, so other lines are no rows of their own.
+    """
+    cuts = texts.select("doc_id", "body_from", F.posexplode(F.split("text", f"\\n(?={HEADING[1:]})", -1)).alias("nth", "cut"))
+    before = Window.partitionBy("doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    line = bound(F.regexp_extract("cut", HEADING, 0), lambda x: F.struct(F.regexp_extract(x, HEADING, 1).alias("number"), F.regexp_extract(x, HEADING, 2).alias("heading")))
+    held = cuts.select("doc_id", "body_from", "nth", (F.length("cut") + 1).alias("n"), line.alias("line"))
+    placed = held.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("bigint"))
+    opened = placed.where("line.number != '' and offset >= body_from").select("doc_id", "offset", "line.number", "line.heading")
     titles = index.where("block = 'body'").select("doc_id", F.col("section_no").cast("string").alias("number"), "section_no", "title")
-    met = opened.join(titles, ["doc_id", "number"])
-    # Each distinct pair is scored once, and in Python only where neither title holds the other.
-    pairs = met.select("heading", "title").distinct().withColumns({"h": normalise_exact(F.col("heading")), "t": normalise_exact(F.col("title"))})
-    holds = (F.col("h") != "") & (F.col("t") != "") & (F.col("h").contains(F.col("t")) | F.col("t").contains(F.col("h")))
-    sure = F.when(F.coalesce(holds, F.lit(False)), 100.0)
-    scored = pairs.withColumns({"h": F.when(sure.isNull(), F.col("h")), "t": F.when(sure.isNull(), F.col("t")), "sure": sure})
-    scored = scored.select("heading", "title", F.coalesce("sure", partial_ratio(F.col("h"), F.col("t"))).alias("score"))
-    return met.join(scored, ["heading", "title"])
+    return opened.join(titles, ["doc_id", "number"]).withColumn("score", title_score(F.col("heading"), F.col("title")))
 
 
 def locate_sections(texts: DataFrame, index: DataFrame) -> DataFrame:
     """Section spans of documents (doc_id, text, body_from): headings found in order, moving only forwards.
 
     Candidates are found and scored relationally; only the choice, which depends on the ones before it, runs over each
-    document's few candidates. Sections without a match have a null char_start, so gaps can be told from spans.
+    document's few candidates, once. Sections without a match have a null char_start, so gaps can be told from spans.
     """
-    tried = heading_candidates(texts, index).groupBy("doc_id", "section_no").agg(F.array_sort(F.collect_list(F.struct("offset", "score", "heading"))).alias("lines"))
+    tried = heading_candidates(texts, index).groupBy("doc_id", "section_no").agg(F.sort_array(F.collect_list(F.struct("offset", "score", "heading"))).alias("lines"))
     body = index.where("block = 'body'").select(*[F.col(c).alias(c) for c in ("doc_id", "part", "section_no", "title", "start_page")])
     section = F.struct("section_no", "part", "title", "start_page", "lines")
-    listed = body.join(tried, ["doc_id", "section_no"], "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(section)).alias("sections"))
-    # The outer form: the inner one would have the fold evaluated again, as a filter for arrays that aren't empty.
-    chosen = listed.select("doc_id", F.inline_outer(_choose_lines(F.col("sections"))))
+    listed = body.join(tried, ["doc_id", "section_no"], "left").groupBy("doc_id").agg(F.sort_array(F.collect_list(section)).alias("sections"))
+    chosen = listed.select("doc_id", bound(_choose_lines(F.col("sections")), lambda x: F.struct(x.alias("rows"), F.array_max(F.transform(x, lambda r: r["char_start"])).alias("after"))).alias("_x"))
     first = index.where("block = 'annexure'").groupBy("doc_id").agg(F.min_by("title", "section_no").alias("_title"))
-    last = chosen.groupBy("doc_id").agg(F.max("char_start").alias("_after"))
-    known = texts.select(F.col("doc_id").alias("doc_id"), "text").join(last, "doc_id").join(first, "doc_id", "left")
-    lengths = known.select("doc_id", F.length("text").cast("bigint").alias("_n"), annexure_start(F.col("text"), F.col("_title"), F.col("_after")).alias("_annexure"))
-    return _section_ends(chosen.join(lengths, "doc_id")).drop("_n", "_annexure")
-
-
-CHOSEN = "array<struct<part:string,section_no:int,title:string,start_page:int,char_start:bigint,heading:string,match_score:double>>"
+    known = texts.select(F.col("doc_id").alias("doc_id"), "text").join(chosen, "doc_id").join(first, "doc_id", "left")
+    ends = known.select("doc_id", "_x.rows", F.length("text").cast("bigint").alias("_n"), annexure_start(F.col("text"), F.col("_title"), F.col("_x.after")).alias("_annexure"))
+    # The outer form: the inner one would have the fold evaluated again, as a filter for arrays that aren't empty.
+    return _section_ends(ends.select("doc_id", F.inline_outer("rows"), "_n", "_annexure")).drop("_n", "_annexure")
 
 
 def _choose_lines(sections: Column) -> Column:
     """One document's sections, in order, with the line that opens each: the best match behind the section before, or the
-    first strong one if that comes earlier. A fold over the sections, whose state is where the last one was found."""
-    start = F.struct(F.lit(0).cast("bigint").alias("behind"), F.array().cast(CHOSEN).alias("out"))
+    first strong one if that comes earlier. A fold over the sections, whose state is where the last one was found; of
+    each section it keeps a number only, so its cost is that of the candidates."""
+    start = F.struct(F.lit(0).cast("bigint").alias("behind"), F.array().cast("array<int>").alias("picks"))
 
     def step(state: Column, s: Column) -> Column:
-        ahead = F.filter(F.coalesce(s["lines"], F.array()), lambda x: x["offset"] >= state["behind"])
-        strong = F.array_position(F.transform(ahead, lambda x: x["score"] >= STRONG_TITLE_MATCH), True)
-        tried = F.when(strong > 0, F.slice(ahead, 1, F.greatest(strong, F.lit(1)).cast("int"))).otherwise(ahead)
+        def best(lines: Column) -> Column:
+            """Place of the first of the best lines ahead, up to the first strong one."""
+            scores = F.transform(lines, lambda x: F.when(x["offset"] >= state["behind"], F.struct(x["score"].alias("score"))))
+            strong = F.array_position(F.transform(scores, lambda x: x["score"] >= STRONG_TITLE_MATCH), True)
+            ranked = lambda n: F.array_max(F.transform(scores, lambda x, i: F.when(x.isNotNull() & ((n == 0) | (i < n)), F.struct(x["score"].alias("score"), (-i).alias("i")))))
+            return -bound(strong, ranked)["i"]
+
+        def taken(pick: Column) -> Column:
+            x = F.get(s["lines"], pick)
+            return F.struct(F.when(x["score"] >= TITLE_MATCH, x["offset"] + 1).otherwise(state["behind"]).alias("behind"), F.concat(state["picks"], F.array(pick)).alias("picks"))
+
+        return bound(best(s["lines"]), taken)
 
-        def of(upto: Column) -> Column:
-            top = F.array_max(F.transform(upto, lambda x: x["score"]))
-            return F.transform(F.array(F.get(F.filter(upto, lambda x: x["score"] == top), F.lit(0))), opened)
+    def told(picks: Column) -> Column:
+        def row(s: Column, i: Column) -> Column:
+            def of(best: Column) -> Column:
+                good = F.coalesce(best["score"] >= TITLE_MATCH, F.lit(False))
+                return F.struct(
+                    s["part"].alias("part"), s["section_no"].alias("section_no"), s["title"].alias("title"), s["start_page"].alias("start_page"), F.when(good, best["offset"]).alias("char_start"),
+                    F.when(good, F.regexp_replace(best["heading"], EDGES, "")).alias("heading"), best["score"].alias("match_score"),
+                )
 
-        def opened(best: Column) -> Column:
-            good = F.coalesce(best["score"] >= TITLE_MATCH, F.lit(False))
-            told = F.struct(
-                s["part"].alias("part"), s["section_no"].alias("section_no"), s["title"].alias("title"), s["start_page"].alias("start_page"), F.when(good, best["offset"]).alias("char_start"),
-                F.when(good, F.regexp_replace(best["heading"], EDGES, "")).alias("heading"), best["score"].alias("match_score"),
-            )
-            return F.struct(F.when(good, best["offset"] + 1).otherwise(state["behind"]).alias("behind"), F.concat(state["out"], F.array(told)).cast(CHOSEN).alias("out"))
+            return bound(F.get(s["lines"], F.get(picks, i)), of)
 
-        return F.get(F.flatten(F.transform(F.array(tried), of)), F.lit(0))
+        return F.transform(sections, row)
 
-    return F.aggregate(sections, start, step, lambda state: state["out"])
+    return bound(F.aggregate(sections, start, step, lambda state: state["picks"]), told)
 
 
 def annexure_start(text: Column, title: Column, after: Column) -> Column:

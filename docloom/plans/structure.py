@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
@@ -27,10 +27,14 @@ SELECT *, CASE kind WHEN 'dotted' THEN dotted WHEN 'roman' THEN lower(roman) WHE
 
 
 def _sections(t: Tables) -> DataFrame:
-    """Section texts from lines; sections are of bounded length."""
+    """Section texts from lines; sections are of bounded length.
+
+    A section's lines are those of one order, by which they are numbered already: with it in the key they stay in place.
+    """
     lines = t.sql(CLAUSE_LINES)
     held = F.sort_array(F.collect_list(F.struct("rn", "line")))
-    return lines.groupBy("doc_id", "section_no").agg(F.first("part").alias("part"), F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("text")).withColumn("body_start", F.lit(0).cast("bigint"))
+    sections = lines.groupBy("l_orderkey", "doc_id", "section_no").agg(F.first("part").alias("part"), F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("text"))
+    return sections.drop("l_orderkey").withColumn("body_start", F.lit(0).cast("bigint"))
 
 
 @query(f"SELECT doc_id, section_no, CAST(rn - 1 AS INT) AS line_no, off AS \"offset\", kind, marker FROM ({MARKED}) WHERE kind IS NOT NULL")
@@ -373,14 +377,20 @@ def section_locate(t: Tables) -> DataFrame:
     number = F.col("section_no").cast("string")
     decoy = F.when(F.col("section_no") % 4 == 0, F.concat(number, F.lit(". Charges that the client owes\n"))).otherwise("")
     sections = _sections(t).withColumn("heading", F.concat(decoy, number, F.lit(". Running account of part "), "part", F.lit(" number "), number, F.lit("\n")))
-    held = F.array_sort(F.collect_list(F.struct("section_no", "heading", "text")))
-    texts = sections.groupBy("doc_id").agg(F.array_join(F.transform(held, lambda s: F.concat(s["heading"], s["text"])), "\n").alias("text")).withColumn("body_from", F.lit(0).cast("bigint"))
-    texts = texts.withColumn("text", F.concat("text", F.lit("\nForms\n Annexure – 1\nForm of the client\n")))
-    word = F.when(F.col("section_no") % 3 == 0, " numbered ").otherwise(" number ")
-    title = F.concat(F.lit("Running account of part "), "part", word, F.col("section_no").cast("string"))
-    index = sections.select("doc_id", F.lit("body").alias("block"), "part", "section_no", F.when(F.col("section_no") % 5 == 0, F.substring(title, 1, 22)).otherwise(title).alias("title"), F.lit(1).alias("start_page"))
-    annexes = sections.select("doc_id", F.lit("annexure").alias("block"), F.lit(None).cast("string").alias("part"), F.lit(1).alias("section_no"), F.lit("Annexure - 1").alias("title"), F.lit(90).alias("start_page")).distinct()
-    return clauses.locate_sections(texts, index.unionByName(annexes))
+    # One aggregate holds all that texts and index take, so sections are made once.
+    held = sections.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("section_no", "part", "heading", "text"))).alias("held"))
+    text = F.concat(F.array_join(F.transform("held", lambda s: F.concat(s["heading"], s["text"])), "\n"), F.lit("\nForms\n Annexure – 1\nForm of the client\n"))
+    texts = held.select("doc_id", text.alias("text"), F.lit(0).cast("bigint").alias("body_from"))
+    entry = lambda block, part, number, title, page: F.struct(F.lit(block).alias("block"), part.alias("part"), number.alias("section_no"), title.alias("title"), F.lit(page).alias("start_page"))
+
+    def body(s: Column) -> Column:
+        number = s["section_no"].cast("string")
+        title = F.concat(F.lit("Running account of part "), s["part"], F.when(s["section_no"] % 3 == 0, " numbered ").otherwise(" number "), number)
+        return entry("body", s["part"], s["section_no"], F.when(s["section_no"] % 5 == 0, F.substring(title, 1, 22)).otherwise(title), 1)
+
+    annexure = entry("annexure", F.lit(None).cast("string"), F.lit(1), F.lit("Annexure - 1"), 90)
+    index = held.select("doc_id", F.inline(F.concat(F.transform("held", body), F.array(annexure))))
+    return clauses.locate_sections(texts, index)
 
 
 @query("""WITH o AS (SELECT c_custkey AS id, c_custkey % 7 AS terms FROM {customer} WHERE c_custkey % 5 > 0), n AS (SELECT c_custkey AS id, c_custkey % 7 + CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END AS terms FROM {customer} WHERE c_custkey % 6 > 0)

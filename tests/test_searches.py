@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import deadlines, gate, text
 from docloom.operators import clauses, documents, fuzzy_join, versions
+from docloom.plans import catalog
 from docloom.sources import fixtures
 
 
@@ -94,3 +95,26 @@ def test_exact_forms_are_made_in_small_batches(spark, tmp_path):
         assert spark.conf.get(key) == "500"
     finally:
         spark.conf.set(key, before)
+
+
+def located(spark, text):
+    texts = spark.createDataFrame([("d", text, 0)], "doc_id string, text string, body_from bigint")
+    index = spark.createDataFrame([("d", "body", None, 1, "Running account", 1), ("d", "body", None, 2, "Margin", 2), ("d", "body", None, 3, None, 3)], "doc_id string, block string, part string, section_no int, title string, start_page int")
+    return clauses.locate_sections(texts, index)
+
+
+def test_sections_are_chosen_once_and_only_headings_become_rows(spark):
+    rows = located(spark, "1. Running account\na\n\u2028\n\t2.\tMargin \n2. Margin\r\n3.x\n3. Other")
+    assert plan(rows).count("aggregate(") == 1 and "(?=" in plan(rows)
+    got = {r.section_no: (r.char_start, r.char_end, r.heading, r.match_score) for r in rows.collect()}
+    assert got == {1: (0, 23, "Running account", 100.0), 2: (23, 58, "Margin", 100.0), 3: (None, None, None, None)}
+
+
+def test_lines_of_sections_are_made_once(spark):
+    """All branches of section_locate read the same exchange of whole documents."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = catalog.QUERIES["section_locate"](catalog.Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert made.count("FileScan parquet") == 1
