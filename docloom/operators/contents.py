@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.functions.text import clean_title, found
+from docloom.functions.text import bound, clean_title, found
 from docloom.operators.documents import cell
 
 # Shapes of rows and lines.
@@ -43,61 +43,76 @@ def contents_pages(pages: DataFrame, search_limit: int = 20) -> DataFrame:
 
 
 def parse_rows(rows: DataFrame) -> DataFrame:
-    """Section index of contents rows (doc_id, row_no, cells): block and part carried forward, annexures restarting both."""
-    c = rows.select("doc_id", "row_no", cell(F.col("cells"), 0).alias("a"), cell(F.col("cells"), 1).alias("b"), cell(F.col("cells"), 2).alias("p"))
-    a, b = F.col("a"), F.col("b")
-    kept = c.where(~((a == "") & (b == "")) & ~(F.lower(a).startswith("s. no") | (F.lower(b) == "subject")))
-    switch = like(a, ANNEXURES)
-    part = F.when(switch, None).when(like(a, PART), found(a, PART, 1)).when((a == "") & like(b, PART), found(b, PART, 1))
+    """Section index of contents rows (doc_id, row_no, cells): block and part carried forward, annexures restarting both.
+
+    Cells are read once for each row, whatever is asked of them.
+    """
+
+    def read(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        switch = like(a, ANNEXURES)
+        part = F.when(~switch, F.coalesce(found(a, PART, 1), F.when(a == "", found(b, PART, 1))))
+        number = F.when(b != "", found(a, SECTION_NO, 1).cast("int"))
+        title, page = F.when(number.isNotNull(), clean_title(b)), F.coalesce(found(x["p"], PAGE_NO, 1).cast("int"), F.lit(0))
+        blank = ((a == "") & (b == "")) | F.lower(a).startswith("s. no") | (F.lower(b) == "subject")
+        return F.when(~blank, F.struct(switch.alias("switch"), part.alias("part_here"), number.alias("number"), title.alias("title"), page.alias("start_page")))
+
+    cells = F.struct(*[cell(F.col("cells"), i).alias(x) for i, x in enumerate("abp")])
+    # The outer form: the inner one, or a filter before it, would have the cells read again.
+    kept = rows.select("doc_id", "row_no", F.inline_outer(F.array(bound(cells, read)))).where("switch is not null")
     order = Window.partitionBy("doc_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = kept.withColumns({"part_here": part, "annexed": F.max(switch).over(order)})
+    marked = kept.withColumn("annexed", F.max("switch").over(order))
     block = Window.partitionBy("doc_id", "annexed").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     carried = marked.withColumn("part", F.last("part_here", ignorenulls=True).over(block))
-    numbered = carried.where(like(a, SECTION_NO) & (b != "") & F.col("part_here").isNull())
-    return numbered.select(
-        "doc_id", "row_no", F.when(F.col("annexed"), "annexure").otherwise("body").alias("block"), "part", F.regexp_extract("a", SECTION_NO, 1).cast("int").alias("section_no"),
-        clean_title(b).alias("title"), F.when(like(F.col("p"), PAGE_NO), F.trim("p").cast("int")).otherwise(0).alias("start_page"),
-    )
+    numbered = carried.where("number is not null and part_here is null")
+    return numbered.select("doc_id", "row_no", F.when(F.col("annexed"), "annexure").otherwise("body").alias("block"), "part", F.col("number").alias("section_no"), "title", "start_page")
+
+
+def recover_rows(pages: DataFrame) -> DataFrame:
+    """Rows in the text of contents pages: wrapped (pass 1), complete (2) and without a page (3), with their line.
 
+    Lines are read once, and rows of all passes come from one grouping of them: a group is a line that no wrapped title
+    takes in and those after it up to the next one.
+    """
 
-def is_boundary(line: Column) -> Column:
-    """Lines that no wrapped title takes in."""
-    s = F.trim(F.regexp_replace(line, r"^\s+|\s+$", ""))
-    shapes = [like(s, p) for p in (NUMBER_AND_PAGE, NUMBER_ALONE, FULL_ROW, PART, ANNEXURES)]
-    out = (s == "") | F.lower(s).startswith("s. no") | F.lower(s).startswith("table of contents")
-    for shape in shapes:
-        out = out | shape
-    return out
+    def read(s: Column) -> Column:
+        kind = F.when(like(s, NUMBER_AND_PAGE) | like(s, NUMBER_ALONE), 1).when(like(s, FULL_ROW), 2).when(like(s, PAGELESS_ROW), 3)
 
+        def edged(k: Column) -> Column:
+            other = (s == "") | F.lower(s).startswith("s. no") | F.lower(s).startswith("table of contents") | like(s, PART) | like(s, ANNEXURES)
+            return F.struct(s.alias("s"), k.alias("kind"), (F.coalesce(k < 3, F.lit(False)) | other).alias("edge"))
 
-def recover_rows(pages: DataFrame) -> DataFrame:
-    """Rows in the text of contents pages: wrapped (pass 1), complete (2) and without a page (3), with their line."""
-    lines = pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n", -1)).alias("source_line", "line")).withColumn("s", F.regexp_replace("line", r"^\s+|\s+$", ""))
-    s = F.col("s")
+        return bound(kind, edged)
+
+    split = pages.select("doc_id", "page_no", F.posexplode(F.split("text", "\n", -1)).alias("source_line", "line"))
+    lines = split.select("doc_id", "page_no", "source_line", bound(F.regexp_replace("line", r"^\s+|\s+$", ""), read).alias("_x")).select("doc_id", "page_no", "source_line", "_x.*")
     order = Window.partitionBy("doc_id", "page_no").orderBy("source_line")
-    before = F.last(F.when(s != "", s), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    lines = lines.withColumns({"edge": is_boundary(F.col("line")), "before": before})
-    # The lines after a number up to the next boundary form its group of non-boundary lines.
+    before = F.last(F.when(F.col("s") != "", F.struct("s", "edge")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
     run = F.sum(F.col("edge").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    lines = lines.withColumn("run", run)
-    after = lines.where(~F.col("edge")).groupBy("doc_id", "page_no", "run").agg(F.array_sort(F.collect_list(F.struct("source_line", "s"))).alias("x")).select("doc_id", "page_no", "run", F.array_join(F.transform("x", lambda r: r["s"]), " ").alias("after"))
-    numbers = lines.where(like(s, NUMBER_AND_PAGE) | like(s, NUMBER_ALONE)).join(after, ["doc_id", "page_no", "run"], "left")
-    own_page = found(s, NUMBER_AND_PAGE, 2).cast("int")
-    lead = F.when(F.col("before").isNotNull() & ~is_boundary(F.col("before")), F.col("before"))
-    rides = own_page.isNull() & F.coalesce(like(lead, TITLE_AND_PAGE), F.lit(False))
-    lead_title = F.when(rides, F.trim(F.regexp_extract(lead, TITLE_AND_PAGE, 1))).otherwise(lead)
-    page = F.coalesce(own_page, F.when(rides, F.regexp_extract(lead, TITLE_AND_PAGE, 2).cast("int")), F.lit(0))
-    wrapped = numbers.select(
-        "doc_id", "page_no", F.lit(1).alias("pass"), "source_line", F.coalesce(found(s, NUMBER_AND_PAGE, 1), found(s, NUMBER_ALONE, 1)).cast("int").alias("section_no"),
-        clean_title(F.concat_ws(" ", F.when(lead_title != "", lead_title), F.when(F.col("after") != "", F.col("after")))).alias("title"), page.alias("page"),
-    ).where("title != '' and page != 0")
-    complete = lines.where(like(s, FULL_ROW)).select("doc_id", "page_no", F.lit(2).alias("pass"), "source_line", found(s, FULL_ROW, 1).cast("int").alias("section_no"), clean_title(found(s, FULL_ROW, 2)).alias("title"), found(s, FULL_ROW, 3).cast("int").alias("page"))
-    bare = lines.where(~like(s, FULL_ROW) & ~like(s, NUMBER_AND_PAGE) & ~like(s, NUMBER_ALONE) & like(s, PAGELESS_ROW)).select("doc_id", "page_no", F.lit(3).alias("pass"), "source_line", found(s, PAGELESS_ROW, 1).cast("int").alias("section_no"), clean_title(found(s, PAGELESS_ROW, 2)).alias("title"), F.lit(0).alias("page"))
-    proper = (F.col("title") != "") & ~like(F.col("title"), r"^\p{Nd}")
-    return wrapped.unionByName(complete.where(proper)).unionByName(bare.where(proper))
-
-
-PLACED = "array<struct<block:string,section_no:int,title:string,start_page:int,page_inferred:boolean>>"
+    group = F.sort_array(F.collect_list(F.struct("source_line", "s", "kind", "edge", "before")))
+    groups = lines.withColumns({"before": before, "run": run}).groupBy("doc_id", "page_no", "run").agg(group.alias("x"))
+    after = F.array_join(F.transform(F.filter("x", lambda r: ~r["edge"]), lambda r: r["s"]), " ")
+
+    def row(r: Column) -> Column:
+        s = r["s"]
+        told = lambda number, title, page: F.struct(r["kind"].alias("pass"), r["source_line"].alias("source_line"), number.cast("int").alias("section_no"), title.alias("title"), page.alias("page"))
+
+        def wrapped(x: Column) -> Column:
+            lead, own_page = x["lead"], x["page"]
+            rides = own_page.isNull() & F.coalesce(like(lead, TITLE_AND_PAGE), F.lit(False))
+            lead_title = F.when(rides, F.trim(F.regexp_extract(lead, TITLE_AND_PAGE, 1))).otherwise(lead)
+            page = F.coalesce(own_page, F.when(rides, F.regexp_extract(lead, TITLE_AND_PAGE, 2).cast("int")), F.lit(0))
+            title = bound(lead_title, lambda t: clean_title(F.concat_ws(" ", F.when(t != "", t), F.when(after != "", after))))
+            return told(F.coalesce(found(s, NUMBER_AND_PAGE, 1), found(s, NUMBER_ALONE, 1)), title, page)
+
+        lead = F.when(~r["before"]["edge"], r["before"]["s"])
+        number = bound(F.struct(lead.alias("lead"), found(s, NUMBER_AND_PAGE, 2).cast("int").alias("page")), wrapped)
+        complete = told(found(s, FULL_ROW, 1), clean_title(found(s, FULL_ROW, 2)), found(s, FULL_ROW, 3).cast("int"))
+        return F.when(r["kind"] == 1, number).when(r["kind"] == 2, complete).otherwise(told(found(s, PAGELESS_ROW, 1), clean_title(found(s, PAGELESS_ROW, 2)), F.lit(0)))
+
+    shaped = groups.select("doc_id", "page_no", F.inline_outer(F.transform(F.filter("x", lambda r: r["kind"].isNotNull()), row)))
+    proper = F.when(F.col("pass") == 1, F.col("page") != 0).otherwise(~like(F.col("title"), r"^\p{Nd}"))
+    return shaped.where((F.col("title") != "") & proper)
 
 
 def merge_index(entries: DataFrame, recovered: DataFrame) -> DataFrame:
@@ -113,7 +128,7 @@ def merge_index(entries: DataFrame, recovered: DataFrame) -> DataFrame:
     key = F.col("section_no") * 2 + (F.col("block") == "annexure").cast("int")
     facts = entries.groupBy("doc_id").agg(F.max("start_page").alias("reach"), annexed.alias("annexed_from"), F.collect_set(key).alias("has"))
     row = F.struct("page_no", "pass", "source_line", "section_no", "title", "page")
-    rows = recovered.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).join(facts, "doc_id", "left")
+    rows = recovered.groupBy("doc_id").agg(F.sort_array(F.collect_list(row)).alias("rows")).join(facts, "doc_id", "left")
     # The outer form: the inner one would have the fold evaluated again, as a filter for arrays that aren't empty.
     placed = _place_rows(F.col("rows"), F.col("reach"), F.col("annexed_from"), F.coalesce("has", F.array().cast("array<int>")))
     merged = rows.select("doc_id", F.inline_outer(placed)).where("block is not null")
@@ -124,24 +139,38 @@ def merge_index(entries: DataFrame, recovered: DataFrame) -> DataFrame:
 
 
 def _place_rows(rows: Column, reach: Column, annexed_from: Column, has: Column) -> Column:
-    """Those of one document's recovered rows, in order of page, pass and line, that are merged, with block and page."""
-    start = F.struct(F.coalesce(reach, F.lit(0)).cast("int").alias("reach"), F.array().cast("array<int>").alias("taken"), F.array().cast(PLACED).alias("out"))
+    """Those of one document's recovered rows, in order of page, pass and line, that are merged, with block and page.
+
+    The fold keeps keys, and of each row its page and whether it is merged; rows themselves are not copied from step to
+    step.
+    """
+    start = F.struct(F.coalesce(reach, F.lit(0)).cast("int").alias("reach"), F.array().cast("array<int>").alias("taken"), F.array().cast("array<int>").alias("at"), F.array().cast("array<boolean>").alias("merged"))
+    annexed = lambda at: F.coalesce(at >= annexed_from, F.lit(False))
 
     def step(state: Column, r: Column) -> Column:
         at = F.when(r["page"] != 0, r["page"]).otherwise(state["reach"])
-        annexed = F.coalesce(at >= annexed_from, F.lit(False))
-        placed = F.struct(at.alias("at"), annexed.alias("annexed"), (r["section_no"] * 2 + annexed.cast("int")).alias("key"))
 
         def taken_or_merged(x: Column) -> Column:
-            out = F.struct(F.when(x["annexed"], "annexure").otherwise("body").alias("block"), r["section_no"].alias("section_no"), r["title"].alias("title"), x["at"].alias("start_page"), (r["page"] == 0).alias("page_inferred"))
-            merged = F.struct(
-                F.greatest(state["reach"], x["at"]).alias("reach"), F.concat(state["taken"], F.array(x["key"])).alias("taken"), F.concat(state["out"], F.array(out)).cast(PLACED).alias("out")
-            )
-            return F.when(F.array_contains(has, x["key"]) | F.array_contains(state["taken"], x["key"]), state).otherwise(merged)
+            known = F.array_contains(has, x["key"]) | F.array_contains(state["taken"], x["key"])
+
+            def after(k: Column) -> Column:
+                return F.struct(
+                    F.when(k, state["reach"]).otherwise(F.greatest(state["reach"], x["at"])).alias("reach"), F.when(k, state["taken"]).otherwise(F.concat(state["taken"], F.array(x["key"]))).alias("taken"),
+                    F.concat(state["at"], F.array(x["at"])).alias("at"), F.concat(state["merged"], F.array(~k)).alias("merged"),
+                )
+
+            return bound(F.coalesce(known, F.lit(False)), after)
+
+        return bound(at, lambda p: bound(F.struct(p.alias("at"), (r["section_no"] * 2 + annexed(p).cast("int")).alias("key")), taken_or_merged))
+
+    def placed(x: Column) -> Column:
+        def row(r: Column, i: Column) -> Column:
+            at = F.get(x["at"], i)
+            return F.when(F.get(x["merged"], i), F.struct(F.when(annexed(at), "annexure").otherwise("body").alias("block"), r["section_no"].alias("section_no"), r["title"].alias("title"), at.alias("start_page"), (r["page"] == 0).alias("page_inferred")))
 
-        return F.get(F.transform(F.array(placed), taken_or_merged), F.lit(0))
+        return F.filter(F.transform(rows, row), lambda r: r.isNotNull())
 
-    return F.aggregate(rows, start, step, lambda state: state["out"])
+    return bound(F.aggregate(rows, start, step), placed)
 
 
 def absent_rows(entries: DataFrame, recovered: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ CLEAN = "trim(trim(regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '[.\\x{
 
 
 def _text_pages(t: Tables) -> DataFrame:
-    held = F.array_sort(F.collect_list(F.struct("n", "line")))
+    held = F.sort_array(F.collect_list(F.struct("n", "line")))
     return t.sql(CONTENTS_LINES).groupBy("doc_id", "page_no").agg(F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("text"))
 
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom.functions import deadlines, gate, text
-from docloom.operators import clauses, documents, fuzzy_join, versions
+from docloom.operators import clauses, contents, documents, fuzzy_join, versions
 from docloom.plans import catalog
 from docloom.sources import fixtures
 
@@ -118,3 +118,21 @@ def test_lines_of_sections_are_made_once(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert made.count("FileScan parquet") == 1
+
+
+def test_white_space_of_ascii_texts_is_collapsed_by_its_own_class(spark):
+    rows = spark.createDataFrame([("\x1f a\x0b\x1c\tb \n",), ("a \u2003\u00a0b",), ("a\x85b",), ("a\u200bb",), ("",), (None,)], "x string")
+    got = rows.select(text.collapse(F.col("x")).alias("y"))
+    assert [r.y for r in got.collect()] == ["a b", "a b", "a b", "a\u200bb", "", None]
+    assert "octet_length" in plan(got)
+
+
+def test_contents_rows_and_lines_are_read_once(spark):
+    """Cells are collapsed once a row, lines explode once for all passes, and rows are no part of the fold's state."""
+    rows = spark.createDataFrame([("d", 1, ["1.", "One", "5"])], "doc_id string, row_no int, cells array<string>")
+    entries = contents.parse_rows(rows)
+    pages = spark.createDataFrame([("d", 1, "7. 8\n9. x 3")], "doc_id string, page_no int, text string")
+    recovered = contents.recover_rows(pages)
+    assert plan(entries).count("octet_length(lambda") <= 2 * 4
+    assert plan(recovered).count("posexplode(") == 1 and plan(recovered).count("Join") == 0
+    assert "title" not in re.search(r"aggregate\(.*?lambdafunction", plan(contents.merge_index(entries, recovered))).group()
