@@ -190,6 +190,23 @@ def frequencies(measured: DataFrame, grams: int) -> Frequencies:
 POS_BITS = 32
 #: Times a part, what turns a frequent n-gram into the group key of that part.
 PART_STEP = 0x2545F4914F6D
+#: Bits of a hash that prefix rows keep, and the bit below them, which tells n-grams that are dealt over parts.
+GRAM = np.uint64(-(1 << 17) % 2**64)
+DEALT = 1 << 16
+
+
+def grams_of(s: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """N-grams as prefix rows tell them apart: 47 bits of the hash, and whether they are dealt over parts.
+
+    What a row writes is mostly its hash. Two n-grams that share these bits only give pairs to verify that share none;
+    those that do are met under their own n-gram, and the bit keeps n-grams that are dealt out from others.
+    """
+    return s & GRAM | (parts > 1).astype(np.uint64) * np.uint64(DEALT)
+
+
+def group_step(part: np.ndarray) -> np.ndarray:
+    """What an n-gram and the group key of one of its parts differ by."""
+    return (part * PART_STEP).view(np.uint64) & GRAM
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -256,7 +273,7 @@ def prefixes(rows: DataFrame, known: Frequencies, grams: int, n: int, percent: i
                 first = np.argsort(level, kind="stable")[:length]  # s is sorted, so ties go by hash
                 parts = np.maximum(1, 4 * LEVELS[level[first]] // np.uint64(group_rows)).astype(np.int64)
                 part = np.where(parts > 1, 1 + (key & 0x7FFFFFFF) % parts, 0)
-                columns[0].append(s[first] ^ (part * PART_STEP).view(np.uint64))
+                columns[0].append(grams_of(s[first], parts) ^ group_step(part))
                 columns[1].append(np.full(length, key))
                 columns[2].append(part)
                 columns[3].append(len(s) << POS_BITS | np.arange(length))
@@ -283,18 +300,18 @@ def shared_rows(blobs: DataFrame, percent: int) -> DataFrame:
         starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
         sizes = np.diff(starts, append=len(group))
         size, pos = where >> POS_BITS, where & (1 << POS_BITS) - 1
-        keep = np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts)
-        two = starts[(sizes == 2) & keep & (part[starts] == 0)]
+        keep, dealt = np.minimum.reduceat(key, starts) != np.maximum.reduceat(key, starts), np.maximum.reduceat(part, starts) > 0
+        two = starts[(sizes == 2) & keep & ~dealt]
         a, b = size[two], size[two + 1]
         may = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * np.minimum(a - pos[two], b - pos[two + 1]) >= percent * (a + b))
         keep[np.searchsorted(starts, two[~may])] = False
-        rows = np.flatnonzero(np.repeat(keep | (part[starts] > 0), sizes))
+        rows = np.flatnonzero(np.repeat(keep | dealt, sizes))
         group, key, part, size, pos = (x[rows] for x in (group, key, part, size, pos))
         order = np.lexsort((key, size, pos, group))
         leads = np.flatnonzero(np.diff(group[order], prepend=~group[order[:1]]))
         pivot = np.empty(len(group), np.int64)
         pivot[order] = np.repeat(order[leads], np.diff(leads, append=len(group)))
-        arrays = [group ^ part * PART_STEP, part.astype(np.int32), key, size.astype(np.int32), pos.astype(np.int32), key[pivot], size[pivot].astype(np.int32), pos[pivot].astype(np.int32)]
+        arrays = [group ^ group_step(part).view(np.int64), part.astype(np.int32), key, size.astype(np.int32), pos.astype(np.int32), key[pivot], size[pivot].astype(np.int32), pos[pivot].astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["gram", "part", "key", "size", "pos", "p_key", "p_size", "p_pos"])
 
     def of_place(blobs: list[bytes]) -> pa.RecordBatch:

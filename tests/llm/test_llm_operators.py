@@ -959,3 +959,19 @@ def test_the_rest_meets_in_blocks(spark):
                 want.add((min(x[2], y[2]), max(x[2], y[2])))
         got = ngram_join._rest(d, percent).collect()
         assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+
+
+def test_prefix_rows_write_no_more_of_a_hash_than_tells_ngrams_apart():
+    """Low bits of all groups are alike, so they pack to nothing; parts of an n-gram stay apart and lead back to it."""
+    rng = np.random.default_rng(5)
+    s = rng.integers(0, 1 << 63, 3000, np.int64).view(np.uint64)
+    part = rng.integers(0, 4, len(s))
+    parts = np.where(part > 0, 3, 1)
+    grams = ngram_join.grams_of(s, parts)
+    group = grams ^ ngram_join.group_step(part)
+    assert (group & np.uint64(0xFFFF) == 0).all() and (group ^ ngram_join.group_step(part) == grams).all()
+    assert len(np.unique(ngram_join.group_step(np.arange(100_000)))) == 100_000
+    assert ((grams ^ s) >> np.uint64(17) == 0).all() and ((grams & np.uint64(ngram_join.DEALT) > 0) == (part > 0)).all()
+    key, where = rng.integers(0, 9, len(s)), np.full(len(s), 5)
+    sizes = [len(ngram_join.pack_rows(g, key, part, where)) for g in (s, group)]
+    assert sizes[1] < sizes[0] - 1.5 * len(s)
