@@ -45,17 +45,18 @@ def appendix_entries(pages: DataFrame, max_pages: int = 40) -> DataFrame:
 
     `pages` has doc_id, page_no, tables and appendix_page.
     """
-    near = pages.where(f"page_no >= appendix_page and page_no < appendix_page + {max_pages}")
+    near = pages.where(f"doc_id is not null and page_no >= appendix_page and page_no < appendix_page + {max_pages}")
     a, b, c = (cell(F.col("cells"), k) for k in range(3))
     rows = table_rows(near).withColumns({"_a": a, "_b": b, "_c": c})
     real = (F.col("_b") != "") & ~(F.lower("_a").startswith("sr") | F.lower("_b").startswith("circular"))
     rows = rows.withColumn("_real", real)
-    by_page = rows.groupBy("doc_id", "page_no").agg(F.sum(F.col("_real").cast("int")).alias("_n"))
+    # Frames by page in one order of a document's rows: entries up to a row's page and before it, with no table of pages to join.
     order = Window.partitionBy("doc_id").orderBy("page_no")
-    seen = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stop = by_page.withColumn("_stop", (F.col("_n") == 0) & (seen > 0))
-    stop = stop.withColumn("_over", F.max("_stop").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("not _over").select("doc_id", "page_no")
-    return rows.where("_real").join(stop, ["doc_id", "page_no"]).select(
+    upto = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    entries = F.sum(F.col("_real").cast("int"))
+    rows = rows.withColumns({"_upto": entries.over(upto), "_seen": F.coalesce(entries.over(order.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    rows = rows.withColumn("_over", F.max((F.col("_upto") == F.col("_seen")) & (F.col("_seen") > 0)).over(upto))
+    return rows.where("_real and not _over").select(
         "doc_id", "page_no", "row_no", found(F.col("_a"), SERIAL, 1).cast("int").alias("s_no"), F.col("_b").alias("circular_no"), found(F.col("_b"), DATED, 1).alias("circular_date"),
         F.col("_c").alias("subject"), F.lit(None).cast("string").alias("status"), F.regexp_replace("_b", r"\s*,?\s*dated\s.*$", "").alias("circular_no_only"),
     )

@@ -78,6 +78,8 @@ def captured_outcome(t: Tables) -> DataFrame:
 TOC_ROW = "block string, part string, section_no int, title string, start_page int"
 CHANGE_ROW = "s_no int, description string, source_circular_no string, referenced_pages array<int>, referenced_paras array<string>"
 APPENDIX_ROW = "page_no int, s_no int, circular_no string, circular_date string"
+#: Folders of golden files: each is moved by the driver as a whole, and listed by the task that reads it.
+FOLDERS = 256
 
 
 @query(f"""WITH c AS MATERIALIZED (SELECT doc_id, page_no, CASE WHEN regexp_matches(c0, '^\\s*\\d{{1,3}}\\.?\\s*$') THEN CAST(regexp_extract(c0, '(\\d+)', 1) AS INT) END AS s_no, c2 AS description,
@@ -97,7 +99,7 @@ def fixture_files(t: Tables) -> DataFrame:
     documents = index.select("doc_id").union(rows.select("doc_id")).distinct().union(none)
     order = {"toc": (index, ("block", "start_page", "section_no", "row_no"), TOC_ROW), "annexure_a": (listed, ("page_no",), CHANGE_ROW), "appendix": (appendix, ("page_no",), APPENDIX_ROW)}
     folder = Scratch(t.spark, "fixtures").path("golden")
-    fixtures.write_fixtures(writers.blocks(documents, order), folder)
+    fixtures.write_fixtures(writers.blocks(documents, order), folder, FOLDERS)
     read = fixtures.read_fixtures(t.spark, folder, {name: row for name, (_, _, row) in order.items()})
     return read.select("doc_id", *[F.to_json(name, {"ignoreNullFields": "false"}).alias(name) for name in order])
 

@@ -21,7 +21,8 @@ def blocks(documents: DataFrame, tables: dict[str, tuple[DataFrame, tuple[str, .
         fields = table.sparkSession.createDataFrame([], ddl).columns
         row = F.struct(*[F.col(c).alias(f"_{c}") for c in order], *fields)
         listed = table.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias(name))
-        out = out.join(listed.select("doc_id", F.transform(name, _only(fields)).alias(name)), "doc_id", "left").withColumn(name, F.coalesce(name, empty))
+        block = listed.select("doc_id", F.transform(name, _only(fields)).alias(name)).hint("merge")  # else small files of many rows are taken for a small table and pass the driver
+        out = out.join(block, "doc_id", "left").withColumn(name, F.coalesce(name, empty))
     return out
 
 

@@ -3,10 +3,12 @@
 import json
 import os
 import random
+import zlib
 from pathlib import Path
 
 import pyarrow as pa
 import pytest
+from pyarrow import fs
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -203,6 +205,108 @@ def test_two_documents_of_one_name_are_an_error(tmp_path):
         writer.write(iter([batch((None, [1]))]))
 
 
+def test_dealt_golden_files_are_read_back_without_a_list_of_files(spark, tmp_path):
+    folder = str(tmp_path / "g")
+    fixtures.write_fixtures(golden(spark, 60).repartition(4), folder, 4)
+    assert files(folder) == sorted(f"of=4/folder={zlib.crc32(f'd{k}'.encode()) % 4}/{b}/d{k}.json" for k in range(60) for b in ("toc", "changes"))
+    back = fixtures.read_fixtures(spark, folder, {"toc": "no int, title string", "changes": "x date"})
+    assert back.inputFiles() == []
+    assert back.rdd.getNumPartitions() == 4
+    assert {r["doc_id"]: (r["toc"], r["changes"]) for r in back.collect()} == {r["doc_id"]: (r["toc"] or [], []) for r in golden(spark, 60).collect()}
+    fixtures.write_fixtures(golden(spark, 2), folder)  # either way takes the place of the other
+    assert files(folder) == sorted(f"{b}/d{k}.json" for k in range(2) for b in ("toc", "changes"))
+    fixtures.write_fixtures(golden(spark, 0), folder, 4)
+    assert files(folder) == [] and fixtures.read_fixtures(spark, folder, {"toc": "no int"}).collect() == []
+    with pytest.raises(PySparkException, match="holds no block"):
+        fixtures.read_fixtures(spark, str(tmp_path), {"toc": "no int"}).collect()
+
+
+class Counted:
+    """A file system that counts what is moved."""
+
+    def __init__(self, system):
+        self.system, self.moves = system, 0
+
+    def __getattr__(self, name):
+        return getattr(self.system, name)
+
+    def move(self, *places):
+        self.moves += 1
+        self.system.move(*places)
+
+
+def test_a_commit_moves_folders_not_documents(tmp_path, monkeypatch):
+    folder, counted = str(tmp_path / "g"), Counted(fs.LocalFileSystem())
+    monkeypatch.setattr(fixtures, "_system", lambda path: (counted, path))
+    writer = fixtures.FixtureWriter(folder, ["doc_id", "toc"], True, 4)
+    names = [f"d{k}" for k in range(1200)]
+    of = lambda name: zlib.crc32(name.encode()) % 4
+    messages = [writer.write(iter([batch(*[(n, [1]) for n in names if of(n) in some])])) for some in ((0, 1), (2, 3))]
+    writer.commit(messages)
+    assert len(files(folder)) == 1200 and counted.moves == 4 + 1
+    # Where tasks share folders, files are moved into them, and names that meet are an error.
+    writer = fixtures.FixtureWriter(folder, ["doc_id", "toc"], True, 4)
+    writer.commit([writer.write(iter([batch(*[(n, [2]) for n in names[:9]])])), writer.write(iter([batch(*[(n, [3]) for n in names[9:20]])]))])
+    assert sorted(f.split("/")[-1] for f in files(folder)) == sorted(f"{n}.json" for n in names[:20])
+    with pytest.raises(RuntimeError, match="share a name"):
+        writer.write(iter([batch(("a", [1]), ("a", [2]))]))
+    with pytest.raises(RuntimeError, match="share a name"):
+        writer.commit([writer.write(iter([batch(("a", [1]))])), writer.write(iter([batch(("a", [2]))]))])
+    # More documents replace those of their names, and stand in the same folders.
+    more = fixtures.FixtureWriter(folder, ["doc_id", "toc"], False, 4)
+    more.commit([more.write(iter([batch(("d0", [7]), ("z", [8]))]))])
+    assert len(files(folder)) == 21 and json.loads(Path(folder, f"of=4/folder={of('d0')}/toc/d0.json").read_text()) == [7]
+    more = fixtures.FixtureWriter(folder, ["doc_id", "toc"], False)
+    with pytest.raises(RuntimeError, match="in other folders: of=4"):
+        more.commit([more.write(iter([batch(("d0", [9]))]))])
+
+
+def test_blocks_that_lack_a_document_and_names_without_letters(spark, tmp_path):
+    for path, text in {"toc/a.json": '[{"t": "x"}]', "toc/.json": "[]", "notes/b.json": "[]", "notes/b.txt": "", "notes/.b.json": "", "toc/_b.json": ""}.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(text)
+    back = fixtures.read_fixtures(spark, str(tmp_path), {"toc": "t string", "notes": "n int"})
+    assert sorted((r.doc_id, r.toc and [x.t for x in r.toc], r.notes) for r in back.collect()) == [("", [], None), ("a", ["x"], None), ("b", None, [])]
+
+
+def test_columns_of_python_values(spark):
+    rows = pa.array([[{"a": 1, "b": None, "c": [1, None]}, None], None, [], [{"a": None, "b": "x", "c": None}]])
+    for array in (rows, rows[1:], rows[:1], rows[:0], pa.array([None, None]), pa.array([1.5, None]), pa.array([{}, None], pa.struct([]))):
+        assert fixtures.plain(array) == array.to_pylist()
+
+
+def test_golden_files_are_made_without_a_table_in_the_driver(spark, monkeypatch):
+    from docloom.plans import catalog
+
+    made = []
+    monkeypatch.setattr(fixtures, "write_fixtures", lambda rows, *_: made.append(rows._jdf.queryExecution().executedPlan().toString()))
+    monkeypatch.setattr(fixtures, "read_fixtures", lambda spark, path, blocks: spark.range(1).select("id", *[F.array("id").alias(b) for b in blocks]).withColumnRenamed("id", "doc_id"))
+    catalog.QUERIES["fixture_files"](catalog.Tables(spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin" in made[0] and "Broadcast" not in made[0]
+
+
+def test_appendix_ends_at_the_first_page_without_entries(spark):
+    """Against the definition, page by page, on random tables."""
+    from docloom.operators import registers
+
+    draw, pages, want = random.Random(5), [], []
+    for doc in ["a", "b", "c", "d", None]:
+        entries, over = 0, False
+        for page in range(1, 12):
+            kinds = [draw.choice(["entry", "head", "none"]) for _ in range(draw.randint(0, 2))]
+            cells = {"entry": ["1", f"A/{page}", ""], "head": ["Sr", "A/9", ""], "none": ["1", "", ""]}
+            pages.append((doc, page, [[cells[k] for k in kinds]] if kinds else [], 3))
+            if page >= 3 and kinds and not over:
+                here = kinds.count("entry")
+                over = not here and entries > 0
+                entries += here
+                want += [(doc, page)] * here * (doc is not None)
+    rows = spark.createDataFrame(pages, "doc_id string, page_no int, tables array<array<array<string>>>, appendix_page int")
+    got = registers.appendix_entries(rows)
+    assert sorted((r.doc_id, r.page_no) for r in got.collect()) == sorted(want) and want
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 # ---------------------------------------------------------------- scratch
 
 
